@@ -33,7 +33,7 @@ WITH sizes AS (
   SELECT *, (CAST(1.5 AS DOUBLE) * sum(source_size) OVER () - coalesce(sum(cap) OVER w, 0)) / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS DOUBLE) AS level
   FROM weighed WINDOW w AS (ORDER BY CAST(cap AS DOUBLE) / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), rates AS (
-  SELECT source, source_size, CAST(least(CAST(cap AS DOUBLE), coalesce(weight * min(CASE WHEN level * weight <= cap THEN level END) OVER (), CAST(cap AS DOUBLE))) AS DOUBLE) AS target FROM levels
+  SELECT source, source_size, CAST(least(CAST(cap AS DOUBLE), coalesce(weight * max(CASE WHEN level * weight <= cap THEN level END) OVER (), CAST(cap AS DOUBLE))) AS DOUBLE) AS target FROM levels
 ), drawn AS (
   SELECT s.doc_id, s.size, r.source_size, r.target, CASE WHEN r.source_size = 0 THEN 0.0::DOUBLE ELSE r.target / r.source_size END AS rate,
          CAST(CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(s.doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656.0::DOUBLE AS draw

@@ -33,7 +33,7 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
     """source, source_size, target, rate from rows of source and size.
 
     The shares are the water level at which the ceilings max_repeats * source_size and level * weight add up to the
-    wanted total: sources are put in order of ceiling per weight, and the level is set by those that don't reach it.
+    wanted total: sources are put in order of ceiling per weight, and the level is set by the first that does not reach its own.
     The windows run over one row per source.
     """
     n = len(weights)
@@ -51,7 +51,7 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
         .withColumn("cap_before", F.coalesce(F.sum("cap").over(filled), F.lit(0)))
         .withColumn("weight_before", F.coalesce(F.sum("weight").over(filled), F.lit(0)))
         .withColumn("level", level)
-        .withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(every))
+        .withColumn("level", F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(every))
         .withColumn("target", F.least(F.col("cap").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap").cast("double"))))
         .select("source", "source_size", "target", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)).alias("rate"))
     )
