@@ -4,20 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, source_mix, token_counts
+from . import decontaminate, jaccard_join, langid, quality_rules, secret_ledger, source_mix, token_counts, warc_assembly
 from .common import table
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_warc_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_assembly.digest_rows(warc_assembly.round_trip(table(spark, sf_dir, "pages")))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.plan(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(table(spark, sf_dir, "documents"), width=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
+def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_ledger.report(table(spark, sf_dir, "documents"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -42,5 +62,22 @@ WITH sizes AS (
 SELECT doc_id, size, source_size, target, size * (CAST(floor(rate) AS BIGINT) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS taken FROM drawn
 """
 
-QUERIES = {"op4_token_counts": op4_token_counts, "op6_source_mix": op6_source_mix, "op10_quality_rules": op10_quality_rules}
-ORACLES = {"op6_source_mix": OP6_SQL}
+OP5_SQL = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages
+), d AS (
+  SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS h FROM p
+), e AS (
+  SELECT page_id, payload_bytes, h, max(page_id) OVER (PARTITION BY h) AS top,
+         array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + CAST((CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT), 1)), '') AS payload_digest FROM d
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to FROM e
+"""
+
+QUERIES = {
+    f.__name__: f
+    for f in (op3_langid, op4_token_counts, op5_warc_assembly, op6_source_mix, op7_jaccard_join, op8_secret_ledger, op9_decontaminate, op10_quality_rules)
+}
+ORACLES = {"op5_warc_assembly": OP5_SQL, "op6_source_mix": OP6_SQL}
