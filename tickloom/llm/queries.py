@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, langid, quality_rules, secret_ledger, source_mix, token_counts, warc_assembly
+from . import decontaminate, jaccard_join, langid, quality_rules, quote_links, run_index, secret_ledger, source_mix, token_counts, warc_assembly
 from .common import table
 
 
+def op1_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_links.thread(table(spark, sf_dir, "conversations"))
+
+
+def op2_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_index.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -78,6 +86,9 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'res
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_langid, op4_token_counts, op5_warc_assembly, op6_source_mix, op7_jaccard_join, op8_secret_ledger, op9_decontaminate, op10_quality_rules)
+    for f in (
+        op1_quote_links, op2_run_index, op3_langid, op4_token_counts, op5_warc_assembly, op6_source_mix, op7_jaccard_join, op8_secret_ledger,
+        op9_decontaminate, op10_quality_rules,
+    )
 }
 ORACLES = {"op5_warc_assembly": OP5_SQL, "op6_source_mix": OP6_SQL}
