@@ -1,8 +1,58 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: documents to a mix of clean, distinct, uncontaminated texts without secrets.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+stage's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tickloom.llm import decontaminate, jaccard_join, quality_rules, secret_ledger, source_mix
+from tickloom.llm.common import stored, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what the quality rules reject."""
+    return quality_rules.apply_rules(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of each group that shares five-word shingles at a Jaccard similarity of 0.8 or more."""
+    return jaccard_join.keep_first(docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets in the texts; n_chars follows where a text has changed."""
+    out = secret_ledger.redact(docs.withColumn("_before", F.length("text")))
+    n_chars = F.when(F.length("text") != F.col("_before"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes each document as often as the target of its source asks for; mix_copy numbers its copies."""
+    return source_mix.mix(docs)
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("jaccard_join", near_duplicates),
+    ("decontaminate", benchmark_leaks),
+    ("secret_ledger", secrets),
+    ("source_mix", mixture),
+]
+#: The estimated rule accuracies and the connected components are iterated, which SQL does not express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
