@@ -9,8 +9,9 @@ one-deletion neighbours (p = 1); empty segments are skipped (p = -1) as far as s
 the allocation of least cost: rows filed, plus expected false candidates.
 
 Sets that are equal form one class and are joined once. Sets that meet in a bucket are verified exactly: pair by pair
-where a bucket is small (equal buckets once), block by block inside tasks where it is large, emitting only a forest of
-the verified links. No bucket or partner is capped.
+where a bucket is small, with one set of the bucket where it is large. Large buckets whose sets are not yet all connected
+are then verified whole, block by block inside tasks, emitting only a forest of the verified links. Equal buckets are
+treated once; no bucket or partner is capped.
 
 Tokens are 64-bit hashes of shingles and classes 64-bit hashes of sets.
 
@@ -34,6 +35,8 @@ from .components import connected
 
 SMALL_BUCKET = 12
 BLOCK = 256
+#: Words of the parity sketch of a set.
+SKETCH = 16
 #: Cost of one false candidate, in filed rows.
 CANDIDATE_COST = 20
 MAX_SPARE = 24
@@ -197,15 +200,23 @@ def filed(docs: DataFrame, width: int, percent: int, n_docs: int) -> DataFrame:
     return _map_texts(docs, width, build, "signature long, class long")
 
 
+def parity_sketch(tokens: np.ndarray) -> np.ndarray:
+    """Per cell of the universe, whether it holds an odd number of tokens: sets that differ in d tokens differ in at most
+    d cells."""
+    cells = np.bincount((tokens & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(cells.astype(np.uint8)).view(np.int64)
+
+
 def token_sets(docs: DataFrame, width: int) -> DataFrame:
-    """class, tokens of docs(doc_id, text)."""
+    """class, tokens, sketch of docs(doc_id, text)."""
 
     def build(ids, sets):
         some = [s for s in sets if len(s)]
         prints = pa.array([int(_fingerprint(s).view(np.int64)) for s in some], pa.int64())
-        yield pa.RecordBatch.from_arrays([prints, pa.array([s.view(np.int64) for s in some], pa.list_(pa.int64()))], names=["class", "tokens"])
+        longs = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([prints, pa.array([s.view(np.int64) for s in some], longs), pa.array([parity_sketch(s) for s in some], longs)], names=["class", "tokens", "sketch"])
 
-    return _map_texts(docs, width, build, "class long, tokens array<long>")
+    return _map_texts(docs, width, build, "class long, tokens array<long>, sketch array<long>")
 
 
 def _block_links(percent: int):
@@ -239,6 +250,18 @@ def _block_links(percent: int):
     return run
 
 
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs(a, b) that link. Sizes and sketches drop pairs that cannot; tokens decide on the rest."""
+    light = sets.select("class", F.size("tokens").alias("n"), "sketch")
+    side = lambda name: light.select(F.col("class").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}"))
+    apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    may = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & ((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
+    near = stored(pairs.join(side("a"), "a").join(side("b"), "b").where(may).select("a", "b").distinct(), "near")
+    common = F.size(F.array_intersect("x", "y"))
+    both = near.join(sets.select(F.col("class").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("y")), "b")
+    return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
 def links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """a, b: classes that are linked; enough of the links to connect whatever is connected."""
     rows = filed(docs, width, percent, max(docs.count(), 1))
@@ -247,34 +270,33 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Data
         rows.withColumn("low", F.min("class").over(every)).withColumn("high", F.max("class").over(every)).where("low <> high")
         .withColumn("before", F.lag("class").over(ordered)).where("before IS NULL OR before <> class")
         .withColumn("nth", F.row_number().over(ordered) - 1).withColumn("n", F.count(F.lit(1)).over(every))
-        .select("signature", "class", "nth", "n")
+        .select("signature", "class", "low", "nth", "n")
     )
     shared = stored(shared, "shared")
-    small = shared.where(F.col("n") <= SMALL_BUCKET).groupBy("signature").agg(F.sort_array(F.collect_list("class")).alias("members")).select("members").distinct()
-    pair = lambda m: F.flatten(F.transform(m, lambda x, i: F.transform(F.slice(m, i + 2, SMALL_BUCKET), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    pairs = stored(small.select(F.inline(pair(F.col("members")))).distinct(), "pairs")
+    small, large = shared.where(F.col("n") <= SMALL_BUCKET), shared.where(F.col("n") > SMALL_BUCKET)
 
-    # Large buckets: those of equal members once; each pair of blocks is one group.
-    large = shared.where(F.col("n") > SMALL_BUCKET)
-    same = large.groupBy("signature").agg(F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("class") % (1 << 40)).alias("s"), F.sum(F.xxhash64("class", F.lit(1)) % (1 << 40)).alias("t")).groupBy("k", "s", "t").agg(F.min("signature").alias("signature"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.floor(F.col("nth") / BLOCK).cast("int")
-    large = stored(large.join(same.select("signature"), "signature").select("signature", "class", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")), "large")
-
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(large.select("class")).distinct()
+    # Small buckets: all pairs, equal buckets once. Large ones: each set with the first of its bucket.
+    lists = small.groupBy("signature").agg(F.sort_array(F.collect_list("class")).alias("members")).select("members").distinct()
+    pair = lambda m: F.flatten(F.transform(m, lambda x, i: F.transform(F.slice(m, i + 2, SMALL_BUCKET), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    pairs = lists.select(F.inline(pair(F.col("members")))).union(large.where("nth > 0").select("low", "class")).distinct()
+    pairs = stored(pairs, "pairs")
+    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     readers = classes.groupBy("class").agg(F.min("doc_id").alias("doc_id")).join(wanted, "class", "left_semi").select("doc_id")
-    sets = stored(token_sets(docs.join(readers.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(readers["doc_id"]), "left_semi"), width), "sets").dropDuplicates(["class"])
-    sets = stored(sets.join(wanted, "class", "left_semi"), "sets")
-
-    left, right = sets.select(F.col("class").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("class").alias("b"), F.col("tokens").alias("y"))
-    sized = sets.select("class", F.size("tokens").alias("n"))
-    near = pairs.join(sized.select(F.col("class").alias("a"), F.col("n").alias("na")), "a").join(sized.select(F.col("class").alias("b"), F.col("n").alias("nb")), "b")
-    near = near.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b")
-    common = F.size(F.array_intersect("x", "y"))
-    verified = near.join(left, "a").join(right, "b").where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
-
-    keyed = large.select("signature", "class", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    blockwise = keyed.join(sets, "class").groupBy("signature", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
+    sets = stored(token_sets(docs.join(readers.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(readers["doc_id"]), "left_semi"), width), "sets")
+    verified = stored(verify(pairs, sets, percent), "verified")
+
+    # Large buckets whose sets these links leave in several components, equal buckets once: all pairs, by pairs of blocks.
+    labels = connected(verified)
+    labelled = large.join(labels, large["class"] == labels["node"], "left").select("signature", "class", "nth", "n", F.coalesce("component", "class").alias("component"))
+    open_ones = labelled.groupBy("signature").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("k"),
+        F.sum(F.xxhash64("class") % (1 << 40)).alias("s"), F.sum(F.xxhash64("class", F.lit(1)) % (1 << 40)).alias("t"),
+    )
+    open_ones = open_ones.where("low <> high").groupBy("k", "s", "t").agg(F.min("signature").alias("signature")).select("signature")
+    blocks, mine = F.ceil(F.col("n") / BLOCK).cast("int"), F.floor(F.col("nth") / BLOCK).cast("int")
+    left = large.join(open_ones, "signature").select("signature", "class", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    keyed = left.select("signature", "class", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    blockwise = keyed.join(sets.select("class", "tokens"), "class").groupBy("signature", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
     return verified.union(blockwise).distinct()
 
 
