@@ -133,3 +133,218 @@ SELECT symbol, {DAY}, {r('ret_1', 'ret_1')}, {', '.join(r(change('close', n), f'
 {r('(close - (mid - 2 * sd)) / nullif(4 * sd, 0)', 'pctb')}, {r('100 * (close - lo) / nullif(hi - lo, 0)', 'k')}, {r('z', 'z')}, {r(f"volume / nullif({roll('avg', 'volume', 20)}, 0)", 'volume_ratio')},
 {r(f"m5 - {lag('m5', 5)}", 'accel')} FROM y""",
 }
+
+# ---- strategies and backtests
+
+LATCH = "OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)"
+
+
+def latch(enter: str, leave: str) -> str:
+    return f"coalesce(last_value(CASE WHEN {enter} THEN 1 WHEN {leave} THEN 0 END IGNORE NULLS) {LATCH}, 0)"
+
+
+POSITIONS = f"""{BARS}, {Z}, {MA}, {COMPOSITE}, {STOCH}, {RSI}, {ewm('f', 'bars', 'close', 12)}, {ewm('l', 'bars', 'close', 26)},
+mm AS (SELECT n.symbol, n.ts, f.y - l.y AS macd FROM f_n n JOIN f ON f.symbol = n.symbol AND f.rn = n.rn JOIN l ON l.symbol = n.symbol AND l.rn = n.rn), {ewm('q', 'mm', 'macd', 9)},
+wide AS (
+  SELECT c.symbol, c.ts, c.close, c.signal AS csig, sb.signal AS ssig, sb.mid, sb.mid + 2 * sb.sd AS upper, g.rsi, qn.macd, q.y AS msig
+  FROM c JOIN sb ON sb.symbol = c.symbol AND sb.ts = c.ts JOIN g ON g.symbol = c.symbol AND g.ts = c.ts JOIN q_n qn ON qn.symbol = c.symbol AND qn.ts = c.ts JOIN q ON q.symbol = qn.symbol AND q.rn = qn.rn),
+marks AS (
+  SELECT symbol, ts, close, 1 AS buy_hold, CASE WHEN {roll('avg', 'close', 10)} > {roll('avg', 'close', 30)} THEN 1 ELSE 0 END AS ma_crossover,
+    {latch('rsi < 30', 'rsi > 55')} AS rsi_reversion, CASE WHEN macd > msig THEN 1 ELSE 0 END AS macd_trend, {latch('close > upper', 'close < mid')} AS bollinger_breakout,
+    CASE WHEN {change('close', 20)} > 0 THEN 1 ELSE 0 END AS momentum_roc, {latch("ssig = 'BUY'", "ssig = 'SELL'")} AS stoch_bb, {latch("csig = 'BUY'", "csig IN ('SELL', 'EXIT')")} AS composite FROM wide),
+pos AS (SELECT symbol, ts, close, strategy, CAST(position AS DOUBLE) AS position FROM (UNPIVOT marks ON buy_hold, ma_crossover, rsi_reversion, macd_trend, bollinger_breakout, momentum_roc, stoch_bb, composite INTO NAME strategy VALUE position))"""
+PS = "PARTITION BY symbol, strategy ORDER BY ts"
+RUN = f"""{POSITIONS},
+r1 AS (SELECT *, row_number() OVER ({PS}) - 1 AS n, coalesce(close / nullif(lag(close) OVER ({PS}), 0) - 1, 0) AS ret, coalesce(lag(position) OVER ({PS}), 0) AS p1, coalesce(lag(position, 2) OVER ({PS}), 0) AS p2, lag(position) OVER ({PS}) AS prev FROM pos),
+r2 AS (SELECT *, p1 * ret - (greatest(p1 - p2, 0) * {d(25)} / 10000 + greatest(p2 - p1, 0) * {d(35)} / 10000) AS net FROM r1),
+run AS (SELECT *, CASE WHEN n = 0 THEN {d(100)} ELSE product(1 + net) OVER ({PS} ROWS UNBOUNDED PRECEDING) * 100 END AS equity FROM r2),
+t1 AS (SELECT *, sum(CASE WHEN position > 0 AND (n = 1 OR prev = 0) THEN 1 ELSE 0 END) OVER ({PS} ROWS UNBOUNDED PRECEDING) AS trade FROM run WHERE n >= 1),
+trades AS (SELECT symbol, strategy, min(ts) AS entry, max(ts) AS exit, (product(1 + net) - 1) * 100 AS ret, CASE WHEN min(position) = 0 THEN 'signal' ELSE 'open' END AS exit_reason
+  FROM t1 WHERE position > 0 OR (prev > 0 AND n >= 2) GROUP BY symbol, strategy, trade)"""
+METRICS = f"""{RUN},
+e1 AS (SELECT *, equity / nullif(lag(equity) OVER ({PS}), 0) - 1 AS daily, equity / max(equity) OVER ({PS} ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM run),
+e2 AS (SELECT symbol, strategy, (arg_max(equity, ts) / arg_min(equity, ts) - 1) * 100 AS total, avg(daily) AS m, stddev_samp(daily) AS sd, min(dd) * 100 AS dd, avg(position) * 100 AS exposure FROM e1 GROUP BY 1, 2 HAVING count(daily) >= 2),
+mo1 AS (SELECT symbol, strategy, date_trunc('month', ts) AS mon, product(1 + daily) - 1 AS ret FROM e1 WHERE daily IS NOT NULL GROUP BY 1, 2, 3),
+mo AS (SELECT symbol, strategy, count(*) FILTER (ret > 1e-12) / CAST(date_diff('month', min(mon), max(mon)) + 1 AS DOUBLE) * 100 AS consistency FROM mo1 GROUP BY 1, 2),
+tr AS (SELECT symbol, strategy, count(*) AS n, avg(CASE WHEN ret > 0 THEN 1.0::DOUBLE ELSE 0 END) * 100 AS win, CASE WHEN sum(CASE WHEN ret < 0 THEN -ret ELSE 0 END) > 0 THEN sum(CASE WHEN ret > 0 THEN ret ELSE 0 END) / sum(CASE WHEN ret < 0 THEN -ret ELSE 0 END)
+  WHEN sum(CASE WHEN ret > 0 THEN ret ELSE 0 END) > 0 THEN 3 ELSE 0 END AS pf FROM trades GROUP BY 1, 2),
+met AS (SELECT e2.symbol, e2.strategy, total, CASE WHEN sd > 0 THEN m / sd * sqrt({d(252)}) END AS sharpe, dd, coalesce(tr.n, 0) AS n_trades, win, pf, consistency, exposure
+  FROM e2 LEFT JOIN mo ON mo.symbol = e2.symbol AND mo.strategy = e2.strategy LEFT JOIN tr ON tr.symbol = e2.symbol AND tr.strategy = e2.strategy)"""
+
+
+def unit(x: str, low: float, high: float, neutral: float = 0) -> str:
+    return f"coalesce({clip(f'({x} - {d(low)}) / {d(high - low)}', 0, 1)}, {d(neutral)})"
+
+
+PARTS = {
+    "excess_return": (unit("total - bench", -20, 20), 25), "sharpe": (unit("sharpe", -1, 3, 0.25), 20), "win_rate": (unit("win", 20, 70), 15),
+    "profit_factor": (unit("pf", 0, 3), 15), "max_drawdown": (f"1 - {unit('abs(dd)', 0, 50)}", 15), "consistency": (unit("consistency", 0, 100), 10),
+}
+
+BRANDS = BARS.replace("bars AS (", "day_bars AS (").replace("brand AS (", "bars AS (")
+RUN_WEEKLY, METRICS = RUN.replace(BARS, BRANDS), METRICS.replace(BARS, BRANDS)
+
+ORACLES |= {
+    "strategy_positions": f"WITH RECURSIVE {POSITIONS} SELECT symbol, {DAY}, strategy, position FROM pos",
+    "vector_backtest_equity": f"WITH RECURSIVE {RUN_WEEKLY} SELECT symbol, {DAY}, strategy, {r('net', 'net')}, {r('CASE WHEN equity > 0 THEN ln(equity / 100) END', 'log_equity')} FROM run",
+    "vector_backtest_trades": f"WITH RECURSIVE {RUN_WEEKLY} SELECT symbol, strategy, CAST(entry AS DATE) AS entry, CAST(exit AS DATE) AS exit, {r('CASE WHEN 1 + ret / 100 > 0 THEN ln(1 + ret / 100) END', 'log_return')}, exit_reason FROM trades",
+    "arena_metrics": f"WITH RECURSIVE {METRICS} SELECT symbol, strategy, {r('CASE WHEN 1 + total / 100 > 0 THEN ln(1 + total / 100) END', 'log_total_return')}, {r('sharpe', 'sharpe_ratio')}, {r('dd', 'max_drawdown_pct')}, n_trades, {r('win', 'win_rate_pct')}, {r('consistency', 'consistency_pct')}, {r('exposure', 'exposure_pct')} FROM met",
+    "arena_points": f"""WITH RECURSIVE {METRICS}, w AS (SELECT met.*, b.total AS bench FROM met LEFT JOIN met b ON b.symbol = met.symbol AND b.strategy = 'buy_hold'),
+p AS (SELECT *, {', '.join(f"round_even(({x}) * {d(n)}, 1) AS pts_{k}" for k, (x, n) in PARTS.items())} FROM w)
+SELECT symbol, strategy, {', '.join(r(f'pts_{k}', f'pts_{k}', 1) for k in PARTS)}, {r(f"round_even(({' + '.join(f'pts_{k}' for k in PARTS)}) * CASE WHEN strategy = 'buy_hold' THEN 1 ELSE {d(0.3)} + {d(0.7)} * least(1, n_trades / {d(3)}) END, 1)", 'points', 1)} FROM p""",
+    "league_points": f"""WITH RECURSIVE {METRICS}, p AS (SELECT symbol, strategy, CAST(row_number() OVER (PARTITION BY symbol ORDER BY round_even(total, 2) DESC, strategy) AS INTEGER) AS place FROM met)
+SELECT symbol, strategy, place, CAST(coalesce([10, 8, 6, 5, 4, 3, 2, 1][place], 1) AS INTEGER) AS league_points FROM p""",
+    "walk_forward_folds": f"""WITH {BARS}, a AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS c FROM bars),
+b AS (SELECT *, least(i // nullif(c // 4, 0), 3) AS fold FROM a), e AS (SELECT *, CASE WHEN fold = 3 THEN c - 3 * (c // 4) ELSE c // 4 END AS len FROM b), f AS (SELECT *, CAST(floor(len * {d(0.7)}) AS BIGINT) AS cut FROM e)
+SELECT symbol, CAST(fold AS INTEGER) AS fold, CASE WHEN i - fold * (c // 4) < cut THEN 'train' ELSE 'test' END AS part, count(*) AS n, CAST(min(ts) AS DATE) AS first_day, CAST(max(ts) AS DATE) AS last_day
+FROM f WHERE cut > 30 AND len - cut > 10 GROUP BY 1, 2, 3""",
+    "tick_and_lot": f"""WITH {BARS}, a AS (SELECT *, {lag('close')} AS pc FROM bars)
+SELECT symbol, {DAY}, CASE WHEN close < 200 THEN 1 WHEN close < 500 THEN 2 WHEN close < 2000 THEN 5 WHEN close < 5000 THEN 10 ELSE 25 END AS tick,
+CASE WHEN close < 200 THEN {d(0.25)} WHEN close < 5000 THEN {d(0.2)} ELSE {d(0.15)} END AS lower_limit,
+coalesce(close / nullif(pc, 0) - 1 <= -(CASE WHEN pc < 200 THEN {d(0.25)} WHEN pc < 5000 THEN {d(0.2)} ELSE {d(0.15)} END) + {d('1e-9')} AND abs(close - low) <= {d('1e-8')} + {d('1e-5')} * abs(low), false) AS locked,
+CAST(floor({d(100000)} / nullif(close, 0) / 100) * 100 AS BIGINT) AS lots FROM a""",
+}
+
+# ---- liquidity, simulation, statistics
+
+
+def last(source: str, n: int = 20) -> str:
+    return f"rec AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS rn FROM {source} QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= {n})"
+
+
+SPREADS = f"""{last('bars')},
+s1 AS (SELECT *, {lag('high')} AS h1, {lag('low')} AS l1, {lag('close')} AS c1 FROM rec),
+cs1 AS (SELECT *, pow(ln(high / low), 2) + pow(ln(h1 / l1), 2) AS beta, CASE WHEN h1 IS NOT NULL THEN pow(ln(greatest(high, h1) / least(low, l1)), 2) END AS gamma FROM s1),
+cs2 AS (SELECT *, exp((sqrt(2 * beta) - sqrt(beta)) / (3 - 2 * sqrt({d(2)})) - sqrt(gamma / (3 - 2 * sqrt({d(2)})))) AS ea FROM cs1),
+cs AS (SELECT symbol, CASE WHEN count(*) >= 3 THEN avg(CASE WHEN ea IS NOT NULL THEN greatest(0, 2 * (ea - 1) / (1 + ea)) END) END AS corwin_schultz FROM cs2 GROUP BY 1),
+ro1 AS (SELECT *, (close - c1) / nullif(c1, 0) AS ret FROM s1), ro2 AS (SELECT *, {lag('ret')} AS ret1 FROM ro1),
+ro AS (SELECT symbol, CASE WHEN covar_samp(ret, ret1) < 0 THEN 2 * sqrt(-covar_samp(ret, ret1)) END AS roll FROM ro2 GROUP BY 1),
+ed1 AS (SELECT symbol, ts, ln(open) AS o, ln(high) AS h, ln(low) AS l, ln(close) AS c FROM rec),
+ed2 AS (SELECT *, {lag('h')} AS h1, {lag('l')} AS l1, {lag('c')} AS c1, (h + l) / 2 AS m FROM ed1),
+ed3 AS (SELECT *, {lag('m')} AS m1, CASE WHEN h <> l OR l <> c1 THEN {d(1)} ELSE 0 END AS tau FROM ed2),
+ed4 AS (SELECT *, m - o AS r1, o - m1 AS r2, m - c1 AS r3, c1 - m1 AS r4, o - c1 AS r5, tau * ((o <> h)::INT + (o <> l)::INT) AS po, tau * ((c1 <> h1)::INT + (c1 <> l1)::INT) AS pc FROM ed3 WHERE c1 IS NOT NULL),
+ed5 AS (SELECT symbol, avg(r1) AS a1, avg(r3) AS a3, avg(r5) AS a5, avg(tau) AS pt, nullif(avg(po), 0) AS po, nullif(avg(pc), 0) AS pc, sum(tau) AS st FROM ed4 GROUP BY 1),
+ed6 AS (SELECT e.symbol, st, -4 / x.po * (r1 - a1 / nullif(pt, 0) * tau) * r2 - 4 / x.pc * (r3 - a3 / nullif(pt, 0) * tau) * r4 AS x1, -4 / x.po * (r1 - a1 / nullif(pt, 0) * tau) * r5 - 4 / x.pc * (r5 - a5 / nullif(pt, 0) * tau) * r4 AS x2 FROM ed4 e JOIN ed5 x ON e.symbol = x.symbol),
+ed7 AS (SELECT symbol, max(st) AS st, avg(x1) AS e1, avg(x2) AS e2, var_pop(x1) AS v1, var_pop(x2) AS v2 FROM ed6 GROUP BY 1),
+ed AS (SELECT symbol, CASE WHEN st >= 2 THEN sqrt(abs(CASE WHEN v1 + v2 > 0 THEN (v2 * e1 + v1 * e2) / (v1 + v2) ELSE (e1 + e2) / 2 END)) END AS edge FROM ed7),
+fz AS (SELECT symbol, avg(CASE WHEN abs(high - low) <= {d('1e-8')} + {d('1e-5')} * abs(low) THEN {d(1)} ELSE 0 END) AS frozen FROM rec GROUP BY 1)"""
+X = "2147483647"
+NORMAL = f"""
+SELECT *, ((x2 * x2 + 69621) % {X} + {d(0.5)}) / {d(X)} AS u, ((y2 * y2 + 48271) % {X} + {d(0.5)}) / {d(X)} AS v FROM (
+SELECT *, (x1 * x1 + 16807 * i + 1) % {X} AS x2, (y1 * y1 + 40014 * i + 7) % {X} AS y2 FROM (
+SELECT *, (48271 * i + 12345) % {X} AS x1, (69621 * i + 777) % {X} AS y1 FROM draws))"""
+PATHS = f"""
+lr AS (SELECT *, ln(close) - ln({lag('close')}) AS lr FROM brand),
+st AS (SELECT symbol, arg_max(close, ts) AS s0, avg(lr) AS mu, stddev_samp(lr) AS sigma, row_number() OVER (ORDER BY symbol) - 1 AS k FROM lr GROUP BY symbol),
+draws AS (SELECT symbol, s0, mu, sigma, sim, day, (k * 400 + sim) * 15 + day AS i FROM st, range(400) a(sim), range(1, 16) b(day)),
+z0 AS ({NORMAL}),
+paths AS (SELECT symbol, sim, day, s0, s0 * exp(sum(mu - {d(0.5)} * sigma * sigma + sigma * sqrt(-2 * ln(u)) * cos(2 * pi() * v)) OVER (PARTITION BY symbol, sim ORDER BY day ROWS UNBOUNDED PRECEDING)) AS price FROM z0),
+fin AS (SELECT *, price / s0 - 1 AS ret FROM paths WHERE day = 15)"""
+
+
+def phi(x: str) -> str:
+    t = f"(1 / (1 + {d(0.2316419)} * abs({x})))"
+    poly = d(0)
+    for c in (1.330274429, -1.821255978, 1.781477937, -0.356563782, 0.319381530):
+        poly = f"(({poly} + {d(c)}) * {t})"
+    tail = f"(exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()) * {poly})"
+    return f"(CASE WHEN {x} >= 0 THEN 1 - {tail} WHEN {x} < 0 THEN {tail} END)"
+
+
+RETS = f"rets AS (SELECT symbol, ts, ret FROM (SELECT *, {change('close')} AS ret FROM {{}}) WHERE ret IS NOT NULL), pr AS (SELECT x.symbol AS a, y.symbol AS b, x.ts, x.ret AS ra, y.ret AS rb FROM rets x JOIN rets y ON x.ts = y.ts AND x.symbol < y.symbol)"
+
+ORACLES |= {
+    "liquidity_stats": f"""WITH {BARS}, {last('bars')} SELECT symbol, {r('avg(close * volume)', 'avg_turnover', 4)}, {r('quantile_cont(close * volume, 0.5)', 'median_turnover', 4)}, {r('avg(volume)', 'avg_volume', 4)}, {r('arg_max(volume, ts)', 'latest_volume', 4)},
+{r('CASE WHEN avg(volume) > 0 THEN arg_max(volume, ts) / avg(volume) END', 'volume_vs_avg_ratio', 4)} FROM rec GROUP BY symbol""",
+    "spread_estimates": f"""WITH {BARS}, {SPREADS} SELECT fz.symbol, {r('frozen', 'frozen_days_ratio')}, {r('edge', 'edge')}, {r('corwin_schultz', 'corwin_schultz')}, {r('roll', 'roll')},
+{r('list_median([x FOR x IN [edge, corwin_schultz, roll] IF x IS NOT NULL])', 'consensus')} FROM fz LEFT JOIN ed ON ed.symbol = fz.symbol LEFT JOIN cs ON cs.symbol = fz.symbol LEFT JOIN ro ON ro.symbol = fz.symbol""",
+    "liquidity_tier": f"""WITH {BARS}, {last('brand')}, a AS (SELECT symbol, avg(close * volume) AS t, avg(CASE WHEN abs(high - low) <= {d('1e-8')} + {d('1e-5')} * abs(low) THEN {d(1)} ELSE 0 END) AS f FROM rec GROUP BY 1)
+SELECT symbol, {r('t', 'avg_turnover', 4)}, {r('f', 'frozen_days_ratio', 4)}, CASE WHEN t < 250000 OR f >= 0.3 THEN 'hard_illiquid' WHEN t < 1000000 THEN 'thin' ELSE 'liquid' END AS tier FROM a""",
+    "accumulation": f"""WITH {BARS}, a1 AS (SELECT *, coalesce(close - {lag('close')}, 0) AS dc FROM brand), a2 AS (SELECT *, sign(dc) * volume AS step, 4 * {roll('stddev_samp', 'close', 20)} / nullif({roll('avg', 'close', 20)}, 0) AS width FROM a1),
+a3 AS (SELECT *, sum(step) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS obv, {roll('avg', 'volume', 20)} AS vma, avg(volume) {over(3)} AS v3 FROM a2), {last('a3', 60)},
+g1 AS (SELECT symbol, arg_max(v3, ts) AS v3, arg_max(vma, ts) AS vma, arg_max(close, ts) AS c, arg_min(close, ts) FILTER (rn <= 15) AS c0, regr_slope(obv, -rn) FILTER (rn <= 15) AS slope, stddev_samp(step) FILTER (rn <= 19) AS sd,
+  arg_max(width, ts) AS w, count(width) AS nw, list(width) FILTER (width IS NOT NULL) AS ws, coalesce(sum(volume) FILTER (rn <= 20 AND dc > 0), 0) AS up, coalesce(sum(volume) FILTER (rn <= 20 AND dc < 0), 0) AS down FROM rec GROUP BY 1),
+g2 AS (SELECT symbol, round_even({clip('(coalesce(v3 / nullif(vma, 0), 1) - 1) / 2', 0, 1)}, 3) AS rvol,
+  round_even({clip(f"(CASE WHEN coalesce(c / nullif(c0, 0) - 1, 0) < 0.05 THEN coalesce(slope / nullif(sd, 0), 0) ELSE coalesce(slope / nullif(sd, 0), 0) * {d(0.3)} END) / 3", 0, 1)}, 3) AS obv,
+  round_even(CASE WHEN nw >= 60 THEN {clip('1 - len(list_filter(ws, lambda x: x < w)) / CAST(nw AS DOUBLE)', 0, 1)} ELSE 0 END, 3) AS sq,
+  round_even({clip('(coalesce(up / nullif(down, 0), CASE WHEN up > 0 THEN 2 ELSE 1 END) - 1) / 2', 0, 1)}, 3) AS ud FROM g1)
+SELECT symbol, {r('rvol', 'rvol')}, {r('obv', 'obv_divergence')}, {r('sq', 'squeeze')}, {r('ud', 'up_down_volume')}, {r('(rvol + obv + sq + ud) / 4', 'accumulation_score')}, (rvol + obv + sq + ud) / 4 > 0.65 AS flag FROM g2""",
+    "gbm_paths_summary": f"""WITH {BARS}, {PATHS}, q AS (SELECT symbol, any_value(s0) AS s0, avg(price) AS m, quantile_cont(price, 0.5) AS md, quantile_cont(price, 0.025) AS lo, quantile_cont(price, 0.975) AS hi, avg(CASE WHEN price > s0 THEN {d(1)} ELSE 0 END) AS pp, -quantile_cont(ret, 0.05) AS var FROM fin GROUP BY 1),
+t AS (SELECT fin.symbol, -avg(ret) AS es FROM fin JOIN q ON q.symbol = fin.symbol WHERE ret <= -var GROUP BY 1)
+SELECT q.symbol, {r('s0', 's0')}, {r('m', 'mean_final')}, {r('md', 'median_final')}, {r('lo', 'p_lower')}, {r('hi', 'p_upper')}, {r('pp', 'prob_profit')}, {r('var', 'var')}, {r('coalesce(es, var)', 'es')} FROM q LEFT JOIN t ON t.symbol = q.symbol""",
+    "fan_bands": f"WITH {BARS}, {PATHS} SELECT symbol, CAST(day AS INTEGER) AS day, {', '.join(r(f'quantile_cont(price, {p / 100})', f'p{p}') for p in (5, 25, 50, 75, 95))} FROM paths GROUP BY 1, 2",
+    "closed_form_prob_up": f"""WITH {BARS}, a AS (SELECT *, ln(close) - ln({lag('close')}) AS lr FROM bars), b AS (SELECT *, {roll('avg', 'lr', 90, 1)} AS mu, {roll('stddev_samp', 'lr', 90, 1)} AS sd FROM a),
+x AS (SELECT *, (mu - sd * sd / 2) * 15 / nullif(sd * sqrt({d(15)}), 0) AS q FROM b) SELECT symbol, {DAY}, {r(phi('q'), 'prob_up')} FROM x""",
+    "signal_ic": f"""WITH {BARS}, {Z}, {MA}, {COMPOSITE}, f AS ({' UNION ALL '.join(f"SELECT symbol, {h} AS horizon, composite AS s, lead(close, {h}) OVER (PARTITION BY symbol ORDER BY ts) / nullif(close, 0) - 1 AS fwd FROM c" for h in (1, 3, 5, 10))}),
+g0 AS (SELECT * FROM f WHERE s IS NOT NULL AND fwd IS NOT NULL),
+h AS (SELECT symbol, horizon, rank() OVER (PARTITION BY symbol, horizon ORDER BY s) + (count(*) OVER (PARTITION BY symbol, horizon, s) - 1) / {d(2)} AS a, rank() OVER (PARTITION BY symbol, horizon ORDER BY fwd) + (count(*) OVER (PARTITION BY symbol, horizon, fwd) - 1) / {d(2)} AS b FROM g0),
+k AS (SELECT symbol, horizon, corr(a, b) AS ic, count(*) AS n FROM h GROUP BY 1, 2 HAVING count(*) >= 10)
+SELECT symbol, horizon, {r('ic', 'ic')}, n, {r('ic * sqrt(nullif((n - 2) / nullif(1 - ic * ic, 0), 0))', 't')} FROM k""",
+    "pair_corr_cov": f"WITH {BARS}, {RETS.format('brand')} SELECT a, b, {r('corr(ra, rb)', 'corr')}, {r('covar_samp(ra, rb)', 'cov')}, count(*) AS n FROM pr GROUP BY 1, 2",
+    "rolling_corr": f"WITH {BARS}, {RETS.format('bars')} SELECT a, b, {DAY}, {r('CASE WHEN count(*) OVER w = 60 THEN corr(ra, rb) OVER w END', 'corr')} FROM pr WINDOW w AS (PARTITION BY a, b ORDER BY ts ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)",
+    "monthly_pivot": f"""WITH {BARS}, mc AS (SELECT symbol, date_trunc('month', ts) AS ts, arg_max(close, bars.ts) AS close FROM bars GROUP BY symbol, date_trunc('month', bars.ts)), {RETS.format('mc')}
+SELECT symbol, CAST(year(ts) AS INTEGER) AS year, {', '.join(r(f'max(ret) FILTER (month(ts) = {m})', f'm{m:02d}') for m in range(1, 13))} FROM rets GROUP BY 1, 2""",
+}
+
+# ---- screener, logs, events
+
+
+def bands(x: str, steps: list[tuple[float, float]], rest: float, op: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN NULL {' '.join(f'WHEN {x} {op} {edge} THEN {d(score)}' for edge, score in steps)} ELSE {d(rest)} END"
+
+
+FUND = f"""
+fu0 AS (SELECT p_brand AS symbol, avg(p_size) AS pe, avg(l_tax) * 50 AS pbv, avg(l_discount) * 4 AS roe, nullif(count(*) % 50, 0) AS der, avg(l_discount) * 2 AS pm, avg(l_tax) - {d(0.03)} AS rg, sum(l_quantity) AS cap
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+fu1 AS (SELECT * REPLACE (CASE WHEN row_number() OVER (ORDER BY symbol) % 5 <> 0 THEN pe END AS pe, CASE WHEN der > 10 THEN der / {d(100)} ELSE der END AS der) FROM fu0),
+fu AS (SELECT symbol, cap, list_avg([x FOR x IN [{bands('nullif(greatest(pe, 0), 0)', [(15, 1), (25, 0.6), (40, 0.3)], 0.1, '<')}, {bands('nullif(greatest(pbv, 0), 0)', [(1, 1), (3, 0.6)], 0.3, '<')},
+  {bands('roe', [(0.2, 1), (0.1, 0.6), (0, 0.3)], 0, '>')}, {bands('der', [(0.5, 1), (1, 0.6), (2, 0.3)], 0.1, '<')}, {bands('pm', [(0.15, 1), (0.05, 0.6), (0, 0.3)], 0, '>')}, {bands('rg', [(0.15, 1), (0.05, 0.6), (0, 0.4)], 0.1, '>')}] IF x IS NOT NULL]) AS score FROM fu1)"""
+SCAN = f"""{BRANDS}, {Z}, {MA}, {COMPOSITE}, {PATHS.replace('FROM brand', 'FROM bars')}, {FUND},
+pp AS (SELECT symbol, avg(CASE WHEN price > s0 THEN {d(1)} ELSE 0 END) AS pp FROM fin GROUP BY 1),
+pos AS (SELECT symbol, ts, close, 'composite' AS strategy, CAST({latch("signal = 'BUY'", "signal = 'SELL'")} AS DOUBLE) AS position FROM c),
+{RUN[RUN.index('r1 AS'):]},
+tw AS (SELECT symbol, count(*) AS n, avg(CASE WHEN ret > 0 THEN {d(1)} ELSE 0 END) * 100 AS win FROM trades GROUP BY 1), {last('bars')},
+ti AS (SELECT symbol, CASE WHEN avg(close * volume) < 250000 OR avg(CASE WHEN abs(high - low) <= {d('1e-8')} + {d('1e-5')} * abs(low) THEN {d(1)} ELSE 0 END) >= 0.3 THEN 'hard_illiquid' WHEN avg(close * volume) < 1000000 THEN 'thin' ELSE 'liquid' END AS tier, arg_max(volume, ts) / avg(volume) AS vr FROM rec GROUP BY 1),
+scan AS (SELECT c.symbol, c.z, c.composite, pp.pp, coalesce(tw.n, 0) AS n, tw.win, ti.tier, ti.vr, fu.score AS fs, coalesce((composite + 1) / 2, 0.5) AS v1, coalesce(pp.pp, 0.5) AS v2, CASE WHEN tw.n >= 3 THEN tw.win / 100 ELSE 0.5 END AS v3, coalesce(fu.score, 0.5) AS v4
+  FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1) c LEFT JOIN pp USING (symbol) LEFT JOIN tw USING (symbol) LEFT JOIN ti USING (symbol) LEFT JOIN fu USING (symbol)),
+ov AS (SELECT *, (v1 * {d(0.34)} + v2 * {d(0.33)} + v3 * {d(0.33)} + v4 * {d(0.2)}) / {d(1.2)} AS overall, greatest(v1, v2, v3, v4) - least(v1, v2, v3, v4) AS spread FROM scan)"""
+EVENT_BARS = ", ".join(r(x, n) for x, n in (("arg_min(value, row(ts, event_id))", "open"), ("max(value)", "high"), ("min(value)", "low"), ("arg_max(value, row(ts, event_id))", "close"), ("CAST(count(*) AS DOUBLE)", "volume")))
+
+ORACLES |= {
+    "fundamental_score": f"WITH {FUND} SELECT symbol, {r('score', 'fundamental_score')}, CASE WHEN cap * 1000 >= 1e12 THEN printf('%.2fT', cap * 1000 / 1e12::DOUBLE) WHEN cap * 1000 >= 1e9 THEN printf('%.2fB', cap * 1000 / 1e9::DOUBLE) WHEN cap * 1000 >= 1e6 THEN printf('%.2fM', cap * 1000 / 1e6::DOUBLE) ELSE printf('%.0f', cap * 1000) END AS market_cap_text FROM fu",
+    "gainers_topk": f"""WITH {BARS}, a AS (SELECT *, {lag('close')} AS pc, {change('close')} * 100 AS pct FROM brand), b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1)
+SELECT symbol, {r('close', 'last')}, {r('pc', 'prev_close')}, {r('pct', 'pct_change')}, {r('volume', 'volume')} FROM b WHERE pct IS NOT NULL AND close >= 1 ORDER BY pct DESC, symbol LIMIT 10""",
+    "verdict_scan": f"""WITH {SCAN} SELECT symbol, {r('composite', 'composite')}, {r('pp', 'prob_profit')}, n AS n_trades, {r('win', 'win_rate_pct')}, tier, {r('fs', 'fundamental_score')}, {r('overall', 'overall')}, {r('spread', 'component_spread')},
+CASE WHEN overall >= 0.55 THEN CASE WHEN coalesce(z >= 1.5, false) OR tier = 'hard_illiquid' THEN 'HOLD (' || concat_ws(' + ', CASE WHEN z >= 1.5 THEN 'Z-Guard' END, CASE WHEN tier = 'hard_illiquid' THEN 'Liquidity-Guard' END) || ')' ELSE 'BUY' END WHEN overall <= 0.45 THEN 'SELL' ELSE 'HOLD' END AS verdict FROM ov""",
+    "scalp_swing": f"WITH {SCAN} SELECT symbol, {r(f'(((composite + 1) / 2) + least(1, vr / 3) + ' + clip('(-z / 3 + 1) / 2', 0, 1) + ') / 3', 'scalp')}, {r('(v3 + pp) / 2', 'swing')} FROM ov",
+    "position_sizing": f"""WITH {BARS}, {Z}, {MA}, {COMPOSITE}, a AS (SELECT *, {change('close')} AS ret FROM c), b AS (SELECT *, {roll('stddev_samp', 'ret', 20)} * sqrt({d(252)}) AS vol FROM a)
+SELECT symbol, {DAY}, {r(clip(f"{d(0.1)} * coalesce({d(0.25)} + {d(1.25)} * {clip('(abs(composite) - 0.5) / 0.5', 0, 1)}, 1) * ({d(0.25)} + {d(0.75)} * {d(0.6)}) * CASE WHEN vol > {d('1e-6')} THEN {clip(f'{d(0.2)} / vol', 0.25, 2)} ELSE 1 END", 0.01, 1), 'size')} FROM b""",
+    "news_sentiment": f"WITH a AS (SELECT d.lang AS symbol, d.doc_id, avg(CAST(quality - toxic AS DOUBLE)) AS s FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE quality - toxic IS NOT NULL GROUP BY 1, 2) SELECT symbol, {r('avg(s)', 'sentiment')}, count(*) AS n_articles FROM a GROUP BY 1",
+    "universe_set_ops": """WITH s AS (SELECT DISTINCT p_brand AS b FROM part WHERE p_size <= 5), c AS (SELECT DISTINCT p_brand AS b FROM part WHERE p_retailprice < 950)
+SELECT upper(trim(b)) || '.JK' AS symbol, part FROM (SELECT b, 'both' AS part FROM s WHERE b IN (FROM c) UNION ALL SELECT b, 'small' FROM s WHERE b NOT IN (FROM c) UNION ALL SELECT b, 'cheap' FROM c WHERE b NOT IN (FROM s))""",
+    "log_append_dedupe": f"WITH {BARS}, {Z}, {MA}, {COMPOSITE} SELECT symbol, {DAY}, CASE WHEN ts < TIMESTAMP '1998-01-01' THEN 1 ELSE 2 END AS run, signal AS verdict, {r('close', 'close_at_signal')} FROM c",
+    "log_backfill": f"WITH {BARS} SELECT symbol, {DAY}, {r('(lead(close, 5) OVER (PARTITION BY symbol ORDER BY ts) / nullif(close, 0) - 1) * 100', 'fwd_return_pct')} FROM bars",
+    "weekly_league": f"""WITH RECURSIVE {RUN}, wk AS (SELECT symbol, strategy, date_trunc('week', ts) AS week, arg_max(equity, ts) AS eq FROM run GROUP BY 1, 2, date_trunc('week', run.ts)),
+wr AS (SELECT *, round(eq / nullif(lag(eq) OVER (PARTITION BY symbol, strategy ORDER BY week), 0) - 1, 9) AS ret FROM wk),
+wp AS (SELECT *, row_number() OVER (PARTITION BY symbol, week ORDER BY ret DESC, strategy) AS place FROM wr WHERE ret IS NOT NULL)
+SELECT symbol, strategy, CAST(sum(coalesce([10, 8, 6, 5, 4, 3, 2, 1][place], 1)) AS BIGINT) AS league_points, count(*) AS weeks FROM wp GROUP BY 1, 2""",
+    "event_tumbling_bars": f"SELECT event_type AS symbol, CAST(epoch(time_bucket(INTERVAL 15 MINUTES, ts)) AS BIGINT) AS start, {EVENT_BARS} FROM events GROUP BY 1, 2",
+    "event_sessions": f"""WITH a AS (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTES OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS new FROM events),
+b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM a)
+SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, CAST(floor(epoch(max(ts) + INTERVAL 30 MINUTES)) AS BIGINT) AS end, count(*) AS n, {r('sum(value)', 'total', 4)} FROM b GROUP BY user_id, s""",
+    "event_props": f"SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n, {r('sum(value)', 'total', 4)} FROM events GROUP BY 1, 2",
+    "event_backtest_base": f"""WITH {BARS}, {Z}, {MA}, {COMPOSITE},
+a AS (SELECT *, lead(open) OVER (PARTITION BY symbol ORDER BY ts) AS fill, lead(ts) OVER (PARTITION BY symbol ORDER BY ts) AS next_ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i, last_value(ts) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS end_ts,
+  last_value(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS end_close FROM c),
+s AS (SELECT *, {latch("signal = 'BUY'", "signal IN ('SELL', 'EXIT')")} AS held FROM a WHERE fill IS NOT NULL),
+t AS (SELECT *, lag(held, 1, 0) OVER (PARTITION BY symbol ORDER BY ts) AS was FROM s),
+e AS (SELECT * FROM t WHERE held <> was), x AS (SELECT *, lead(fill) OVER (PARTITION BY symbol ORDER BY ts) AS out, lead(next_ts) OVER (PARTITION BY symbol ORDER BY ts) AS out_ts FROM e)
+SELECT symbol, CAST(next_ts AS DATE) AS entry, CAST(coalesce(out_ts, end_ts) AS DATE) AS exit, {r('fill', 'entry_price')}, {r('coalesce(out, end_close)', 'exit_price')}, {r('(coalesce(out, end_close) / fill - 1) * 100', 'return_pct')}, CASE WHEN out IS NULL THEN 'end_of_data' ELSE 'signal' END AS exit_reason FROM x WHERE held = 1""",
+}
+for name, tail in {
+    "robustness": f"SELECT symbol, count(*) AS n, {r('greatest(max(return_pct), 0) / nullif(sum(return_pct) FILTER (return_pct > 0), 0)', 'largest_share')}, coalesce(greatest(max(return_pct), 0) / nullif(sum(return_pct) FILTER (return_pct > 0), 0) > 0.5 AND count(*) >= 2, false) AS concentrated FROM tt GROUP BY 1",
+    "iqr_outliers": f"SELECT tt.symbol, entry, {r('return_pct', 'return_pct')} FROM tt JOIN (SELECT symbol, quantile_cont(return_pct, 0.25) AS q1, quantile_cont(return_pct, 0.75) AS q3 FROM tt GROUP BY 1 HAVING count(*) >= 4) q ON q.symbol = tt.symbol WHERE return_pct < q1 - 1.5 * (q3 - q1) OR return_pct > q3 + 1.5 * (q3 - q1)",
+}.items():
+    base = ORACLES["event_backtest_base"]
+    cut = base.rindex("SELECT symbol, CAST(next_ts")
+    ORACLES[name] = f"{base[:cut].rstrip()}, tt AS (SELECT symbol, CAST(next_ts AS DATE) AS entry, (coalesce(out, end_close) / fill - 1) * 100 AS return_pct FROM x WHERE held = 1) {tail}"

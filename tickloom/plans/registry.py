@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import back, ratio, rounded
+from ..functions.expr import back, change, last_bars, ratio, rolling, rounded
+from ..operators import arena, logs, stats
+from ..operators import backtest as bt
+from ..operators import event_backtest as ev
 from ..operators import indicators as ind
+from ..operators import liquidity as liq
+from ..operators import montecarlo as mc
+from ..operators import portfolio as pf
+from ..operators import screener as screen
 from ..operators import signals as sig
+from ..operators import strategies as strat
 from ..sources import bars as src
+from ..streaming import events
 
 QUERIES = {}
 
@@ -130,3 +139,266 @@ def pead_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ml_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = ind.ml_features(src.bars_daily(spark, sf_dir))
     return daily(made, *(c for c in made.columns if c not in ("symbol", "ts", *src.COLUMNS)))
+
+
+@query
+def strategy_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return daily(strat.positions(src.bars_daily(spark, sf_dir)), "strategy", "position")
+
+
+def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bt.run_positions(strat.positions(src.bars_weekly(spark, sf_dir)))
+
+
+@query
+def vector_backtest_equity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equity as a logarithm: on noisy prices it spans many orders of magnitude."""
+    return daily(_run(spark, sf_dir).withColumn("log_equity", F.ln(F.col("equity") / 100)), "strategy", "net", "log_equity")
+
+
+@query
+def vector_backtest_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trades = bt.trades_of(_run(spark, sf_dir))
+    return rounded(trades.select("symbol", "strategy", F.to_date("entry").alias("entry"), F.to_date("exit").alias("exit"), F.ln(1 + F.col("return_pct") / 100).alias("log_return"), "exit_reason"))
+
+
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = _run(spark, sf_dir).persist()  # read by three aggregations
+    return bt.metrics(run, bt.trades_of(run))
+
+
+@query
+def arena_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _metrics(spark, sf_dir)
+    return rounded(m.select("symbol", "strategy", F.ln(1 + F.col("total_return_pct") / 100).alias("log_total_return"), "sharpe_ratio", "max_drawdown_pct", "n_trades", "win_rate_pct", "consistency_pct", "exposure_pct"))
+
+
+@query
+def arena_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = arena.points(_metrics(spark, sf_dir))
+    return rounded(made.select("symbol", "strategy", *(f"pts_{k}" for k in arena.WEIGHTS), "points"), 1)
+
+
+@query
+def league_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _metrics(spark, sf_dir).withColumn("result", F.bround("total_return_pct", 2))
+    return arena.league(m, ("symbol",), "result").select("symbol", "strategy", F.col("place").cast("int"), F.col("league_points").cast("int"))
+
+
+@query
+def walk_forward_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folds = bt.walk_forward(src.bars_daily(spark, sf_dir)).groupBy("symbol", "fold", "part")
+    return folds.agg(F.count(F.lit(1)).alias("n"), F.to_date(F.min("ts")).alias("first_day"), F.to_date(F.max("ts")).alias("last_day"))
+
+
+@query
+def tick_and_lot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = bt.locked_at_limit(src.bars_daily(spark, sf_dir))
+    lots = (F.floor(F.lit(100000.0) / F.nullif(F.col("close"), F.lit(0.0)) / 100) * 100).cast("long")
+    return daily(bars.withColumns({"tick": bt.tick_size(F.col("close")), "lower_limit": bt.lower_limit(F.col("close")), "lots": lots}), "tick", "lower_limit", "locked", "lots")
+
+
+@query
+def liquidity_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(liq.liquidity_stats(src.bars_daily(spark, sf_dir)), 4)
+
+
+@query
+def spread_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All spread estimators and their median."""
+    return rounded(liq.spread_stats(src.bars_daily(spark, sf_dir)))
+
+
+@query
+def liquidity_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(liq.liquidity_tier(src.bars_weekly(spark, sf_dir), "stock_us").select("symbol", "avg_turnover", "frozen_days_ratio", "tier"), 4)
+
+
+@query
+def accumulation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(liq.accumulation(src.bars_weekly(spark, sf_dir)))
+
+
+@query
+def gbm_paths_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(mc.summarize(mc.gbm_paths(src.bars_weekly(spark, sf_dir))))
+
+
+@query
+def fan_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(mc.fan_bands(mc.gbm_paths(src.bars_weekly(spark, sf_dir))))
+
+
+@query
+def closed_form_prob_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return daily(mc.prob_up(src.bars_daily(spark, sf_dir)), "prob_up")
+
+
+@query
+def signal_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stats.signal_ic(sig.composite(src.bars_daily(spark, sf_dir)), "composite"))
+
+
+@query
+def pair_corr_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stats.pair_correlations(src.bars_weekly(spark, sf_dir)))
+
+
+@query
+def rolling_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stats.rolling_correlation(src.bars_daily(spark, sf_dir)).withColumn("ts", F.to_date("ts")).withColumnRenamed("ts", "day"))
+
+
+@query
+def monthly_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stats.monthly_returns(src.bars_daily(spark, sf_dir)))
+
+
+# ---- screener, logs, events, portfolios
+
+
+def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row of figures per brand; every fifth brand has no pe."""
+    rows = src.read_table(spark, sf_dir, "lineitem").join(src.read_table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    n = F.count(F.lit(1))
+    out = rows.groupBy(F.col("p_brand").alias("symbol")).agg(
+        F.avg("p_size").alias("pe"), (F.avg("l_tax") * 50).alias("pbv"), (F.avg("l_discount") * 4).alias("roe"), F.nullif(n % 50, F.lit(0)).cast("double").alias("der"),
+        (F.avg("l_discount") * 2).alias("profit_margin"), (F.avg("l_tax") - 0.03).alias("revenue_growth"), F.sum("l_quantity").alias("market_cap"),
+    )
+    nth = F.row_number().over(Window.orderBy("symbol"))  # one row per brand
+    return out.withColumn("pe", F.when(nth % 5 != 0, F.col("pe")))
+
+
+@query
+def fundamental_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = screen.fundamental_score(fundamentals(spark, sf_dir))
+    return rounded(scored.select("symbol", "fundamental_score", screen.format_amount(F.col("market_cap") * 1000).alias("market_cap_text")))
+
+
+@query
+def gainers_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(screen.gainers(src.bars_weekly(spark, sf_dir), 10, min_price=1.0))
+
+
+def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per brand with all that votes need."""
+    bars = src.bars_weekly(spark, sf_dir)
+    signals = sig.composite(bars)
+    position = strat.latch(F.col("signal") == "BUY", F.col("signal") == "SELL")
+    run = bt.run_positions(signals.select("symbol", "ts", "close", F.lit("composite").alias("strategy"), position.alias("position")))
+    past = bt.trades_of(run).groupBy("symbol").agg(F.count(F.lit(1)).alias("n_trades"), (F.avg((F.col("return_pct") > 0).cast("double")) * 100).alias("win_rate_pct"))
+    volume = ind.latest(bars.withColumn("volume_ratio", ratio("volume", F.avg("volume").over(last_bars(20))))).select("symbol", "volume_ratio")
+    out = ind.latest(signals).select("symbol", "close", "z", "composite")
+    for part in (mc.summarize(mc.gbm_paths(bars)).select("symbol", "prob_profit"), past, liq.liquidity_tier(bars, "stock_us").select("symbol", "tier"), screen.fundamental_score(fundamentals(spark, sf_dir)).select("symbol", "fundamental_score"), volume):
+        out = out.join(part, "symbol", "left")
+    return out
+
+
+@query
+def verdict_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = screen.verdict(screen.vote(_scan(spark, sf_dir), w_fund=0.2))
+    return rounded(made.select("symbol", "composite", "prob_profit", F.coalesce("n_trades", F.lit(0)).alias("n_trades"), "win_rate_pct", "tier", "fundamental_score", "overall", "component_spread", "verdict").orderBy(F.col("overall").desc(), "symbol"))
+
+
+@query
+def scalp_swing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(screen.scalp_swing(_scan(spark, sf_dir)).select("symbol", "scalp", "swing"))
+
+
+@query
+def position_sizing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = sig.composite(src.bars_daily(spark, sf_dir)).withColumn("_r", change("close"))
+    vol = rolling(F.stddev_samp, "_r", 20) * F.sqrt(F.lit(252.0))
+    return daily(bars.withColumn("size", sig.position_size(0.1, F.col("composite"), F.lit(0.6), vol)), "size")
+
+
+@query
+def news_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as articles, their labels as entity scores, languages as symbols."""
+    docs = src.read_table(spark, sf_dir, "documents").select("doc_id", "lang")
+    score = F.struct((F.col("quality") - F.col("toxic")).cast("double").alias("sentiment_score"))
+    labels = src.read_table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.collect_list(score).alias("entities"))
+    articles = docs.join(labels, "doc_id").select(F.col("lang").alias("symbol"), F.col("doc_id").alias("article_id"), "entities")
+    return rounded(screen.news_sentiment(articles))
+
+
+@query
+def universe_set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands of two sources: in both, in one alone, with a normalised code."""
+    part = src.read_table(spark, sf_dir, "part")
+    small, cheap = part.where("p_size <= 5").select("p_brand"), part.where("p_retailprice < 950").select("p_brand")
+    tagged = small.intersect(cheap).withColumn("part", F.lit("both")).union(small.exceptAll(cheap).distinct().join(cheap, "p_brand", "left_anti").withColumn("part", F.lit("small"))).union(cheap.distinct().join(small, "p_brand", "left_anti").withColumn("part", F.lit("cheap")))
+    return tagged.select(src.normalise_symbol(F.col("p_brand")).alias("symbol"), "part")
+
+
+@query
+def log_append_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of the days until 1998 and the rows that a second run adds."""
+    rows = logs.signal_rows(sig.composite(src.bars_daily(spark, sf_dir)))
+    log = rows.where("log_date < DATE'1998-01-01'")
+    added = logs.fresh_rows(log, rows, ["symbol", "log_date"])
+    return rounded(log.withColumn("run", F.lit(1)).unionByName(added.withColumn("run", F.lit(2))).select("symbol", F.col("log_date").alias("day"), "run", "verdict", "close_at_signal"))
+
+
+@query
+def log_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = src.bars_daily(spark, sf_dir)
+    filled = logs.backfill(logs.signal_rows(sig.composite(bars)), bars)
+    return rounded(filled.select("symbol", F.col("log_date").alias("day"), "fwd_return_pct"))
+
+
+@query
+def weekly_league(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.weekly_league(strat.positions(src.bars_daily(spark, sf_dir)))
+
+
+@query
+def event_tumbling_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = events.tumbling_bars(events.timed(src.read_table(spark, sf_dir, "events")), "15 minutes")
+    return rounded(made.withColumn("start", F.unix_timestamp("start")))
+
+
+@query
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = events.sessions(events.timed(src.read_table(spark, sf_dir, "events")))
+    return rounded(made.withColumns({"start": F.unix_timestamp("start"), "end": F.unix_timestamp("end")}), 4)
+
+
+@query
+def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums by the number in each event's JSON properties."""
+    rows = src.read_table(spark, sf_dir, "events").select("event_type", F.get_json_object("props", "$.k").cast("long").alias("k"), "value")
+    return rounded(rows.groupBy("event_type", "k").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), 4)
+
+
+EVENT_RULES = ev.Rules(stop_loss_pct=0.3, max_holding_days=30)
+
+
+@query
+def event_backtest_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades of the plain rules: next open, signal exits, costs."""
+    trades = ev.run_trades(sig.composite(src.bars_daily(spark, sf_dir)))
+    return rounded(trades.withColumns({"entry": F.to_date("entry"), "exit": F.to_date("exit")}))
+
+
+@query
+def event_backtest_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics under stops and a holding limit."""
+    signals = sig.composite(src.bars_weekly(spark, sf_dir))
+    return rounded(ev.equity_metrics(ev.run_equity(signals, EVENT_RULES), ev.run_trades(signals, EVENT_RULES)), 4)
+
+
+@query
+def robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(ev.robustness(ev.run_trades(sig.composite(src.bars_daily(spark, sf_dir)))))
+
+
+@query
+def iqr_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ev.iqr_outliers(ev.run_trades(sig.composite(src.bars_daily(spark, sf_dir))))
+    return rounded(out.select("symbol", F.to_date("entry").alias("entry"), "return_pct"))
+
+
+@query
+def portfolio_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(pf.weights_table(src.bars_daily(spark, sf_dir)))
