@@ -32,14 +32,14 @@ END = "\r\n"
 RECORD_SCHEMA = "type string, record_id string, concurrent_to string, refers_to string, target_uri string, header_digest string, fields map<string,string>, payload_bytes long, payload_digest string, payload binary"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 of the SHA-1: five hex digits are four base-32 digits."""
-    digits = [F.lpad(F.conv(F.substring(F.sha1(payload), 5 * i + 1, 5), 16, 32), 4, "0") for i in range(8)]
+def base32(sha1: Column) -> Column:
+    """Upper-case base32 of a binary SHA-1: five hex digits are four base-32 digits."""
+    digits = [F.lpad(F.conv(F.substring(F.hex(sha1), 5 * i + 1, 5), 16, 32), 4, "0") for i in range(8)]
     return F.translate(F.concat(*digits), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
 def _record_id(key: Column, n: Column, kind: str) -> Column:
-    h = F.md5(F.concat_ws("|", key, n.cast("string"), F.lit(kind)))
+    h = F.md5(F.concat_ws("|", F.hex(key), n.cast("string"), F.lit(kind)))
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), F.lit(">"))
 
 
@@ -54,10 +54,10 @@ def write_archives(pages: DataFrame, path: str, min_payload: int = MIN_PAYLOAD)
     """Writes the archives of pages(page_id, url, html). Among equal payloads of at least min_payload bytes, that of the
     largest page_id is written in full; the others are revisits of it."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    key = F.md5(F.concat_ws("\x01", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.coalesce(F.col("url"), F.lit("\x02")), F.sha1(html)))
+    key = F.unhex(F.md5(F.concat_ws("\x01", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.coalesce(F.col("url"), F.lit("\x02")), F.sha1(html))))
     rows = pages.select("page_id", "url", html.alias("html"), key.alias("key"))
     nth = F.row_number().over(Window.partitionBy("key").orderBy("key"))
-    meta = stored(rows.select("page_id", "key", F.octet_length("html").alias("bytes"), base32_sha1(F.col("html")).alias("digest")), "captures").withColumn("nth", nth)
+    meta = stored(rows.select("page_id", "key", F.octet_length("html").alias("bytes"), F.unhex(F.sha1("html")).alias("digest")), "captures").withColumn("nth", nth)
     # Of equal payloads one struct is the largest: by page_id, then the earliest repetition. Summed up before the shuffle.
     order = F.struct(F.col("page_id"), (-F.col("nth")).alias("n"), F.col("key"))
     first = meta.where(F.col("bytes") >= min_payload).groupBy("digest").agg(F.max(order).alias("top")).select(F.col("digest").alias("of"), F.col("top.key").alias("top_key"), (-F.col("top.n")).alias("top_nth"))
@@ -66,13 +66,14 @@ def write_archives(pages: DataFrame, path: str, min_payload: int = MIN_PAYLOAD)
     roles = stored(roles.select(F.col("key").alias("role_key"), F.col("nth").alias("role_nth"), "bytes", "digest", is_response.alias("full"), F.when(~is_response, _record_id(F.col("top_key"), F.col("top_nth"), "response")).alias("original")), "roles")
 
     placed = rows.withColumn("nth", nth)
-    full = placed.join(roles, (placed["key"] == roles["role_key"]) & (placed["nth"] == roles["role_nth"]))
+    # Repetitions are told apart by a difference, not as a second key: the pages are already dealt by key and stay there.
+    full = placed.join(roles, (placed["key"] == roles["role_key"]) & (placed["nth"] - roles["role_nth"] == 0))
     uri = F.regexp_replace(F.coalesce(F.col("url"), F.lit("about:blank")), "[\\x00-\\x20\\x7F]", "%20")
     host = F.coalesce(F.regexp_extract(uri, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
     target = F.concat(F.lit("/"), F.regexp_extract(uri, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/?([^#]*)", 1))
     main, to = _record_id(F.col("key"), F.col("nth"), "response"), ("WARC-Target-URI", uri)
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.col("bytes").cast("string"), F.lit(END + END))
-    digest = ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest")))
+    digest = ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("digest"))))
     revisit = ("WARC-Profile", F.when(~F.col("full"), F.lit("http://netpreserve.org/warc/1.0/revisit/identical-payload-digest")))
     records = F.array(
         _record(F.lit("request"), _record_id(F.col("key"), F.col("nth"), "request"), [("WARC-Concurrent-To", main), to, ("Content-Type", F.lit("application/http; msgtype=request"))], F.concat(F.lit("GET "), target, F.lit(f" HTTP/1.1{END}Host: "), host, F.lit(END + END))),
@@ -127,7 +128,7 @@ def read_records(spark: SparkSession, path: str, payload: bool = True) -> DataFr
                     elif h.get("content-type") == "application/warc-fields":
                         pairs = (line.partition(":") for line in body.decode("utf-8", "replace").split(END) if line)
                         fields = [(k.strip(), v.strip()) for k, _, v in pairs]
-                    digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
+                    digest = base64.b32encode(hashlib.sha1(body).digest()).decode() if kind in ("response", "revisit") else None
                     out.append((kind, h.get("warc-record-id"), h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), h.get("warc-payload-digest"), fields, len(body), digest, body if payload else None))
                     held += len(body)
                     if held > 8 << 20:
