@@ -169,7 +169,7 @@ def test_parity_weights(spark):
 
 
 def test_statistics_of_a_perfect_signal(spark):
-    df = bars(spark, walk(60)).withColumn("score", F.lead("close").over(ind.BARS) / F.col("close"))
+    df = bars(spark, walk(60)).withColumn("score", F.lead("close").over(ind.bars_order()) / F.col("close"))
     assert stats.signal_ic(df, "score", (1,)).first().ic == pytest.approx(1)
 
 

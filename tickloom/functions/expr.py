@@ -8,10 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SYMBOL = Window.partitionBy("symbol")
-BARS = SYMBOL.orderBy("ts")
-#: All bars up to and with the present one.
-SO_FAR = BARS.rowsBetween(Window.unboundedPreceding, 0)
+
+def bars_order():
+    """The bars of a symbol in order."""
+    return Window.partitionBy("symbol").orderBy("ts")
+
+
+def so_far():
+    """All bars up to and with the present one."""
+    return bars_order().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def col(c: Column | str) -> Column:
@@ -20,7 +25,7 @@ def col(c: Column | str) -> Column:
 
 def last_bars(n: int, shift: int = 0):
     """The n bars that end shift bars ago."""
-    return BARS.rowsBetween(-(n - 1) - shift, -shift)
+    return bars_order().rowsBetween(-(n - 1) - shift, -shift)
 
 
 def rolling(fn: Callable[[Column], Column], c: Column | str, n: int, shift: int = 0) -> Column:
@@ -39,7 +44,7 @@ def clip(c: Column, low: float, high: float) -> Column:
 
 
 def back(c: Column | str, n: int = 1) -> Column:
-    return F.lag(col(c), n).over(BARS)
+    return F.lag(col(c), n).over(bars_order())
 
 
 def change(c: Column | str, n: int = 1) -> Column:

@@ -7,30 +7,34 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import ratio
 
-BY = Window.partitionBy("symbol", "strategy")
-ORDER = BY.orderBy("ts")
-SO_FAR = ORDER.rowsBetween(Window.unboundedPreceding, 0)
+
+def order():
+    return Window.partitionBy("symbol", "strategy").orderBy("ts")
+
+
+def so_far():
+    return order().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def run_positions(positions: DataFrame, fee_buy_bps: float = 20, fee_sell_bps: float = 30, slippage_bps: float = 5, capital: float = 100.0) -> DataFrame:
     """Adds n (bar number from 0), net (return after costs) and equity. A position decided on a bar earns from the next."""
-    before = lambda c, k=1: F.coalesce(F.lag(c, k).over(ORDER), F.lit(0.0))
+    before = lambda c, k=1: F.coalesce(F.lag(c, k).over(order()), F.lit(0.0))
     df = positions.withColumn("position", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("position", F.lit(0.0)))))
-    df = df.withColumn("n", F.row_number().over(ORDER) - 1).withColumn("_ret", F.coalesce(ratio("close", F.lag("close").over(ORDER)) - 1, F.lit(0.0)))
+    df = df.withColumn("n", F.row_number().over(order()) - 1).withColumn("_ret", F.coalesce(ratio("close", F.lag("close").over(order())) - 1, F.lit(0.0)))
     df = df.withColumn("_delta", before("position") - before("position", 2))
     cost = F.greatest("_delta", F.lit(0.0)) * (fee_buy_bps + slippage_bps) / 1e4 + F.greatest(-F.col("_delta"), F.lit(0.0)) * (fee_sell_bps + slippage_bps) / 1e4
     df = df.withColumn("net", before("position") * F.col("_ret") - cost)
-    grown = F.product(1 + F.col("net")).over(SO_FAR) * capital
+    grown = F.product(1 + F.col("net")).over(so_far()) * capital
     return df.withColumn("equity", F.when(F.col("n") == 0, F.lit(capital)).otherwise(grown)).drop("_ret", "_delta")
 
 
 def trades_of(run: DataFrame) -> DataFrame:
     """symbol, strategy, entry, exit, return_pct, exit_reason: runs of bars in position, both ends included."""
-    prev = F.lag("position").over(ORDER)
+    prev = F.lag("position").over(order())
     df = run.withColumn("_prev", prev).where("n >= 1")
     start = (F.col("position") > 0) & ((F.col("n") == 1) | (F.col("_prev") == 0))
     leave = (F.col("position") == 0) & (F.col("_prev") > 0) & (F.col("n") >= 2)
-    df = df.withColumn("_trade", F.sum(start.cast("int")).over(SO_FAR)).where((F.col("position") > 0) | leave)
+    df = df.withColumn("_trade", F.sum(start.cast("int")).over(so_far())).where((F.col("position") > 0) | leave)
     df = df.groupBy("symbol", "strategy", "_trade").agg(
         F.min("ts").alias("entry"), F.max("ts").alias("exit"), ((F.product(1 + F.col("net")) - 1) * 100).alias("return_pct"), F.min("position").alias("_least"),
     )
@@ -39,7 +43,7 @@ def trades_of(run: DataFrame) -> DataFrame:
 
 def metrics(run: DataFrame, trades: DataFrame, trading_days: float = 252.0) -> DataFrame:
     """One row per symbol and strategy."""
-    df = run.withColumn("_daily", ratio("equity", F.lag("equity").over(ORDER)) - 1).withColumn("_dd", F.col("equity") / F.max("equity").over(SO_FAR) - 1)
+    df = run.withColumn("_daily", ratio("equity", F.lag("equity").over(order())) - 1).withColumn("_dd", F.col("equity") / F.max("equity").over(so_far()) - 1)
     base = df.groupBy("symbol", "strategy").agg(
         (F.max_by("equity", "ts") / F.min_by("equity", "ts") - 1).alias("_total"), F.avg("_daily").alias("_mean"), F.stddev_samp("_daily").alias("_sd"),
         (F.min("_dd") * 100).alias("max_drawdown_pct"), (F.avg("position") * 100).alias("exposure_pct"), F.count("_daily").alias("_n"),
@@ -70,8 +74,7 @@ def lower_limit(price: Column) -> Column:
 
 def locked_at_limit(df: DataFrame) -> DataFrame:
     """Adds locked: the close fell by the lower limit and stands at the low, so nobody buys."""
-    order = Window.partitionBy("symbol").orderBy("ts")
-    df = df.withColumn("_pc", F.lag("close").over(order))
+    df = df.withColumn("_pc", F.lag("close").over(Window.partitionBy("symbol").orderBy("ts")))
     fell = ratio("close", "_pc") - 1 <= -lower_limit(F.col("_pc")) + 1e-9
     at_low = F.abs(F.col("close") - F.col("low")) <= 1e-8 + 1e-5 * F.abs("low")
     return df.withColumn("locked", F.coalesce(fell & at_low, F.lit(False))).drop("_pc")

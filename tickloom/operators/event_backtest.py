@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import BARS, last_bars, ratio
+from ..functions.expr import bars_order, last_bars, ratio
 from .backtest import locked_at_limit
 
 
@@ -104,7 +104,7 @@ EQUITY = "symbol string, ts timestamp, equity double"
 
 def prepare(signals: DataFrame, rules: Rules) -> DataFrame:
     """Bars with a signal column, plus the fill price of orders given on a bar, locks and mean turnover so far."""
-    df = locked_at_limit(signals).withColumn("fill", F.lead("open" if rules.next_open else "close").over(BARS))
+    df = locked_at_limit(signals).withColumn("fill", F.lead("open" if rules.next_open else "close").over(bars_order()))
     return df.withColumn("turnover", F.avg(F.col("close") * F.col("volume")).over(last_bars(20))).select("symbol", "ts", "low", "close", "signal", "fill", "locked", "turnover")
 
 
@@ -131,7 +131,7 @@ def run_equity(signals: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 def equity_metrics(equity: DataFrame, trades: DataFrame, capital: float = 100.0, trading_days: float = 252.0) -> DataFrame:
     """Total return, CAGR, Sharpe, Sortino and drawdown of each symbol's equity, with its trades' counts."""
-    df = equity.withColumn("_d", ratio("equity", F.lag("equity").over(BARS)) - 1).withColumn("_dd", F.col("equity") / F.max("equity").over(BARS.rowsBetween(-(1 << 31), 0)) - 1)
+    df = equity.withColumn("_d", ratio("equity", F.lag("equity").over(bars_order())) - 1).withColumn("_dd", F.col("equity") / F.max("equity").over(bars_order().rowsBetween(-(1 << 31), 0)) - 1)
     out = df.groupBy("symbol").agg(
         F.max_by("equity", "ts").alias("final"), F.count(F.lit(1)).alias("n"), F.avg("_d").alias("mean"), F.stddev_samp("_d").alias("sd"), F.stddev_samp(F.when(F.col("_d") < 0, F.col("_d"))).alias("down"), (F.min("_dd") * 100).alias("max_drawdown_pct"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import BARS, back, change, clip, last_bars, ratio, rolling
+from ..functions.expr import bars_order, back, change, clip, last_bars, ratio, rolling
 
 CHUNK = 512
 
@@ -41,7 +41,7 @@ def stochastic(df: DataFrame, window: int = 14, smooth: int = 3) -> DataFrame:
 def stoch_bb(df: DataFrame, walk: int = 5, touches: int = 3, lookback: int = 10) -> DataFrame:
     """Stochastic and Bollinger bands with band walks: stochbb_score, walk_state, signal."""
     df = stochastic(bollinger(df))
-    df = df.withColumn("_base", rolling(F.avg, "width", lookback, shift=1)).withColumn("_n", F.row_number().over(BARS))
+    df = df.withColumn("_base", rolling(F.avg, "width", lookback, shift=1)).withColumn("_n", F.row_number().over(bars_order()))
     wide = F.coalesce(F.col("width") > F.col("_base"), F.lit(False))
     hits = lambda hit: F.sum(F.coalesce(hit, F.lit(False)).cast("int")).over(last_bars(walk))
     enough = F.col("_n") >= walk
@@ -77,7 +77,7 @@ def ewm(df: DataFrame, column: str, span: int, out: str) -> DataFrame:
     symbol, and what a chunk inherits is added with its decay. No array holds more than a chunk or one value per chunk.
     """
     a = 2.0 / (span + 1)
-    df = df.withColumn("_n", F.row_number().over(BARS) - 1).withColumn("_chunk", F.floor(F.col("_n") / CHUNK).cast("long"))
+    df = df.withColumn("_n", F.row_number().over(bars_order()) - 1).withColumn("_chunk", F.floor(F.col("_n") / CHUNK).cast("long"))
     rows = F.sort_array(F.collect_list(F.struct(F.col("_n"), F.col(column).cast("double").alias("x"))))
     chunks = df.groupBy("symbol", "_chunk").agg(rows.alias("rows"))
     start = F.struct(F.array().cast("array<double>").alias("ys"), F.lit(0.0).alias("y"))
@@ -104,7 +104,7 @@ def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> Data
 def with_benchmark(df: DataFrame, benchmark: DataFrame) -> DataFrame:
     """bench: the benchmark's close on the same day, else the last one carried forward."""
     same = benchmark.select("ts", F.col("close").alias("_bench"))
-    carried = F.last("_bench", ignorenulls=True).over(BARS.rowsBetween(Window.unboundedPreceding, 0))
+    carried = F.last("_bench", ignorenulls=True).over(bars_order().rowsBetween(Window.unboundedPreceding, 0))
     return df.join(same, "ts", "left").withColumn("bench", carried).drop("_bench")
 
 

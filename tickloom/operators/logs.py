@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import BARS, ratio
+from ..functions.expr import bars_order, ratio
 from . import arena
 from .backtest import run_positions
 
@@ -29,7 +29,7 @@ def signal_rows(signals: DataFrame) -> DataFrame:
 def backfill(log: DataFrame, bars: DataFrame, ahead: int = 5) -> DataFrame:
     """fwd_return_pct: the close `ahead` bars after the day of each row. The row's place among the bars is found by one sorted
     pass, not by comparing it with every later bar."""
-    later = bars.withColumn("_fwd", F.lead("close", ahead - 1).over(BARS)).select("symbol", F.to_date("ts").alias("log_date"), F.col("_fwd").alias("_next"))
+    later = bars.withColumn("_fwd", F.lead("close", ahead - 1).over(bars_order())).select("symbol", F.to_date("ts").alias("log_date"), F.col("_fwd").alias("_next"))
     both = log.withColumn("_log", F.lit(True)).unionByName(later, allowMissingColumns=True)
     order = Window.partitionBy("symbol").orderBy(F.col("log_date").desc(), F.col("_log").isNull()).rowsBetween(Window.unboundedPreceding, 0)
     # Going back in time with a day's log row before its bar, the last bar seen is the first after that day.

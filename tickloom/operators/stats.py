@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import BARS, change, normal_cdf, ratio
+from ..functions.expr import bars_order, change, normal_cdf, ratio
 
 
 def average_rank(value: str, by: Sequence[str]) -> Column:
@@ -18,7 +18,7 @@ def average_rank(value: str, by: Sequence[str]) -> Column:
 
 def signal_ic(df: DataFrame, score: str, horizons: Sequence[int] = (1, 3, 5, 10)) -> DataFrame:
     """Spearman correlation of the score with forward returns, per symbol and horizon."""
-    forward = F.array(*(F.struct(F.lit(h).alias("horizon"), (ratio(F.lead("close", h).over(BARS), "close") - 1).alias("fwd")) for h in horizons))
+    forward = F.array(*(F.struct(F.lit(h).alias("horizon"), (ratio(F.lead("close", h).over(bars_order()), "close") - 1).alias("fwd")) for h in horizons))
     long = df.withColumn("_f", forward).select("symbol", F.col(score).alias("score"), F.inline("_f")).where("score IS NOT NULL AND fwd IS NOT NULL")
     ranked = long.withColumn("_a", average_rank("score", ("symbol", "horizon"))).withColumn("_b", average_rank("fwd", ("symbol", "horizon")))
     out = ranked.groupBy("symbol", "horizon").agg(F.corr("_a", "_b").alias("ic"), F.count(F.lit(1)).alias("n")).where("n >= 10")

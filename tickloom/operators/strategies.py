@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import SO_FAR, back, ratio, rolling
+from ..functions.expr import so_far, back, ratio, rolling
 from . import indicators as ind
 from .signals import composite
 
@@ -16,7 +16,7 @@ from .signals import composite
 def latch(enter: Column, leave: Column) -> Column:
     """1 from an entry until an exit; entry and exit exclude each other on a bar."""
     mark = F.when(enter, 1.0).when(leave, 0.0)
-    return F.coalesce(F.last(mark, ignorenulls=True).over(SO_FAR), F.lit(0.0))
+    return F.coalesce(F.last(mark, ignorenulls=True).over(so_far()), F.lit(0.0))
 
 
 def prepare(df: DataFrame) -> DataFrame:
