@@ -25,6 +25,8 @@ def moments(df: DataFrame, trading_days: float = 252.0) -> tuple[list[str], np.n
     names = sorted(means)
     if len(names) > MAX_SYMBOLS:
         raise ValueError(f"a matrix of {len(names)} symbols is too large for the driver")
+    if not names or any(v is None for _, v in means.values()):
+        raise ValueError("the symbols have too few days in common")
     at = {s: i for i, s in enumerate(names)}
     cov = np.diag([means[s][1] for s in names])
     for r in pairs(rets).groupBy("a", "b").agg(F.covar_samp("ra", "rb").alias("c")).collect():

@@ -401,4 +401,4 @@ def iqr_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def portfolio_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(pf.weights_table(src.bars_daily(spark, sf_dir)))
+    return rounded(pf.weights_table(src.bars_weekly(spark, sf_dir, "p_type")))
