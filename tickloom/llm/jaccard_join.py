@@ -8,10 +8,10 @@ Every set files itself, for its own band and the next, under its segments (p = 0
 one-deletion neighbours (p = 1); empty segments are skipped (p = -1) as far as spare segments allow. plan_band() chooses
 the allocation of least cost: rows filed, plus expected false candidates.
 
-Sets that are equal form one class and are joined once. Sets that meet in a bucket are verified exactly: pair by pair
-where a bucket is small, with one set of the bucket where it is large. Large buckets whose sets are not yet all connected
-are then verified whole, block by block inside tasks, emitting only a forest of the verified links. Equal buckets are
-treated once; no bucket or partner is capped.
+Sets that are equal form one class and are joined once. Sets that meet in a bucket are verified exactly, in two rounds:
+each set with the likeliest of the first sets of its buckets, and then, where a bucket's sets are not all connected by
+that, every pair of different components that sizes and parity sketches let link. Large buckets look for those pairs by
+pairs of blocks inside tasks. Equal buckets are treated once; no bucket or partner is capped.
 
 Tokens are 64-bit hashes of shingles and classes 64-bit hashes of sets.
 
@@ -35,11 +35,10 @@ from .components import connected
 
 SMALL_BUCKET = 12
 BLOCK = 256
-#: Words of the parity sketch of a set.
+#: Words of the parity sketch of a set, doubled until it has half a cell per token.
 SKETCH = 16
 #: Cost of one false candidate, in filed rows.
 CANDIDATE_COST = 20
-MAX_SPARE = 24
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -110,11 +109,14 @@ def _plan(low: int, high: int, percent: int, n_docs: int) -> tuple[int, int, int
         return 0, 0, 0  # only equal sets link
     best = (math.inf, 0, 0)
     size = max(low * percent // 100, 1)
-    for spare in range(MAX_SPARE + 1):
+    spares = list(range(25))
+    while spares[-1] < h // 4:
+        spares.append(spares[-1] * 5 // 4)
+    for spare in spares:
         m = h + 1 + spare
         empty = (1 - 1 / m) ** size
-        tail = 1 - sum(math.comb(m, k) * empty**k * (1 - empty) ** (m - k) for k in range(spare + 1))
-        cost = m + CANDIDATE_COST * n_docs * max(tail, 0) ** 2 * min(1, (spare + 1) ** 2 / m)
+        tail = 0.5 * math.erfc((spare + 0.5 - m * empty) / math.sqrt(2 * m * empty * (1 - empty) + 1e-9))  # more empty ones than spare
+        cost = m + CANDIDATE_COST * n_docs * tail**2 * min(1, (spare + 1) ** 2 / m)
         best = min(best, (cost, m, 0))
     m = (h + 2) // 2
     light = (1 - 1 / m) ** size + size / m * (1 - 1 / m) ** (size - 1) if m > 1 else 0.0
@@ -203,7 +205,10 @@ def filed(docs: DataFrame, width: int, percent: int, n_docs: int) -> DataFrame:
 def parity_sketch(tokens: np.ndarray) -> np.ndarray:
     """Per cell of the universe, whether it holds an odd number of tokens: sets that differ in d tokens differ in at most
     d cells."""
-    cells = np.bincount((tokens & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    size = 64 * SKETCH
+    while 2 * size < len(tokens):
+        size *= 2
+    cells = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(cells.astype(np.uint8)).view(np.int64)
 
 
@@ -219,51 +224,53 @@ def token_sets(docs: DataFrame, width: int) -> DataFrame:
     return _map_texts(docs, width, build, "class long, tokens array<long>, sketch array<long>")
 
 
-def _block_links(percent: int):
-    """Verifies all pairs of the sets of one group; emits each set with the first set that it reaches."""
+def _may_link(percent: int, apart, n_a, n_b):
+    """Whether sets of these sizes that differ in at least `apart` tokens can link; for columns and for arrays."""
+    return (100 + percent) * apart <= (100 - percent) * (n_a + n_b)
+
+
+def _block_pairs(percent: int):
+    """Of the sets of one pair of blocks, the pairs of different components that sizes and sketches let link."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        ids = table.column("class").to_numpy()
-        ids, first = np.unique(ids, return_index=True)
-        column = table.column("tokens").chunk(0) if table.num_rows else pa.array([], pa.list_(pa.int64()))
-        sets = [column[int(i)].values.to_numpy(zero_copy_only=False) for i in first]
-        n = np.array([len(s) for s in sets])
-        tokens, at = np.unique(np.concatenate(sets), return_inverse=True)
-        owner, common = np.repeat(np.arange(len(sets)), n), np.zeros((len(sets), len(sets)), np.float32)
-        for lo in range(0, len(tokens), 8192):  # by slices of the tokens: bounded memory
-            inside = (at >= lo) & (at < lo + 8192)
-            has = np.zeros((len(sets), min(8192, len(tokens) - lo)), np.float32)
-            has[owner[inside], at[inside] - lo] = 1
-            common += has @ has.T
-        common = common.astype(np.int64)
-        linked = 100 * common >= percent * (n[:, None] + n[None, :] - common)
-        label = np.arange(len(sets))
-        while True:
-            lower = np.where(linked, label[None, :], len(sets)).min(1)
-            if (lower == label).all():
-                break
-            label = lower
-        moved = label != np.arange(len(sets))
-        return pa.table({"a": pa.array(ids[moved], pa.int64()), "b": pa.array(ids[label[moved]], pa.int64())})
+        ids, first = np.unique(table.column("class").to_numpy(), return_index=True)
+        part, n = table.column("component").to_numpy()[first], table.column("n_tokens").to_numpy()[first].astype(np.int64)
+        sketches = [table.column("sketch")[int(i)].values.to_numpy().view(np.uint64) for i in first]
+        width = min(map(len, sketches), default=SKETCH)
+        sketch = np.array([np.bitwise_xor.reduce(s.reshape(-1, width), axis=0) for s in sketches])
+        apart = np.zeros((len(ids), len(ids)), np.int64)
+        for k in range(sketch.shape[1]):
+            apart += np.bitwise_count(sketch[:, k, None] ^ sketch[None, :, k])
+        may = _may_link(percent, apart, n[:, None], n[None, :]) & (part[:, None] != part[None, :])
+        a, b = np.nonzero(np.triu(may, 1))
+        return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64())})
 
     return run
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs(a, b) that link. Sizes and sketches drop pairs that cannot; tokens decide on the rest."""
+def screen(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b, apart of the pairs that sizes and sketches let link."""
     light = sets.select("class", F.size("tokens").alias("n"), "sketch")
     side = lambda name: light.select(F.col("class").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}"))
-    apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    may = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & ((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
-    near = stored(pairs.join(side("a"), "a").join(side("b"), "b").where(may).select("a", "b").distinct(), "near")
+    # Sketches of different lengths are powers of two times each other; the longer is folded, half onto half.
+    half = lambda s: F.zip_with(F.slice(s, 1, (F.size(s) / 2).cast("int")), F.slice(s, (F.size(s) / 2).cast("int") + 1, F.size(s)), lambda x, y: x.bitwiseXOR(y))
+    s_a, s_b = (F.when(F.size(x) > F.size(y), half(F.col(x))).otherwise(F.col(x)) for x, y in (("s_a", "s_b"), ("s_b", "s_a")))
+    apart = F.aggregate(F.zip_with(s_a, s_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    even = F.size(s_a) == F.size(s_b)  # more than twice as long: such sets are too far apart in size anyway
+    apart = F.when(even, apart).otherwise(0)
+    near = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("apart", apart)
+    return near.where(_may_link(percent, F.col("apart"), F.col("n_a"), F.col("n_b"))).select("a", "b", "apart").distinct()
+
+
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs(a, b) that link, by their tokens."""
     common = F.size(F.array_intersect("x", "y"))
-    both = near.join(sets.select(F.col("class").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("y")), "b")
+    both = pairs.select("a", "b").join(sets.select(F.col("class").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("y")), "b")
     return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
 def links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """a, b: classes that are linked; enough of the links to connect whatever is connected."""
+    """a, b: classes that are linked; enough of the links to connect whatever is connected by links."""
     rows = filed(docs, width, percent, max(docs.count(), 1))
     every, ordered = Window.partitionBy("signature"), Window.partitionBy("signature").orderBy("class")
     shared = (
@@ -273,31 +280,34 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Data
         .select("signature", "class", "low", "nth", "n")
     )
     shared = stored(shared, "shared")
-    small, large = shared.where(F.col("n") <= SMALL_BUCKET), shared.where(F.col("n") > SMALL_BUCKET)
-
-    # Small buckets: all pairs, equal buckets once. Large ones: each set with the first of its bucket.
-    lists = small.groupBy("signature").agg(F.sort_array(F.collect_list("class")).alias("members")).select("members").distinct()
-    pair = lambda m: F.flatten(F.transform(m, lambda x, i: F.transform(F.slice(m, i + 2, SMALL_BUCKET), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    pairs = lists.select(F.inline(pair(F.col("members")))).union(large.where("nth > 0").select("low", "class")).distinct()
-    pairs = stored(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+    wanted = shared.select("class").distinct()
     readers = classes.groupBy("class").agg(F.min("doc_id").alias("doc_id")).join(wanted, "class", "left_semi").select("doc_id")
     sets = stored(token_sets(docs.join(readers.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(readers["doc_id"]), "left_semi"), width), "sets")
-    verified = stored(verify(pairs, sets, percent), "verified")
 
-    # Large buckets whose sets these links leave in several components, equal buckets once: all pairs, by pairs of blocks.
+    # First each set with the likeliest of the first sets of its buckets: at most one verification per set.
+    starts = stored(screen(shared.where("nth > 0").select(F.col("low").alias("a"), F.col("class").alias("b")).distinct(), sets, percent), "starts")
+    likeliest = starts.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+    verified = stored(verify(likeliest, sets, percent), "verified")
+
+    # Then, in buckets whose sets that leaves in several components, all pairs of different components; equal buckets once.
     labels = connected(verified)
-    labelled = large.join(labels, large["class"] == labels["node"], "left").select("signature", "class", "nth", "n", F.coalesce("component", "class").alias("component"))
-    open_ones = labelled.groupBy("signature").agg(
+    labelled = shared.join(labels, shared["class"] == labels["node"], "left").select("signature", "class", "nth", "n", F.coalesce("component", "class").alias("component"))
+    several = labelled.groupBy("signature").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("k"),
         F.sum(F.xxhash64("class") % (1 << 40)).alias("s"), F.sum(F.xxhash64("class", F.lit(1)) % (1 << 40)).alias("t"),
     )
-    open_ones = open_ones.where("low <> high").groupBy("k", "s", "t").agg(F.min("signature").alias("signature")).select("signature")
+    several = several.where("low <> high").groupBy("k", "s", "t").agg(F.min("signature").alias("signature")).select("signature")
+    left = stored(labelled.join(several, "signature"), "several")
+    lists = left.where(F.col("n") <= SMALL_BUCKET).groupBy("signature").agg(F.collect_list(F.struct("class", "component")).alias("members"))
+    pair = lambda m: F.flatten(F.transform(m, lambda x: F.transform(F.filter(m, lambda y: (x["class"] < y["class"]) & (x["component"] != y["component"])), lambda y: F.struct(x["class"].alias("a"), y["class"].alias("b")))))
+    small = screen(lists.select(F.inline(pair(F.col("members")))).distinct(), sets, percent).select("a", "b")
     blocks, mine = F.ceil(F.col("n") / BLOCK).cast("int"), F.floor(F.col("nth") / BLOCK).cast("int")
-    left = large.join(open_ones, "signature").select("signature", "class", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    keyed = left.select("signature", "class", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    blockwise = keyed.join(sets.select("class", "tokens"), "class").groupBy("signature", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
-    return verified.union(blockwise).distinct()
+    large = left.where(F.col("n") > SMALL_BUCKET).select("signature", "class", "component", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    keyed = large.select("signature", "class", "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    keyed = keyed.join(sets.select("class", "sketch", F.size("tokens").alias("n_tokens")), "class")
+    big = keyed.groupBy("signature", "i", "j").applyInArrow(_block_pairs(percent), "a long, b long")
+    rest = stored(small.union(big).distinct(), "rest")
+    return verified.union(verify(rest, sets, percent)).distinct()
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
