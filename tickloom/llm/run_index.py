@@ -5,7 +5,7 @@ Every byte that is covered by a LENGTH-byte string which also starts in a docume
 1. Anchors. Of the ANCHOR-byte strings inside each LENGTH-byte string that with the smallest hash is its anchor, so equal
    LENGTH-byte strings have equal anchors. Anchors that two different texts share are found by a shuffle on their hash;
    texts without any are done.
-2. Regions. Around each shared anchor the text that its LENGTH-byte strings can cover is cut out.
+2. Regions. Around each shared anchor the text of the LENGTH-byte strings that it is the anchor of is cut out.
 3. Index. Regions are dealt by anchor, so equal LENGTH-byte strings meet in a group. Each group builds the Burrows-Wheeler transform of its distinct
    regions, keeps its runs with the suffix positions at both ends of each run, and streams every region through it from right to
    left: matching statistics by LF steps on runs, moving to the nearer end of a neighbouring run at a mismatch. Where the
@@ -37,7 +37,7 @@ CHUNK = 1 << 20
 FLUSH = 400_000
 #: Bytes of text whose anchors one group holds, and bytes of regions that one index covers.
 GROUP_BYTES = 16 << 20
-INDEX_BYTES = 3 << 20
+INDEX_BYTES = 3 << 19
 NULL_ID = (1 << 63) - 1
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -75,17 +75,24 @@ def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
     return best(x[: len(x) - (width - size)], x[width - size :]) if size < width else x
 
 
-def anchors(data: np.ndarray, owner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the anchors of data. owner: the text that each byte belongs to; no string spans two."""
+def anchors(data: np.ndarray, owner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and hashes of the anchors of data, and the least hash of each LENGTH-byte string (0 where a string would
+    span two texts). owner: the text that each byte belongs to."""
     if len(data) < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     h = gram_hashes(data, ANCHOR)
     least = _sliding(h, STARTS, np.minimum)
     if owner is not None:
         least[owner[: len(least)] != owner[LENGTH - 1 :]] = 0
     pad = np.zeros(STARTS - 1, np.uint64)
     chosen = np.flatnonzero((_sliding(np.concatenate([pad, least, pad]), STARTS, np.maximum) == h) & (h > 0))
-    return chosen, h[chosen]
+    return chosen, h[chosen], least
+
+
+def anchor_keys(h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(group, 40 more bits) of anchor hashes. Groups grow with the data, so anchors that agree in both by chance stay rare;
+    they would only send more regions to the index."""
+    return (h % np.uint64(parts)).astype(np.int64), h >> np.uint64(24)
 
 
 def chunks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -121,7 +128,7 @@ def _anchor_rows(parts: int):
 
         def out():
             h, d, f = (np.concatenate(c) for c in zip(*held))
-            part = (h % np.uint64(parts)).astype(np.int64)
+            part, h = anchor_keys(h, parts)
             order = np.lexsort((h, d, f, part))
             h, d, f, part = h[order], d[order], f[order], part[order]
             new = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1]) | (f[1:] != f[:-1])])
@@ -132,13 +139,14 @@ def _anchor_rows(parts: int):
             cut, at = np.searchsorted(part, np.arange(parts + 1)), np.searchsorted(of, np.arange(parts + 1))
             some = [p for p in range(parts) if cut[p + 1] > cut[p]]
             pack = lambda x, edges: pa.array([x[edges[p] : edges[p + 1]].tobytes() for p in some], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pack(h, cut), pack(d[run], at), pack(f[run], at), pack(n, at)], names=names)
+            five = np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :5])
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pack(five, cut), pack(d[run], at), pack(f[run], at), pack(n, at)], names=names)
 
         size = 0
         for batch in batches:
             ids, prints = batch.column("doc_id").to_numpy(), batch.column("print").to_numpy()
             for data, owner, numbers, _ in chunks(_texts(batch)):
-                at, h = anchors(data, owner)
+                at, h, _ = anchors(data, owner)
                 who = numbers[owner[at]]
                 held.append((h, ids[who], prints[who]))
                 size += len(h)
@@ -151,10 +159,16 @@ def _anchor_rows(parts: int):
     return run
 
 
-def _shared_anchors(table: pa.Table) -> pa.Table:
+def _shared_anchors(parts: int):
+    return lambda table: _shared_in_group(table, parts)
+
+
+def _shared_in_group(table: pa.Table, parts: int) -> pa.Table:
     """id, print, hashes: the anchors of one group that two classes share, for the first document of each class."""
     unpack = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-    h, n = unpack("hashes", np.uint64), unpack("counts", np.uint32)
+    five, n = unpack("hashes", np.uint8).reshape(-1, 5), unpack("counts", np.uint32)
+    h = np.concatenate([five, np.zeros((len(five), 3), np.uint8)], axis=1).view(np.uint64).ravel()
+    h = h * np.uint64(parts) + np.uint64(table.column("part")[0].as_py())
     d, f = np.repeat(unpack("ids", np.int64), n), np.repeat(unpack("prints", np.int64), n)
     order = np.lexsort((d, f, h))
     h, d, f = h[order], d[order], f[order]
@@ -170,28 +184,37 @@ def _shared_anchors(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(d[run]), "print": pa.array(f[run]), "hashes": lists})
 
 
-def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["hash", "doc_id", "print", "start", "lead", "region"]
-    for batch in batches:
-        texts = _texts(batch)
-        wanted = batch.column("hashes")
-        ids, prints = batch.column("doc_id").to_numpy(), batch.column("print").to_numpy()
-        sets = [np.unique(w.values.to_numpy().view(np.uint64)) for w in wanted]
-        for data, owner, numbers, offsets in chunks(texts):
-            at, h = anchors(data, owner)
-            keep = np.zeros(len(at), bool)
-            part = owner[at]
-            edges = np.searchsorted(part, np.arange(len(numbers) + 1))
-            for k, i in enumerate(numbers):
-                mine = h[edges[k] : edges[k + 1]]
-                keep[edges[k] : edges[k + 1]] = sets[i][np.minimum(np.searchsorted(sets[i], mine), len(sets[i]) - 1)] == mine
-            at, h, part = at[keep], h[keep], part[keep]
-            if not len(at):
-                continue
-            who, where = numbers[part], at + offsets[part]
-            start = np.maximum(where - (STARTS - 1), 0)
-            regions = [texts[i][s : w + LENGTH] for i, s, w in zip(who.tolist(), start.tolist(), where.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[who]), pa.array(prints[who]), pa.array(start), pa.array((where - start).astype(np.int32)), pa.array(regions, pa.binary())], names=names)
+def _regions(parts: int):
+    names = ["hash", "doc_id", "print", "start", "region"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = _texts(batch)
+            ids, prints = batch.column("doc_id").to_numpy(), batch.column("print").to_numpy()
+            sets = [np.unique(w.values.to_numpy().view(np.uint64)) for w in batch.column("hashes")]
+            for data, owner, numbers, offsets in chunks(texts):
+                at, h, least = anchors(data, owner)
+                group, rest = anchor_keys(h, parts)
+                key = rest * np.uint64(parts) + group.astype(np.uint64)
+                keep = np.zeros(len(at), bool)
+                edges = np.searchsorted(owner[at], np.arange(len(numbers) + 1))
+                for k, i in enumerate(numbers):
+                    mine = key[edges[k] : edges[k + 1]]
+                    keep[edges[k] : edges[k + 1]] = sets[i][np.minimum(np.searchsorted(sets[i], mine), len(sets[i]) - 1)] == mine
+                at, h, key = at[keep], h[keep], key[keep]
+                if not len(at):
+                    continue
+                # The strings that begin at most STARTS - 1 bytes before the anchor and have it as their least hash.
+                begin = at[:, None] + np.arange(1 - STARTS, 1)
+                own = (begin >= 0) & (begin < len(least)) & (least[np.clip(begin, 0, len(least) - 1)] == h[:, None])
+                first, last = begin[:, 0] + own.argmax(1), begin[:, -1] - own[:, ::-1].argmax(1)
+                part = owner[at]
+                who, shift = numbers[part], offsets[part]
+                start, end = first + shift, last + shift + LENGTH
+                regions = [texts[i][s:e] for i, s, e in zip(who.tolist(), start.tolist(), end.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[who]), pa.array(prints[who]), pa.array(start), pa.array(regions, pa.binary())], names=names)
+
+    return run
 
 
 class RunLengthIndex:
@@ -205,13 +228,19 @@ class RunLengthIndex:
         text = np.frombuffer(b"".join(s + b"\0" for s in strings), np.uint8).astype(np.int64) + 1
         text[np.cumsum(sizes) - 1] = 0  # an end mark smaller than any byte
         self.text, n = text, len(text)
-        rank = np.zeros(n, np.int64)
-        for i in range(7):  # rotations of the whole text, by their first 7 symbols, then 14, and so on
-            rank = rank * 257 + np.roll(text, -i)
-        rank, width = np.unique(rank, return_inverse=True)[1], 7
+        # Rotations of the whole text by their first symbols: as many as fit a word, then three times as many, and so on.
+        codes = np.unique(text, return_inverse=True)[1]
+        bits = int(codes.max(initial=0)).bit_length() or 1
+        rank, width = np.zeros(n, np.int64), 62 // bits
+        for i in range(width):
+            rank = rank << bits | np.roll(codes, -i)
+        rank = np.unique(rank, return_inverse=True)[1]
         while rank.max(initial=0) < n - 1 and width < n:
-            rank = np.unique(rank * n + np.roll(rank, -width), return_inverse=True)[1]
-            width *= 2
+            times = 3 if n < 1 << 21 else 2
+            joined = rank
+            for k in range(1, times):
+                joined = joined * n + np.roll(rank, -k * width)
+            rank, width = np.unique(joined, return_inverse=True)[1], width * times
         suffixes = np.argsort(rank, kind="stable")
         last = text[suffixes - 1]  # the transform; the text is taken as a circle
         self.first = np.searchsorted(text[suffixes], np.arange(258))
@@ -339,11 +368,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     parts = max(-(-size // GROUP_BYTES), wide)
     packed = docs.mapInArrow(_anchor_rows(parts), "part int, hashes binary, ids binary, prints binary, counts binary")
-    shared = stored(packed.groupBy("part").applyInArrow(_shared_anchors, "doc_id long, print long, hashes array<long>"), "anchors")
+    shared = stored(packed.groupBy("part").applyInArrow(_shared_anchors(parts), "doc_id long, print long, hashes array<long>"), "anchors")
     n_shared = shared.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()[0]
 
     hits = shared.groupBy("doc_id", "print").agg(F.flatten(F.collect_list("hashes")).alias("hashes"))
-    regions = docs.join(hits.hint("shuffle_hash"), ["doc_id", "print"]).mapInArrow(_regions, "hash long, doc_id long, print long, start long, lead int, region binary")
+    regions = docs.join(hits.hint("shuffle_hash"), ["doc_id", "print"]).mapInArrow(_regions(parts), "hash long, doc_id long, print long, start long, region binary")
     groups = max(-(-n_shared * (STARTS + LENGTH) // INDEX_BYTES), wide)
     marks = stored(regions.select(F.pmod(F.xxhash64("hash"), F.lit(groups)).alias("part"), "hash", "doc_id", "print", "start", "region").groupBy("part").applyInArrow(_marks, "doc_id long, print long, start long, mask long"), "marks")
 
