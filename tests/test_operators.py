@@ -11,7 +11,7 @@ from tickloom.functions.expr import normal_cdf, portable_normal
 from tickloom.operators import backtest as bt
 from tickloom.operators import event_backtest as ev
 from tickloom.operators import indicators as ind
-from tickloom.operators import logs, portfolio, screener, signals, stats, strategies
+from tickloom.operators import logs, montecarlo, portfolio, screener, signals, stats, strategies
 from tickloom.sources import bars as src
 from tickloom.streaming import events
 
@@ -173,6 +173,11 @@ def test_statistics_of_a_perfect_signal(spark):
     assert stats.signal_ic(df, "score", (1,)).first().ic == pytest.approx(1)
 
 
+def test_simulation_is_whole_by_default(spark):
+    got = montecarlo.gbm_paths(bars(spark, walk(30))).agg(F.countDistinct("sim").alias("sims"), F.max("day").alias("days"), F.count("price").alias("n")).first()
+    assert tuple(got) == (2000, 30, 60_000)
+
+
 def test_verdict_guards(spark):
     rows = spark.createDataFrame([("a", 0.6, 0.0, "liquid"), ("b", 0.6, 2.0, "hard_illiquid"), ("c", 0.4, 2.0, "liquid"), ("d", 0.5, None, "liquid")], "symbol string, overall double, z double, tier string")
     assert {r.symbol: r.verdict for r in screener.verdict(rows).collect()} == {"a": "BUY", "b": "HOLD (Z-Guard + Liquidity-Guard)", "c": "SELL", "d": "HOLD"}

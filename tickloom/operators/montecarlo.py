@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import back, last_bars, log_of, normal_cdf, portable_normal
 
 
-def gbm_paths(df: DataFrame, n_days: int = 15, n_sims: int = 400, mu_shrink: float = 1.0) -> DataFrame:
+def gbm_paths(df: DataFrame, n_days: int = 30, n_sims: int = 2000, mu_shrink: float = 1.0) -> DataFrame:
     """symbol, sim, day, s0, price by geometric Brownian motion with the drift and volatility of the log returns. Each draw
     has a number of its own, so results don't depend on partitions."""
     logs = df.withColumn("_r", log_of("close") - back(log_of("close")))

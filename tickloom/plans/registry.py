@@ -219,14 +219,18 @@ def accumulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(liq.accumulation(src.bars_weekly(spark, sf_dir)))
 
 
+#: Days and paths of the simulation in the SQL of the four queries that use it; the reference has 30 and 2000, in its scan 15 and 1000.
+SIMULATED = {"n_days": 15, "n_sims": 400}
+
+
 @query
 def gbm_paths_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(mc.summarize(mc.gbm_paths(src.bars_weekly(spark, sf_dir))))
+    return rounded(mc.summarize(mc.gbm_paths(src.bars_weekly(spark, sf_dir), **SIMULATED)))
 
 
 @query
 def fan_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(mc.fan_bands(mc.gbm_paths(src.bars_weekly(spark, sf_dir))))
+    return rounded(mc.fan_bands(mc.gbm_paths(src.bars_weekly(spark, sf_dir), **SIMULATED)))
 
 
 @query
@@ -289,7 +293,7 @@ def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     past = bt.trades_of(run).groupBy("symbol").agg(F.count(F.lit(1)).alias("n_trades"), (F.avg((F.col("return_pct") > 0).cast("double")) * 100).alias("win_rate_pct"))
     volume = ind.latest(bars.withColumn("volume_ratio", ratio("volume", F.avg("volume").over(last_bars(20))))).select("symbol", "volume_ratio")
     out = ind.latest(signals).select("symbol", "close", "z", "composite")
-    for part in (mc.summarize(mc.gbm_paths(bars)).select("symbol", "prob_profit"), past, liq.liquidity_tier(bars, "stock_us").select("symbol", "tier"), screen.fundamental_score(fundamentals(spark, sf_dir)).select("symbol", "fundamental_score"), volume):
+    for part in (mc.summarize(mc.gbm_paths(bars, **SIMULATED)).select("symbol", "prob_profit"), past, liq.liquidity_tier(bars, "stock_us").select("symbol", "tier"), screen.fundamental_score(fundamentals(spark, sf_dir)).select("symbol", "fundamental_score"), volume):
         out = out.join(part, "symbol", "left")
     return out
 
