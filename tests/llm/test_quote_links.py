@@ -58,3 +58,14 @@ def test_plain_conversations_keep_their_order(spark):
     table = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
     rows = quote_links.thread(table).collect()
     assert len(rows) == table.count() and all(r.depth == r.reply_order - 1 for r in rows if not r.n_linked)
+
+
+def test_lines_and_sentences_without_spaces(spark):
+    talk = [
+        (1, 0, "u", "Buy milk\nCall Bob\nPay rent"), (1, 1, "a", "Noted."), (1, 2, "u", "Thanks."), (1, 3, "a", "> Call Bob\nDone."),
+        (2, 0, "u", "今日は雨です。傘を持って行きます。駅で会いましょう！"), (2, 1, "a", "はい。"), (2, 2, "u", "どうも。"), (2, 3, "a", "> 傘を持って行きます。\n私も。"),
+        (3, 0, "u", "Title of it\nCall Bob. Then pay\nthe rent"), (3, 1, "a", "Sure."), (3, 2, "u", "Fine."), (3, 3, "a", "> Call Bob.\nDone."),
+        (4, 0, "u", "I agree with you."), (4, 1, "a", "So do I with\nyou."), (4, 2, "u", "Fine."), (4, 3, "a", "> I agree with\n> you.\nGood."),
+    ]
+    rows = {(r.conv_id, r.turn): r for r in quote_links.thread(frame(spark, talk)).collect()}
+    assert [(rows[c, 3].n_linked, rows[c, 3].reply_to, rows[c, 3].depth) for c in (1, 2, 3, 4)] == [(1, 0, 1)] * 4

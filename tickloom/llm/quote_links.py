@@ -2,8 +2,10 @@
 
 Lines that begin with `>` are quoted; the number of marks is the level, and neighbouring lines of a level form a passage.
 Passages and the messages' own words are cut into sentences, normalised (lower case, letters and digits only, single
-spaces) and hashed, so that wrapped quotes still match. Each quoted sentence is joined to the latest earlier message of its
-conversation that has it; a passage belongs to the message that most of its sentences lead to (the latest of equals).
+spaces) and hashed, so that wrapped quotes still match; the lines of each sentence are further keys, so that single lines of
+lists, code or verse match too. Each key is joined to the latest earlier message of its conversation that has it; the lines
+of a quoted sentence count only if nobody said it whole. A passage belongs to the message that most of its keys lead to (the
+latest of equals).
 A message answers the original of its outermost linked passage, or else the message before it. All of it is DataFrame
 expressions.
 
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import let, stored
 
 MARKS = r"^((?:[ \t]{0,3}>)+)"
+#: Where sentences end: at marks before white space, or at marks of scripts that put no space after them.
+ENDS = r"(?<=[.!?])\s+|(?<=[。！？｡．।॥])\s*"
 ATTRIBUTION = r"(?i)^\s*(?:on|le|am|el)\b.{0,200}\b(?:wrote|écrit|schrieb|escribió)\s*:\s*$"
 
 
@@ -37,9 +41,13 @@ def body_of(lines: Column) -> Column:
     return F.btrim(F.array_join(F.transform(own, lambda x: x["content"]), "\n"), F.lit(" \n\t\r"))
 
 
-def sentences_of(text: Column) -> Column:
+def keys_of(text: Column) -> Column:
+    """nth, whole, key of the sentences of a text, and of the lines of those that have several; each key once per kind."""
     plain = lambda s: F.btrim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " "))
-    return F.array_distinct(F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), plain), lambda s: s != ""))
+    key = lambda n, whole, s: F.struct(n.alias("nth"), F.lit(whole).alias("whole"), plain(s).alias("key"))
+    lines = lambda s, n: F.transform(F.split(s, r"\n"), lambda x: key(n, False, x))
+    keys = lambda s, n: F.when(F.instr(s, "\n") > 0, F.concat(F.array(key(n, True, s)), lines(s, n))).otherwise(F.array(key(n, True, s)))
+    return F.filter(F.flatten(F.transform(F.split(text, ENDS), keys)), lambda k: k["key"] != "")
 
 
 def messages_of(conversations: DataFrame) -> DataFrame:
@@ -57,20 +65,23 @@ def passages_of(messages: DataFrame) -> DataFrame:
     order = Window.partitionBy("conv", "pos").orderBy("n")
     turned = F.coalesce(F.lag("level").over(order) != F.col("level"), F.lit(True)).cast("int")
     runs = lines.withColumn("turned", turned).withColumn("passage", F.sum("turned").over(order)).where("level > 0")
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "content"))), lambda x: x["content"]), " ")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "content"))), lambda x: x["content"]), "\n")
     return runs.groupBy("conv", "pos", "passage", "level").agg(joined.alias("text"))
 
 
 def link(messages: DataFrame, passages: DataFrame) -> DataFrame:
-    """conv, pos, passage, level, original (pos of the quoted message, or null), matched sentences."""
-    quoted = passages.select("conv", "pos", "passage", "level", F.explode(sentences_of(F.col("text"))).alias("sentence"))
-    quoted = quoted.select("conv", F.xxhash64("sentence").alias("hash"), "pos", "passage", "level")
-    talked = messages.join(passages.select("conv").distinct(), "conv", "left_semi").select("conv", "pos", F.explode(sentences_of(F.regexp_replace("body", r"\s+", " "))).alias("sentence"))
-    said = talked.select("conv", F.xxhash64("sentence").alias("hash"), "pos", F.lit(None).cast("long").alias("passage"), F.lit(None).cast("int").alias("level"))
-    # Per sentence in order of messages, quotes before the message's own words: the latest earlier message that has it.
+    """conv, pos, passage, level, original (pos of the quoted message, or null), matched keys."""
+    quoted = passages.select("conv", "pos", "passage", "level", F.inline(keys_of(F.col("text"))))
+    quoted = quoted.select("conv", F.xxhash64("key").alias("hash"), "pos", "passage", "level", "nth", "whole")
+    said = messages.join(passages.select("conv").distinct(), "conv", "left_semi").select("conv", "pos", F.explode(F.array_distinct(F.transform(keys_of(F.col("body")), lambda k: k["key"]))).alias("key"))
+    said = said.select("conv", F.xxhash64("key").alias("hash"), "pos", *(F.lit(None).cast(t).alias(c) for c, t in (("passage", "long"), ("level", "int"), ("nth", "int"), ("whole", "boolean"))))
+    # Per key in order of messages, quotes before the message's own words: the latest earlier message that has it.
     order = Window.partitionBy("conv", "hash").orderBy("pos", F.col("passage").isNull()).rowsBetween(Window.unboundedPreceding, 0)
     both = quoted.unionByName(said).withColumn("original", F.last(F.when(F.col("passage").isNull(), F.col("pos")), ignorenulls=True).over(order))
-    votes = both.where("passage IS NOT NULL AND original IS NOT NULL").groupBy("conv", "pos", "passage", "original").agg(F.count(F.lit(1)).alias("matched"))
+    found = both.where("passage IS NOT NULL AND original IS NOT NULL")
+    said_whole = F.max("whole").over(Window.partitionBy("conv", "pos", "passage", "nth"))
+    found = found.withColumn("said_whole", said_whole).where("whole OR NOT said_whole").select("conv", "pos", "passage", "original", "hash").distinct()
+    votes = found.groupBy("conv", "pos", "passage", "original").agg(F.count(F.lit(1)).alias("matched"))
     best = votes.groupBy("conv", "pos", "passage").agg(F.max(F.struct("matched", "original")).alias("best"))
     return passages.select("conv", "pos", "passage", "level").join(best, ["conv", "pos", "passage"], "left").select("conv", "pos", "passage", "level", F.col("best.original").alias("original"), F.col("best.matched").alias("matched"))
 
