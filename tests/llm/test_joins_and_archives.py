@@ -173,6 +173,14 @@ def test_keep_first_and_empty(spark):
     assert jaccard_join.components(cases.empty(spark)).count() == 0
 
 
+def test_keep_first_with_null_and_repeated_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(3, a), (7, a), (7, b), (None, a), (None, c), (None, c), (None, c + " more"), (5, d), (5, d + " more"), (6, d), (None, d), (None, ""), (None, None), (9, "")]
+    kept = [tuple(r) for r in jaccard_join.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    group = lambda r: (r[0], (r[1] or "-").split(" ")[0])
+    assert Counter(map(group, kept)) == Counter([(3, "a0"), (7, "b0"), (None, "c0"), (5, "d0"), (None, "-"), (None, "-"), (9, "-")])
+
+
 def test_connected_paths(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 101), (7, 7)]
     got = {r.node: r.component for r in components.connected(spark.createDataFrame(links, "a long, b long")).collect()}

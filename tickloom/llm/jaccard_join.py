@@ -310,23 +310,42 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Data
     return verified.union(verify(rest, sets, percent)).distinct()
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id, class for every row of docs."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    classes = stored(classes_of(docs, width), "classes")
-    first = stored(classes.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first")), "first")
+def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, key (hash of the text), n_shingles, class, component_id, best (no_id, doc_id, key of the first of the
+    component; the last three null for texts without shingles) for every row of docs(doc_id, text)."""
+    keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("key")).alias("doc_id"), "text")
+    classes = stored(classes_of(keyed, width).select("doc_id.doc_id", "doc_id.key", "n_shingles", "class"), "classes")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    first = stored(classes.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first"), F.min(rank).alias("best")), "first")
     edges = links(docs, classes.where("class IS NOT NULL"), width, percent)
     labels = connected(stored(edges, "links"))
     # The smallest class of a component stands for it; its smallest doc_id is the component's id.
-    named = first.join(labels, first["class"] == labels["node"], "left").select("class", "first", F.coalesce("component", "class").alias("group"))
-    lowest = named.groupBy("group").agg(F.min("first").alias("component_id"))
-    named = stored(named.join(lowest, "group").select("class", "component_id"), "named")
-    out = classes.join(named, "class", "left")
+    named = first.join(labels, first["class"] == labels["node"], "left").select("class", "first", "best", F.coalesce("component", "class").alias("group"))
+    lowest = named.groupBy("group").agg(F.min("first").alias("component_id"), F.min("best").alias("best"))
+    named = stored(named.select("class", "group").join(lowest, "group").select("class", "component_id", "best"), "named")
+    return classes.join(named, "class", "left")
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles, component_id, class for every row of docs."""
+    out = _grouped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), width, percent)
     return out.select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "class")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs without those that are linked, over any path, to a row of a smaller id."""
-    found = components(docs, id_col, text_col, width, percent)
-    gone = stored(found.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone.hint("shuffle_hash"), docs[id_col] == gone["_gone"], "left_anti")
+    """Of the rows of docs that are linked, over any path, those of the smallest id, with one text; where no row has an id,
+    one row. Rows are told apart by id and text, so another text of the same id stays. Repeated rows of the smallest id with
+    the same text all stay; texts without shingles stay."""
+    found = _grouped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), width, percent).where("class IS NOT NULL")
+    is_best = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key") == F.col("best.key"))
+    gone = stored(found.where(~is_best).select(F.col("doc_id").alias("_gone"), F.col("key").alias("_gone_key")).distinct(), "gone")
+    rows = docs.withColumn("_key", F.xxhash64(text_col))
+    kept = rows.join(gone.hint("shuffle_hash"), rows[id_col].eqNullSafe(gone["_gone"]) & (rows["_key"] == gone["_gone_key"]), "left_anti")
+    repeated = stored(found.where(is_best & F.col("best.no_id")).groupBy(F.col("key").alias("_repeated")).count().where("count > 1").select("_repeated"), "repeated")
+    if repeated.isEmpty():
+        return kept.select(*docs.columns)
+    # Rows without an id that are equal: any one of them, chosen before the shuffle.
+    kept, no_id = stored(kept, "kept"), F.col(id_col).isNull()
+    one = kept.where(no_id).join(repeated, F.col("_key") == F.col("_repeated"), "left_semi").dropDuplicates(["_key"])
+    others = kept.where(no_id).join(repeated, F.col("_key") == F.col("_repeated"), "left_anti")
+    return kept.where(~no_id).unionByName(others).unionByName(one).select(*docs.columns)
