@@ -235,6 +235,33 @@ def test_leaks_equal_brute_force(spark):
     assert len(want) > 10
 
 
+def borderline(n=600, length=200, changed=17):
+    """Items, and documents with them in which a run of words in the middle differs: similarity 175 / 217."""
+    rng = random.Random(5)
+    make = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    items = [make(length) for _ in range(n)]
+    return [(i, " ".join(w)) for i, w in enumerate(items)], [" ".join(make(20) + w[: length // 2] + make(changed) + w[length // 2 + changed :] + make(20)) for w in items]
+
+
+def test_leaks_beyond_the_radius_are_found():
+    items, docs = borderline()
+    searcher = decontaminate.Searcher(items)
+    zero = np.zeros(1, np.int64)
+    print_of = lambda words: decontaminate.fingerprints(searcher.hashes(words), zero, 200)
+    apart = [int(np.bitwise_count(print_of(text.split()) ^ print_of(doc.split()[20:220]))[0]) for (_, text), doc in zip(items, docs)]
+    assert max(apart) > decontaminate.RADIUS
+    assert [i for i, doc in enumerate(docs) if i not in searcher.search(doc)] == []
+    for i in range(0, 600, 200):
+        assert {k: v[0] for k, v in searcher.search(docs[i]).items()} == pytest.approx(brute_leaks(docs[i], items[i : i + 1]))
+
+
+def test_repeated_shingles_count_as_often_as_the_item_has_them():
+    items = [(1, "a " * 12 + "b c d e f g h i"), (2, "a " * 20), (3, "x y z " * 7), (4, "a b " * 10)]
+    searcher = decontaminate.Searcher(items)
+    for text in ("a " * 60, "a " * 40 + "b c d e f g h i j k", "x y z " * 30, "b a " * 25, "a " * 11 + "b c d e f g h i " * 3):
+        assert {k: v[0] for k, v in searcher.search(text).items()} == pytest.approx(brute_leaks(text, items))
+
+
 def test_drop_leaks(spark):
     docs = with_cases(spark)
     found = {r.doc_id for r in decontaminate.find_leaks(docs, tables(spark, "benchmark")).collect()}

@@ -4,7 +4,8 @@ For each benchmark item, all windows of the item's length in every document are
 looked up in a multi-index of the items' fingerprints, whose blocks guarantee to find every fingerprint within RADIUS
 bits, and the candidates are verified by the weighted Jaccard similarity of word shingles, in which a shingle weighs
 as often as it occurs. The fingerprint is taken over words, because a changed word changes one word but WIDTH shingles:
-pairs of similarity 0.8 are then well within RADIUS.
+pairs of similarity 0.8 are then mostly within RADIUS. Those beyond it are found without fingerprints: the windows that pass
+the test below are compared exactly with every item that shares enough shingles with them, so no hit is lost.
 
 Before that, windows that cannot reach the similarity are passed over without loss: windows of w and items of n
 shingles need percent * (w + n) / (100 + percent) shingles in common, so a window must hold at least so many shingles that the benchmark has.
@@ -92,6 +93,44 @@ class HammingIndex:
         return q[near], s[near]
 
 
+class Postings:
+    """Which items of a group have a shingle, and how often."""
+
+    def __init__(self, bags: list[Counter]):
+        grams = np.concatenate([np.array(list(b), np.uint64) for b in bags])
+        order = np.argsort(grams, kind="stable")
+        self.grams, self.n_items = grams[order], len(bags)
+        self.item = np.repeat(np.arange(len(bags)), [len(b) for b in bags])[order]
+        self.weight = np.concatenate([np.array(list(b.values()), np.int64) for b in bags])[order]
+
+    def common(self, grams: np.ndarray, starts: np.ndarray, count: int, need: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Item, starts, shingles in common: of the windows of count shingles at starts, those with need in common or more."""
+        turns = np.zeros(len(grams) + 1, np.int64)
+        turns[starts] += 1
+        np.add.at(turns, starts + count, -1)
+        at = np.flatnonzero(np.cumsum(turns)[:-1])
+        low = np.searchsorted(self.grams, grams[at])
+        n = np.searchsorted(self.grams, grams[at], side="right") - low
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        place, item = np.repeat(at, n), self.item[k]
+        order = np.argsort(item, kind="stable")
+        edges = np.searchsorted(item[order], np.arange(self.n_items + 1))
+        for i in np.flatnonzero(np.diff(edges) >= need):
+            own = order[edges[i] : edges[i + 1]]
+            spots = place[own]
+            within = lambda p, w: np.searchsorted(p, w + count) - np.searchsorted(p, w)
+            hits = within(spots, starts)
+            some, hits = starts[hits >= need], hits[hits >= need]
+            if not len(some):
+                continue
+            # A shingle counts as often as the item has it at most.
+            kinds, nth, times = np.unique(k[own], return_inverse=True, return_counts=True)
+            for j in np.flatnonzero(times > self.weight[kinds]):
+                hits = hits - np.maximum(within(spots[nth == j], some) - self.weight[kinds[j]], 0)
+            if (hits >= need).any():
+                yield int(i), some[hits >= need], hits[hits >= need]
+
+
 class Searcher:
     """The items of a slice, ready to be looked for in texts."""
 
@@ -105,7 +144,7 @@ class Searcher:
                 texts.setdefault(tuple(words), []).append(item)
         self.owners, self.items = list(texts.values()), list(texts)
         self.word_ids = {w: i + 1 for i, w in enumerate(sorted({w for t in self.items for w in t}))}
-        self.groups = []  # (words, width, numbers of the items, index)
+        self.groups = []  # (words, width, numbers of the items, index, postings)
         self.known, self.bags = {}, []
         ids = [np.array([self.word_ids[w] for w in t], np.uint64) for t in self.items]
         self.bags = [Counter(shingles(i, min(WIDTH, len(i))).tolist()) for i in ids]
@@ -114,7 +153,7 @@ class Searcher:
         for length in sorted({len(t) for t in self.items}):
             numbers = [i for i, t in enumerate(self.items) if len(t) == length]
             prints = np.concatenate([fingerprints(self.hashes(self.items[i]), np.zeros(1, np.int64), length) for i in numbers])
-            self.groups.append((length, min(WIDTH, length), numbers, HammingIndex(prints)))
+            self.groups.append((length, min(WIDTH, length), numbers, HammingIndex(prints), Postings([self.bags[i] for i in numbers])))
 
     def hashes(self, words) -> np.ndarray:
         return np.array([self.digest(w) for w in words], np.uint64)
@@ -133,7 +172,7 @@ class Searcher:
             grams[width] = g = shingles(ids, width)
             hit = known[np.minimum(np.searchsorted(known, g), len(known) - 1)] == g
             sums[width] = np.concatenate([[0], np.cumsum(hit)])
-        for length, width, numbers, index in self.groups:
+        for length, width, numbers, index, postings in self.groups:
             span = min(length, len(words))
             count = span - width + 1
             if count < 1 or sums[width][-1] < (need := self.needed(count, length - width + 1)):
@@ -155,6 +194,13 @@ class Searcher:
                         for item in self.owners[numbers[s]]:
                             if item not in found or common / union > found[item][0]:
                                 found[item] = (common / union, start, span)
+                for s, places, hits in postings.common(grams[width], some, count, need):
+                    best = int(np.argmax(hits))
+                    common = int(hits[best])
+                    union = count + length - width + 1 - common
+                    for item in self.owners[numbers[s]]:
+                        if item not in found or common / union > found[item][0]:
+                            found[item] = (common / union, int(places[best]), span)
         return found
 
 
