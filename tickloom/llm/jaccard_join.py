@@ -8,10 +8,13 @@ Every set files itself, for its own band and the next, under its segments (p = 0
 one-deletion neighbours (p = 1); empty segments are skipped (p = -1) as far as spare segments allow. plan_band() chooses
 the allocation of least cost: rows filed, plus expected false candidates.
 
-Sets that are equal form one class and are joined once. Sets that meet in a bucket are verified exactly, in two rounds:
-each set with the likeliest of the first sets of its buckets, and then, where a bucket's sets are not all connected by
-that, every pair of different components that sizes and parity sketches let link. Large buckets look for those pairs by
-pairs of blocks inside tasks. Equal buckets are treated once; no bucket or partner is capped.
+Sets that are equal form one class and are joined once. Each bucket is led by that of its sets which meets most others,
+and buckets with one leader are taken together, so sets that meet in many buckets are compared once. First each set is
+verified against its leaders, if sizes and parity sketches let them link. Where that leaves the sets of a leader in several
+components, few sets are paired, more are compared inside a task that returns a spanning forest of their links, and beyond
+BLOCK sets they are filed again under the tokens in which they differ from their leader: two sets that link, of which
+one does not link to the leader, share such a token (if they shared none, their distance would be the sum of their distances to
+the leader, which is too much). No bucket, candidate or partner is capped.
 
 Tokens are 64-bit hashes of shingles and classes 64-bit hashes of sets.
 
@@ -33,10 +36,14 @@ from pyspark.sql import functions as F
 from .common import stored
 from .components import connected
 
+#: Sets of one leader that are paired by expressions, and that one task compares: so many sets and tokens at most.
 SMALL_BUCKET = 12
-BLOCK = 256
+BLOCK = 4_096
+BLOCK_TOKENS = 1 << 22
 #: Words of the parity sketch of a set, doubled until it has half a cell per token.
 SKETCH = 16
+#: Classes that a task of filed() keeps in mind.
+SEEN = 500_000
 #: Cost of one false candidate, in filed rows.
 CANDIDATE_COST = 20
 
@@ -151,9 +158,11 @@ def _fingerprint(tokens: np.ndarray) -> np.uint64:
         return mix(np.sum(mix(tokens ^ _B), dtype=np.uint64) + np.uint64(len(tokens)) * _A)
 
 
-def _map_texts(docs: DataFrame, width: int, build, schema: str) -> DataFrame:
+def _map_texts(docs: DataFrame, width: int, builder, schema: str) -> DataFrame:
+    """builder() makes, once per task, what turns the ids and token sets of a batch into batches."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
+        shingler, build = Shingler(width), builder()
         for batch in batches:
             yield from build(batch.column("doc_id"), (shingler.tokens(t.as_py()) for t in batch.column("text")))
 
@@ -170,36 +179,47 @@ def classes_of(docs: DataFrame, width: int) -> DataFrame:
             prints.append(int(_fingerprint(s).view(np.int64)) if len(s) else None)
         yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(prints, pa.int64())], names=["doc_id", "n_shingles", "class"])
 
-    return _map_texts(docs, width, build, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, class long")
+    return _map_texts(docs, width, lambda: build, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, class long")
 
 
 def filed(docs: DataFrame, width: int, percent: int, n_docs: int) -> DataFrame:
-    """signature, class: what every set files itself under, for its own band and the next."""
-
-    def build(ids, sets):
-        sigs, owners, held = [], [], 0
-        edges = band_edges(percent, 1)
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(owners))], names=["signature", "class"])
-
-        for s in sets:
-            if not len(s):
-                continue
-            if len(s) >= edges[-2 if len(edges) > 1 else -1]:
-                edges = band_edges(percent, 2 * 100 * len(s) // percent)
-            k = int(np.searchsorted(edges, len(s), side="right")) - 1
-            own = [signatures(s, edges[i], edges[i + 1] - 1, percent, n_docs) for i in (k, k + 1)]
-            sigs += own
-            owners.append(np.full(sum(map(len, own)), _fingerprint(s).view(np.int64)))
-            held += len(owners[-1])
-            if held > 200_000:
+    """signature, class: what every set files itself under, for its own band and the next. A task files equal sets once."""
+
+    def builder():
+        seen: set[int] = set()
+
+        def build(ids, sets):
+            sigs, owners, held = [], [], 0
+            edges = band_edges(percent, 1)
+
+            def out():
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(owners))], names=["signature", "class"])
+
+            for s in sets:
+                if not len(s):
+                    continue
+                own_class = _fingerprint(s).view(np.int64)
+                if int(own_class) in seen:
+                    continue
+                if len(seen) > SEEN:
+                    seen.clear()
+                seen.add(int(own_class))
+                if len(s) >= edges[-2 if len(edges) > 1 else -1]:
+                    edges = band_edges(percent, 2 * 100 * len(s) // percent)
+                k = int(np.searchsorted(edges, len(s), side="right")) - 1
+                own = [signatures(s, edges[i], edges[i + 1] - 1, percent, n_docs) for i in (k, k + 1)]
+                sigs += own
+                owners.append(np.full(sum(map(len, own)), own_class))
+                held += len(owners[-1])
+                if held > 200_000:
+                    yield out()
+                    sigs, owners, held = [], [], 0
+            if held:
                 yield out()
-                sigs, owners, held = [], [], 0
-        if held:
-            yield out()
 
-    return _map_texts(docs, width, build, "signature long, class long")
+        return build
+
+    return _map_texts(docs, width, builder, "signature long, class long")
 
 
 def parity_sketch(tokens: np.ndarray) -> np.ndarray:
@@ -213,15 +233,15 @@ def parity_sketch(tokens: np.ndarray) -> np.ndarray:
 
 
 def token_sets(docs: DataFrame, width: int) -> DataFrame:
-    """class, tokens, sketch of docs(doc_id, text)."""
+    """class, n_tokens, tokens, sketch of docs(doc_id, text)."""
 
     def build(ids, sets):
         some = [s for s in sets if len(s)]
         prints = pa.array([int(_fingerprint(s).view(np.int64)) for s in some], pa.int64())
-        longs = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([prints, pa.array([s.view(np.int64) for s in some], longs), pa.array([parity_sketch(s) for s in some], longs)], names=["class", "tokens", "sketch"])
+        longs, sizes = pa.list_(pa.int64()), pa.array([len(s) for s in some], pa.int32())
+        yield pa.RecordBatch.from_arrays([prints, sizes, pa.array([s.view(np.int64) for s in some], longs), pa.array([parity_sketch(s) for s in some], longs)], names=["class", "n_tokens", "tokens", "sketch"])
 
-    return _map_texts(docs, width, build, "class long, tokens array<long>, sketch array<long>")
+    return _map_texts(docs, width, lambda: build, "class long, n_tokens int, tokens array<long>, sketch array<long>")
 
 
 def _may_link(percent: int, apart, n_a, n_b):
@@ -229,28 +249,49 @@ def _may_link(percent: int, apart, n_a, n_b):
     return (100 + percent) * apart <= (100 - percent) * (n_a + n_b)
 
 
-def _block_pairs(percent: int):
-    """Of the sets of one pair of blocks, the pairs of different components that sizes and sketches let link."""
+def _forest(percent: int):
+    """Of the sets under one leader: links that, with the components known, connect whatever links connect. Sets are
+    taken as their differences from the leader: two of them are as far apart as their differences."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, first = np.unique(table.column("class").to_numpy(), return_index=True)
-        part, n = table.column("component").to_numpy()[first], table.column("n_tokens").to_numpy()[first].astype(np.int64)
-        sketches = [table.column("sketch")[int(i)].values.to_numpy().view(np.uint64) for i in first]
-        width = min(map(len, sketches), default=SKETCH)
-        sketch = np.array([np.bitwise_xor.reduce(s.reshape(-1, width), axis=0) for s in sketches])
-        apart = np.zeros((len(ids), len(ids)), np.int64)
-        for k in range(sketch.shape[1]):
-            apart += np.bitwise_count(sketch[:, k, None] ^ sketch[None, :, k])
-        may = _may_link(percent, apart, n[:, None], n[None, :]) & (part[:, None] != part[None, :])
-        a, b = np.nonzero(np.triu(may, 1))
-        return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64())})
+        part, tokens = table.column("component").to_numpy()[first], [table.column("tokens")[int(i)].values.to_numpy() for i in first]
+        part, size = np.unique(part, return_inverse=True)[1], np.array([len(t) for t in tokens])
+        leader = np.sort(tokens[int(np.searchsorted(ids, table.column("leader")[0].as_py()))])
+        flat, owner = np.concatenate(tokens), np.repeat(np.arange(len(ids)), size)
+        at = np.minimum(np.searchsorted(leader, flat), len(leader) - 1)
+        has = leader[at] == flat
+        lacks = np.ones((len(ids), len(leader)), bool)
+        lacks[owner[has], at[has]] = False
+        who, what = np.nonzero(lacks)
+        extra, code = np.unique(flat[~has], return_inverse=True)
+        who, what = np.concatenate([who, owner[~has]]), np.concatenate([what, code + len(leader)])
+        order = np.lexsort((who, what))
+        holders, starts = who[order], np.searchsorted(what[order], np.arange(len(leader) + len(extra) + 1))
+        order = np.argsort(who, kind="stable")
+        what, own = what[order], np.searchsorted(who[order], np.arange(len(ids) + 1))
+        away = np.diff(own)
+        out = []
+        main = np.bincount(part).argmax()  # its pairs with others are found from the others
+        for i in np.flatnonzero(part != main):
+            mine = what[own[i] : own[i + 1]]
+            shared = np.zeros(len(ids), np.int64)
+            if len(mine):
+                shared += np.bincount(np.concatenate([holders[starts[k] : starts[k + 1]] for k in mine]), minlength=len(ids))
+            linked = np.flatnonzero((part != part[i]) & _may_link(percent, away[i] + away - 2 * shared, size[i], size))
+            for j in linked:
+                if part[j] != part[i]:
+                    out.append((ids[i], ids[j]))
+                    part[part == part[j]] = part[i]
+        a, b = zip(*out) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
 def screen(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b, apart of the pairs that sizes and sketches let link."""
-    light = sets.select("class", F.size("tokens").alias("n"), "sketch")
+    light = sets.select("class", F.col("n_tokens").alias("n"), "sketch")
     side = lambda name: light.select(F.col("class").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}"))
     # Sketches of different lengths are powers of two times each other; the longer is folded, half onto half.
     half = lambda s: F.zip_with(F.slice(s, 1, (F.size(s) / 2).cast("int")), F.slice(s, (F.size(s) / 2).cast("int") + 1, F.size(s)), lambda x, y: x.bitwiseXOR(y))
@@ -269,45 +310,59 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
+def _led(files: DataFrame) -> DataFrame:
+    """leader, class: the sets of the buckets of each leader, itself included."""
+    sizes = files.groupBy("signature").agg(F.count(F.lit(1)).alias("n"))
+    met = files.join(sizes, "signature").groupBy("class").agg(F.sum("n").alias("met"))
+    leaders = files.join(met, "class").groupBy("signature").agg(F.max(F.struct("met", "class")).alias("top"))
+    return files.join(leaders, "signature").select(F.col("top.class").alias("leader"), "class").distinct()
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels, rows["class"] == labels["node"], "left").select(*rows.columns, F.coalesce("component", "class").alias("component"))
+
+
+def _refiled(led: DataFrame, sets: DataFrame) -> DataFrame:
+    """signature, class: the sets of each leader under the tokens in which they differ from it."""
+    tokens = lambda name, to: sets.select(F.col("class").alias(name), F.col("tokens").alias(to))
+    both = led.where("leader <> class").join(tokens("class", "x"), "class").join(tokens("leader", "y"), "leader")
+    keys = lambda x, y, side: F.transform(F.array_except(x, y), lambda t: F.xxhash64("leader", t, F.lit(side)))
+    return both.select(F.explode(F.concat(keys("x", "y", 1), keys("y", "x", 0))).alias("signature"), "class").distinct()
+
+
 def links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """a, b: classes that are linked; enough of the links to connect whatever is connected by links."""
     rows = filed(docs, width, percent, max(docs.count(), 1))
-    every, ordered = Window.partitionBy("signature"), Window.partitionBy("signature").orderBy("class")
-    shared = (
-        rows.withColumn("low", F.min("class").over(every)).withColumn("high", F.max("class").over(every)).where("low <> high")
-        .withColumn("before", F.lag("class").over(ordered)).where("before IS NULL OR before <> class")
-        .withColumn("nth", F.row_number().over(ordered) - 1).withColumn("n", F.count(F.lit(1)).over(every))
-        .select("signature", "class", "low", "nth", "n")
-    )
-    shared = stored(shared, "shared")
-    wanted = shared.select("class").distinct()
+    every = Window.partitionBy("signature")
+    several = rows.withColumn("low", F.min("class").over(every)).withColumn("high", F.max("class").over(every)).where("low <> high")
+    files = stored(several.select("signature", "class").distinct(), "shared")
+    wanted = files.select("class").distinct()
     readers = classes.groupBy("class").agg(F.min("doc_id").alias("doc_id")).join(wanted, "class", "left_semi").select("doc_id")
     sets = stored(token_sets(docs.join(readers.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(readers["doc_id"]), "left_semi"), width), "sets")
 
-    # First each set with the likeliest of the first sets of its buckets: at most one verification per set.
-    starts = stored(screen(shared.where("nth > 0").select(F.col("low").alias("a"), F.col("class").alias("b")).distinct(), sets, percent), "starts")
-    likeliest = starts.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    verified = stored(verify(likeliest, sets, percent), "verified")
-
-    # Then, in buckets whose sets that leaves in several components, all pairs of different components; equal buckets once.
-    labels = connected(verified)
-    labelled = shared.join(labels, shared["class"] == labels["node"], "left").select("signature", "class", "nth", "n", F.coalesce("component", "class").alias("component"))
-    several = labelled.groupBy("signature").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("k"),
-        F.sum(F.xxhash64("class") % (1 << 40)).alias("s"), F.sum(F.xxhash64("class", F.lit(1)) % (1 << 40)).alias("t"),
-    )
-    several = several.where("low <> high").groupBy("k", "s", "t").agg(F.min("signature").alias("signature")).select("signature")
-    left = stored(labelled.join(several, "signature"), "several")
-    lists = left.where(F.col("n") <= SMALL_BUCKET).groupBy("signature").agg(F.collect_list(F.struct("class", "component")).alias("members"))
-    pair = lambda m: F.flatten(F.transform(m, lambda x: F.transform(F.filter(m, lambda y: (x["class"] < y["class"]) & (x["component"] != y["component"])), lambda y: F.struct(x["class"].alias("a"), y["class"].alias("b")))))
-    small = screen(lists.select(F.inline(pair(F.col("members")))).distinct(), sets, percent).select("a", "b")
-    blocks, mine = F.ceil(F.col("n") / BLOCK).cast("int"), F.floor(F.col("nth") / BLOCK).cast("int")
-    large = left.where(F.col("n") > SMALL_BUCKET).select("signature", "class", "component", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    keyed = large.select("signature", "class", "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    keyed = keyed.join(sets.select("class", "sketch", F.size("tokens").alias("n_tokens")), "class")
-    big = keyed.groupBy("signature", "i", "j").applyInArrow(_block_pairs(percent), "a long, b long")
-    rest = stored(small.union(big).distinct(), "rest")
-    return verified.union(verify(rest, sets, percent)).distinct()
+    found = None
+    while True:
+        led = stored(_led(files), "led")
+        direct = verify(screen(led.where("leader <> class").select(F.least("leader", "class").alias("a"), F.greatest("leader", "class").alias("b")).distinct(), sets, percent), sets, percent)
+        found = stored(direct if found is None else found.union(direct), "found")
+        # Pairs of different components are left where the sets of a leader are in several.
+        parts = _labelled(led, connected(found)).join(sets.select("class", "n_tokens"), "class")
+        sums = parts.groupBy("leader").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("tokens"))
+        sums = sums.where("low <> high").select("leader", "n", ((F.col("n") > BLOCK) | (F.col("tokens") > BLOCK_TOKENS) & (F.col("n") > 2)).alias("large"))
+        left = stored(parts.join(sums, "leader").select("leader", "class", "component", "n", "large"), "several")
+        few = F.col("n") <= SMALL_BUCKET
+        lists = left.where(few).groupBy("leader").agg(F.collect_list(F.struct("class", "component")).alias("members"))
+        pair = lambda m: F.flatten(F.transform(m, lambda x: F.transform(F.filter(m, lambda y: (x["class"] < y["class"]) & (x["component"] != y["component"])), lambda y: F.struct(x["class"].alias("a"), y["class"].alias("b")))))
+        paired = verify(screen(lists.select(F.inline(pair(F.col("members")))).distinct(), sets, percent), sets, percent)
+        compared = left.where(~few & ~F.col("large")).join(sets.select("class", "tokens"), "class").groupBy("leader").applyInArrow(_forest(percent), "a long, b long")
+        found = stored(found.union(paired).union(compared), "found")
+        large = left.where(~few & F.col("large")).select("leader", "class")
+        if large.isEmpty():
+            return found
+        # Equal components need no pairs, so buckets within one are dropped.
+        again = _labelled(_refiled(large, sets), connected(found))
+        apart = again.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("signature")
+        files = stored(again.join(apart, "signature").select("signature", "class"), "shared")
 
 
 def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
