@@ -5,16 +5,17 @@ A scan works on the pairs that the ledger lacks, reads one copy of each such blo
 rows back to every path that has the blob. All of it is DataFrame expressions.
 
 Defined results: a null text is an empty blob; spans are half open and count code points; repeated rows each get the
-findings of their blob; an empty table adds nothing to the ledger. A failed run leaves the ledger as it was or with whole rows, so it can be run again.
+findings of their blob; an empty table adds nothing to the ledger. A failed run leaves the ledger as it was or with whole rows, so it can be run again;
+blobs that two writers have added are read once. Columns of any name pass through redact().
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from .common import fresh_path, let, stored
+from .common import fresh_path, free_name, let, stored
 
 #: kind -> pattern, group whose length counts, least length. Fixed values; the first three are the base kinds.
 RULES = {
@@ -27,16 +28,17 @@ RULES = {
 BASE = ("assign", "access", "hex")
 VERSION = "rules-1"
 _SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
+_LEDGER = f"blob string, spans {_SPANS}, version string"
+#: Code points of a block of a text from which redacted texts are put together.
+BLOCK = 8_192
 
 
-def _starts(parts: Column, matches: Column) -> Column:
-    """Where each match begins: before it stand the parts and matches so far."""
-
-    def step(done: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.get(done, i - 1) + F.length(F.get(matches, i - 1))).otherwise(0)
-        return F.array_append(done, before + F.length(F.get(parts, i)))
-
-    return F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), F.array().cast("array<int>"), step)
+def _running(values: Column, join) -> Column:
+    """Running joins of an array, for a join that is associative: at each step the reach doubles, so that k values
+    take k log k steps."""
+    none = F.lit(0)
+    step = lambda a, d: F.when(F.size(a) > d, F.transform(a, lambda v, i: join(v, F.coalesce(F.get(a, i - d), none)))).otherwise(a)
+    return F.aggregate(F.array(*(F.lit(1 << k) for k in range(31))), values.cast("array<int>"), step)
 
 
 def _spans_of(text: Column, kind: str) -> Column:
@@ -44,16 +46,19 @@ def _spans_of(text: Column, kind: str) -> Column:
     rank = list(RULES).index(kind)
 
     def located(matches: Column) -> Column:
-        def placed(starts: Column) -> Column:
+        # What stands before the end of a match: the parts and matches so far.
+        reach = lambda parts: _running(F.transform(matches, lambda m, i: F.length(F.get(parts, i)) + F.length(m)), lambda x, y: x + y)
+
+        def placed(ends: Column) -> Column:
             values = F.regexp_extract_all(text, F.lit(pattern), group) if group else matches
 
             def kept(values: Column) -> Column:
-                spans = F.transform(starts, lambda s, i: F.struct(s.alias("start"), F.lit(rank).alias("rank"), (s + F.length(F.get(matches, i))).alias("end"), F.lit(kind).alias("kind")))
+                spans = F.transform(ends, lambda e, i: F.struct((e - F.length(F.get(matches, i))).alias("start"), F.lit(rank).alias("rank"), e.alias("end"), F.lit(kind).alias("kind")))
                 return F.filter(spans, lambda _, i: F.length(F.get(values, i)) >= least)
 
             return let(values, kept)
 
-        return F.when(F.size(matches) == 0, F.array().cast(_SPANS)).otherwise(let(_starts(F.split(text, pattern, -1), matches), placed))
+        return F.when(F.size(matches) == 0, F.array().cast(_SPANS)).otherwise(let(let(F.split(text, pattern, -1), reach), placed))
 
     return let(F.regexp_extract_all(text, F.lit(pattern), 0), located)
 
@@ -71,22 +76,29 @@ def blob_of(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def _known(spark: SparkSession, ledger: str, version: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(_LEDGER).parquet(ledger).where(F.col("version") == version)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None  # no ledger yet
+
+
 def scan(docs: DataFrame, ledger: str, id_col: str = "doc_id", text_col: str = "text", version: str = VERSION) -> DataFrame:
-    """Brings the ledger at that path up to date with docs; returns its rows of this version: blob, spans."""
+    """Brings the ledger at that path up to date with docs; returns its rows of this version, each blob once: blob, spans."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("blob", blob_of(F.col("text")))
     readers = texts.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))  # of equal blobs, the row that is read
-    try:
-        seen = spark.read.parquet(ledger).where(F.col("version") == version).select("blob")
-        readers = readers.join(seen, "blob", "left_anti")
-    except AnalysisException:  # no ledger yet
-        pass
+    known = _known(spark, ledger, version)
+    if known is not None:
+        readers = readers.join(known.select("blob"), "blob", "left_anti")
     same = texts["doc_id"].eqNullSafe(readers["doc_id"]) & (texts["blob"] == readers["blob"])
     unseen = texts.join(readers.hint("shuffle_hash"), same, "left_semi")
     found = unseen.select("blob", find_spans(F.col("text")).alias("spans")).dropDuplicates(["blob"])
     found.withColumn("version", F.lit(version)).write.mode("append").parquet(ledger)
-    return spark.read.parquet(ledger).where(F.col("version") == version).select("blob", "spans")
+    return stored(_known(spark, ledger, version).select("blob", "spans").dropDuplicates(["blob"]), "findings")
 
 
 def report(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,22 +112,42 @@ def report(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", t
     return paths.join(found, "blob", "left").select("doc_id", *map(count, BASE), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(spans).alias("spans"))
 
 
+def report_in_two_scans(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """report() of all of docs with a ledger that has seen the rows up to the middle id before: the second scan reads only
+    the blobs that the first has not."""
+    ledger = ledger or fresh_path(docs.sparkSession, "ledger")
+    middle = docs.select(F.percentile_approx(F.col(id_col), 0.5)).first()[0]
+    scan(docs.where(F.col(id_col) <= F.lit(middle)), ledger, id_col, text_col)
+    return report(docs, ledger, id_col, text_col)
+
+
+def _cleaned(text: Column, spans: Column, mark: str) -> Column:
+    """text with mark in the place of each run of overlapping spans, put together from its blocks in one go."""
+
+    def piece(blocks: Column, start: Column, end: Column) -> Column:
+        first, last = (F.floor(x / BLOCK).cast("int") for x in (start, end - 1))
+        inside = lambda j: F.substring(F.get(blocks, j), F.greatest(start - j * BLOCK, F.lit(0)) + 1, F.least(end, (j + 1) * BLOCK) - F.greatest(start, j * BLOCK))
+        return F.when(end > start, F.array_join(F.transform(F.sequence(first, last), inside), "")).otherwise("")
+
+    def built(blocks: Column) -> Column:
+        def joined(ends: Column) -> Column:
+            before = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0))
+            part = lambda s, i: F.when(s["start"] >= before(i), F.concat(piece(blocks, before(i), s["start"]), F.lit(mark))).otherwise("")
+            return F.concat(F.array_join(F.transform(spans, part), ""), piece(blocks, before(F.size(ends)), F.length(text)))
+
+        return let(_running(F.transform(spans, lambda s: s["end"]), F.greatest), joined)
+
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), 0), built)
+
+
 def redact(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of its texts replaced by mark (overlapping spans by one), all other columns untouched."""
     found = scan(docs, ledger or fresh_path(docs.sparkSession, "ledger"), id_col, text_col).where(F.size("spans") > 0)
+    key, row_id, row_blob, row_spans = (free_name(docs, x) for x in ("key", "row_id", "row_blob", "row_spans"))
     blob = blob_of(F.coalesce(F.col(text_col), F.lit("")))
-    paths = docs.select(F.col(id_col).alias("_id"), blob.alias("_blob")).distinct()
-    marked = stored(paths.join(found, paths["_blob"] == found["blob"]).select("_id", "_blob", F.col("spans").alias("_spans")), "findings")
-    text = F.col(text_col)
-
-    def step(done: Column, span: Column) -> Column:
-        fresh = span["start"] >= done["at"]
-        out = F.when(fresh, F.concat(done["out"], F.substring(text, done["at"] + 1, span["start"] - done["at"]), F.lit(mark))).otherwise(done["out"])
-        return F.struct(out.alias("out"), F.greatest(done["at"], span["end"]).alias("at"))
-
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    rest = lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
-    cleaned = F.when(F.col("_spans").isNull(), text).otherwise(F.aggregate("_spans", start, step, rest))
-    keyed = docs.withColumn("_key", blob)
-    out = keyed.join(marked.hint("shuffle_hash"), keyed[id_col].eqNullSafe(marked["_id"]) & (keyed["_key"] == marked["_blob"]), "left")
-    return out.select(*(cleaned.alias(c) if c == text_col else keyed[c] for c in docs.columns))
+    paths = docs.select(F.col(id_col).alias(row_id), blob.alias(row_blob)).distinct()
+    marked = stored(paths.join(found, paths[row_blob] == found["blob"]).select(row_id, row_blob, F.col("spans").alias(row_spans)), "marked")
+    keyed = docs.withColumn(key, blob)
+    out = keyed.join(marked.hint("shuffle_hash"), keyed[id_col].eqNullSafe(marked[row_id]) & (keyed[key] == marked[row_blob]), "left")
+    text = F.when(F.col(row_spans).isNull(), keyed[text_col]).otherwise(_cleaned(keyed[text_col], F.col(row_spans), mark))
+    return out.select(*(text.alias(c) if c == text_col else keyed[c] for c in docs.columns))

@@ -5,7 +5,7 @@ taken floor(rate) times plus once more with probability frac(rate), drawn from a
 
 Defined results: a null text has size 0; documents without a source form one group, ordered last; a null id is drawn
 like an empty one; equal ids get equal draws, so reruns agree; an empty table gives an empty mix. Other columns pass
-through mix(), which emits each document as often as it is taken.
+through mix(), which emits each document as often as it is taken; an input column mix_copy gives way to the new one.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, is_small, stored
+from .common import WORD, free_name, is_small, stored
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -65,9 +65,11 @@ def copies(doc_id: Column, rate: Column, seed: str = SEED) -> Column:
 
 
 def _with_rates(rows: DataFrame, rates: DataFrame, source_col: str) -> DataFrame:
-    rates = rates.select(F.col("source").alias("_mix_source"), F.col("source_size").alias("_mix_size"), F.col("target").alias("_mix_target"), F.col("rate").alias("_mix_rate"))
+    """rows, and one more column: source_size, target and rate of their source."""
+    key, found = free_name(rows, "mix_source"), free_name(rows, "mix_rates")
+    rates = rates.select(F.col("source").alias(key), F.struct("source_size", "target", "rate").alias(found))
     side = F.broadcast(rates) if is_small(rates, BROADCAST_SOURCES) else rates
-    return rows.join(side, F.col(source_col).eqNullSafe(F.col("_mix_source")), "left")
+    return rows.join(side, rows[source_col].eqNullSafe(side[key]), "left").select(*(rows[c] for c in rows.columns), found)
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -75,12 +77,13 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     sizes = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size")), "sizes")
     rates = stored(targets(sizes), "rates")
     out = _with_rates(sizes, rates, "source")
-    return out.select("doc_id", "size", F.col("_mix_size").alias("source_size"), F.col("_mix_target").alias("target"), (F.col("size") * copies(F.col("doc_id"), F.col("_mix_rate"))).alias("taken"))
+    return out.select("doc_id", "size", F.col("mix_rates.source_size").alias("source_size"), F.col("mix_rates.target").alias("target"), (F.col("size") * copies(F.col("doc_id"), F.col("mix_rates.rate"))).alias("taken"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with its copy number in mix_copy (from 1)."""
     rates = stored(targets(docs.select(F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"))), "rates")
-    out = _with_rates(docs, rates, source_col).withColumn("_mix_n", copies(F.col(id_col), F.col("_mix_rate")))
-    out = out.where("_mix_n > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_n").cast("int"))))
-    return out.select(*docs.columns, "mix_copy")
+    out = _with_rates(docs, rates, source_col)
+    taken = copies(F.col(id_col), F.col(out.columns[-1])["rate"]).cast("int")
+    numbers = F.when(taken > 0, F.sequence(F.lit(1), taken)).otherwise(F.array().cast("array<int>"))
+    return out.select(*(c for c in docs.columns if c.lower() != "mix_copy"), F.explode(numbers).alias("mix_copy"))
