@@ -10,11 +10,13 @@ the test below are compared exactly with every item that shares enough shingles
 Before that, windows that cannot reach the similarity are passed over without loss: windows of w and items of n
 shingles need percent * (w + n) / (100 + percent) shingles in common, so a window must hold at least so many shingles that the benchmark has.
 
-The benchmark is taken in slices of bounded size, each held by every task; documents are read once per slice and never
-shuffled. Words are runs of letters and digits in lower case.
+The benchmark is taken in slices of bounded size, each held by every task. A benchmark of one slice takes one pass over the
+documents and shuffles nothing. With several slices one pass goes before, which keeps the documents that hold enough shingles
+of any item, by a Bloom filter of fixed size; only those are searched for each slice. Words are runs of letters and digits in lower case.
 
 Defined results: null or empty texts and items match nothing; items of fewer than WIDTH words are one shingle and match only as a whole; a document
-shorter than an item is one window; repeated documents and items are each reported; empty tables give no rows.
+shorter than an item is one window; repeated documents and items are each reported; empty tables give no rows; other columns
+pass through drop_leaks() whatever their names.
 """
 
 from __future__ import annotations
@@ -29,12 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name, stored
+
 WIDTH = 5
 PERCENT = 80
 RADIUS = 15
 BLOCKS = 4  # of 16 bits each
 SLICE_ITEMS = 1_024
 SLICE_BYTES = 4 << 20
+#: Bits of the filter of all items' shingles, and how many of them a shingle sets.
+FILTER_BITS = 1 << 27
+FILTER_KEYS = 2
 
 _WORD = re.compile(r"[^\W_]+")
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -75,19 +82,19 @@ class HammingIndex:
         flips = [sum(1 << b for b in c) for r in range(radius // BLOCKS + 1) for c in combinations(range(16), r)]
         flips = np.array(flips, np.int64)
         parts = prints.view(np.uint16).reshape(-1, BLOCKS).astype(np.int64)
-        keys = (parts[:, :, None] ^ flips) | (np.arange(BLOCKS)[None, :, None] << 16)
-        owner = np.repeat(np.arange(len(prints)), BLOCKS * len(flips))
-        order = np.argsort(keys.ravel(), kind="stable")
-        self.owner = owner[order]
-        self.at = np.searchsorted(keys.ravel()[order], np.arange((BLOCKS << 16) + 1))
+        keys = ((parts[:, :, None] ^ flips) | (np.arange(BLOCKS)[None, :, None] << 16)).astype(np.int32).ravel()
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owner = keys[order], (order // (BLOCKS * len(flips))).astype(np.int32)
 
     def query(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (position in prints, stored fingerprint) within the radius, each once."""
-        keys = prints.view(np.uint16).reshape(-1, BLOCKS).astype(np.int64) | (np.arange(BLOCKS) << 16)
-        lo, n = self.at[keys].ravel(), (self.at[keys + 1] - self.at[keys]).ravel()
+        keys = (prints.view(np.uint16).reshape(-1, BLOCKS).astype(np.int32) | (np.arange(BLOCKS, dtype=np.int32) << 16)).ravel()
+        lo = np.searchsorted(self.keys, keys)
+        some = np.flatnonzero(self.keys[np.minimum(lo, len(self.keys) - 1)] == keys)
+        lo, n = lo[some], np.searchsorted(self.keys, keys[some], side="right") - lo[some]
         first = np.cumsum(n) - n
         pick = np.arange(n.sum()) - np.repeat(first, n) + np.repeat(lo, n)
-        pairs = np.unique(np.repeat(np.repeat(np.arange(len(prints)), BLOCKS), n) * len(self.prints) + self.owner[pick])
+        pairs = np.unique(np.repeat(some // BLOCKS, n) * len(self.prints) + self.owner[pick])
         q, s = np.divmod(pairs, len(self.prints))
         near = np.bitwise_count(prints[q] ^ self.prints[s]) <= self.radius
         return q[near], s[near]
@@ -204,13 +211,65 @@ class Searcher:
         return found
 
 
-def slices(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[object, str]]]:
-    """The items in slices of about SLICE_ITEMS and SLICE_BYTES at most, drawn by hash; one is held at a time."""
+class ShingleFilter:
+    """A Bloom filter of the shingles of all items, and how many of them a document that holds an item has at least."""
+
+    def __init__(self, percent: int = PERCENT):
+        from xxhash import xxh3_64_intdigest
+
+        self.digest, self.percent, self.bits, self.least = xxh3_64_intdigest, percent, np.zeros(FILTER_BITS // 8, np.uint8), {}
+
+    def _grams(self, words: list[str], width: int) -> np.ndarray:
+        return shingles(np.array([self.digest(w) for w in words], np.uint64), width)
+
+    def _places(self, grams: np.ndarray) -> Iterator[np.ndarray]:
+        for k in range(FILTER_KEYS):
+            yield (_mix(grams + np.uint64(k)) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+    def add(self, text: str) -> None:
+        if words := words_of(text):
+            width = min(WIDTH, len(words))
+            grams = self._grams(words, width)
+            self.least[width] = min(self.least.get(width, len(grams)), -(-self.percent * len(grams) // 100))
+            for at in self._places(grams):
+                np.bitwise_or.at(self.bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+    def passes(self, text: str | None) -> bool:
+        words = words_of(text)
+        for width, least in self.least.items():
+            grams = self._grams(words, width)
+            if len(grams) >= least and np.logical_and.reduce([self.bits[at >> 3] >> (at & 7) & 1 for at in self._places(grams)]).sum() >= least:
+                return True
+        return False
+
+
+def slices(benchmark: DataFrame, id_col: str, text_col: str) -> tuple[int, Iterator[list[tuple[object, str]]]]:
+    """How many slices of about SLICE_ITEMS and SLICE_BYTES at most, drawn by hash, and their items; one is held at a time."""
     items = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     parts = max(-(-n // SLICE_ITEMS), -(-size // SLICE_BYTES))
-    for k in range(parts):
-        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()]
+    return parts, ([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()] for k in range(parts))
+
+
+def _filtered(docs: DataFrame, text_col: str, filter_: ShingleFilter, wanted: bool) -> DataFrame:
+    """The rows of docs that the filter lets pass, or the others."""
+    shared = docs.sparkSession.sparkContext.broadcast((filter_.percent, filter_.bits, filter_.least))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = ShingleFilter()
+        own.percent, own.bits, own.least = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array([own.passes(t.as_py()) == wanted for t in batch.column(text_col)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _filter_of(benchmark: DataFrame, item_col: str, item_text_col: str, percent: int) -> ShingleFilter:
+    out = ShingleFilter(percent)
+    for items in slices(benchmark, item_col, item_text_col)[1]:
+        for _, text in items:
+            out.add(text)
+    return out
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -218,8 +277,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kinds = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, similarity double, first_word int, n_words int"
-    out = None
-    for items in slices(benchmark, item_col, item_text_col):
+    out, (parts, taken) = None, slices(benchmark, item_col, item_text_col)
+    if parts > 1:
+        docs = stored(_filtered(docs, "text", _filter_of(benchmark, item_col, item_text_col, percent), True), "candidates")
+    for items in taken:
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             searcher, names = Searcher(items, percent), ["doc_id", "item_id", "similarity", "first_word", "n_words"]
@@ -230,19 +291,35 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([ids, rest[0], rest[1].cast(pa.float64()), rest[2].cast(pa.int32()), rest[3].cast(pa.int32())], names=names)
 
         part = docs.mapInArrow(run, schema)
+        part = stored(part, "leaks") if parts > 1 else part  # one slice at a time, so that plans do not pile up
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows of docs in which no item is found, with all their columns; nothing is shuffled."""
-    for items in slices(benchmark, item_col, item_text_col):
+    """The rows of docs in which no item is found, with all their columns. With one slice nothing is shuffled; with
+    several, the candidates are, by a hash of their texts."""
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+    def search(items: list, hits: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             searcher = Searcher(items, percent)
             for batch in batches:
-                clean = [not searcher.search(text.as_py()) for text in batch.column(text_col)]
-                yield batch.filter(pa.array(clean, pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+                found = [bool(searcher.search(text.as_py())) == hits for text in batch.column(text_col)]
+                yield batch.filter(pa.array(found, pa.bool_()))
+
+        return run
+
+    parts, taken = slices(benchmark, item_col, item_text_col)
+    if parts <= 1:
+        for items in taken:
+            docs = docs.mapInArrow(search(items, False), docs.schema)
+        return docs
+    filter_ = _filter_of(benchmark, item_col, item_text_col, percent)
+    candidates = stored(_filtered(docs, text_col, filter_, True), "candidates")
+    texts, key = candidates.select(text_col), free_name(docs, "key")
+    leaks = None
+    for items in taken:
+        part = stored(texts.mapInArrow(search(items, True), texts.schema).select(F.sha2(text_col, 256).alias(key)).distinct(), "leaks")
+        leaks = part if leaks is None else leaks.union(part)
+    kept = candidates.withColumn(key, F.sha2(text_col, 256)).join(leaks.distinct(), key, "left_anti").select(*docs.columns)
+    return _filtered(docs, text_col, filter_, False).unionByName(kept)
