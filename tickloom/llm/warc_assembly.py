@@ -2,8 +2,8 @@
 
 Each page becomes three records: a request and a metadata record that name, in WARC-Concurrent-To, the response or
 revisit record of the same capture. The archives are written by Spark's text writer (a record is headers, an empty line,
-the block, and the two line ends that the writer puts between rows), as gzip files of a bounded number of records, and read back as
-binary files by a parser that follows Content-Length. Assembly joins the three kinds by identifier, then revisits to the
+the block, and the two line ends that the writer puts between rows), as gzip files of about FILE_BYTES of payloads that begin with a
+warcinfo record, and read back as binary files by a parser that inflates as it goes and follows Content-Length. Assembly joins the three kinds by identifier, then revisits to the
 response that they refer to, and emits one nested row per capture.
 
 Defined results: a null html is an empty payload; a null page_id is kept as null and is never the largest unless all are;
@@ -25,7 +25,10 @@ from pyspark.sql import functions as F
 from .common import fresh_path, stored
 
 MIN_PAYLOAD = 0
-RECORDS_PER_FILE = 3_000
+#: Pages are dealt to files by hash, so that a file holds about so many bytes of payloads; and no more than so many records.
+FILE_BYTES = 32 << 20
+RECORDS_PER_FILE = 30_000
+INFLATE = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 END = "\r\n"
 
@@ -56,18 +59,18 @@ def write_archives(pages: DataFrame, path: str, min_payload: int = MIN_PAYLOAD)
     html = F.coalesce(F.col("html"), F.lit(""))
     key = F.unhex(F.md5(F.concat_ws("\x01", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.coalesce(F.col("url"), F.lit("\x02")), F.sha1(html))))
     rows = pages.select("page_id", "url", html.alias("html"), key.alias("key"))
-    nth = F.row_number().over(Window.partitionBy("key").orderBy("key"))
-    meta = stored(rows.select("page_id", "key", F.octet_length("html").alias("bytes"), F.unhex(F.sha1("html")).alias("digest")), "captures").withColumn("nth", nth)
-    # Of equal payloads one struct is the largest: by page_id, then the earliest repetition. Summed up before the shuffle.
-    order = F.struct(F.col("page_id"), (-F.col("nth")).alias("n"), F.col("key"))
-    first = meta.where(F.col("bytes") >= min_payload).groupBy("digest").agg(F.max(order).alias("top")).select(F.col("digest").alias("of"), F.col("top.key").alias("top_key"), (-F.col("top.n")).alias("top_nth"))
-    roles = meta.join(first, meta["digest"] == first["of"], "left")
-    is_response = F.col("top_key").isNull() | ((F.col("top_key") == F.col("key")) & (F.col("top_nth") == F.col("nth")))
-    roles = stored(roles.select(F.col("key").alias("role_key"), F.col("nth").alias("role_nth"), "bytes", "digest", is_response.alias("full"), F.when(~is_response, _record_id(F.col("top_key"), F.col("top_nth"), "response")).alias("original")), "roles")
-
-    placed = rows.withColumn("nth", nth)
-    # Repetitions are told apart by a difference, not as a second key: the pages are already dealt by key and stay there.
-    full = placed.join(roles, (placed["key"] == roles["role_key"]) & (placed["nth"] - roles["role_nth"] == 0))
+    sizes = rows.groupBy("key").agg(F.first("page_id").alias("page_id"), F.first(F.octet_length("html")).alias("bytes"), F.first(F.unhex(F.sha1("html"))).alias("digest"), F.count(F.lit(1)).alias("times"))
+    meta = stored(sizes, "captures")
+    # Of equal payloads one struct is the largest. Equal rows have one key; the first of them stands for the others.
+    first = meta.where(F.col("bytes") >= min_payload).groupBy("digest").agg(F.max(F.struct("page_id", "key")).alias("top")).select(F.col("digest").alias("of"), F.col("top.key").alias("top_key"))
+    roles = meta.join(first, meta["digest"] == first["of"], "left").select(F.col("key").alias("role_key"), "bytes", "digest", "top_key")
+    total = meta.agg(F.coalesce(F.sum(F.col("bytes") * F.col("times")), F.lit(0))).first()[0]
+    n_files = max(-(-total // FILE_BYTES), pages.sparkSession.sparkContext.defaultParallelism)
+
+    placed = rows.repartition(n_files, "key").withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("key")))
+    full = placed.join(roles, placed["key"] == roles["role_key"])
+    is_response = F.col("top_key").isNull() | ((F.col("top_key") == F.col("key")) & (F.col("nth") == 1))
+    full = full.withColumn("full", is_response).withColumn("original", F.when(~F.col("full"), _record_id(F.col("top_key"), F.lit(1), "response")))
     uri = F.regexp_replace(F.coalesce(F.col("url"), F.lit("about:blank")), "[\\x00-\\x20\\x7F]", "%20")
     host = F.coalesce(F.regexp_extract(uri, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
     target = F.concat(F.lit("/"), F.regexp_extract(uri, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/?([^#]*)", 1))
@@ -75,40 +78,65 @@ def write_archives(pages: DataFrame, path: str, min_payload: int = MIN_PAYLOAD)
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.col("bytes").cast("string"), F.lit(END + END))
     digest = ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("digest"))))
     revisit = ("WARC-Profile", F.when(~F.col("full"), F.lit("http://netpreserve.org/warc/1.0/revisit/identical-payload-digest")))
+    heads_file = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0  # the first row of its task
+    about = F.concat_ws(END, F.lit("software: tickloom"), F.lit("format: WARC File Format 1.0"), F.lit(""))
+    info = _record(F.lit("warcinfo"), _record_id(F.col("key"), F.col("nth"), "warcinfo"), [("Content-Type", F.lit("application/warc-fields"))], about)
     records = F.array(
         _record(F.lit("request"), _record_id(F.col("key"), F.col("nth"), "request"), [("WARC-Concurrent-To", main), to, ("Content-Type", F.lit("application/http; msgtype=request"))], F.concat(F.lit("GET "), target, F.lit(f" HTTP/1.1{END}Host: "), host, F.lit(END + END))),
         _record(F.when(F.col("full"), F.lit("response")).otherwise(F.lit("revisit")), main, [to, ("Content-Type", F.lit("application/http; msgtype=response")), digest, revisit, ("WARC-Refers-To", F.col("original"))], F.concat(http, F.when(F.col("full"), F.col("html")).otherwise(F.lit("")))),
         _record(F.lit("metadata"), _record_id(F.col("key"), F.col("nth"), "metadata"), [("WARC-Concurrent-To", main), to, ("Content-Type", F.lit("application/warc-fields"))], F.concat_ws(END, F.concat(F.lit("page-id: "), F.col("page_id").cast("string")), F.concat(F.lit("payload-bytes: "), F.col("bytes").cast("string")), F.lit(""))),
     )
+    records = F.when(heads_file, F.concat(F.array(info), records)).otherwise(records)
     full.select(F.explode(records).alias("value")).write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
-def _inflated(data: bytes) -> bytes:
+def _inflated(data: bytes) -> Iterator[bytes]:
+    """The content of an archive, compressed or not, in parts."""
     if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data:  # one member after the other
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(data))
-        data = member.unused_data
-    return b"".join(out)
-
-
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
-    """Headers (names in lower case) and block of each record of one archive."""
-    data, at = _inflated(data), 0
-    view = memoryview(data)
-    while (at := data.find(b"WARC/", at)) >= 0:
-        head = data.find(b"\r\n\r\n", at)
-        if head < 0:
-            return
+        yield from (data[i : i + INFLATE] for i in range(0, len(data), INFLATE))
+        return
+    member = zlib.decompressobj(31)
+    for at in range(0, len(data), INFLATE):
+        rest = data[at : at + INFLATE]
+        while rest:
+            if member.eof:  # one member after the other
+                member = zlib.decompressobj(31)
+            if part := member.decompress(rest, INFLATE):
+                yield part
+            rest = member.unused_data if member.eof else member.unconsumed_tail
+
+
+def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and block of each record of one archive; no more than a record is held inflated. A
+    record that the archive does not hold to its end is left out."""
+    parts, held = _inflated(data), bytearray()
+
+    def more() -> bool:
+        part = next(parts, b"")
+        held.extend(part)
+        return bool(part)
+
+    while True:
+        while (start := held.find(b"WARC/")) < 0:
+            del held[: max(len(held) - 4, 0)]
+            if not more():
+                return
+        del held[:start]
+        seen = 0
+        while (head := held.find(b"\r\n\r\n", seen)) < 0:
+            seen = max(len(held) - 3, 0)
+            if not more():
+                return
         headers = {}
-        for line in data[at:head].decode("utf-8", "replace").split(END)[1:]:
+        for line in held[:head].decode("utf-8", "replace").split(END)[1:]:
             name, _, value = line.partition(":")
             headers[name.strip().lower()] = value.strip()
-        begin = head + 4
-        at = begin + int(headers.get("content-length", 0))
-        yield headers, view[begin:at]
+        end = head + 4 + int(headers.get("content-length", 0))
+        while len(held) < end:
+            if not more():
+                return
+        yield headers, bytes(held[head + 4 : end])
+        del held[:end]
 
 
 def read_records(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
@@ -122,7 +150,7 @@ def read_records(spark: SparkSession, path: str, payload: bool = True) -> DataFr
                 out: list[tuple] = []
                 held = 0
                 for h, block in parse_records(content.as_py()):
-                    kind, body, fields = h.get("warc-type"), bytes(block), None
+                    kind, body, fields = h.get("warc-type"), block, None
                     if h.get("content-type", "").startswith("application/http"):
                         body = body.partition(b"\r\n\r\n")[2]
                     elif h.get("content-type") == "application/warc-fields":
