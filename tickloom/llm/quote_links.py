@@ -1,16 +1,16 @@
 """Quotation linking: messages that quote each other, as conversations in reply order without the quotes.
 
 Lines that begin with `>` are quoted; the number of marks is the level, and neighbouring lines of a level form a passage.
-Passages and the messages' own words are cut into sentences, normalised (lower case, letters and digits only, single
-spaces) and hashed, so that wrapped quotes still match; the lines of each sentence are further keys, so that single lines of
+Passages and the messages' own words are normalised (lower case, letters and digits only, single spaces) and hashed, as a
+whole and by sentence, so that wrapped quotes still match; the lines of each sentence are further keys, so that single lines of
 lists, code or verse match too. Each key is joined to the latest earlier message of its conversation that has it; the lines
-of a quoted sentence count only if nobody said it whole. A passage belongs to the message that most of its keys lead to (the
-latest of equals).
+of a quoted sentence count only if nobody said it whole. A key counts by its length, so that a quoted paragraph outweighs a
+"yes", and a passage belongs to the message that its keys lead to with the most (the latest of equals).
 A message answers the original of its outermost linked passage, or else the message before it. All of it is DataFrame
 expressions.
 
-Defined results: messages are put in order of turn (null first), role, text, so repeated rows stay apart; null texts are empty bodies; rows without
-a conv_id form one conversation; quotes of nothing known count as quotes but link to nothing; an empty table gives no
+Defined results: messages are put in order of turn (null first), role, text, so repeated rows stay apart; null texts are empty bodies; a row without
+a conv_id is a conversation of its own; quotes of nothing known count as quotes but link to nothing; an empty table gives no
 rows. Other columns are left out.
 """
 
@@ -42,17 +42,18 @@ def body_of(lines: Column) -> Column:
 
 
 def keys_of(text: Column) -> Column:
-    """nth, whole, key of the sentences of a text, and of the lines of those that have several; each key once per kind."""
+    """nth, whole, key of a text (nth -1), of its sentences, and of the lines of those that have several."""
     plain = lambda s: F.btrim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " "))
     key = lambda n, whole, s: F.struct(n.alias("nth"), F.lit(whole).alias("whole"), plain(s).alias("key"))
     lines = lambda s, n: F.transform(F.split(s, r"\n"), lambda x: key(n, False, x))
     keys = lambda s, n: F.when(F.instr(s, "\n") > 0, F.concat(F.array(key(n, True, s)), lines(s, n))).otherwise(F.array(key(n, True, s)))
-    return F.filter(F.flatten(F.transform(F.split(text, ENDS), keys)), lambda k: k["key"] != "")
+    sentences = F.flatten(F.transform(F.split(text, ENDS), keys))
+    return F.filter(F.concat(F.array(key(F.lit(-1), True, text)), sentences), lambda k: k["key"] != "")
 
 
 def messages_of(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, role, body, lines (of messages with quotes), conv, pos."""
-    conv = F.coalesce(F.col("conv_id").cast("string"), F.lit("\x00"))
+    conv = F.coalesce(F.col("conv_id").cast("string"), F.concat(F.lit("\x00"), F.monotonically_increasing_id().cast("string")))
     pos = F.row_number().over(Window.partitionBy("conv").orderBy("turn", "role", "text")).cast("long")
     parsed = let(lines_of(F.col("text")), lambda ls: F.struct(body_of(ls).alias("body"), F.when(F.exists(ls, lambda x: x["level"] > 0), ls).alias("lines")))
     rows = conversations.select("conv_id", "turn", "role", "text", conv.alias("conv")).withColumn("pos", pos)
@@ -70,18 +71,18 @@ def passages_of(messages: DataFrame) -> DataFrame:
 
 
 def link(messages: DataFrame, passages: DataFrame) -> DataFrame:
-    """conv, pos, passage, level, original (pos of the quoted message, or null), matched keys."""
+    """conv, pos, passage, level, original (pos of the quoted message, or null), matched (length of the matching keys)."""
     quoted = passages.select("conv", "pos", "passage", "level", F.inline(keys_of(F.col("text"))))
-    quoted = quoted.select("conv", F.xxhash64("key").alias("hash"), "pos", "passage", "level", "nth", "whole")
+    quoted = quoted.select("conv", F.xxhash64("key").alias("hash"), "pos", "passage", "level", "nth", "whole", F.length("key").alias("size"))
     said = messages.join(passages.select("conv").distinct(), "conv", "left_semi").select("conv", "pos", F.explode(F.array_distinct(F.transform(keys_of(F.col("body")), lambda k: k["key"]))).alias("key"))
-    said = said.select("conv", F.xxhash64("key").alias("hash"), "pos", *(F.lit(None).cast(t).alias(c) for c, t in (("passage", "long"), ("level", "int"), ("nth", "int"), ("whole", "boolean"))))
+    said = said.select("conv", F.xxhash64("key").alias("hash"), "pos", *(F.lit(None).cast(t).alias(c) for c, t in (("passage", "long"), ("level", "int"), ("nth", "int"), ("whole", "boolean"), ("size", "int"))))
     # Per key in order of messages, quotes before the message's own words: the latest earlier message that has it.
     order = Window.partitionBy("conv", "hash").orderBy("pos", F.col("passage").isNull()).rowsBetween(Window.unboundedPreceding, 0)
     both = quoted.unionByName(said).withColumn("original", F.last(F.when(F.col("passage").isNull(), F.col("pos")), ignorenulls=True).over(order))
     found = both.where("passage IS NOT NULL AND original IS NOT NULL")
     said_whole = F.max("whole").over(Window.partitionBy("conv", "pos", "passage", "nth"))
-    found = found.withColumn("said_whole", said_whole).where("whole OR NOT said_whole").select("conv", "pos", "passage", "original", "hash").distinct()
-    votes = found.groupBy("conv", "pos", "passage", "original").agg(F.count(F.lit(1)).alias("matched"))
+    found = found.withColumn("said_whole", said_whole).where("whole OR NOT said_whole").select("conv", "pos", "passage", "original", "hash", "size").distinct()
+    votes = found.groupBy("conv", "pos", "passage", "original").agg(F.sum("size").alias("matched"))
     best = votes.groupBy("conv", "pos", "passage").agg(F.max(F.struct("matched", "original")).alias("best"))
     return passages.select("conv", "pos", "passage", "level").join(best, ["conv", "pos", "passage"], "left").select("conv", "pos", "passage", "level", F.col("best.original").alias("original"), F.col("best.matched").alias("matched"))
 
