@@ -24,7 +24,7 @@ START_ACCURACY = 0.8
 START_PRIOR = 0.9
 #: A rule is never taken as worse than this, so the two classes cannot change places, nor as certain.
 ACCURACY_RANGE = (0.6, 0.98)
-PRIOR_RANGE = (0.5, 0.98)
+PRIOR_RANGE = (0.02, 0.98)
 ROUNDS = 50
 
 _STATS = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,n_lines:bigint,n_upper:bigint,n_digits:bigint>"
