@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import decontaminate, jaccard_join, quality_rules, secret_ledger, source_mix
-from tickloom.llm.common import stored, table
+from tickloom.llm.common import free_name, stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +30,9 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in the texts; n_chars follows where a text has changed."""
-    out = secret_ledger.redact(docs.withColumn("_before", F.length("text")))
-    n_chars = F.when(F.length("text") != F.col("_before"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    before = free_name(docs, "before")
+    out = secret_ledger.redact(docs.withColumn(before, F.length("text")))
+    n_chars = F.when(F.length("text") != F.col(before), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
