@@ -75,6 +75,15 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x.isNotNull(), F.when(x >= 0, 1 - tail).otherwise(tail))
 
 
+def portable_int(i: Column) -> Column:
+    """A number below 2**31 - 1 for each draw number, from integer arithmetic that any SQL engine repeats."""
+    p = F.lit(2147483647).cast("long")
+    i = i.cast("long") % p
+    x = (48271 * i + 12345) % p
+    x = (x * x + 16807 * i + 1) % p
+    return (x * x + 69621) % p
+
+
 def portable_normal(i: Column) -> Column:
     """A standard normal for each draw number below 2**31, from integer arithmetic that any SQL engine repeats."""
     p = F.lit(2147483647).cast("long")

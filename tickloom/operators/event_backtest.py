@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import bars_order, last_bars, ratio
+from ..functions.expr import bars_order, last_bars, ratio, so_far
 from .backtest import locked_at_limit
 
 
@@ -125,6 +125,24 @@ def run_trades(signals: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return prepare(signals, rules).groupBy("symbol").applyInPandas(_per_symbol(rules, "trades"), TRADES)
 
 
+def plain_trades(signals: DataFrame) -> DataFrame:
+    """run_trades() for the rules without stops, limits, lots or locks, by windows alone: a position is the last of buying
+    and selling signals that could be filled at the next open; what is still held is sold at the last close."""
+    order, fill = bars_order(), F.lead("open").over(bars_order())
+    mark = F.when(fill.isNull(), None).when(F.col("signal") == "BUY", 1).when(F.col("signal").isin("SELL", "EXIT"), 0)
+    df = signals.select("symbol", "ts", "close", mark.alias("_mark"), fill.alias("_fill"), F.lead("ts").over(order).alias("_day"))
+    df = df.withColumn("_held", F.coalesce(F.last("_mark", ignorenulls=True).over(so_far()), F.lit(0)))
+    df = df.withColumn("_was", F.lag("_held", 1, 0).over(order)).withColumn("_trade", F.sum(((F.col("_held") == 1) & (F.col("_was") == 0)).cast("int")).over(so_far()))
+    last = df.groupBy("symbol").agg(F.max_by(F.struct(F.col("ts").alias("day"), F.col("close").alias("price")), "ts").alias("_end"))
+    order_of = lambda held: F.max(F.when((F.col("_held") == held) & (F.col("_was") == 1 - held), F.struct(F.col("_day").alias("day"), F.col("_fill").alias("price"))))
+    deals = df.where("_trade > 0").groupBy("symbol", "_trade").agg(order_of(1).alias("_in"), order_of(0).alias("_out")).join(last, "symbol")
+    out = F.coalesce("_out", "_end")
+    return deals.select(
+        "symbol", F.col("_in.day").alias("entry"), out["day"].alias("exit"), F.col("_in.price").alias("entry_price"), out["price"].alias("exit_price"),
+        ((out["price"] / F.col("_in.price") - 1) * 100).alias("return_pct"), F.when(F.col("_out").isNull(), "end_of_data").otherwise("signal").alias("exit_reason"),
+    )
+
+
 def run_equity(signals: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return prepare(signals, rules).groupBy("symbol").applyInPandas(_per_symbol(rules, "equity"), EQUITY)
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import bars_order, back, change, clip, last_bars, ratio, rolling
 
-CHUNK = 512
+#: q ** -CHUNK must be a double for every span from 2.
+CHUNK = 256
 
 
 def zscore(df: DataFrame, window: int = 20, z_entry: float = 1.5, z_exit: float = 0.5) -> DataFrame:
@@ -70,34 +73,40 @@ def atr(df: DataFrame, window: int = 14) -> DataFrame:
     return df.withColumn("atr_ratio", ratio(rolling(F.avg, "true_range", window), "close"))
 
 
-def ewm(df: DataFrame, column: str, span: int, out: str) -> DataFrame:
-    """Exponential mean that starts at the first value: y = a x + (1 - a) y before, a = 2 / (span + 1).
+def ewm_many(df: DataFrame, means: dict[str, tuple[str, int]]) -> DataFrame:
+    """Exponential means, out -> (column without nulls, span), that start at the first value: y = a x + (1 - a) y before,
+    a = 2 / (span + 1).
 
-    A scan in two levels: each chunk of CHUNK bars is folded on its own, the last values of the chunks are folded per
-    symbol, and what a chunk inherits is added with its decay. No array holds more than a chunk or one value per chunk.
+    All are windows over one shuffle. Within chunks of CHUNK bars a mean is a running sum of values scaled by q ** -place,
+    q = 1 - a, times q ** place. The value at the end of a chunk adds those of the chunks before, found by lags of whole
+    chunks and scaled by q ** CHUNK each, until their share is below the precision of a double; the next chunk inherits it.
     """
-    a = 2.0 / (span + 1)
-    df = df.withColumn("_n", F.row_number().over(bars_order()) - 1).withColumn("_chunk", F.floor(F.col("_n") / CHUNK).cast("long"))
-    rows = F.sort_array(F.collect_list(F.struct(F.col("_n"), F.col(column).cast("double").alias("x"))))
-    chunks = df.groupBy("symbol", "_chunk").agg(rows.alias("rows"))
-    start = F.struct(F.array().cast("array<double>").alias("ys"), F.lit(0.0).alias("y"))
-
-    def step(done, row):
-        y = F.when(row["_n"] == 0, row["x"]).otherwise(a * row["x"] + (1 - a) * done["y"])
-        return F.struct(F.array_append(done["ys"], y).alias("ys"), y.alias("y"))
-
-    chunks = chunks.withColumn("folded", F.aggregate("rows", start, step))
-    ends = chunks.select("symbol", F.struct("_chunk", F.col("folded.y").alias("y"), F.size("rows").alias("n")).alias("e")).groupBy("symbol").agg(F.sort_array(F.collect_list("e")).alias("es"))
-    first = F.struct(F.array().cast("array<double>").alias("carried"), F.lit(0.0).alias("y"))
-    carry = F.aggregate("es", first, lambda done, e: F.struct(F.array_append(done["carried"], done["y"]).alias("carried"), (e["y"] + F.pow(F.lit(1 - a), e["n"]) * done["y"]).alias("y")), lambda done: done["carried"])
-    carries = ends.select("symbol", F.posexplode(carry).alias("_chunk", "_carry")).withColumn("_chunk", F.col("_chunk").cast("long"))
-    values = chunks.join(carries, ["symbol", "_chunk"]).select("symbol", "_carry", F.inline(F.arrays_zip("rows", F.col("folded.ys").alias("y"))))
-    values = values.select("symbol", F.col("rows._n").alias("_n"), (F.col("y") + F.pow(F.lit(1 - a), (F.col("rows._n") % CHUNK + 1).cast("double")) * F.col("_carry")).alias(out))
-    return df.drop("_chunk").join(values, ["symbol", "_n"]).drop("_n")
+    order = bars_order()
+    inside = Window.partitionBy("symbol", "_chunk").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    kept = df.columns
+    df = df.withColumn("_n", F.row_number().over(order) - 1).withColumn("_chunk", F.floor(F.col("_n") / CHUNK)).withColumn("_k", (F.col("_n") % CHUNK).cast("double"))
+    decay = {out: 1 - 2.0 / (span + 1) for out, (_, span) in means.items()}
+    weight = lambda q: F.when(F.col("_n") == 0, 1.0).otherwise(1 - q)
+    fading = {out: q for out, q in decay.items() if q > 0}
+    df = df.withColumns({f"_{out}": F.sum(weight(q) * F.col(means[out][0]) * F.pow(F.lit(q), -F.col("_k"))).over(inside) * F.pow(F.lit(q), F.col("_k")) for out, q in fading.items()})
+
+    def end(out: str, q: float):
+        reach = math.ceil(60 * math.log(2) / (-CHUNK * math.log(q)))
+        return sum((F.coalesce(F.lag(f"_{out}", j * CHUNK).over(order), F.lit(0.0)) * q ** (CHUNK * j) for j in range(1, reach + 1)), F.col(f"_{out}"))
+
+    df = df.withColumns({f"_{out}_end": F.when(F.col("_k") == CHUNK - 1, end(out, q)) for out, q in fading.items()})
+    carried = {out: F.coalesce(F.last(f"_{out}_end", ignorenulls=True).over(before), F.lit(0.0)) for out in fading}
+    made = {out: (F.col(f"_{out}") + carried[out] * F.pow(F.lit(q), F.col("_k") + 1) if q > 0 else F.col(means[out][0])) for out, q in decay.items()}
+    return df.select(*kept, *(c.alias(out) for out, c in made.items()))
+
+
+def ewm(df: DataFrame, column: str, span: int, out: str) -> DataFrame:
+    return ewm_many(df, {out: (column, span)})
 
 
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    df = ewm(ewm(df, "close", fast, "_fast"), "close", slow, "_slow").withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
+    df = ewm_many(df, {"_fast": ("close", fast), "_slow": ("close", slow)}).withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
     return ewm(df, "macd", signal, "macd_signal")
 
 

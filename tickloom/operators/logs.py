@@ -48,3 +48,20 @@ def weekly_league(positions: DataFrame, min_days: int = 10) -> DataFrame:
     rets = weeks.withColumn("ret", F.round(ratio("equity", F.lag("equity").over(order)) - 1, 9))
     placed = arena.league(rets, ("symbol", "week"), "ret")
     return placed.groupBy("symbol", "strategy").agg(F.sum("league_points").cast("long").alias("league_points"), F.count(F.lit(1)).alias("weeks"))
+
+
+def journal_rows(trades: DataFrame) -> DataFrame:
+    """Open entries of a journal: symbol, entry, entry_price, status."""
+    return trades.select("symbol", "entry", "entry_price", F.lit("OPEN").alias("status"))
+
+
+def close_rows(journal: DataFrame, exits: DataFrame) -> DataFrame:
+    """The journal with the open entries that have an exit(symbol, entry, exit, exit_price) closed; closed ones stay."""
+    done = exits.select("symbol", "entry", "exit", "exit_price")
+    out = journal.join(done, ["symbol", "entry"], "left")
+    status = F.when(F.col("exit").isNotNull(), "CLOSED").otherwise(F.col("status"))
+    return out.withColumns({"return_pct": (ratio("exit_price", "entry_price") - 1) * 100, "status": status})
+
+
+def without_rows(log: DataFrame, struck: DataFrame, keys: list[str]) -> DataFrame:
+    return log.join(struck, keys, "left_anti")

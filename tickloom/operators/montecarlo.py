@@ -45,6 +45,6 @@ def prob_up(df: DataFrame, horizon: int = 15, window: int = 90) -> DataFrame:
     df = df.withColumn("_r", log_of("close") - back(log_of("close")))
     w = last_bars(window, shift=1)
     full = F.count("_r").over(w) == window
-    mu, sd = F.when(full, F.avg("_r").over(w)), F.when(full, F.stddev_samp("_r").over(w))
-    x = (mu - sd * sd / 2) * horizon / F.nullif(sd * F.sqrt(F.lit(float(horizon))), F.lit(0.0))
-    return df.withColumn("prob_up", normal_cdf(x)).drop("_r")
+    df = df.withColumns({"_mu": F.when(full, F.avg("_r").over(w)), "_sd": F.when(full, F.stddev_samp("_r").over(w))})
+    x = (F.col("_mu") - F.col("_sd") * F.col("_sd") / 2) * horizon / F.nullif(F.col("_sd") * F.sqrt(F.lit(float(horizon))), F.lit(0.0))
+    return df.withColumn("_x", x).withColumn("prob_up", normal_cdf(F.col("_x"))).drop("_r", "_mu", "_sd", "_x")

@@ -89,3 +89,14 @@ def news_sentiment(articles: DataFrame) -> DataFrame:
 def order_ticket(df: DataFrame, capital: float = 1e8, fraction: float = 0.2, lot: int = 100) -> DataFrame:
     """Quantity in whole lots for a fixed fraction of the capital."""
     return df.withColumn("quantity", (F.floor(ratio(F.lit(capital * fraction), "close") / lot) * lot).cast("long")).withColumn("value", F.col("quantity") * F.col("close"))
+
+
+def regime_vote(df: DataFrame, max_spread: float = 0.5) -> DataFrame:
+    """overall by the weights of the column regime, disagree where the parts lie far apart, and a sentence that says so."""
+    parts = {"signal": F.coalesce((F.col("composite") + 1) / 2, F.lit(0.5)), "mc": F.coalesce("prob_profit", F.lit(0.5))}
+    parts |= {"bt": F.coalesce(F.when(F.col("n_trades") >= 3, F.col("win_rate_pct") / 100).otherwise(0.5), F.lit(0.5)), "fund": F.coalesce("fundamental_score", F.lit(0.5))}
+    weights = regime_weights(F.col("regime"))
+    overall = sum((weights[k] * v for k, v in parts.items()), F.lit(0.0))
+    out = df.withColumn("overall", overall).withColumn("disagree", F.greatest(*parts.values()) - F.least(*parts.values()) > max_spread)
+    lean = F.when(F.col("overall") >= 0.55, "leans up").when(F.col("overall") <= 0.45, "leans down").otherwise("is undecided")
+    return out.withColumn("narrative", F.concat(F.col("symbol"), F.lit(" "), lean, F.lit(" in a "), F.col("regime"), F.lit(" volatility regime"), F.when(F.col("disagree"), ", but its parts disagree.").otherwise(".")))

@@ -348,3 +348,104 @@ for name, tail in {
     base = ORACLES["event_backtest_base"]
     cut = base.rindex("SELECT symbol, CAST(next_ts")
     ORACLES[name] = f"{base[:cut].rstrip()}, tt AS (SELECT symbol, CAST(next_ts AS DATE) AS entry, (coalesce(out, end_close) / fill - 1) * 100 AS return_pct FROM x WHERE held = 1) {tail}"
+
+# ---- evaluation
+
+base = ORACLES["event_backtest_base"]
+TRADES = f"""{base[: base.rindex("SELECT symbol, CAST(next_ts")].rstrip()}, tr AS (
+  SELECT symbol, next_ts AS entry, coalesce(out_ts, end_ts) AS exit, fill AS entry_price, coalesce(out, end_close) AS exit_price, (coalesce(out, end_close) / fill - 1) * 100 AS return_pct, CASE WHEN out IS NULL THEN 'end_of_data' ELSE 'signal' END AS exit_reason FROM x WHERE held = 1)"""
+MACD = f"""{ewm('f', 'bars', 'close', 12)}, {ewm('l', 'bars', 'close', 26)},
+mm AS (SELECT n.symbol, n.ts, n.close, f.y - l.y AS macd FROM f_n n JOIN f ON f.symbol = n.symbol AND f.rn = n.rn JOIN l ON l.symbol = n.symbol AND l.rn = n.rn), {ewm('g', 'mm', 'macd', 9)}"""
+
+
+def drawn(i: str) -> str:
+    q1 = f"((48271 * (({i}) % {X}) + 12345) % {X})"
+    q2 = f"(({q1} * {q1} + 16807 * (({i}) % {X}) + 1) % {X})"
+    return f"(({q2} * {q2} + 69621) % {X})"
+
+
+def bootstrap(block: int) -> str:
+    return f"""{TRADES}, nt AS (SELECT symbol, return_pct / 100 AS r, row_number() OVER (PARTITION BY symbol ORDER BY exit, entry) - 1 AS i FROM tr),
+sz AS (SELECT symbol, n, CASE WHEN n > {block} THEN {block} ELSE 1 END AS len, CASE WHEN n > {block} THEN (n + {block} - 1) // {block} ELSE n END AS runs FROM (SELECT symbol, count(*) AS n FROM nt GROUP BY 1)),
+d0 AS (SELECT *, unnest(range(runs)) AS j FROM sz, range(1000) a(sample)), d1 AS (SELECT *, {drawn('sample * runs + j')} % (n - len + 1) AS start FROM d0),
+d2 AS (SELECT *, unnest(range(len)) AS step FROM d1), d3 AS (SELECT symbol, n, sample, start + step AS i FROM d2 WHERE j * len + step < n),
+sm AS (SELECT d3.symbol, d3.sample, any_value(n) AS n, avg(CASE WHEN r > 0 THEN {d(1)} ELSE 0 END) * 100 AS win, (product(1 + r) - 1) * 100 AS total FROM d3 JOIN nt ON nt.symbol = d3.symbol AND nt.i = d3.i GROUP BY 1, 2)
+SELECT symbol, any_value(n) AS n_trades, {', '.join(r(f'quantile_cont({c}, {p / 100})', f'{c}_p{p}', 3) for c in ('win', 'total') for p in (5, 25, 50, 75, 95))}, {r('avg(win)', 'win_mean', 3)}, {r('avg(total)', 'total_mean', 3)} FROM sm GROUP BY 1"""
+
+
+FOLDS = f"""fo0 AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS c FROM {{}}),
+fo AS (SELECT *, CAST((i - 100) // 60 AS INTEGER) AS fold, 100 + ((i - 100) // 60) * 60 AS n_train FROM fo0 WHERE i >= 100 AND 100 + ((i - 100) // 60) * 60 + 60 <= c)"""
+OUTCOMES = f"""oa AS (SELECT *, ln(close) - ln({lag('close')}) AS lr, lead(close, 15) OVER (PARTITION BY symbol ORDER BY ts) AS later FROM c),
+ob AS (SELECT *, {roll('avg', 'lr', 90, 1)} AS mu, {roll('stddev_samp', 'lr', 90, 1)} AS sd FROM oa), oc AS (SELECT *, (mu - sd * sd / 2) * 15 / nullif(sd * sqrt({d(15)}), 0) AS q FROM ob),
+oo AS (SELECT *, {phi('q')} AS p, CASE WHEN later > close THEN {d(1)} WHEN later IS NOT NULL THEN {d(0)} END AS target FROM oc)"""
+OUT = f"{BARS}, {Z}, {MA}, {COMPOSITE}, {OUTCOMES}, ok AS (SELECT * FROM oo WHERE p IS NOT NULL AND target IS NOT NULL)"
+
+
+def held(window: int) -> str:
+    return f"""h{window}a AS (SELECT *, {roll('avg', 'close', 10)} - {roll('avg', 'close', 30)} AS df, (close - {roll('avg', 'close', window)}) / nullif({roll('stddev_samp', 'close', window)}, 0) AS zz FROM bars),
+h{window}b AS (SELECT *, {clip(f"{d(0.5)} * {clip('zz', -3, 3)} / -3 + {d(0.5)} * coalesce(sign(df), 0)", -1, 1)} AS sc FROM h{window}a)"""
+
+
+RUNS = RUN[RUN.index("r1 AS") : RUN.index("t1 AS")].rstrip().rstrip(",")
+
+ORACLES |= {
+    "ml_features_full": f"""WITH RECURSIVE {BARS}, {MACD}, {WITH_BENCH}, x AS (SELECT *, {change('close')} AS ra, {change('bench')} AS rb FROM wb),
+y AS (SELECT symbol, ts, {', '.join(f"{change('close', n)} - {change('bench', n)} AS rel_{n}" for n in (5, 20))},
+CASE WHEN count(CASE WHEN ra IS NOT NULL AND rb IS NOT NULL THEN 1 END) {over(60)} = 60 THEN covar_samp(ra, rb) {over(60)} / nullif(var_samp(rb) {over(60)}, 0) END AS beta FROM x)
+SELECT y.symbol, CAST(y.ts AS DATE) AS day, {r('(n.macd - g.y) / nullif(n.close, 0)', 'macd_hist_pct')}, {r('rel_5', 'rel_5')}, {r('rel_20', 'rel_20')}, {r('beta', 'beta')} FROM y JOIN g_n n ON n.symbol = y.symbol AND n.ts = y.ts JOIN g ON g.symbol = n.symbol AND g.rn = n.rn""",
+    "extended_metrics": f"""WITH {BARS}, {WITH_BENCH}, a AS (SELECT *, close / nullif({lag('close')}, 0) - 1 AS d, bench / nullif({lag('bench')}, 0) - 1 AS b, close / max(close) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM wb),
+g AS (SELECT symbol, count(d) AS n, avg(d) AS m, stddev_samp(d) FILTER (d < 0) AS down, min(dd) AS dd, pow(arg_max(close, ts) / arg_min(close, ts), {d(252)} / count(*)) - 1 AS cagr, count(*) FILTER (d IS NOT NULL AND b IS NOT NULL) AS k,
+  covar_samp(d, b) AS cv, var_samp(b) FILTER (d IS NOT NULL) AS vr, avg(d) FILTER (b IS NOT NULL) AS md, avg(b) FILTER (d IS NOT NULL) AS mb, corr(d, b) AS co FROM a GROUP BY 1)
+SELECT symbol, {r(f'CASE WHEN down > 0 THEN m / down * sqrt({d(252)}) END', 'sortino')}, {r('CASE WHEN dd < 0 THEN cagr / abs(dd) END', 'calmar')}, {r('CASE WHEN k > 20 AND vr > 0 THEN cv / vr END', 'beta')},
+{r('CASE WHEN k > 20 AND vr > 0 THEN (md - cv / vr * mb) * 252 * 100 END', 'alpha_annual_pct')}, {r('CASE WHEN k > 20 AND vr > 0 THEN co END', 'benchmark_corr')} FROM g WHERE n >= 5""",
+    "trade_bootstrap": bootstrap(1),
+    "trade_block_bootstrap": bootstrap(5),
+    "walk_forward_expanding": f"WITH {BARS}, {FOLDS.format('bars')} SELECT symbol, fold, n_train, count(*) AS n_test, CAST(min(ts) AS DATE) AS first_day, CAST(max(ts) AS DATE) AS last_day FROM fo GROUP BY 1, 2, 3",
+    "fold_evaluation": f"""WITH {BARS}, {Z}, {MA}, {COMPOSITE}, hd AS (SELECT symbol, ts, close, CAST({latch("signal = 'BUY'", "signal = 'SELL'")} AS DOUBLE) AS position FROM c), {FOLDS.format('hd')},
+pos AS (SELECT symbol, ts, close, CAST(fold AS VARCHAR) AS strategy, position FROM fo), {RUNS},
+e AS (SELECT *, equity / nullif(lag(equity) OVER ({PS}), 0) - 1 AS daily FROM run)
+SELECT symbol, CAST(strategy AS INTEGER) AS fold, CAST(min(ts) AS DATE) AS first_day, CAST(max(ts) AS DATE) AS last_day, {r('(arg_max(equity, ts) / arg_min(equity, ts) - 1) * 100', 'return_pct')}, {r('avg(position)', 'exposure')},
+{r(f'CASE WHEN stddev_samp(daily) > 0 THEN avg(daily) / stddev_samp(daily) * sqrt({d(252)}) END', 'sharpe')} FROM e GROUP BY symbol, strategy""",
+    "reliability_bins": f"""WITH {OUT}, eg AS (SELECT symbol, list_sort(list_distinct(quantile_cont(p, [{', '.join(str(i / 10) for i in range(11))}]))) AS qs FROM ok GROUP BY 1),
+bn AS (SELECT ok.symbol, p, target, CASE WHEN len(qs) < 3 THEN 0 ELSE len(list_filter(qs[2:-2], lambda e: e < p)) END AS bin FROM ok JOIN eg ON eg.symbol = ok.symbol)
+SELECT symbol, CAST(bin AS INTEGER) AS bin, {r('avg(p)', 'mean_predicted')}, {r('avg(target)', 'mean_actual')}, count(*) AS n FROM bn GROUP BY 1, 2""",
+    "brier_skill": f"""WITH {OUT}, g AS (SELECT symbol, avg((p - target) * (p - target)) AS brier, avg(target) * (1 - avg(target)) AS base, count(*) AS n FROM ok GROUP BY 1), s AS (SELECT *, CASE WHEN base > 1e-9 THEN 1 - brier / base ELSE {d(0)} END AS skill FROM g)
+SELECT symbol, {r('brier', 'brier')}, n, {r('base', 'brier_baseline')}, {r('skill', 'skill')}, {r('greatest(0, least(1, skill))', 'confidence')}, {r(f'{d(0.3)} * greatest(0, least(1, skill))', 'weight')} FROM s""",
+    "meta_features": f"""{TRADES}, {OUTCOMES}, cl AS (SELECT symbol, exit, count(*) AS closed, count(*) FILTER (return_pct > 0) AS won FROM tr GROUP BY 1, 2)
+SELECT oo.symbol, CAST(oo.ts AS DATE) AS day, {r('(composite + 1) / 2', 'vote_signal')}, {r('p', 'vote_mc')}, {r(f"sum(won) OVER (PARTITION BY oo.symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) / nullif(CAST(sum(closed) OVER (PARTITION BY oo.symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS DOUBLE), 0)", 'vote_bt')}, {r('target', 'target')} FROM oo LEFT JOIN cl ON cl.symbol = oo.symbol AND cl.exit = oo.ts""",
+    "parameter_plateau": f"""WITH {BARS}, {', '.join(held(w) for w in (15, 20, 25))},
+pos AS ({' UNION ALL '.join(f"SELECT symbol, ts, close, '{w}' AS strategy, CAST({latch('sc >= 0.5', 'sc <= -0.5')} AS DOUBLE) AS position FROM h{w}b" for w in (15, 20, 25))}), {RUNS},
+e AS (SELECT *, equity / nullif(lag(equity) OVER ({PS}), 0) - 1 AS daily FROM run)
+SELECT symbol, CAST(strategy AS INTEGER) AS mr_window, CAST(strategy AS INTEGER) - 20 AS "offset", {r(f'CASE WHEN stddev_samp(daily) > 0 THEN avg(daily) / stddev_samp(daily) * sqrt({d(252)}) END', 'sharpe')} FROM e GROUP BY symbol, strategy""",
+    "sharpe_significance": f"""WITH RECURSIVE {RUN_WEEKLY}, e AS (SELECT *, equity / nullif(lag(equity) OVER ({PS}), 0) - 1 AS daily FROM run),
+p1 AS (SELECT symbol, strategy, avg(daily) AS m, stddev_samp(daily) AS sd, stddev_pop(daily) AS sp, count(daily) AS n FROM e GROUP BY 1, 2),
+p2 AS (SELECT e.symbol, e.strategy, any_value(m / nullif(sd, 0)) AS sr, any_value(p1.n) AS n, avg(pow((daily - m) / nullif(sp, 0), 3)) AS sk, avg(pow((daily - m) / nullif(sp, 0), 4)) AS ku FROM e JOIN p1 ON p1.symbol = e.symbol AND p1.strategy = e.strategy WHERE sd > 0 AND p1.n > 2 GROUP BY 1, 2),
+p3 AS (SELECT *, sr / nullif(sqrt((1 - sk * sr + (ku - 1) / 4 * sr * sr) / nullif(CAST(n - 1 AS DOUBLE), 0)), 0) AS x FROM p2)
+SELECT symbol, strategy, n, {r('sr', 'sharpe')}, {r(phi('x'), 'psr')}, {r(f'sqrt(2 * ln({d(8)}) / (n - 1))', 'expected_max')} FROM p3""",
+    "equal_weight_buy_hold": f"""WITH {BARS}, fi AS (SELECT symbol, min(ts) AS t0, arg_min(close, ts) AS c0 FROM bars GROUP BY 1), dy AS (SELECT DISTINCT ts FROM bars),
+g AS (SELECT dy.ts, fi.symbol, c0 FROM dy JOIN fi ON fi.t0 <= dy.ts), v AS (SELECT g.ts, b.close / c0 AS v FROM g ASOF JOIN bars b ON b.symbol = g.symbol AND g.ts >= b.ts)
+SELECT CAST(ts AS DATE) AS day, {r('avg(v) * 100', 'value')}, count(*) AS n_symbols FROM v GROUP BY 1""",
+    "drawdown_series": f"WITH {BARS}, a AS (SELECT *, close / max(close) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM bars) SELECT symbol, {DAY}, {r('dd * 100', 'drawdown_pct')}, dd < 0 AS under_water FROM a",
+    "live_ic": f"""WITH {BARS}, {Z}, {MA}, {COMPOSITE}, f AS (SELECT symbol, composite AS s, lead(close, 5) OVER (PARTITION BY symbol ORDER BY ts) / nullif(close, 0) - 1 AS fwd FROM c), g0 AS (SELECT * FROM f WHERE s IS NOT NULL AND fwd IS NOT NULL),
+h AS (SELECT symbol, rank() OVER (PARTITION BY symbol ORDER BY s) + (count(*) OVER (PARTITION BY symbol, s) - 1) / {d(2)} AS a, rank() OVER (PARTITION BY symbol ORDER BY fwd) + (count(*) OVER (PARTITION BY symbol, fwd) - 1) / {d(2)} AS b FROM g0)
+SELECT symbol, {r('corr(a, b)', 'live_ic')}, count(*) AS n FROM h GROUP BY 1 HAVING count(*) >= 10""",
+    "effective_slippage": f"""WITH {BARS}, {SPREADS}, sl AS (SELECT fz.symbol, list_median([x FOR x IN [edge, corwin_schultz, roll] IF x IS NOT NULL]) AS cs FROM fz LEFT JOIN ed ON ed.symbol = fz.symbol LEFT JOIN cs ON cs.symbol = fz.symbol LEFT JOIN ro ON ro.symbol = fz.symbol),
+la AS (SELECT symbol, arg_max(close, ts) AS close FROM bars GROUP BY 1)
+SELECT la.symbol, {r('close', 'close', 4)}, {r(f'greatest(coalesce(cs * 10000, {d(5)}), (CASE WHEN close < 200 THEN 1 WHEN close < 500 THEN 2 WHEN close < 2000 THEN 5 WHEN close < 5000 THEN 10 ELSE 25 END) / close * 10000)', 'slippage_bps', 4)} FROM la JOIN sl ON sl.symbol = la.symbol""",
+    "journal_close": f"""{TRADES} SELECT symbol, CAST(entry AS DATE) AS entry, {r('entry_price', 'entry_price')}, CASE WHEN exit_reason = 'signal' THEN CAST(exit AS DATE) END AS exit, {r("CASE WHEN exit_reason = 'signal' THEN exit_price END", 'exit_price')},
+{r("CASE WHEN exit_reason = 'signal' THEN return_pct END", 'return_pct')}, CASE WHEN exit_reason = 'signal' THEN 'CLOSED' ELSE 'OPEN' END AS status FROM tr WHERE entry < TIMESTAMP '2000-01-01'""",
+    "backtest_log_delete": f"{TRADES} SELECT symbol, CAST(year(exit) AS INTEGER) AS year, count(*) AS n_trades, {r('avg(return_pct)', 'avg_return_pct')} FROM tr GROUP BY symbol, year(exit) HAVING count(*) > 2",
+    "order_tickets": f"""WITH {BARS}, a AS (SELECT *, {lag('close')} AS pc FROM brand), b AS (SELECT symbol, pc, close, CAST(floor(20000000 / nullif(pc, 0) / 100) * 100 AS BIGINT) AS q FROM a QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1)
+SELECT symbol, {r('pc', 'price', 4)}, q AS quantity, {r('q * pc', 'value', 4)}, {r('(close - pc) * q', 'unrealised', 4)} FROM b""",
+    "regime_vote": f"""WITH {SCAN}, ra AS (SELECT *, {change('close')} AS ret FROM bars), rb AS (SELECT symbol, ts, stddev_samp(ret) {over(20)} * sqrt({d(52)}) AS v FROM ra QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1),
+rc AS (SELECT scan.*, CASE WHEN v > 0.4 THEN 'high' ELSE 'normal' END AS regime FROM scan JOIN rb ON rb.symbol = scan.symbol),
+rd AS (SELECT *, CASE WHEN regime = 'high' THEN v1 * {d(0.35)} + v2 * {d(0.2)} + v3 * {d(0.35)} + v4 * {d(0.1)} ELSE v1 * {d(0.2)} + v2 * {d(0.4)} + v3 * {d(0.25)} + v4 * {d(0.15)} END AS o, greatest(v1, v2, v3, v4) - least(v1, v2, v3, v4) > 0.5 AS disagree FROM rc)
+SELECT symbol, regime, {r('o', 'overall')}, disagree, symbol || ' ' || CASE WHEN o >= 0.55 THEN 'leans up' WHEN o <= 0.45 THEN 'leans down' ELSE 'is undecided' END || ' in a ' || regime || ' volatility regime' || CASE WHEN disagree THEN ', but its parts disagree.' ELSE '.' END AS narrative FROM rd""",
+    "event_range_counts": f"""SELECT event_id, count(*) OVER w AS n_before, {r('coalesce(sum(value) OVER w, 0)', 'value_before', 4)} FROM (SELECT *, epoch_us(ts) AS us FROM events)
+WINDOW w AS (PARTITION BY user_id ORDER BY us RANGE BETWEEN 3600000000 PRECEDING AND 1 PRECEDING)""",
+    "event_distinct_users": "SELECT event_type, CAST(ts AS DATE) AS day, count(DISTINCT user_id) AS n_users, count(*) AS n FROM events GROUP BY 1, 2",
+    "calendar_outer": f"""WITH {BARS}, sg AS (SELECT c_mktsegment AS symbol, CAST(date_trunc('week', o_orderdate) AS DATE) AS day, arg_max(o_totalprice, o_orderkey) AS close FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+li AS (SELECT CAST(ts AS DATE) AS day, avg(close) AS x FROM bars GROUP BY 1), od AS (SELECT day, avg(close) AS y FROM sg GROUP BY 1) SELECT coalesce(li.day, od.day) AS day, {r('x', 'line_close')}, {r('y', 'order_close')} FROM li FULL JOIN od ON li.day = od.day""",
+    "calendar_gaps": f"""WITH {BARS}, w AS (SELECT symbol, CAST(ts AS DATE) AS week FROM brand), s AS (SELECT symbol, min(week) AS a, max(week) AS b FROM w GROUP BY 1), k AS (SELECT symbol, CAST(unnest(generate_series(a, b, INTERVAL 7 DAYS)) AS DATE) AS week FROM s)
+SELECT k.symbol, k.week FROM k ANTI JOIN w ON w.symbol = k.symbol AND w.week = k.week""",
+}

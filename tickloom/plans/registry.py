@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import back, change, last_bars, ratio, rolling, rounded
 from ..operators import arena, logs, stats
 from ..operators import backtest as bt
+from ..operators import evaluation as eva
 from ..operators import event_backtest as ev
 from ..operators import indicators as ind
 from ..operators import liquidity as liq
@@ -381,7 +382,7 @@ EVENT_RULES = ev.Rules(stop_loss_pct=0.3, max_holding_days=30)
 @query
 def event_backtest_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trades of the plain rules: next open, signal exits, costs."""
-    trades = ev.run_trades(sig.composite(src.bars_daily(spark, sf_dir)))
+    trades = ev.plain_trades(sig.composite(src.bars_daily(spark, sf_dir)))
     return rounded(trades.withColumns({"entry": F.to_date("entry"), "exit": F.to_date("exit")}))
 
 
@@ -394,15 +395,177 @@ def event_backtest_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ev.robustness(ev.run_trades(sig.composite(src.bars_daily(spark, sf_dir)))))
+    return rounded(ev.robustness(ev.plain_trades(sig.composite(src.bars_daily(spark, sf_dir)))))
 
 
 @query
 def iqr_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ev.iqr_outliers(ev.run_trades(sig.composite(src.bars_daily(spark, sf_dir))))
+    out = ev.iqr_outliers(ev.plain_trades(sig.composite(src.bars_daily(spark, sf_dir))))
     return rounded(out.select("symbol", F.to_date("entry").alias("entry"), "return_pct"))
 
 
 @query
 def portfolio_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pf.weights_table(src.bars_weekly(spark, sf_dir, "p_type")))
+
+
+# ---- evaluation
+
+
+@query
+def ml_features_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features that need the MACD or a benchmark."""
+    bars = ind.relative_strength(ind.with_benchmark(ind.macd(src.bars_daily(spark, sf_dir)), src.benchmark_daily(spark, sf_dir)))
+    return daily(bars.withColumn("macd_hist_pct", ratio(F.col("macd") - F.col("macd_signal"), "close")), "macd_hist_pct", "rel_5", "rel_20", "beta")
+
+
+@query
+def extended_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buying and holding each symbol against the benchmark."""
+    bars = ind.with_benchmark(src.bars_daily(spark, sf_dir), src.benchmark_daily(spark, sf_dir))
+    return rounded(eva.extended_metrics(bars.withColumn("equity", F.col("close"))))
+
+
+def _plain_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.plain_trades(sig.composite(src.bars_daily(spark, sf_dir)))
+
+
+@query
+def trade_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(eva.bootstrap_trades(_plain_trades(spark, sf_dir)), 3)
+
+
+@query
+def trade_block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(eva.bootstrap_trades(_plain_trades(spark, sf_dir), block=5), 3)
+
+
+@query
+def walk_forward_expanding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folds = eva.expanding_folds(src.bars_daily(spark, sf_dir)).groupBy("symbol", "fold", "n_train")
+    return folds.agg(F.count(F.lit(1)).alias("n_test"), F.to_date(F.min("ts")).alias("first_day"), F.to_date(F.max("ts")).alias("last_day"))
+
+
+@query
+def fold_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The composite strategy within each fold of an expanding walk-forward."""
+    signals = sig.composite(src.bars_daily(spark, sf_dir))
+    held = signals.select("symbol", "ts", "close", strat.latch(F.col("signal") == "BUY", F.col("signal") == "SELL").alias("position"))
+    return rounded(eva.fold_evaluation(eva.expanding_folds(held)).withColumns({"first_day": F.to_date("first_day"), "last_day": F.to_date("last_day")}))
+
+
+@query
+def reliability_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(eva.reliability_bins(eva.outcomes(src.bars_daily(spark, sf_dir)), "prob_up", "target"))
+
+
+@query
+def brier_skill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibration of the closed-form probability, and the weight that a vote of 0.3 keeps."""
+    made = eva.brier_skill(eva.outcomes(src.bars_daily(spark, sf_dir)), "prob_up", "target")
+    return rounded(made.withColumn("weight", eva.model_weight(0.3, F.col("confidence"))))
+
+
+@query
+def meta_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return daily(eva.meta_features(src.bars_daily(spark, sf_dir), _plain_trades(spark, sf_dir)), "vote_signal", "vote_mc", "vote_bt", "target")
+
+
+@query
+def parameter_plateau(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(eva.plateau(src.bars_daily(spark, sf_dir)))
+
+
+@query
+def sharpe_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(eva.sharpe_significance(_run(spark, sf_dir), len(strat.STRATEGIES)))
+
+
+@query
+def equal_weight_buy_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = eva.equal_weight_buy_hold(src.bars_daily(spark, sf_dir))
+    return rounded(made.select(F.to_date("ts").alias("day"), "value", "n_symbols"))
+
+
+@query
+def drawdown_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return daily(eva.drawdowns(src.bars_daily(spark, sf_dir).withColumn("equity", F.col("close"))), "drawdown_pct", "under_water")
+
+
+@query
+def live_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = src.bars_daily(spark, sf_dir)
+    return rounded(eva.live_ic(logs.backfill(logs.signal_rows(sig.composite(bars)), bars)))
+
+
+@query
+def effective_slippage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = src.bars_daily(spark, sf_dir)
+    made = eva.effective_slippage(liq.spread_stats(bars).join(ind.latest(bars).select("symbol", "close"), "symbol"))
+    return rounded(made.select("symbol", "close", "slippage_bps"), 4)
+
+
+@query
+def journal_close(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A journal of the trades entered until 1999, closed by the exits that a later run knows."""
+    trades = _plain_trades(spark, sf_dir)
+    journal = logs.journal_rows(trades.where("entry < DATE'2000-01-01'"))
+    closed = logs.close_rows(journal, trades.where("exit_reason = 'signal'"))
+    return rounded(closed.select("symbol", F.to_date("entry").alias("entry"), "entry_price", F.to_date("exit").alias("exit"), "exit_price", "return_pct", "status"))
+
+
+@query
+def backtest_log_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of two runs of trades per symbol and year, without the rows of the years that are struck out."""
+    trades = _plain_trades(spark, sf_dir)
+    rows = trades.groupBy("symbol", F.year("exit").alias("year")).agg(F.count(F.lit(1)).alias("n_trades"), F.avg("return_pct").alias("avg_return_pct"))
+    log = rows.where("year < 2000").unionByName(logs.fresh_rows(rows.where("year < 2000"), rows, ["symbol", "year"]))
+    struck = rows.where("n_trades <= 2").select("symbol", "year")
+    return rounded(logs.without_rows(log, struck, ["symbol", "year"]))
+
+
+@query
+def order_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tickets at the close before the last, and what they have gained at the last close."""
+    last = ind.latest(src.bars_weekly(spark, sf_dir).withColumn("before", back("close")))
+    made = screen.order_ticket(last.select("symbol", F.col("before").alias("close"), F.col("close").alias("now")))
+    return rounded(made.select("symbol", F.col("close").alias("price"), "quantity", "value", ((F.col("now") - F.col("close")) * F.col("quantity")).alias("unrealised")), 4)
+
+
+@query
+def regime_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vote with the weights of each symbol's volatility regime, and whether its parts disagree."""
+    regimes = ind.volatility_regime(src.bars_weekly(spark, sf_dir), trading_days=52).select("symbol", "regime")
+    made = screen.regime_vote(_scan(spark, sf_dir).join(regimes, "symbol"))
+    return rounded(made.select("symbol", "regime", "overall", "disagree", "narrative"))
+
+
+@query
+def event_range_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event with the events of its user in the hour before it: a range of time, as a window frame."""
+    rows = src.read_table(spark, sf_dir, "events").withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
+    hour = Window.partitionBy("user_id").orderBy("_us").rangeBetween(-3_600_000_000, -1)
+    return rounded(rows.select("event_id", F.count(F.lit(1)).over(hour).alias("n_before"), F.coalesce(F.sum("value").over(hour), F.lit(0.0)).alias("value_before")), 4)
+
+
+@query
+def event_distinct_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = src.read_table(spark, sf_dir, "events")
+    return rows.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count_distinct("user_id").alias("n_users"), F.count(F.lit(1)).alias("n"))
+
+
+@query
+def calendar_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days and closes of the two sources of daily bars, by day: either may be missing."""
+    daily_close = lambda df, name: df.groupBy(F.to_date("ts").alias("day")).agg(F.avg("close").alias(name))
+    lines, orders = daily_close(src.bars_daily(spark, sf_dir), "line_close"), daily_close(src.bars_weekly_segment(spark, sf_dir), "order_close")
+    return rounded(lines.join(orders, "day", "full_outer"))
+
+
+@query
+def calendar_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per symbol the weeks without a bar between its first and its last: a generated calendar against the bars."""
+    weeks = src.bars_weekly(spark, sf_dir).select("symbol", F.to_date("ts").alias("week"))
+    spans = weeks.groupBy("symbol").agg(F.min("week").alias("low"), F.max("week").alias("high"))
+    calendar = spans.select("symbol", F.explode(F.sequence("low", "high", F.expr("INTERVAL 7 DAYS"))).alias("week"))
+    return calendar.join(weeks, ["symbol", "week"], "left_anti")
