@@ -209,3 +209,68 @@ def test_stream_appends_once(spark, tmp_path):
         stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
         events.append_once(stream, f"{tmp_path}/log", ["symbol", "day"], f"{tmp_path}/cp{k}").trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/log").count() == 2
+
+
+# ---- native backtests against the bar-by-bar account
+
+
+def noisy_signals(spark, n=260, symbols=("A", "B", "C", "D")):
+    frame = None
+    for k, symbol in enumerate(symbols):
+        rng, closes = random.Random(k), [math.exp(x) for x in np.cumsum(np.random.default_rng(k).normal(0, 0.08, n if k else 3))]
+        rows = [(symbol, DAY + dt.timedelta(days=i), c * rng.uniform(0.9, 1.1), c * 1.1, c * rng.uniform(0.7, 1.0), c, 1e6, rng.choice(["BUY", "SELL", "EXIT", "HOLD", "HOLD", "HOLD", None])) for i, c in enumerate(closes)]
+        part = spark.createDataFrame(rows, "symbol string, ts timestamp, open double, high double, low double, close double, volume double, signal string")
+        frame = part if frame is None else frame.unionByName(part)
+    return frame
+
+
+def sorted_rows(df, *columns):
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+
+
+TRADE = ("symbol", "entry", "exit", "entry_price", "exit_price", "return_pct", "exit_reason")
+
+
+def near(a, b):
+    assert len(a) == len(b) and len(a) > 0
+    for x, y in zip(a, b):
+        assert [v for v in x if not isinstance(v, float)] == [v for v in y if not isinstance(v, float)]
+        assert [v for v in x if isinstance(v, float)] == pytest.approx([v for v in y if isinstance(v, float)])
+
+
+def test_plain_trades_equal_the_account(spark):
+    signals = noisy_signals(spark)
+    near(sorted_rows(ev.plain_trades(signals), *TRADE), sorted_rows(ev.run_trades(signals), *TRADE))
+
+
+@pytest.mark.parametrize("rules", [ev.Rules(stop_loss_pct=0.1, max_holding_days=7), ev.Rules(max_holding_days=3), ev.Rules(stop_loss_pct=0.02, max_holding_days=30, capital=7.0)])
+def test_ruled_trades_and_equity_equal_the_account(spark, rules):
+    signals = noisy_signals(spark)
+    trades = ev.ruled_trades(signals, rules)
+    near(sorted_rows(trades, *TRADE), sorted_rows(ev.run_trades(signals, rules), *TRADE))
+    near(sorted_rows(ev.ruled_equity(signals, trades, rules), "symbol", "ts", "equity"), sorted_rows(ev.run_equity(signals, rules), "symbol", "ts", "equity"))
+
+
+def test_ruled_trades_refuse_other_rules(spark):
+    with pytest.raises(ValueError, match="run_trades"):
+        ev.ruled_trades(noisy_signals(spark, 20), ev.Rules(lot_size=100, max_holding_days=3))
+
+
+def test_blocks_of_a_bootstrap(spark):
+    from tickloom.operators import evaluation as eva
+
+    rows = [("A", DAY, DAY + dt.timedelta(days=i), float(i)) for i in range(23)] + [("B", DAY, DAY, 5.0)]
+    trades = spark.createDataFrame(rows, "symbol string, entry timestamp, exit timestamp, return_pct double")
+    for block in (1, 5, 40):
+        got = {r.symbol: r for r in eva.bootstrap_trades(trades, 200, block).collect()}
+        assert got["A"].n_trades == 23 and got["A"].win_p5 <= got["A"].win_p50 <= got["A"].win_p95 <= 100
+        assert (got["B"].n_trades, got["B"].win_mean) == (1, 100.0) and got["B"].total_mean == pytest.approx(5.0)
+
+
+def test_overlapping_folds(spark):
+    from tickloom.operators import evaluation as eva
+
+    made = eva.expanding_folds(bars(spark, walk(100)), test_days=20, min_train_days=40, step_days=10).orderBy("fold", "ts").collect()
+    want = [(f, DAY + dt.timedelta(days=40 + 10 * f + i)) for f in range(5) for i in range(20)]
+    assert [(r.fold, r.ts) for r in made] == want and {(r.fold, r.n_train) for r in made} == {(f, 40 + 10 * f) for f in range(5)}
+    assert eva.expanding_folds(bars(spark, walk(50))).count() == 0

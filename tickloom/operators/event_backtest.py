@@ -11,7 +11,7 @@ import math
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import bars_order, last_bars, ratio, so_far
@@ -143,20 +143,68 @@ def plain_trades(signals: DataFrame) -> DataFrame:
     )
 
 
+def ruled_trades(signals: DataFrame, rules: Rules) -> DataFrame:
+    """run_trades() for rules with a holding limit, with or without a stop, and without lots, locks or shares of turnover, by
+    windows. Where a position would end depends on its entry and no more than the holding limit of bars after it, so a
+    bounded window finds it for every buying signal; of these a fold over a symbol's buying signals takes the first, then the first
+    after its exit, and so on. Adds _e and _x, the times of the bars that decide entry and exit."""
+    reach = rules.max_holding_days
+    if reach is None or rules.lot_size or rules.max_turnover_participation is not None or rules.position_size_pct != 1.0 or not rules.next_open:
+        raise ValueError("run_trades() takes these rules")
+    order = bars_order()
+    df = signals.select("symbol", "ts", "low", "close", "signal", (F.row_number().over(order) - 1).alias("n"), F.lead("open").over(order).alias("fill"), F.lead("ts").over(order).alias("day"))
+    df = df.withColumn("ahead", F.collect_list(F.struct("n", "ts", "low", "signal", "fill", "day")).over(order.rowsBetween(1, reach + 1)))
+    stop = F.col("fill") * (1 - rules.stop_loss_pct) if rules.stop_loss_pct is not None else F.lit(None).cast("double")
+    stopped = lambda a: F.coalesce(a["low"] <= stop, F.lit(False))
+    overdue = lambda a: a["n"] - F.col("n") - 1 >= reach
+    ends = lambda a: a["day"].isNotNull() & (stopped(a) | overdue(a) | a["signal"].isin("SELL", "EXIT"))
+    end = F.get(F.filter("ahead", ends), 0)
+    last = df.groupBy("symbol").agg(F.max_by(F.struct("n", "ts", "close"), "ts").alias("last"))
+    bought = df.where("signal = 'BUY' AND fill IS NOT NULL").withColumn("end", end).join(last, "symbol")
+    known = lambda known, otherwise: F.when(F.col("end").isNotNull(), known).otherwise(otherwise)
+    at_stop = stopped(F.col("end"))
+    deal = F.struct(
+        F.col("n").alias("e"), known(F.col("end.n"), F.col("last.n")).alias("x"), F.col("ts").alias("_e"), known(F.col("end.ts"), F.col("last.ts")).alias("_x"), F.col("day").alias("entry"),
+        known(F.when(at_stop, F.col("end.ts")).otherwise(F.col("end.day")), F.col("last.ts")).alias("exit"), F.col("fill").alias("entry_price"), known(F.when(at_stop, stop).otherwise(F.col("end.fill")), F.col("last.close")).alias("exit_price"),
+        known(F.when(at_stop, "stop_loss").when(overdue(F.col("end")), "max_holding_days").otherwise("signal"), F.lit("end_of_data")).alias("exit_reason"),
+    )
+    deals = bought.groupBy("symbol").agg(F.sort_array(F.collect_list(deal)).alias("deals"))
+    kind = deals.schema["deals"].dataType
+    begin = F.struct(F.lit(0).alias("free"), F.array().cast(kind).alias("taken"))
+    take = lambda done, d: F.when(d["e"] >= done["free"], F.struct((d["x"] + 1).alias("free"), F.array_append(done["taken"], d).alias("taken"))).otherwise(done)
+    taken = deals.select("symbol", F.inline(F.aggregate("deals", begin, take, lambda done: done["taken"])))
+    price = (F.col("exit_price") / F.col("entry_price") - 1) * 100
+    return taken.select("symbol", "entry", "exit", "entry_price", "exit_price", price.alias("return_pct"), "exit_reason", "_e", "_x")
+
+
+def ruled_equity(signals: DataFrame, trades: DataFrame, rules: Rules) -> DataFrame:
+    """run_equity() from the trades of ruled_trades(): from the bar that decides an entry on, the position's worth; from the one
+    that decides its exit on, the cash. A symbol's last bar counts only if it closes a position."""
+    growth = (1 - rules.buy_cost) * (1 - rules.sell_cost) * F.col("exit_price") / F.col("entry_price")
+    cash = F.product(growth).over(Window.partitionBy("symbol").orderBy("entry").rowsBetween(Window.unboundedPreceding, 0)) * rules.capital
+    deals = trades.withColumn("cash", cash).withColumn("units", F.col("cash") / growth * (1 - rules.buy_cost) / F.col("entry_price"))
+    nothing, final = F.lit(None).cast("double"), F.col("exit_reason") == "end_of_data"
+    mark = lambda ts, units, cash, final: F.struct(F.col(ts).alias("ts"), units.alias("units"), cash.alias("cash"), final.alias("final"))
+    marks = deals.select("symbol", F.inline(F.array(mark("_e", F.col("units"), nothing, F.lit(False)), mark("_x", nothing, F.col("cash"), final))))
+    df = signals.select("symbol", "ts", "close", F.lead("ts").over(bars_order()).alias("_after")).join(marks.select("symbol", "ts", F.struct("units", "cash", "final").alias("mark")), ["symbol", "ts"], "left")
+    df = df.withColumn("_state", F.last("mark", ignorenulls=True).over(so_far())).where(F.col("_after").isNotNull() | F.coalesce("mark.final", F.lit(False)))
+    return df.select("symbol", "ts", F.coalesce(F.col("_state.units") * F.col("close"), "_state.cash", F.lit(rules.capital)).alias("equity"))
+
+
 def run_equity(signals: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return prepare(signals, rules).groupBy("symbol").applyInPandas(_per_symbol(rules, "equity"), EQUITY)
 
 
 def equity_metrics(equity: DataFrame, trades: DataFrame, capital: float = 100.0, trading_days: float = 252.0) -> DataFrame:
     """Total return, CAGR, Sharpe, Sortino and drawdown of each symbol's equity, with its trades' counts."""
-    df = equity.withColumn("_d", ratio("equity", F.lag("equity").over(bars_order())) - 1).withColumn("_dd", F.col("equity") / F.max("equity").over(bars_order().rowsBetween(-(1 << 31), 0)) - 1)
+    df = equity.withColumn("_d", ratio("equity", F.lag("equity").over(bars_order())) - 1).withColumn("_dd", F.col("equity") / F.max("equity").over(so_far()) - 1)
     out = df.groupBy("symbol").agg(
         F.max_by("equity", "ts").alias("final"), F.count(F.lit(1)).alias("n"), F.avg("_d").alias("mean"), F.stddev_samp("_d").alias("sd"), F.stddev_samp(F.when(F.col("_d") < 0, F.col("_d"))).alias("down"), (F.min("_dd") * 100).alias("max_drawdown_pct"),
     )
     counts = trades.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_trades"), (F.avg((F.col("return_pct") > 0).cast("double")) * 100).alias("win_rate_pct"), F.avg("return_pct").alias("avg_trade_pct"))
     year = F.sqrt(F.lit(trading_days))
     return out.join(counts, "symbol", "left").select(
-        "symbol", ((F.col("final") / capital - 1) * 100).alias("total_return_pct"), ((F.pow(F.col("final") / capital, F.lit(trading_days) / F.col("n")) - 1) * 100).alias("cagr_pct"),
+        "symbol", F.ln(F.col("final") / capital).alias("log_total_return"), ((F.col("final") / capital - 1) * 100).alias("total_return_pct"), ((F.pow(F.col("final") / capital, F.lit(trading_days) / F.col("n")) - 1) * 100).alias("cagr_pct"),
         (ratio("mean", "sd") * year).alias("sharpe"), (ratio("mean", "down") * year).alias("sortino"), "max_drawdown_pct", F.coalesce("n_trades", F.lit(0)).alias("n_trades"), "win_rate_pct", "avg_trade_pct",
     )
 

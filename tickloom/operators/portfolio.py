@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .stats import pairs, returns
@@ -34,6 +34,23 @@ def moments(df: DataFrame, trading_days: float = 252.0) -> tuple[list[str], np.n
     return names, np.array([means[s][0] for s in names]) * trading_days, cov * trading_days
 
 
+def portfolio_stats(df: DataFrame, trading_days: float = 252.0) -> DataFrame:
+    """name, n_days, annual return and volatility, Sharpe ratio and worst drawdown of two portfolios over the common days,
+    rebalanced every day: equal weights, and weights by inverse variance. All of it is aggregation: weights are a row per
+    symbol, portfolios a row per day."""
+    rets = returns(common_days(df))
+    inverse = rets.groupBy("symbol").agg((1 / F.nullif(F.var_samp("ret"), F.lit(0.0))).alias("w"))
+    total = inverse.agg(F.sum("w").alias("total"), F.count(F.lit(1)).alias("k"))
+    kind = lambda name, w: F.struct(F.lit(name).alias("name"), w.alias("w"))
+    weights = inverse.join(F.broadcast(total)).select("symbol", F.inline(F.array(kind("equal", 1 / F.col("k")), kind("inverse_variance", F.col("w") / F.col("total")))))
+    days = rets.join(weights, "symbol").groupBy("name", "ts").agg(F.sum(F.col("w") * F.col("ret")).alias("ret"))
+    order = Window.partitionBy("name").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    days = days.withColumn("value", F.product(1 + F.col("ret")).over(order))
+    days = days.withColumn("fall", F.col("value") / F.greatest(F.lit(1.0), F.max("value").over(order)) - 1)
+    out = days.groupBy("name").agg(F.count(F.lit(1)).alias("n_days"), (F.avg("ret") * trading_days).alias("annual_return"), (F.stddev_samp("ret") * F.sqrt(F.lit(trading_days))).alias("annual_vol"), (F.min("fall") * 100).alias("max_drawdown_pct"))
+    return out.withColumn("sharpe", F.col("annual_return") / F.nullif("annual_vol", F.lit(0.0)))
+
+
 def leaf_order(distance: np.ndarray) -> list[int]:
     """Leaves in the order of a single-linkage tree, merging the nearest clusters first."""
     clusters = {i: [i] for i in range(len(distance))}

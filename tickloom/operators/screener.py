@@ -100,3 +100,23 @@ def regime_vote(df: DataFrame, max_spread: float = 0.5) -> DataFrame:
     out = df.withColumn("overall", overall).withColumn("disagree", F.greatest(*parts.values()) - F.least(*parts.values()) > max_spread)
     lean = F.when(F.col("overall") >= 0.55, "leans up").when(F.col("overall") <= 0.45, "leans down").otherwise("is undecided")
     return out.withColumn("narrative", F.concat(F.col("symbol"), F.lit(" "), lean, F.lit(" in a "), F.col("regime"), F.lit(" volatility regime"), F.when(F.col("disagree"), ", but its parts disagree.").otherwise(".")))
+
+
+#: Windows and weight of the composite score by holding period (fixed values).
+PRESETS = {
+    "swing": {"mr_window": 20, "fast": 10, "slow": 30, "mr_weight": 0.5},
+    "position": {"mr_window": 40, "fast": 20, "slow": 60, "mr_weight": 0.4},
+    "long_term": {"mr_window": 90, "fast": 50, "slow": 150, "mr_weight": 0.3},
+}
+
+
+def movers(df: DataFrame) -> DataFrame:
+    """How many symbols rose, fell or stood still at their last bar."""
+    last = df.withColumn("_c", change("close")).groupBy("symbol").agg(F.max_by("_c", "ts").alias("_c")).where("_c IS NOT NULL")
+    return last.agg(*(F.count_if(test).alias(name) for name, test in (("up", F.col("_c") > 0), ("down", F.col("_c") < 0), ("flat", F.col("_c") == 0))))
+
+
+def enrich(df: DataFrame, sentiment: DataFrame, weight: float = 0.2) -> DataFrame:
+    """overall moved by the symbol's news sentiment where that is known; it stays within [0, 1]."""
+    out = df.join(sentiment.select("symbol", "sentiment"), "symbol", "left")
+    return out.withColumn("enriched", F.coalesce(clip(F.col("overall") + weight * F.col("sentiment"), 0, 1), F.col("overall")))

@@ -233,13 +233,19 @@ NORMAL = f"""
 SELECT *, ((x2 * x2 + 69621) % {X} + {d(0.5)}) / {d(X)} AS u, ((y2 * y2 + 48271) % {X} + {d(0.5)}) / {d(X)} AS v FROM (
 SELECT *, (x1 * x1 + 16807 * i + 1) % {X} AS x2, (y1 * y1 + 40014 * i + 7) % {X} AS y2 FROM (
 SELECT *, (48271 * i + 12345) % {X} AS x1, (69621 * i + 777) % {X} AS y1 FROM draws))"""
-PATHS = f"""
+
+
+def simulated(days: int, sims: int) -> str:
+    return f"""
 lr AS (SELECT *, ln(close) - ln({lag('close')}) AS lr FROM brand),
 st AS (SELECT symbol, arg_max(close, ts) AS s0, avg(lr) AS mu, stddev_samp(lr) AS sigma, row_number() OVER (ORDER BY symbol) - 1 AS k FROM lr GROUP BY symbol),
-draws AS (SELECT symbol, s0, mu, sigma, sim, day, (k * 400 + sim) * 15 + day AS i FROM st, range(400) a(sim), range(1, 16) b(day)),
+draws AS (SELECT symbol, s0, mu, sigma, sim, day, (k * {sims} + sim) * {days} + day AS i FROM st, range({sims}) a(sim), range(1, {days + 1}) b(day)),
 z0 AS ({NORMAL}),
 paths AS (SELECT symbol, sim, day, s0, s0 * exp(sum(mu - {d(0.5)} * sigma * sigma + sigma * sqrt(-2 * ln(u)) * cos(2 * pi() * v)) OVER (PARTITION BY symbol, sim ORDER BY day ROWS UNBOUNDED PRECEDING)) AS price FROM z0),
-fin AS (SELECT *, price / s0 - 1 AS ret FROM paths WHERE day = 15)"""
+fin AS (SELECT *, price / s0 - 1 AS ret FROM paths WHERE day = {days})"""
+
+
+PATHS, SCAN_PATHS = simulated(30, 2000), simulated(15, 1000)
 
 
 def phi(x: str) -> str:
@@ -299,7 +305,7 @@ fu0 AS (SELECT p_brand AS symbol, avg(p_size) AS pe, avg(l_tax) * 50 AS pbv, avg
 fu1 AS (SELECT * REPLACE (CASE WHEN row_number() OVER (ORDER BY symbol) % 5 <> 0 THEN pe END AS pe, CASE WHEN der > 10 THEN der / {d(100)} ELSE der END AS der) FROM fu0),
 fu AS (SELECT symbol, cap, list_avg([x FOR x IN [{bands('nullif(greatest(pe, 0), 0)', [(15, 1), (25, 0.6), (40, 0.3)], 0.1, '<')}, {bands('nullif(greatest(pbv, 0), 0)', [(1, 1), (3, 0.6)], 0.3, '<')},
   {bands('roe', [(0.2, 1), (0.1, 0.6), (0, 0.3)], 0, '>')}, {bands('der', [(0.5, 1), (1, 0.6), (2, 0.3)], 0.1, '<')}, {bands('pm', [(0.15, 1), (0.05, 0.6), (0, 0.3)], 0, '>')}, {bands('rg', [(0.15, 1), (0.05, 0.6), (0, 0.4)], 0.1, '>')}] IF x IS NOT NULL]) AS score FROM fu1)"""
-SCAN = f"""{BRANDS}, {Z}, {MA}, {COMPOSITE}, {PATHS.replace('FROM brand', 'FROM bars')}, {FUND},
+SCAN = f"""{BRANDS}, {Z}, {MA}, {COMPOSITE}, {SCAN_PATHS.replace('FROM brand', 'FROM bars')}, {FUND},
 pp AS (SELECT symbol, avg(CASE WHEN price > s0 THEN {d(1)} ELSE 0 END) AS pp FROM fin GROUP BY 1),
 pos AS (SELECT symbol, ts, close, 'composite' AS strategy, CAST({latch("signal = 'BUY'", "signal = 'SELL'")} AS DOUBLE) AS position FROM c),
 {RUN[RUN.index('r1 AS'):]},
@@ -449,3 +455,46 @@ li AS (SELECT CAST(ts AS DATE) AS day, avg(close) AS x FROM bars GROUP BY 1), od
     "calendar_gaps": f"""WITH {BARS}, w AS (SELECT symbol, CAST(ts AS DATE) AS week FROM brand), s AS (SELECT symbol, min(week) AS a, max(week) AS b FROM w GROUP BY 1), k AS (SELECT symbol, CAST(unnest(generate_series(a, b, INTERVAL 7 DAYS)) AS DATE) AS week FROM s)
 SELECT k.symbol, k.week FROM k ANTI JOIN w ON w.symbol = k.symbol AND w.week = k.week""",
 }
+
+ORACLES["event_backtest_full"] = f"""WITH RECURSIVE {BRANDS}, {Z}, {MA}, {COMPOSITE},
+a AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS n, lead(open) OVER (PARTITION BY symbol ORDER BY ts) AS fill, lead(ts) OVER (PARTITION BY symbol ORDER BY ts) AS next_ts FROM c),
+la AS (SELECT symbol, max(n) AS n, arg_max(close, ts) AS close FROM a GROUP BY 1),
+en AS (SELECT symbol, n AS e, fill AS p FROM a WHERE signal = 'BUY' AND fill IS NOT NULL),
+hi AS (SELECT en.symbol, en.e, min(a.n) AS x FROM en JOIN a ON a.symbol = en.symbol AND a.n > en.e AND a.n <= en.e + 31 AND a.next_ts IS NOT NULL AND (a.low <= p * (1 - {d(0.3)}) OR a.n - en.e - 1 >= 30 OR a.signal IN ('SELL', 'EXIT')) GROUP BY 1, 2),
+ex AS (SELECT en.symbol, en.e, en.p, coalesce(hi.x, la.n) AS x, CASE WHEN hi.x IS NULL THEN la.close WHEN a.low <= p * (1 - {d(0.3)}) THEN p * (1 - {d(0.3)}) ELSE a.fill END AS q, hi.x IS NULL AS final
+  FROM en JOIN la ON la.symbol = en.symbol LEFT JOIN hi ON hi.symbol = en.symbol AND hi.e = en.e LEFT JOIN a ON a.symbol = en.symbol AND a.n = hi.x),
+nx AS (SELECT s.symbol, s.e, min(t.e) AS nxt FROM ex s JOIN ex t ON t.symbol = s.symbol AND t.e > s.x GROUP BY 1, 2),
+ch AS (SELECT symbol, min(e) AS e FROM ex GROUP BY 1 UNION ALL SELECT ch.symbol, nx.nxt FROM ch JOIN nx ON nx.symbol = ch.symbol AND nx.e = ch.e),
+tr AS (SELECT ex.*, product({d(0.9985)} * {d(0.9985)} * q / p) OVER (PARTITION BY ex.symbol ORDER BY ex.e ROWS UNBOUNDED PRECEDING) * 100 AS cash FROM ex JOIN ch ON ch.symbol = ex.symbol AND ch.e = ex.e),
+mk AS (SELECT symbol, e AS n, cash / ({d(0.9985)} * {d(0.9985)} * q / p) * {d(0.9985)} / p AS units, CAST(NULL AS DOUBLE) AS cash, false AS final FROM tr UNION ALL SELECT symbol, x, CAST(NULL AS DOUBLE), cash, final FROM tr),
+st AS (SELECT a.symbol, a.ts, a.n, a.close, a.next_ts, mk.final, last_value(CASE WHEN mk.symbol IS NOT NULL THEN {{{{'u': mk.units, 'c': mk.cash}}}} END IGNORE NULLS) OVER (PARTITION BY a.symbol ORDER BY a.ts ROWS UNBOUNDED PRECEDING) AS s FROM a LEFT JOIN mk ON mk.symbol = a.symbol AND mk.n = a.n),
+eq AS (SELECT symbol, ts, coalesce(s.u * close, s.c, {d(100)}) AS equity FROM st WHERE next_ts IS NOT NULL OR final),
+e1 AS (SELECT *, equity / nullif(lag(equity) OVER (PARTITION BY symbol ORDER BY ts), 0) - 1 AS dd, equity / max(equity) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 AS fall FROM eq),
+e2 AS (SELECT symbol, arg_max(equity, ts) AS fin, avg(dd) AS m, stddev_samp(dd) AS sd, stddev_samp(dd) FILTER (dd < 0) AS down, min(fall) * 100 AS fall FROM e1 GROUP BY 1),
+tc AS (SELECT symbol, count(*) AS k, avg(CASE WHEN q > p THEN {d(1)} ELSE 0 END) * 100 AS win, avg((q / p - 1) * 100) AS mean FROM tr GROUP BY 1)
+SELECT e2.symbol, {r('ln(fin / 100)', 'log_total_return', 4)}, {r(f'm / nullif(sd, 0) * sqrt({d(252)})', 'sharpe', 4)}, {r(f'm / nullif(down, 0) * sqrt({d(252)})', 'sortino', 4)}, {r('fall', 'max_drawdown_pct', 4)}, coalesce(k, 0) AS n_trades, {r('win', 'win_rate_pct', 4)}, {r('mean', 'avg_trade_pct', 4)}
+FROM e2 LEFT JOIN tc ON tc.symbol = e2.symbol""".replace("{{", "{").replace("}}", "}")
+
+
+def preset(name: str, window: int, fast: int, slow: int, weight: float) -> str:
+    return f"""SELECT symbol, '{name}' AS preset, composite, CASE WHEN composite <= -0.5 THEN 'SELL' WHEN composite >= 0.5 THEN 'BUY' ELSE 'HOLD' END AS signal FROM (
+SELECT *, {clip(f"{d(weight)} * {clip('zz', -3, 3)} / -3 + {d(1 - weight)} * coalesce(sign(df), 0)", -1, 1)} AS composite FROM (
+SELECT *, {roll('avg', 'close', fast)} - {roll('avg', 'close', slow)} AS df, (close - {roll('avg', 'close', window)}) / nullif({roll('stddev_samp', 'close', window)}, 0) AS zz FROM bars)) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1"""
+
+
+ORACLES |= {
+    "preset_signals": f"WITH {BARS}, u AS ({' UNION ALL '.join(f'(SELECT * FROM ({preset(*p)}))' for p in (('swing', 20, 10, 30, 0.5), ('position', 40, 20, 60, 0.4), ('long_term', 90, 50, 150, 0.3)))}) SELECT symbol, preset, {r('composite', 'composite')}, signal FROM u",
+    "movers": f"WITH {BARS}, a AS (SELECT *, {change('close')} AS c FROM brand), b AS (SELECT symbol, arg_max(c, ts) AS c FROM a GROUP BY 1) SELECT count(*) FILTER (c > 0) AS up, count(*) FILTER (c < 0) AS down, count(*) FILTER (c = 0) AS flat FROM b WHERE c IS NOT NULL",
+    "sentiment_enrichment": f"""WITH bars AS (SELECT c_mktsegment AS symbol, CAST(date_trunc('week', o_orderdate) AS TIMESTAMP) AS ts, arg_max(o_totalprice, o_orderkey) AS close FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2), {Z}, {MA}, {COMPOSITE},
+t AS (SELECT symbol AS segment, ['de', 'en', 'es', 'fr'][length(symbol) % 4 + 1] AS lang, (composite + 1) / 2 AS o FROM c QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1),
+s AS (SELECT lang, avg(s) AS s FROM (SELECT d.doc_id, d.lang, avg(CAST(quality - toxic AS DOUBLE)) AS s FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1, 2) GROUP BY 1)
+SELECT segment, t.lang, {r('o', 'overall')}, {r('s', 'sentiment')}, {r(f"coalesce({clip(f'o + {d(0.2)} * s', 0, 1)}, o)", 'enriched')} FROM t LEFT JOIN s ON s.lang = t.lang""",
+    "universe_sources": """SELECT DISTINCT replace(upper(trim(p_brand || '.' || p_size)), '.', '-') AS symbol, 'code' AS kind FROM part UNION ALL SELECT DISTINCT upper(p_type) || '/IDR', 'pair' FROM part WHERE p_size % 2 <> 0""",
+    "precompute_rows": f"WITH {SCAN} SELECT symbol, CASE WHEN composite <= -0.5 THEN 'SELL' WHEN composite >= 0.5 THEN 'BUY' ELSE 'HOLD' END AS signal, {r('composite', 'score')}, {r('pp', 'mc_prob_profit')}, {r('win', 'win_rate')}, tier AS liq_tier FROM scan",
+    "portfolio_stats": f"""WITH {BARS}, ty AS (SELECT p_type AS symbol, CAST(date_trunc('week', l_shipdate) AS TIMESTAMP) AS ts, arg_max(price, k) AS close FROM line JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+fd AS (SELECT ts FROM ty GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT symbol) FROM ty)), rt AS (SELECT * FROM (SELECT symbol, ts, {change('close')} AS ret FROM ty WHERE ts IN (FROM fd)) WHERE ret IS NOT NULL),
+iv AS (SELECT symbol, 1 / nullif(var_samp(ret), 0) AS w FROM rt GROUP BY 1), wt AS (SELECT symbol, 'equal' AS name, {d(1)} / (SELECT count(*) FROM iv) AS w FROM iv UNION ALL SELECT symbol, 'inverse_variance', w / (SELECT sum(w) FROM iv) FROM iv),
+dy AS (SELECT name, ts, sum(w * ret) AS ret FROM rt JOIN wt ON wt.symbol = rt.symbol GROUP BY 1, 2), dv AS (SELECT *, product(1 + ret) OVER (PARTITION BY name ORDER BY ts ROWS UNBOUNDED PRECEDING) AS v FROM dy),
+df AS (SELECT *, v / greatest(1, max(v) OVER (PARTITION BY name ORDER BY ts ROWS UNBOUNDED PRECEDING)) - 1 AS fall FROM dv)
+SELECT name, count(*) AS n_days, {r('avg(ret) * 52', 'annual_return')}, {r(f'stddev_samp(ret) * sqrt({d(52)})', 'annual_vol')}, {r('min(fall) * 100', 'max_drawdown_pct')}, {r(f'avg(ret) * 52 / nullif(stddev_samp(ret) * sqrt({d(52)}), 0)', 'sharpe')} FROM df GROUP BY 1""",
+}

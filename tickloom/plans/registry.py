@@ -220,18 +220,18 @@ def accumulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(liq.accumulation(src.bars_weekly(spark, sf_dir)))
 
 
-#: Days and paths of the simulation in the SQL of the four queries that use it; the reference has 30 and 2000, in its scan 15 and 1000.
-SIMULATED = {"n_days": 15, "n_sims": 400}
+#: Days and paths of the simulation in a universe scan; alone it has its defaults of 30 days and 2000 paths.
+SCANNED = {"n_days": 15, "n_sims": 1000}
 
 
 @query
 def gbm_paths_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(mc.summarize(mc.gbm_paths(src.bars_weekly(spark, sf_dir), **SIMULATED)))
+    return rounded(mc.summarize(mc.gbm_paths(src.bars_weekly(spark, sf_dir))))
 
 
 @query
 def fan_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(mc.fan_bands(mc.gbm_paths(src.bars_weekly(spark, sf_dir), **SIMULATED)))
+    return rounded(mc.fan_bands(mc.gbm_paths(src.bars_weekly(spark, sf_dir))))
 
 
 @query
@@ -294,7 +294,7 @@ def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     past = bt.trades_of(run).groupBy("symbol").agg(F.count(F.lit(1)).alias("n_trades"), (F.avg((F.col("return_pct") > 0).cast("double")) * 100).alias("win_rate_pct"))
     volume = ind.latest(bars.withColumn("volume_ratio", ratio("volume", F.avg("volume").over(last_bars(20))))).select("symbol", "volume_ratio")
     out = ind.latest(signals).select("symbol", "close", "z", "composite")
-    for part in (mc.summarize(mc.gbm_paths(bars, **SIMULATED)).select("symbol", "prob_profit"), past, liq.liquidity_tier(bars, "stock_us").select("symbol", "tier"), screen.fundamental_score(fundamentals(spark, sf_dir)).select("symbol", "fundamental_score"), volume):
+    for part in (mc.summarize(mc.gbm_paths(bars, **SCANNED)).select("symbol", "prob_profit"), past, liq.liquidity_tier(bars, "stock_us").select("symbol", "tier"), screen.fundamental_score(fundamentals(spark, sf_dir)).select("symbol", "fundamental_score"), volume):
         out = out.join(part, "symbol", "left")
     return out
 
@@ -388,9 +388,11 @@ def event_backtest_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def event_backtest_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics under stops and a holding limit."""
+    """Metrics under stops and a holding limit; growth as a logarithm, because it spans many orders of magnitude."""
     signals = sig.composite(src.bars_weekly(spark, sf_dir))
-    return rounded(ev.equity_metrics(ev.run_equity(signals, EVENT_RULES), ev.run_trades(signals, EVENT_RULES)), 4)
+    trades = ev.ruled_trades(signals, EVENT_RULES)
+    made = ev.equity_metrics(ev.ruled_equity(signals, trades, EVENT_RULES), trades)
+    return rounded(made.select("symbol", "log_total_return", "sharpe", "sortino", "max_drawdown_pct", "n_trades", "win_rate_pct", "avg_trade_pct"), 4)
 
 
 @query
@@ -405,8 +407,9 @@ def iqr_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def portfolio_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(pf.weights_table(src.bars_weekly(spark, sf_dir, "p_type")))
+def portfolio_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal and inverse-variance portfolios of the part types, which have weeks in common at every scale."""
+    return rounded(pf.portfolio_stats(src.bars_weekly(spark, sf_dir, "p_type"), 52.0))
 
 
 # ---- evaluation
@@ -569,3 +572,47 @@ def calendar_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = weeks.groupBy("symbol").agg(F.min("week").alias("low"), F.max("week").alias("high"))
     calendar = spans.select("symbol", F.explode(F.sequence("low", "high", F.expr("INTERVAL 7 DAYS"))).alias("week"))
     return calendar.join(weeks, ["symbol", "week"], "left_anti")
+
+
+@query
+def preset_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last composite signal of each symbol under each preset."""
+    out = None
+    for name, p in screen.PRESETS.items():
+        made = ind.latest(sig.composite(src.bars_daily(spark, sf_dir), **p)).select("symbol", F.lit(name).alias("preset"), "composite", "signal")
+        out = made if out is None else out.unionByName(made)
+    return rounded(out)
+
+
+@query
+def movers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return screen.movers(src.bars_weekly(spark, sf_dir))
+
+
+@query
+def sentiment_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Composite scores of the order segments moved by the sentiment of the document language that their name hashes to."""
+    last = ind.latest(sig.composite(src.bars_weekly_segment(spark, sf_dir)))
+    langs = F.array(*(F.lit(x) for x in ("de", "en", "es", "fr")))
+    scored = last.select(F.get(langs, F.length("symbol") % 4).alias("symbol"), F.col("symbol").alias("segment"), ((F.col("composite") + 1) / 2).alias("overall"))
+    docs = src.read_table(spark, sf_dir, "documents").select("doc_id", "lang")
+    labels = src.read_table(spark, sf_dir, "labels").withColumn("_s", (F.col("quality") - F.col("toxic")).cast("double")).groupBy("doc_id").agg(F.avg("_s").alias("_s"))
+    sentiment = docs.join(labels, "doc_id").groupBy(F.col("lang").alias("symbol")).agg(F.avg("_s").alias("sentiment"))
+    return rounded(screen.enrich(scored, sentiment).select("segment", F.col("symbol").alias("lang"), "overall", "sentiment", "enriched"))
+
+
+@query
+def universe_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes and pairs made of part columns: cleaned, filtered by quote, with a fall-back where a source is too short."""
+    part = src.read_table(spark, sf_dir, "part").select(F.concat_ws(".", "p_brand", "p_size").alias("code"), F.concat(F.upper("p_type"), F.when(F.col("p_size") % 2 == 0, "/USDT").otherwise("/IDR")).alias("pair"))
+    codes = src.first_with(100, src.clean_codes(part, "code"), src.clean_codes(part.limit(0), "code"))
+    pairs = src.first_with(1_000, src.quoted_in(part, "pair", "USDT"), src.quoted_in(part, "pair", "IDR"))
+    return codes.withColumn("kind", F.lit("code")).unionByName(pairs.withColumn("kind", F.lit("pair")))
+
+
+@query
+def precompute_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan as one JSON document per symbol, as a cache stores it, read back."""
+    rows = _scan(spark, sf_dir).select("symbol", F.to_json(F.struct(sig.signal_of(F.col("composite")).alias("signal"), F.col("composite").alias("score"), F.col("prob_profit").alias("mc_prob_profit"), F.col("win_rate_pct").alias("win_rate"), F.col("tier").alias("liq_tier"))).alias("payload"))
+    parsed = rows.select("symbol", F.from_json("payload", "signal string, score double, mc_prob_profit double, win_rate double, liq_tier string").alias("p"))
+    return rounded(parsed.select("symbol", "p.*"))

@@ -82,3 +82,23 @@ def from_json_values(payloads: DataFrame, column: str = "payload") -> DataFrame:
 def from_epoch_rows(rows: DataFrame) -> DataFrame:
     """Bars from (symbol, ms, open, high, low, close, volume) with epoch milliseconds."""
     return valid_bars(rows.withColumn("ts", F.timestamp_millis("ms")))
+
+
+def clean_codes(codes: DataFrame, column: str) -> DataFrame:
+    """symbol: distinct codes in upper case, without spaces around them, with dashes for dots; empty ones are left out."""
+    code = F.regexp_replace(F.upper(F.trim(column)), "\\.", "-")
+    return codes.select(code.alias("symbol")).where("symbol <> ''").distinct()
+
+
+def quoted_in(pairs: DataFrame, column: str, quote: str) -> DataFrame:
+    """symbol: the distinct trading pairs BASE/QUOTE with that quote."""
+    return pairs.select(F.col(column).alias("symbol")).where(F.endswith("symbol", F.lit(f"/{quote}"))).distinct()
+
+
+def first_with(least: int, *sources: DataFrame) -> DataFrame:
+    """The first of the sources that has so many rows, else the last: universes fall back on a list of their own. Only as
+    many rows as that are read to decide."""
+    for source in sources[:-1]:
+        if source.limit(least).count() >= least:
+            return source
+    return sources[-1]
