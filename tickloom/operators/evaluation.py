@@ -40,27 +40,43 @@ def extended_metrics(equity: DataFrame, trading_days: float = DAYS) -> DataFrame
     )
 
 
-def bootstrap_trades(trades: DataFrame, n_resamples: int = 1000, block: int = 1) -> DataFrame:
-    """symbol, n_trades and percentiles of win rate and compounded return over resamples of each symbol's trades in order of
-    exit. Draws are numbered, so reruns agree; with block > 1 runs of that many trades are drawn. Resamples of a symbol are
-    spread over tasks: the trades, not the draws, are what a symbol's rows are joined to."""
-    order = Window.partitionBy("symbol").orderBy("exit", "entry")
-    nth = trades.select("symbol", (F.col("return_pct") / 100).alias("r"), (F.row_number().over(order) - 1).cast("long").alias("i"))
-    sizes = nth.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+def block_draws(rows: DataFrame, n_resamples: int, block: int) -> DataFrame:
+    """symbol, n, sample, i: for each resample as many places as the symbol has rows (n of them), drawn in runs of block places.
+    Draws are numbered, so reruns agree."""
+    sizes = rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
     runs = F.when(F.col("n") > block, F.ceil(F.col("n") / block)).otherwise(F.col("n")) if block > 1 else F.col("n")
     length = F.when(F.col("n") > block, F.lit(block)).otherwise(1)
     draws = sizes.select("symbol", "n", runs.alias("runs"), length.alias("length"), F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))).alias("sample"))
     draws = draws.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)).alias("j"))
     start = portable_int(F.col("sample") * F.col("runs") + F.col("j")) % (F.col("n") - F.col("length") + 1)
     draws = draws.withColumn("start", start).select("symbol", "n", "sample", "start", F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("step"), (F.col("j") * F.col("length")).alias("first"))
-    draws = draws.where(F.col("first") + F.col("step") < F.col("n")).select("symbol", "n", "sample", (F.col("start") + F.col("step")).alias("i"))
-    samples = draws.join(nth, ["symbol", "i"]).groupBy("symbol", "sample").agg(
+    return draws.where(F.col("first") + F.col("step") < F.col("n")).select("symbol", "n", "sample", (F.col("start") + F.col("step")).alias("i"))
+
+
+def bootstrap_trades(trades: DataFrame, n_resamples: int = 1000, block: int = 1) -> DataFrame:
+    """symbol, n_trades and percentiles of win rate and compounded return over resamples of each symbol's trades in order of
+    exit; with block > 1 runs of that many trades are drawn."""
+    order = Window.partitionBy("symbol").orderBy("exit", "entry")
+    nth = trades.select("symbol", (F.col("return_pct") / 100).alias("r"), (F.row_number().over(order) - 1).cast("long").alias("i"))
+    samples = block_draws(nth, n_resamples, block).join(nth, ["symbol", "i"]).groupBy("symbol", "sample").agg(
         F.first("n").alias("n"), (F.avg((F.col("r") > 0).cast("double")) * 100).alias("win"), ((F.product(1 + F.col("r")) - 1) * 100).alias("total"),
     )
     at = lambda c, p: F.percentile(c, F.lit(p / 100)).alias(f"{c}_p{p}")
     return samples.groupBy("symbol").agg(F.first("n").alias("n_trades"), *(at(c, p) for c in ("win", "total") for p in (5, 25, 50, 75, 95)), F.avg("win").alias("win_mean"), F.avg("total").alias("total_mean"))
 
 
+def skill_bootstrap(df: DataFrame, predicted: str, actual: str, n_resamples: int = 200, block: int = 15) -> DataFrame:
+    """symbol, n and percentiles of the skill score over resamples of blocks of days, which keep overlapping outcomes together."""
+    known = df.where(F.col(predicted).isNotNull() & F.col(actual).isNotNull())
+    nth = known.select("symbol", F.col(predicted).alias("p"), F.col(actual).alias("a"), (F.row_number().over(bars_order()) - 1).cast("long").alias("i"))
+    samples = block_draws(nth, n_resamples, block).join(nth, ["symbol", "i"]).groupBy("symbol", "sample").agg(
+        F.first("n").alias("n"), F.avg((F.col("p") - F.col("a")) * (F.col("p") - F.col("a"))).alias("brier"), F.avg("a").alias("rate"),
+    )
+    base = F.col("rate") * (1 - F.col("rate"))
+    samples = samples.withColumn("skill", F.when(base > 1e-9, 1 - F.col("brier") / F.nullif(base, F.lit(0.0))).otherwise(0.0))
+    return samples.groupBy("symbol").agg(F.first("n").alias("n"), *(F.percentile("skill", F.lit(p / 100)).alias(f"skill_p{p}") for p in (5, 50, 95)))
+
+
 def expanding_folds(df: DataFrame, test_days: int = 60, min_train_days: int = 100, step_days: int | None = None) -> DataFrame:
     """The test rows of an expanding walk-forward, with fold (from 0) and n_train, the rows before the fold's test. Folds
     that overlap repeat rows; a fold without test_days rows is left out."""

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import back, last_bars, log_of, normal_cdf, portable_normal
+from ..functions.expr import back, last_bars, log_of, normal_cdf, portable_int, portable_normal
 
 
 def gbm_paths(df: DataFrame, n_days: int = 30, n_sims: int = 2000, mu_shrink: float = 1.0) -> DataFrame:
@@ -40,6 +40,12 @@ def fan_bands(paths: DataFrame, bands: Sequence[float] = (0.05, 0.25, 0.5, 0.75,
     return paths.groupBy("symbol", "day").agg(*(F.percentile("price", F.lit(b)).alias(f"p{round(b * 100)}") for b in bands))
 
 
+def subsample(paths: DataFrame, n: int = 25) -> DataFrame:
+    """n of each symbol's paths, chosen by a hash of their number: the same for every symbol and run."""
+    sims = paths.select("sim").distinct().withColumn("_draw", portable_int(F.col("sim"))).orderBy("_draw", "sim").limit(n).select("sim")
+    return paths.join(F.broadcast(sims), "sim", "left_semi")
+
+
 def prob_up(df: DataFrame, horizon: int = 15, window: int = 90) -> DataFrame:
     """prob_up: closed form from the log returns of the window before each bar."""
     df = df.withColumn("_r", log_of("close") - back(log_of("close")))

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import portable_int
 from .stats import pairs, returns
 
 MAX_SYMBOLS = 2_000
@@ -51,6 +52,23 @@ def portfolio_stats(df: DataFrame, trading_days: float = 252.0) -> DataFrame:
     return out.withColumn("sharpe", F.col("annual_return") / F.nullif("annual_vol", F.lit(0.0)))
 
 
+def random_portfolios(df: DataFrame, n: int = 4000, trading_days: float = 252.0) -> DataFrame:
+    """portfolio, annual_return, annual_vol, sharpe of n portfolios with weights drawn evenly from all that add up to one
+    (normalised exponentials of numbered draws). A portfolio's variance is summed over pairs of symbols, so the rows are n
+    times the covariance matrix, spread by portfolio."""
+    rets = returns(common_days(df))
+    means = rets.groupBy("symbol").agg((F.avg("ret") * trading_days).alias("mean"), F.var_samp("ret").alias("cov"))
+    nth = means.withColumn("nth", F.row_number().over(Window.orderBy("symbol")) - 1).withColumn("k", F.count(F.lit(1)).over(Window.partitionBy()))  # one row per symbol
+    drawn = nth.select("symbol", "mean", "nth", "k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("portfolio"))
+    drawn = drawn.withColumn("x", -F.ln((portable_int(F.col("portfolio") * F.col("k") + F.col("nth") + 1) + 0.5) / 2147483647.0))
+    drawn = drawn.withColumn("w", F.col("x") / F.sum("x").over(Window.partitionBy("portfolio"))).select("portfolio", "symbol", "mean", "w")
+    cov = pairs(rets).groupBy("a", "b").agg((2 * F.covar_samp("ra", "rb")).alias("cov")).unionByName(means.select(F.col("symbol").alias("a"), F.col("symbol").alias("b"), "cov"))
+    side = lambda s: drawn.select("portfolio", F.col("symbol").alias(s), F.col("w").alias(f"w{s}"))
+    risk = side("a").join(cov, "a").join(side("b"), ["portfolio", "b"]).groupBy("portfolio").agg(F.sqrt(F.sum(F.col("wa") * F.col("wb") * F.col("cov")) * trading_days).alias("annual_vol"))
+    gain = drawn.groupBy("portfolio").agg(F.sum(F.col("w") * F.col("mean")).alias("annual_return"))
+    return gain.join(risk, "portfolio").withColumn("sharpe", F.col("annual_return") / F.nullif("annual_vol", F.lit(0.0)))
+
+
 def leaf_order(distance: np.ndarray) -> list[int]:
     """Leaves in the order of a single-linkage tree, merging the nearest clusters first."""
     clusters = {i: [i] for i in range(len(distance))}

@@ -370,11 +370,15 @@ def drawn(i: str) -> str:
     return f"(({q2} * {q2} + 69621) % {X})"
 
 
+def blocks(source: str, samples: int, block: int) -> str:
+    return f"""sz AS (SELECT symbol, n, CASE WHEN n > {block} THEN {block} ELSE 1 END AS len, CASE WHEN n > {block} THEN (n + {block} - 1) // {block} ELSE n END AS runs FROM (SELECT symbol, count(*) AS n FROM {source} GROUP BY 1)),
+d0 AS (SELECT *, unnest(range(runs)) AS j FROM sz, range({samples}) a(sample)), d1 AS (SELECT *, {drawn('sample * runs + j')} % (n - len + 1) AS start FROM d0),
+d2 AS (SELECT *, unnest(range(len)) AS step FROM d1), d3 AS (SELECT symbol, n, sample, start + step AS i FROM d2 WHERE j * len + step < n)"""
+
+
 def bootstrap(block: int) -> str:
     return f"""{TRADES}, nt AS (SELECT symbol, return_pct / 100 AS r, row_number() OVER (PARTITION BY symbol ORDER BY exit, entry) - 1 AS i FROM tr),
-sz AS (SELECT symbol, n, CASE WHEN n > {block} THEN {block} ELSE 1 END AS len, CASE WHEN n > {block} THEN (n + {block} - 1) // {block} ELSE n END AS runs FROM (SELECT symbol, count(*) AS n FROM nt GROUP BY 1)),
-d0 AS (SELECT *, unnest(range(runs)) AS j FROM sz, range(1000) a(sample)), d1 AS (SELECT *, {drawn('sample * runs + j')} % (n - len + 1) AS start FROM d0),
-d2 AS (SELECT *, unnest(range(len)) AS step FROM d1), d3 AS (SELECT symbol, n, sample, start + step AS i FROM d2 WHERE j * len + step < n),
+{blocks('nt', 1000, block)},
 sm AS (SELECT d3.symbol, d3.sample, any_value(n) AS n, avg(CASE WHEN r > 0 THEN {d(1)} ELSE 0 END) * 100 AS win, (product(1 + r) - 1) * 100 AS total FROM d3 JOIN nt ON nt.symbol = d3.symbol AND nt.i = d3.i GROUP BY 1, 2)
 SELECT symbol, any_value(n) AS n_trades, {', '.join(r(f'quantile_cont({c}, {p / 100})', f'{c}_p{p}', 3) for c in ('win', 'total') for p in (5, 25, 50, 75, 95))}, {r('avg(win)', 'win_mean', 3)}, {r('avg(total)', 'total_mean', 3)} FROM sm GROUP BY 1"""
 
@@ -498,3 +502,18 @@ dy AS (SELECT name, ts, sum(w * ret) AS ret FROM rt JOIN wt ON wt.symbol = rt.sy
 df AS (SELECT *, v / greatest(1, max(v) OVER (PARTITION BY name ORDER BY ts ROWS UNBOUNDED PRECEDING)) - 1 AS fall FROM dv)
 SELECT name, count(*) AS n_days, {r('avg(ret) * 52', 'annual_return')}, {r(f'stddev_samp(ret) * sqrt({d(52)})', 'annual_vol')}, {r('min(fall) * 100', 'max_drawdown_pct')}, {r(f'avg(ret) * 52 / nullif(stddev_samp(ret) * sqrt({d(52)}), 0)', 'sharpe')} FROM df GROUP BY 1""",
 }
+
+ORACLES |= {
+    "skill_bootstrap": f"""WITH {OUT}, nt AS (SELECT symbol, p, target AS a, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM ok), {blocks('nt', 200, 15)},
+sm AS (SELECT d3.symbol, d3.sample, any_value(n) AS n, avg((p - a) * (p - a)) AS brier, avg(a) * (1 - avg(a)) AS base FROM d3 JOIN nt ON nt.symbol = d3.symbol AND nt.i = d3.i GROUP BY 1, 2),
+sk AS (SELECT *, CASE WHEN base > 1e-9 THEN 1 - brier / base ELSE {d(0)} END AS skill FROM sm)
+SELECT symbol, any_value(n) AS n, {', '.join(r(f'quantile_cont(skill, {p / 100})', f'skill_p{p}') for p in (5, 50, 95))} FROM sk GROUP BY 1""",
+    "path_subsample": f"WITH {BARS}, {PATHS}, sb AS (SELECT CAST(sim AS BIGINT) AS sim FROM range(2000) a(sim) ORDER BY {drawn('sim')}, sim LIMIT 25) SELECT symbol, CAST(sim AS INTEGER) AS sim, CAST(day AS INTEGER) AS day, {r('price', 'price')} FROM paths WHERE sim IN (SELECT sim FROM sb)",
+    "random_portfolios": f"""WITH {BARS}, ty AS (SELECT p_type AS symbol, CAST(date_trunc('week', l_shipdate) AS TIMESTAMP) AS ts, arg_max(price, k) AS close FROM line JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+fd AS (SELECT ts FROM ty GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT symbol) FROM ty)), rt AS (SELECT * FROM (SELECT symbol, ts, {change('close')} AS ret FROM ty WHERE ts IN (FROM fd)) WHERE ret IS NOT NULL),
+me AS (SELECT symbol, avg(ret) * 52 AS mean, row_number() OVER (ORDER BY symbol) - 1 AS nth, count(*) OVER () AS k FROM rt GROUP BY 1),
+dr AS (SELECT symbol, mean, q AS portfolio, -ln(({drawn('q * k + nth + 1')} + {d(0.5)}) / {d(X)}) AS x FROM me, range(4000) a(q)), wt AS (SELECT *, x / sum(x) OVER (PARTITION BY portfolio) AS w FROM dr),
+cv AS (SELECT a.symbol AS a, b.symbol AS b, covar_samp(a.ret, b.ret) AS c FROM rt a JOIN rt b ON a.ts = b.ts GROUP BY 1, 2),
+va AS (SELECT x.portfolio, sqrt(sum(x.w * y.w * c) * 52) AS vol FROM wt x JOIN cv ON cv.a = x.symbol JOIN wt y ON y.symbol = cv.b AND y.portfolio = x.portfolio GROUP BY 1), ga AS (SELECT portfolio, sum(w * mean) AS ret FROM wt GROUP BY 1)
+SELECT CAST(ga.portfolio AS INTEGER) AS portfolio, {r('ret', 'annual_return')}, {r('vol', 'annual_vol')}, {r('ret / nullif(vol, 0)', 'sharpe')} FROM ga JOIN va ON va.portfolio = ga.portfolio""",
+}

@@ -616,3 +616,18 @@ def precompute_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _scan(spark, sf_dir).select("symbol", F.to_json(F.struct(sig.signal_of(F.col("composite")).alias("signal"), F.col("composite").alias("score"), F.col("prob_profit").alias("mc_prob_profit"), F.col("win_rate_pct").alias("win_rate"), F.col("tier").alias("liq_tier"))).alias("payload"))
     parsed = rows.select("symbol", F.from_json("payload", "signal string, score double, mc_prob_profit double, win_rate double, liq_tier string").alias("p"))
     return rounded(parsed.select("symbol", "p.*"))
+
+
+@query
+def skill_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(eva.skill_bootstrap(eva.outcomes(src.bars_daily(spark, sf_dir)), "prob_up", "target"))
+
+
+@query
+def path_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(mc.subsample(mc.gbm_paths(src.bars_weekly(spark, sf_dir))).select("symbol", "sim", "day", "price"))
+
+
+@query
+def random_portfolios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(pf.random_portfolios(src.bars_weekly(spark, sf_dir, "p_type"), trading_days=52.0))
