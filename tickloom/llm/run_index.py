@@ -5,10 +5,12 @@ Every byte that is covered by a LENGTH-byte string which also starts in a docume
 1. Anchors. Of the ANCHOR-byte strings inside each LENGTH-byte string that with the smallest hash is its anchor, so equal
    LENGTH-byte strings have equal anchors. Anchors that two different texts share are found by a shuffle on their hash;
    texts without any are done.
-2. Regions. Around each shared anchor the text of the LENGTH-byte strings that it is the anchor of is cut out.
-3. Index. Regions are dealt by anchor, so equal LENGTH-byte strings meet in a group. Each group builds the Burrows-Wheeler transform of its distinct
-   regions, keeps its runs with the suffix positions at both ends of each run, and streams every region through it from right to
-   left: matching statistics by LF steps on runs, moving to the nearer end of a neighbouring run at a mismatch. Where the
+2. Regions. Around each shared anchor the text of the LENGTH-byte strings that it is the anchor of is cut out. A task keeps
+   equal regions once, with all their places packed.
+3. Index. Regions are dealt by anchor, so equal LENGTH-byte strings meet in a group. Of a region, all documents but the least have
+   every string marked. For the least documents each group builds the Burrows-Wheeler transform of its distinct regions (an anchor with a single
+   region needs none), keeps its runs with the suffix positions at both ends of each run, and streams every region
+   through it from right to left: matching statistics by LF steps on runs, moving to the nearer end of a neighbouring run at a mismatch. Where the
    match is at least LENGTH long, the rows that share those bytes know the smallest document among them.
 4. Marks go back to the documents, which drop the marked bytes.
 
@@ -38,6 +40,8 @@ FLUSH = 400_000
 #: Bytes of text whose anchors one group holds, and bytes of regions that one index covers.
 GROUP_BYTES = 16 << 20
 INDEX_BYTES = 3 << 19
+#: Bytes of regions that a task holds to find equal ones.
+HELD_BYTES = 32 << 20
 NULL_ID = (1 << 63) - 1
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -185,9 +189,24 @@ def _shared_in_group(table: pa.Table, parts: int) -> pa.Table:
 
 
 def _regions(parts: int):
-    names = ["hash", "doc_id", "print", "start", "region"]
+    """hash, region, places: the distinct regions of a task's documents; places are packed (id, print, start)."""
+    names = ["hash", "region", "places"]
+
+    def packed(held: list[tuple]) -> pa.RecordBatch:
+        regions = pa.chunked_array([r for r, *_ in held]).combine_chunks().dictionary_encode()
+        h, d, f, start = (np.concatenate(c) for c in list(zip(*held))[1:])
+        code = regions.indices.to_numpy()
+        order = np.argsort(code, kind="stable")
+        edges = np.searchsorted(code[order], np.arange(len(regions.dictionary) + 1))
+        h, d, f, start = h[order], d[order], f[order], start[order]
+        places = np.stack([d, f, start], axis=1).tobytes()
+        offsets = pa.py_buffer((edges * 24).astype(np.int32).tobytes())
+        places = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, offsets, pa.py_buffer(places)])
+        return pa.RecordBatch.from_arrays([pa.array(h[edges[:-1]]), regions.dictionary, places], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
         for batch in batches:
             texts = _texts(batch)
             ids, prints = batch.column("doc_id").to_numpy(), batch.column("print").to_numpy()
@@ -210,13 +229,29 @@ def _regions(parts: int):
                 first, last = begin[:, 0] + own.argmax(1), begin[:, -1] - own[:, ::-1].argmax(1)
                 part = owner[at]
                 who, shift = numbers[part], offsets[part]
-                start, end = first + shift, last + shift + LENGTH
-                regions = [texts[i][s:e] for i, s, e in zip(who.tolist(), start.tolist(), end.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[who]), pa.array(prints[who]), pa.array(start), pa.array(regions, pa.binary())], names=names)
+                buffer = data.tobytes()
+                regions = pa.array([buffer[s:e] for s, e in zip(first.tolist(), (last + LENGTH).tolist())], pa.binary())
+                held.append((regions, key.view(np.int64), ids[who], prints[who], first + shift))
+                size += regions.nbytes
+                if size >= HELD_BYTES:
+                    yield packed(held)
+                    held, size = [], 0
+        if held:
+            yield packed(held)
 
     return run
 
 
+class Intervals:
+    """The number of the interval that a row is in, from the first row of each."""
+
+    def __init__(self, heads: np.ndarray):
+        self.heads = heads
+
+    def __getitem__(self, row):
+        return np.searchsorted(self.heads, row, side="right") - 1
+
+
 class RunLengthIndex:
     """Run-length Burrows-Wheeler index of strings, each with a label. Lengths are told apart up to DEPTH."""
 
@@ -227,7 +262,7 @@ class RunLengthIndex:
         sizes = np.array([len(s) + 1 for s in strings])
         text = np.frombuffer(b"".join(s + b"\0" for s in strings), np.uint8).astype(np.int64) + 1
         text[np.cumsum(sizes) - 1] = 0  # an end mark smaller than any byte
-        self.text, n = text, len(text)
+        self.text, n = text.astype(np.int16), len(text)
         # Rotations of the whole text by their first symbols: as many as fit a word, then three times as many, and so on.
         codes = np.unique(text, return_inverse=True)[1]
         bits = int(codes.max(initial=0)).bit_length() or 1
@@ -260,9 +295,9 @@ class RunLengthIndex:
         left = np.repeat(np.cumsum(sizes), sizes) - 1 - np.arange(n)
         whole = left[suffixes] >= length
         h = gram_hashes(np.concatenate([text, np.zeros(length - 1, np.int64)]), length)[suffixes]
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | ~whole[1:] | ~whole[:-1]])
-        self.interval = np.cumsum(new) - 1
-        self.least = np.minimum.reduceat(label_of[suffixes], np.flatnonzero(new))
+        heads = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | ~whole[1:] | ~whole[:-1]]))
+        self.least = np.minimum.reduceat(label_of[suffixes], heads)
+        self.interval, self.least = Intervals(heads[whole[heads]]), self.least[whole[heads]]
 
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Symbols (DEPTH at most) in common from positions a and b on."""
@@ -307,34 +342,38 @@ class RunLengthIndex:
 
 def _marks(table: pa.Table) -> pa.Table:
     """doc_id, print, start, mask: of each region of one group, which of its LENGTH-byte strings are in a smaller document."""
-    hashes, ids = table.column("hash").to_numpy(), table.column("doc_id").to_numpy()
-    regions = [r.as_py() for r in table.column("region")]
-    number: dict[tuple, int] = {}
-    which = np.array([number.setdefault(k, len(number)) for k in zip(hashes.tolist(), regions)])
-    strings = [r for _, r in number]
-    least = np.full(len(number), NULL_ID)
-    np.minimum.at(least, which, ids)
+    regions = table.column("region").combine_chunks().dictionary_encode()
+    which, strings = regions.indices.to_numpy(), regions.dictionary.to_pylist()
+    packed = table.column("places").to_pylist()
+    which = np.repeat(which, [len(p) // 24 for p in packed])
+    docs, prints, starts = np.frombuffer(b"".join(packed), np.int64).reshape(-1, 3).T
+    hashes = np.zeros(len(strings), np.int64)
+    hashes[regions.indices.to_numpy()] = table.column("hash").to_numpy()  # a region has one anchor
+    ids = np.full(len(strings), NULL_ID)
+    np.minimum.at(ids, which, docs)
     masks = np.zeros(len(strings), np.int64)
-    order = np.argsort(np.array([k for k, _ in number]), kind="stable")  # regions of an anchor stay together
-    at, total = 0, np.cumsum([len(strings[i]) + 1 for i in order])
-    key = np.array([k for k, _ in number])[order]
+    _, kind, times = np.unique(hashes, return_inverse=True, return_counts=True)
+    order = np.flatnonzero(times[kind] > 1)  # a region that is alone with its anchor has its strings to itself
+    order = order[np.argsort(hashes[order], kind="stable")]  # regions of an anchor stay together
+    at, key = 0, hashes[order]
+    total = np.cumsum([len(strings[i]) + 1 for i in order])
     while at < len(order):
         end = max(int(np.searchsorted(total, (total[at - 1] if at else 0) + INDEX_BYTES)), at + 1)
         end = int(np.searchsorted(key, key[end - 1], side="right"))
         some = order[at:end]
         own = [strings[i] for i in some]
-        index = RunLengthIndex(own, least[some])
+        index = RunLengthIndex(own, ids[some])
         size = np.array([len(s) for s in own])
         for back, live, length, row in index.matches(own):
             if back >= LENGTH:
-                earlier = (length >= LENGTH) & (index.least[index.interval[row]] < least[some][live])
-                hit = live[earlier]
-                masks[some[hit]] |= np.int64(1) << (size[hit] - back)
+                hit = np.flatnonzero(length >= LENGTH)
+                hit = hit[index.least[index.interval[row[hit]]] < ids[some][live[hit]]]
+                masks[some[live[hit]]] |= np.int64(1) << (size[live[hit]] - back)
         at = end
     full = np.array([(1 << max(len(s) - LENGTH + 1, 0)) - 1 for s in strings], np.int64)
-    mask = np.where(ids > least[which], full[which], masks[which])
+    mask = np.where(docs > ids[which], full[which], masks[which])
     keep = mask != 0
-    return table.select(["doc_id", "print", "start"]).append_column("mask", pa.array(mask)).filter(pa.array(keep))
+    return pa.table({name: pa.array(x[keep]) for name, x in (("doc_id", docs), ("print", prints), ("start", starts), ("mask", mask))})
 
 
 def _removals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,9 +411,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n_shared = shared.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()[0]
 
     hits = shared.groupBy("doc_id", "print").agg(F.flatten(F.collect_list("hashes")).alias("hashes"))
-    regions = docs.join(hits.hint("shuffle_hash"), ["doc_id", "print"]).mapInArrow(_regions(parts), "hash long, doc_id long, print long, start long, region binary")
+    regions = docs.join(hits.hint("shuffle_hash"), ["doc_id", "print"]).mapInArrow(_regions(parts), "hash long, region binary, places binary")
     groups = max(-(-n_shared * (STARTS + LENGTH) // INDEX_BYTES), wide)
-    marks = stored(regions.select(F.pmod(F.xxhash64("hash"), F.lit(groups)).alias("part"), "hash", "doc_id", "print", "start", "region").groupBy("part").applyInArrow(_marks, "doc_id long, print long, start long, mask long"), "marks")
+    dealt = regions.withColumn("part", F.pmod(F.xxhash64("hash"), F.lit(groups))).groupBy("part")
+    marks = stored(dealt.applyInArrow(_marks, "doc_id long, print long, start long, mask long"), "marks")
 
     of = marks.groupBy("doc_id", "print").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
     gone = stored(docs.join(of.hint("shuffle_hash"), ["doc_id", "print"]).mapInArrow(_removals, "doc_id long, print long, gone long, spans long, kept string").dropDuplicates(["doc_id", "print"]), "removed")
