@@ -141,14 +141,29 @@ def _arrays(table):
         yield index.values.to_numpy(), x.values.to_numpy(), label.as_py()
 
 
-def _shard_pass(start, k: int):
-    """One shard's pass from the common state, in an order that depends on its rows and k alone."""
+def _packed(z: np.ndarray, n: np.ndarray, rows: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    return rows.astype(np.int32).tobytes(), z[rows].tobytes(), n[rows].tobytes()
+
+
+def _unpacked(packed, languages: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows, z, n = packed
+    return np.frombuffer(rows, np.int32), np.frombuffer(z).reshape(-1, languages), np.frombuffer(n).reshape(-1, languages)
+
+
+def _shard_pass(start, k: int, languages: int):
+    """One shard's pass from the common state, in an order that depends on its rows and k alone. Of the state travel the
+    buckets that are not zero, and back come the changes of those that the pass has touched."""
 
     def run(table: pa.Table) -> pa.Table:
-        z, n = (a.copy() for a in start.value)
+        z, n = np.zeros((BUCKETS, languages)), np.zeros((BUCKETS, languages))
+        at, z0, n0 = _unpacked(start.value, languages)
+        z[at], n[at] = z0, n0
+        before = z.copy(), n.copy()
         rows = sorted(_arrays(table), key=lambda r: (len(r[0]), r[0].tobytes(), r[1].tobytes(), r[2]))
         train_pass(z, n, (rows[i] for i in np.random.default_rng(k).permutation(len(rows))))
-        return pa.table({"z": pa.array([z.tobytes()], pa.binary()), "n": pa.array([n.tobytes()], pa.binary())})
+        z, n = z - before[0], n - before[1]
+        columns = zip(("rows", "z", "n"), _packed(z, n, np.flatnonzero((n != 0).any(1) | (z != 0).any(1))))
+        return pa.table({"shard": table.column("shard")[:1].cast(pa.int32())} | {name: pa.array([x], pa.binary()) for name, x in columns})
 
     return run
 
@@ -185,10 +200,13 @@ def fit(train: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     z, n = np.zeros((BUCKETS, len(langs))), np.zeros((BUCKETS, len(langs)))
 
     for k in range(PASSES):
-        start = rows.sparkSession.sparkContext.broadcast((z, n))
-        shards = rows.where(f"fold >= {SHARDS}").groupBy((F.col("fold") % SHARDS).alias("shard")).applyInArrow(_shard_pass(start, k), "z binary, n binary").collect()
-        if shards:
-            z, n = (np.mean([np.frombuffer(s[name]).reshape(z.shape) for s in shards], axis=0) for name in ("z", "n"))
+        start = rows.sparkSession.sparkContext.broadcast(_packed(z, n, np.flatnonzero((n != 0).any(1))))
+        dealt = rows.where(f"fold >= {SHARDS}").withColumn("shard", F.col("fold") % SHARDS).groupBy("shard")
+        shards = dealt.applyInArrow(_shard_pass(start, k, len(langs)), "shard int, rows binary, z binary, n binary").collect()
+        for s in sorted(shards, key=lambda s: s.shard):
+            at, dz, dn = _unpacked((s.rows, s.z, s.n), len(langs))
+            z[at] += dz / len(shards)
+            n[at] += dn / len(shards)
         start.unpersist()
     model = Model(langs, idf, leader_weights(z, n))
 
