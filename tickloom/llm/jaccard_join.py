@@ -10,9 +10,9 @@ the allocation of least cost: rows filed, plus expected false candidates.
 
 Sets that are equal form one class and are joined once. Each bucket is led by that of its sets which meets most others,
 and buckets with one leader are taken together, so sets that meet in many buckets are compared once. First each set is
-verified against its leaders, if sizes and parity sketches let them link. Where that leaves the sets of a leader in several
-components, few sets are paired, more are compared inside a task that returns a spanning forest of their links, and beyond
-BLOCK sets they are filed again under the tokens in which they differ from their leader: two sets that link, of which
+verified against the likeliest of its leaders, by sizes and parity sketches. Where that leaves the sets of a leader in several
+components, few sets are paired; of more, a task finds those whose sketches let them link to a set of another component, and a
+second one compares these and returns a spanning forest of their links; beyond BLOCK sets they are filed again under the tokens in which they differ from their leader: two sets that link, of which
 one does not link to the leader, share such a token (if they shared none, their distance would be the sum of their distances to
 the leader, which is too much). No bucket, candidate or partner is capped.
 
@@ -40,6 +40,7 @@ from .components import connected
 SMALL_BUCKET = 12
 BLOCK = 4_096
 BLOCK_TOKENS = 1 << 22
+STRIP = 256
 #: Words of the parity sketch of a set, doubled until it has half a cell per token.
 SKETCH = 16
 #: Classes that a task of filed() keeps in mind.
@@ -249,6 +250,26 @@ def _may_link(percent: int, apart, n_a, n_b):
     return (100 + percent) * apart <= (100 - percent) * (n_a + n_b)
 
 
+def _involved(percent: int):
+    """The sets under one leader that sizes and sketches let link to a set of another component."""
+
+    def run(table: pa.Table) -> pa.Table:
+        part, n = table.column("component").to_numpy(), table.column("n_tokens").to_numpy().astype(np.int64)
+        sketches = [s.values.to_numpy().view(np.uint64) for s in table.column("sketch")]
+        width = min(map(len, sketches))
+        sketch = np.array([np.bitwise_xor.reduce(s.reshape(-1, width), axis=0) for s in sketches])
+        some = np.zeros(len(part), bool)
+        for at in range(0, len(part), STRIP):
+            own = slice(at, at + STRIP)
+            apart = np.zeros((len(part[own]), len(part)), np.int64)
+            for k in range(width):
+                apart += np.bitwise_count(sketch[own, k, None] ^ sketch[None, :, k])
+            some[own] = (_may_link(percent, apart, n[own, None], n[None, :]) & (part[own, None] != part[None, :])).any(1)
+        return table.select(["leader", "class", "component", "n_tokens"]).filter(pa.array(some))
+
+    return run
+
+
 def _forest(percent: int):
     """Of the sets under one leader: links that, with the components known, connect whatever links connect. Sets are
     taken as their differences from the leader: two of them are as far apart as their differences."""
@@ -257,7 +278,8 @@ def _forest(percent: int):
         ids, first = np.unique(table.column("class").to_numpy(), return_index=True)
         part, tokens = table.column("component").to_numpy()[first], [table.column("tokens")[int(i)].values.to_numpy() for i in first]
         part, size = np.unique(part, return_inverse=True)[1], np.array([len(t) for t in tokens])
-        leader = np.sort(tokens[int(np.searchsorted(ids, table.column("leader")[0].as_py()))])
+        leader = tokens[min(int(np.searchsorted(ids, table.column("leader")[0].as_py())), len(ids) - 1)]  # or any other set of the group
+        leader = np.sort(leader)
         flat, owner = np.concatenate(tokens), np.repeat(np.arange(len(ids)), size)
         at = np.minimum(np.searchsorted(leader, flat), len(leader) - 1)
         has = leader[at] == flat
@@ -323,11 +345,11 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _refiled(led: DataFrame, sets: DataFrame) -> DataFrame:
-    """signature, class: the sets of each leader under the tokens in which they differ from it."""
+    """signature, class, component: the sets of each leader under the tokens in which they differ from it."""
     tokens = lambda name, to: sets.select(F.col("class").alias(name), F.col("tokens").alias(to))
     both = led.where("leader <> class").join(tokens("class", "x"), "class").join(tokens("leader", "y"), "leader")
     keys = lambda x, y, side: F.transform(F.array_except(x, y), lambda t: F.xxhash64("leader", t, F.lit(side)))
-    return both.select(F.explode(F.concat(keys("x", "y", 1), keys("y", "x", 0))).alias("signature"), "class").distinct()
+    return both.select(F.explode(F.concat(keys("x", "y", 1), keys("y", "x", 0))).alias("signature"), "class", "component").distinct()
 
 
 def links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -343,24 +365,32 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Data
     found = None
     while True:
         led = stored(_led(files), "led")
-        direct = verify(screen(led.where("leader <> class").select(F.least("leader", "class").alias("a"), F.greatest("leader", "class").alias("b")).distinct(), sets, percent), sets, percent)
+        # Each set with the likeliest of its leaders first: at most one verification per set.
+        near = screen(led.where("leader <> class").select(F.col("leader").alias("a"), F.col("class").alias("b")), sets, percent)
+        likeliest = near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+        direct = verify(likeliest, sets, percent)
         found = stored(direct if found is None else found.union(direct), "found")
         # Pairs of different components are left where the sets of a leader are in several.
-        parts = _labelled(led, connected(found)).join(sets.select("class", "n_tokens"), "class")
-        sums = parts.groupBy("leader").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("tokens"))
-        sums = sums.where("low <> high").select("leader", "n", ((F.col("n") > BLOCK) | (F.col("tokens") > BLOCK_TOKENS) & (F.col("n") > 2)).alias("large"))
-        left = stored(parts.join(sums, "leader").select("leader", "class", "component", "n", "large"), "several")
-        few = F.col("n") <= SMALL_BUCKET
-        lists = left.where(few).groupBy("leader").agg(F.collect_list(F.struct("class", "component")).alias("members"))
+        parts = _labelled(led, connected(found))
+        several = parts.groupBy("leader").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("leader", "n")
+        left = stored(parts.join(several, "leader").select("leader", "class", "component", "n"), "several")
+        lists = left.where(F.col("n") <= SMALL_BUCKET).groupBy("leader").agg(F.collect_list(F.struct("class", "component")).alias("members"))
         pair = lambda m: F.flatten(F.transform(m, lambda x: F.transform(F.filter(m, lambda y: (x["class"] < y["class"]) & (x["component"] != y["component"])), lambda y: F.struct(x["class"].alias("a"), y["class"].alias("b")))))
         paired = verify(screen(lists.select(F.inline(pair(F.col("members")))).distinct(), sets, percent), sets, percent)
-        compared = left.where(~few & ~F.col("large")).join(sets.select("class", "tokens"), "class").groupBy("leader").applyInArrow(_forest(percent), "a long, b long")
+        more = left.where((F.col("n") > SMALL_BUCKET) & (F.col("n") <= BLOCK)).join(sets.select("class", "n_tokens", "sketch"), "class")
+        involved = stored(more.groupBy("leader").applyInArrow(_involved(percent), "leader long, class long, component long, n_tokens int"), "involved")
+        heavy = involved.groupBy("leader").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("k")).select("leader", ((F.col("tokens") > BLOCK_TOKENS) & (F.col("k") > 2)).alias("heavy"))
+        involved = involved.join(heavy, "leader")
+        compared = involved.where("NOT heavy").join(sets.select("class", "tokens"), "class").groupBy("leader").applyInArrow(_forest(percent), "a long, b long")
         found = stored(found.union(paired).union(compared), "found")
-        large = left.where(~few & F.col("large")).select("leader", "class")
+        columns = ("leader", "class", "component")
+        large = stored(left.where(F.col("n") > BLOCK).select(*columns).union(involved.where("heavy").select(*columns)), "large")
         if large.isEmpty():
             return found
+        # Refiling finds the pairs of sets that are not linked to their leader; so who is, has to be known first.
+        found = stored(found.union(verify(screen(large.where("leader <> class").select(F.col("leader").alias("a"), F.col("class").alias("b")), sets, percent), sets, percent)), "found")
         # Equal components need no pairs, so buckets within one are dropped.
-        again = _labelled(_refiled(large, sets), connected(found))
+        again = _refiled(large, sets)
         apart = again.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("signature")
         files = stored(again.join(apart, "signature").select("signature", "class"), "shared")
 
