@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import bars_order, portable_int, ratio, so_far
+from ..functions.expr import bars_order, log_of, portable_int, ratio, so_far
 from . import backtest as bt
 from .montecarlo import prob_up
 from .signals import composite
@@ -54,15 +54,15 @@ def block_draws(rows: DataFrame, n_resamples: int, block: int) -> DataFrame:
 
 
 def bootstrap_trades(trades: DataFrame, n_resamples: int = 1000, block: int = 1) -> DataFrame:
-    """symbol, n_trades and percentiles of win rate and compounded return over resamples of each symbol's trades in order of
-    exit; with block > 1 runs of that many trades are drawn."""
+    """symbol, n_trades and percentiles of win rate and compounded growth over resamples of each symbol's trades in order of
+    exit; with block > 1 runs of that many trades are drawn. Growth is given as a logarithm: it spans many orders of magnitude."""
     order = Window.partitionBy("symbol").orderBy("exit", "entry")
     nth = trades.select("symbol", (F.col("return_pct") / 100).alias("r"), (F.row_number().over(order) - 1).cast("long").alias("i"))
     samples = block_draws(nth, n_resamples, block).join(nth, ["symbol", "i"]).groupBy("symbol", "sample").agg(
-        F.first("n").alias("n"), (F.avg((F.col("r") > 0).cast("double")) * 100).alias("win"), ((F.product(1 + F.col("r")) - 1) * 100).alias("total"),
+        F.first("n").alias("n"), (F.avg((F.col("r") > 0).cast("double")) * 100).alias("win"), F.sum(log_of(1 + F.col("r"))).alias("log_growth"),
     )
     at = lambda c, p: F.percentile(c, F.lit(p / 100)).alias(f"{c}_p{p}")
-    return samples.groupBy("symbol").agg(F.first("n").alias("n_trades"), *(at(c, p) for c in ("win", "total") for p in (5, 25, 50, 75, 95)), F.avg("win").alias("win_mean"), F.avg("total").alias("total_mean"))
+    return samples.groupBy("symbol").agg(F.first("n").alias("n_trades"), *(at(c, p) for c in ("win", "log_growth") for p in (5, 25, 50, 75, 95)), F.avg("win").alias("win_mean"), F.avg("log_growth").alias("log_growth_mean"))
 
 
 def skill_bootstrap(df: DataFrame, predicted: str, actual: str, n_resamples: int = 200, block: int = 15) -> DataFrame:

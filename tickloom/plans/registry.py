@@ -435,12 +435,12 @@ def _plain_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def trade_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(eva.bootstrap_trades(_plain_trades(spark, sf_dir)), 3)
+    return rounded(eva.bootstrap_trades(_plain_trades(spark, sf_dir)))
 
 
 @query
 def trade_block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(eva.bootstrap_trades(_plain_trades(spark, sf_dir), block=5), 3)
+    return rounded(eva.bootstrap_trades(_plain_trades(spark, sf_dir), block=5))
 
 
 @query
@@ -562,7 +562,7 @@ def calendar_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days and closes of the two sources of daily bars, by day: either may be missing."""
     daily_close = lambda df, name: df.groupBy(F.to_date("ts").alias("day")).agg(F.avg("close").alias(name))
     lines, orders = daily_close(src.bars_daily(spark, sf_dir), "line_close"), daily_close(src.bars_weekly_segment(spark, sf_dir), "order_close")
-    return rounded(lines.join(orders, "day", "full_outer"))
+    return rounded(lines.join(orders, "day", "full_outer"), 3)
 
 
 @query
