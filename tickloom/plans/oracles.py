@@ -455,7 +455,7 @@ SELECT symbol, regime, {r('o', 'overall')}, disagree, symbol || ' ' || CASE WHEN
 WINDOW w AS (PARTITION BY user_id ORDER BY us RANGE BETWEEN 3600000000 PRECEDING AND 1 PRECEDING)""",
     "event_distinct_users": "SELECT event_type, CAST(ts AS DATE) AS day, count(DISTINCT user_id) AS n_users, count(*) AS n FROM events GROUP BY 1, 2",
     "calendar_outer": f"""WITH {BARS}, sg AS (SELECT c_mktsegment AS symbol, CAST(date_trunc('week', o_orderdate) AS DATE) AS day, arg_max(o_totalprice, o_orderkey) AS close FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
-li AS (SELECT CAST(ts AS DATE) AS day, avg(close) AS x FROM bars GROUP BY 1), od AS (SELECT day, avg(close) AS y FROM sg GROUP BY 1) SELECT coalesce(li.day, od.day) AS day, {r('x', 'line_close', 3)}, {r('y', 'order_close', 3)} FROM li FULL JOIN od ON li.day = od.day""",
+li AS (SELECT CAST(ts AS DATE) AS day, max(close) AS x FROM bars GROUP BY 1), od AS (SELECT day, max(close) AS y FROM sg GROUP BY 1) SELECT coalesce(li.day, od.day) AS day, {r('x', 'line_close')}, {r('y', 'order_close')} FROM li FULL JOIN od ON li.day = od.day""",
     "calendar_gaps": f"""WITH {BARS}, w AS (SELECT symbol, CAST(ts AS DATE) AS week FROM brand), s AS (SELECT symbol, min(week) AS a, max(week) AS b FROM w GROUP BY 1), k AS (SELECT symbol, CAST(unnest(generate_series(a, b, INTERVAL 7 DAYS)) AS DATE) AS week FROM s)
 SELECT k.symbol, k.week FROM k ANTI JOIN w ON w.symbol = k.symbol AND w.week = k.week""",
 }

@@ -559,10 +559,10 @@ def event_distinct_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def calendar_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days and closes of the two sources of daily bars, by day: either may be missing."""
-    daily_close = lambda df, name: df.groupBy(F.to_date("ts").alias("day")).agg(F.avg("close").alias(name))
+    """Days and highest closes of two sources of bars, by day: either may be missing."""
+    daily_close = lambda df, name: df.groupBy(F.to_date("ts").alias("day")).agg(F.max("close").alias(name))
     lines, orders = daily_close(src.bars_daily(spark, sf_dir), "line_close"), daily_close(src.bars_weekly_segment(spark, sf_dir), "order_close")
-    return rounded(lines.join(orders, "day", "full_outer"), 3)
+    return rounded(lines.join(orders, "day", "full_outer"))
 
 
 @query
