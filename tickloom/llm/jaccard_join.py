@@ -14,7 +14,7 @@ verified against the likeliest of its leaders, by sizes and parity sketches. Whe
 components, few sets are paired; of more, a task finds those whose sketches let them link to a set of another component, and a
 second one compares these and returns a spanning forest of their links; beyond BLOCK sets they are filed again under the tokens in which they differ from their leader: two sets that link, of which
 one does not link to the leader, share such a token (if they shared none, their distance would be the sum of their distances to
-the leader, which is too much). No bucket, candidate or partner is capped.
+the leader, which is too much; as they share most of these tokens, a prefix of them is enough). No bucket, candidate or partner is capped.
 
 Tokens are 64-bit hashes of shingles and classes 64-bit hashes of sets.
 
@@ -265,7 +265,7 @@ def _involved(percent: int):
             for k in range(width):
                 apart += np.bitwise_count(sketch[own, k, None] ^ sketch[None, :, k])
             some[own] = (_may_link(percent, apart, n[own, None], n[None, :]) & (part[own, None] != part[None, :])).any(1)
-        return table.select(["leader", "class", "component", "n_tokens"]).filter(pa.array(some))
+        return table.select(["key", "leader", "class", "component", "n_tokens"]).filter(pa.array(some))
 
     return run
 
@@ -332,24 +332,29 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def _led(files: DataFrame) -> DataFrame:
-    """leader, class: the sets of the buckets of each leader, itself included."""
+def _led(files: DataFrame, merged: bool) -> DataFrame:
+    """key, leader, class: the sets of each bucket with its leader. Merged, the buckets of a leader are one, with the leader as key."""
     sizes = files.groupBy("signature").agg(F.count(F.lit(1)).alias("n"))
     met = files.join(sizes, "signature").groupBy("class").agg(F.sum("n").alias("met"))
-    leaders = files.join(met, "class").groupBy("signature").agg(F.max(F.struct("met", "class")).alias("top"))
-    return files.join(leaders, "signature").select(F.col("top.class").alias("leader"), "class").distinct()
+    leaders = files.join(met, "class").groupBy("signature").agg(F.max(F.struct("met", "class"))["class"].alias("leader"))
+    return files.join(leaders, "signature").select(F.col("leader" if merged else "signature").alias("key"), "leader", "class").distinct()
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels, rows["class"] == labels["node"], "left").select(*rows.columns, F.coalesce("component", "class").alias("component"))
 
 
-def _refiled(led: DataFrame, sets: DataFrame) -> DataFrame:
-    """signature, class, component: the sets of each leader under the tokens in which they differ from it."""
+def _refiled(led: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """signature, class, component: the sets of each leader under tokens in which they differ from it. Two sets that are
+    apart by at most `most` share all but so many of the tokens in which either differs, so of these, in any common order, the
+    first most + 1 of each are enough to meet."""
     tokens = lambda name, to: sets.select(F.col("class").alias(name), F.col("tokens").alias(to))
     both = led.where("leader <> class").join(tokens("class", "x"), "class").join(tokens("leader", "y"), "leader")
     keys = lambda x, y, side: F.transform(F.array_except(x, y), lambda t: F.xxhash64("leader", t, F.lit(side)))
-    return both.select(F.explode(F.concat(keys("x", "y", 1), keys("y", "x", 0))).alias("signature"), "class", "component").distinct()
+    size = F.size("x")
+    most = F.floor((100 - percent) * (size + F.floor(100 * size / percent)) / (100 + percent)).cast("int")
+    first = F.slice(F.sort_array(F.concat(keys("x", "y", 1), keys("y", "x", 0))), 1, most + 1)
+    return both.select(F.explode(first).alias("signature"), "class", "component").distinct()
 
 
 def links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -364,33 +369,33 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Data
 
     found = None
     while True:
-        led = stored(_led(files), "led")
+        led = stored(_led(files, merged=found is None), "led")  # refiled buckets are small; merging would undo that
         # Each set with the likeliest of its leaders first: at most one verification per set.
-        near = screen(led.where("leader <> class").select(F.col("leader").alias("a"), F.col("class").alias("b")), sets, percent)
+        near = screen(led.where("leader <> class").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct(), sets, percent)
         likeliest = near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
         direct = verify(likeliest, sets, percent)
         found = stored(direct if found is None else found.union(direct), "found")
         # Pairs of different components are left where the sets of a leader are in several.
         parts = _labelled(led, connected(found))
-        several = parts.groupBy("leader").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("leader", "n")
-        left = stored(parts.join(several, "leader").select("leader", "class", "component", "n"), "several")
-        lists = left.where(F.col("n") <= SMALL_BUCKET).groupBy("leader").agg(F.collect_list(F.struct("class", "component")).alias("members"))
+        several = parts.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("key", "n")
+        left = stored(parts.join(several, "key").select("key", "leader", "class", "component", "n"), "several")
+        lists = left.where(F.col("n") <= SMALL_BUCKET).groupBy("key").agg(F.collect_list(F.struct("class", "component")).alias("members"))
         pair = lambda m: F.flatten(F.transform(m, lambda x: F.transform(F.filter(m, lambda y: (x["class"] < y["class"]) & (x["component"] != y["component"])), lambda y: F.struct(x["class"].alias("a"), y["class"].alias("b")))))
         paired = verify(screen(lists.select(F.inline(pair(F.col("members")))).distinct(), sets, percent), sets, percent)
         more = left.where((F.col("n") > SMALL_BUCKET) & (F.col("n") <= BLOCK)).join(sets.select("class", "n_tokens", "sketch"), "class")
-        involved = stored(more.groupBy("leader").applyInArrow(_involved(percent), "leader long, class long, component long, n_tokens int"), "involved")
-        heavy = involved.groupBy("leader").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("k")).select("leader", ((F.col("tokens") > BLOCK_TOKENS) & (F.col("k") > 2)).alias("heavy"))
-        involved = involved.join(heavy, "leader")
-        compared = involved.where("NOT heavy").join(sets.select("class", "tokens"), "class").groupBy("leader").applyInArrow(_forest(percent), "a long, b long")
+        involved = stored(more.groupBy("key").applyInArrow(_involved(percent), "key long, leader long, class long, component long, n_tokens int"), "involved")
+        heavy = involved.groupBy("key").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("k")).select("key", ((F.col("tokens") > BLOCK_TOKENS) & (F.col("k") > 2)).alias("heavy"))
+        involved = involved.join(heavy, "key")
+        compared = involved.where("NOT heavy").join(sets.select("class", "tokens"), "class").groupBy("key").applyInArrow(_forest(percent), "a long, b long")
         found = stored(found.union(paired).union(compared), "found")
         columns = ("leader", "class", "component")
-        large = stored(left.where(F.col("n") > BLOCK).select(*columns).union(involved.where("heavy").select(*columns)), "large")
+        large = stored(left.where(F.col("n") > BLOCK).select(*columns).union(involved.where("heavy").select(*columns)).distinct(), "large")
         if large.isEmpty():
             return found
         # Refiling finds the pairs of sets that are not linked to their leader; so who is, has to be known first.
         found = stored(found.union(verify(screen(large.where("leader <> class").select(F.col("leader").alias("a"), F.col("class").alias("b")), sets, percent), sets, percent)), "found")
         # Equal components need no pairs, so buckets within one are dropped.
-        again = _refiled(large, sets)
+        again = _refiled(large, sets, percent)
         apart = again.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("signature")
         files = stored(again.join(apart, "signature").select("signature", "class"), "shared")
 
