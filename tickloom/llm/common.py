@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +66,15 @@ def words_of(text: Column) -> Column:
 def is_small(df: DataFrame, rows: int) -> bool:
     """Whether df has at most that many rows; reads no more than one row beyond."""
     return df.limit(rows + 1).count() <= rows
+
+
+def byte_groups(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """(start, stop) of neighbouring texts that have most bytes together at most, or of one longer text."""
+    start = held = 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if held and held + n > most:
+            yield start, i
+            start, held = i, 0
+        held += n
+    if start < len(texts):
+        yield start, len(texts)

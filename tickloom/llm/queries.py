@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, langid, quality_rules, quote_links, run_index, secret_ledger, source_mix, token_counts, warc_assembly
-from .common import table
+from . import collocations, decontaminate, jaccard_join, langid, period_runs, quality_rules, quote_links, run_index, secret_ledger, source_mix, token_counts, token_files, warc_assembly
+from .common import fresh_path, table
 
 
 def op1_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op11_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return period_runs.digest_rows(period_runs.detect(docs.withColumn("text", period_runs.with_loops(docs["doc_id"], docs["text"]))))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs, path = table(spark, sf_dir, "documents"), fresh_path(spark, "token-files")
+    token_files.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), path)
+    return token_files.digest_rows(token_files.read(spark, path, docs.schema["doc_id"].dataType.simpleString()))
+
+
 OP6_SQL = r"""
 WITH sizes AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
@@ -84,11 +101,41 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'res
        CASE WHEN page_id <> top THEN top END AS refers_to FROM e
 """
 
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT doc_id, coalesce(lang, 'und') AS lang, generate_subscripts(p, 1) AS piece, unnest(p) AS body
+  FROM (SELECT doc_id, lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS p FROM documents)
+), lists AS (
+  SELECT lang, regexp_extract_all(body, '[^\x20\x09]+') AS w FROM pieces
+), grams AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, CAST(count(*) AS HUGEINT) AS f
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM lists, (VALUES (1), (2), (3)) s(m)) GROUP BY ALL
+), totals AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE m = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE m > 1 AND f >= 10
+), cuts AS (
+  SELECT c.lang, c.m, c.phrase, c.a, k, x.f AS l, y.f AS r, (1000000 * c.a * c.a) // (x.f * y.f) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM candidates) c
+  JOIN grams x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:k], ' ')
+  JOIN grams y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:], ' ')
+), cut AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), covers AS (
+  SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(a) AS longest FROM (SELECT lang, w, a, unnest([1, 2]) AS i FROM candidates WHERE m = 3) GROUP BY ALL
+), kept AS (
+  SELECT cut.* FROM cut LEFT JOIN covers USING (lang, phrase) WHERE longest IS NULL OR 100 * longest < 50 * a
+)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank, phrase,
+       CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quote_links, op2_run_index, op3_langid, op4_token_counts, op5_warc_assembly, op6_source_mix, op7_jaccard_join, op8_secret_ledger,
-        op9_decontaminate, op10_quality_rules,
+        op9_decontaminate, op10_quality_rules, op11_period_runs, op12_collocations, op13_token_files,
     )
 }
-ORACLES = {"op5_warc_assembly": OP5_SQL, "op6_source_mix": OP6_SQL}
+ORACLES = {"op5_warc_assembly": OP5_SQL, "op6_source_mix": OP6_SQL, "op12_collocations": OP12_SQL}
