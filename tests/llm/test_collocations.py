@@ -76,10 +76,10 @@ def test_tiles_are_dense_or_sparse():
         want.update(zip(left.tolist(), right.tolist()))
     assert len(counts.dense) == 2
     found = Counter()
-    for left, right, n in counts.take():
-        for a, b, c in zip(left.tolist(), right.tolist(), n.tolist()):
-            found[a, b] += c
-    assert found == want and sum(len(n) for _, _, n in counts.take()) == 0
+    for keys, n in counts.take():
+        for key, c in zip(keys.tolist(), n.tolist()):
+            found[key >> 32, key & 0xFFFFFFFF] += c
+    assert found == want and sum(len(n) for _, n in counts.take()) == 0
 
 
 def test_awkward_rows(spark):

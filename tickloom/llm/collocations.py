@@ -43,8 +43,8 @@ DENSE_TILES = 24
 #: A tile becomes dense when a group of texts hits it this often.
 DENSE_HITS = TILE * TILE // 64
 #: So many coordinates of sparse tiles are gathered before they are sorted into the counts.
-SPARSE_ROWS = 1 << 21
-GROUP_BYTES = 8 << 20
+SPARSE_ROWS = 1 << 20
+GROUP_BYTES = 2 << 20
 BUCKETS = 32
 
 _STOP = "[.,;:!?\\x0A-\\x0D]+"
@@ -58,7 +58,7 @@ class TileCounts:
         self.dense: dict[tuple[int, int], np.ndarray] = {}
         self.keys, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
         self.loose: list[np.ndarray] = []
-        self.n_loose = 0
+        self.n_loose = self.held = 0
 
     def add(self, left: np.ndarray, right: np.ndarray) -> None:
         t = self.tile
@@ -72,7 +72,10 @@ class TileCounts:
             to_dense[i] = True
             cells = np.flatnonzero(inverse == i)
             found = np.bincount((left[cells] % t) * t + right[cells] % t, minlength=t * t)
-            self.dense[at] = self.dense[at] + found if at in self.dense else found
+            if at not in self.dense:
+                self.dense[at] = np.zeros(t * t, np.int32)
+            self.dense[at] += found.astype(np.int32)
+            self.held += int(hits[i])
         rest = ~to_dense[inverse]
         self.loose.append(left[rest] << 32 | right[rest])
         self.n_loose += len(self.loose[-1])
@@ -87,29 +90,29 @@ class TileCounts:
         self.loose, self.n_loose = [], 0
 
     def full(self) -> bool:
-        return len(self.keys) >= SPARSE_ROWS
+        """Whether it is time to take: the coordinates fill their room, or a dense cell of 32 bits may soon."""
+        return len(self.keys) >= 2 * SPARSE_ROWS or self.held >= 1 << 30
 
-    def take(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """left, right and count of all pairs so far, which are then forgotten."""
+    def take(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Keys (left << 32 | right) and counts of all pairs so far, which are then forgotten."""
         self._sort()
-        yield self.keys >> 32, self.keys & 0xFFFFFFFF, self.counts
+        yield self.keys, self.counts
         for (i, j), cells in self.dense.items():
             at = np.flatnonzero(cells)
-            yield i * self.tile + at // self.tile, j * self.tile + at % self.tile, cells[at]
-        self.keys, self.counts, self.dense = self.keys[:0], self.counts[:0], {}
+            yield (i * self.tile + at // self.tile) << 32 | (j * self.tile + at % self.tile), cells[at].astype(np.int64)
+        self.keys, self.counts, self.dense, self.held = self.keys[:0], self.counts[:0], {}, 0
 
 
-def level(ids: pa.Table, whole: bool) -> dict:
+def level(ids: pa.Table) -> dict:
     """Ids of the phrases of one length, as plain values that a broadcast can carry: of words by language and word (names); of
-    longer phrases by their two parts' ids (keys, sorted, and ids), or by language and phrase where a part has none. whole: no
-    frequent phrase of that length is without an id."""
+    longer phrases by their two parts' ids (keys, sorted, and ids), or by language and phrase where a part has none."""
     named, keyed = ids.filter(pc.is_valid(ids["phrase"])), ids.filter(pc.is_null(ids["phrase"]))
     names: dict[str, dict[str, int]] = {}
     for lang, phrase, i in zip(named["lang"].to_pylist(), named["phrase"].to_pylist(), named["id"].to_pylist()):
         names.setdefault(lang, {})[phrase] = i
     keys = keyed["left"].to_numpy().astype(np.int64) << 32 | keyed["right"].to_numpy().astype(np.int64)
     order = np.argsort(keys)
-    return {"names": names, "keys": keys[order], "ids": keyed["id"].to_numpy()[order], "whole": whole}
+    return {"names": names, "keys": keys[order], "ids": keyed["id"].to_numpy()[order]}
 
 
 class Words:
@@ -177,23 +180,25 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
-_PAIR = pa.schema([("left", pa.int64()), ("right", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
-
-
-def count_pairs(docs: DataFrame, levels: list, tile: int = TILE) -> DataFrame:
-    """Counts of the phrases that are one word longer than those of the last of levels: by the ids of their two parts (left,
-    right), or by (lang, phrase) where a part has no id although it may be frequent. levels: broadcast values of level()."""
+def count_pairs(docs: DataFrame, levels: list, whole: bool, tile: int = TILE) -> DataFrame:
+    """Counts of the phrases that are one word longer than those of the last of levels: by the ids of their two parts (key:
+    left << 32 | right), or by lang and phrase where a part has no id although it may be frequent, which whole rules out.
+    levels: broadcast values of level(). A task gives each key once, so rows are three numbers and combine after the shuffle."""
     length = len(levels) + 1
+    schema = pa.schema([("key", pa.int64()), ("f", pa.int64())] + [("lang", pa.string()), ("phrase", pa.string())] * (not whole))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, counts = [x.value for x in levels], TileCounts(tile)
 
+        def batch_of(keys: pa.Array, n: np.ndarray, lang: str | None, phrases: pa.Array | None) -> pa.RecordBatch:
+            texts = [] if whole else [pa.array([lang] * len(n), pa.string()), phrases if lang is not None else pa.nulls(len(n), pa.string())]
+            return pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), *texts], schema=schema)
+
         def counted() -> Iterator[pa.RecordBatch]:
-            for left, right, n in counts.take():
+            for keys, n in counts.take():
                 for i in range(0, len(n), 1 << 18):
                     some = slice(i, i + (1 << 18))
-                    none = pa.nulls(len(n[some]), pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(left[some], pa.int64()), pa.array(right[some], pa.int64()), none, none, pa.array(n[some], pa.int64())], schema=_PAIR)
+                    yield batch_of(pa.array(keys[some], pa.int64()), n[some], None, None)
 
         for words in _by_language(batches):
             ids = words.ids(held, length - 1)
@@ -201,16 +206,16 @@ def count_pairs(docs: DataFrame, levels: list, tile: int = TILE) -> DataFrame:
             keyed = (ids[inside] >= 0) & (ids[inside + 1] >= 0)
             at = inside[keyed]
             counts.add(ids[at], ids[at + 1])
-            if not held[-1]["whole"]:
+            if not whole:
                 names, number = words.phrases(inside[~keyed], length)
-                no_id = pa.nulls(len(names), pa.int64())
-                yield pa.RecordBatch.from_arrays([no_id, no_id, pa.array([words.lang] * len(names), pa.string()), pa.array(names, pa.string()), pa.array(np.bincount(number, minlength=len(names)), pa.int64())], schema=_PAIR)
+                yield batch_of(pa.nulls(len(names), pa.int64()), np.bincount(number, minlength=len(names)), words.lang, pa.array(names, pa.string()))
             if counts.full():
                 yield from counted()
         yield from counted()
 
-    made = docs.mapInArrow(run, "left long, right long, lang string, phrase string, f long")
-    return made.groupBy("left", "right", "lang", "phrase").agg(F.sum("f").alias("f"))
+    made = docs.mapInArrow(run, "key long, f long" + ("" if whole else ", lang string, phrase string"))
+    made = made.groupBy(*(c for c in made.columns if c != "f")).agg(F.sum("f").alias("f"))
+    return made if whole else made.select("key", "f", "lang", "phrase")
 
 
 def ranked(phrases: DataFrame, name: str) -> DataFrame:
@@ -224,7 +229,11 @@ def ranked(phrases: DataFrame, name: str) -> DataFrame:
 
 
 def _named(pairs: DataFrame, ids: DataFrame) -> DataFrame:
-    """lang, phrase, left, right, f of counted pairs; ids: the broadcast part of the level below, lang and phrase by id."""
+    """lang, phrase, left, right, f of what count_pairs counted; ids: the broadcast part of the level below, lang and phrase by id."""
+    if "phrase" not in pairs.columns:
+        pairs = pairs.withColumns({"lang": F.lit(None).cast("string"), "phrase": F.lit(None).cast("string")})
+    left, right = F.shiftright("key", 32), F.col("key").bitwiseAND(F.lit(0xFFFFFFFF))
+    pairs = pairs.select("lang", "phrase", "f", left.alias("left"), right.alias("right"))
     a = F.broadcast(ids.select(F.col("id").alias("left"), F.col("lang").alias("_lang"), F.col("phrase").alias("_head")))
     b = F.broadcast(ids.select(F.col("id").alias("right"), F.substring_index("phrase", " ", -1).alias("_tail")))
     keyed = pairs.where("left IS NOT NULL").join(a, "left").join(b, "right")
@@ -271,14 +280,15 @@ def mine(
     by_length, levels, scored, inner = {}, [], [], []
     for length in range(1, longest + 1):
         if length > 1:
-            counted = stored(count_pairs(rows, levels, tile).where(F.col("f") >= min_count), f"phrases-{length}")
+            counted = stored(count_pairs(rows, levels, whole, tile).where(F.col("f") >= min_count), f"phrases-{length}")
             frequent = _named(counted, top_ids)
         if length < longest:
             ids = ranked(frequent, f"ranked-{length}")
             top_ids = ids.where(F.col("id") < broadcast_ids)
             by_length[length] = ids.select("lang", "phrase", "f")
             sent = top_ids.select("lang", F.when(F.col("left").isNull(), F.col("phrase")).alias("phrase"), "left", "right", "id").toArrow()
-            levels.append(spark.sparkContext.broadcast(level(sent, ids.where(F.col("id") >= broadcast_ids).isEmpty())))
+            whole = ids.where(F.col("id") >= broadcast_ids).isEmpty()
+            levels.append(spark.sparkContext.broadcast(level(sent)))
         else:
             by_length[length] = stored(frequent.select("lang", "phrase", "f"), f"named-{length}")
         if length > 1:
