@@ -6,6 +6,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -52,16 +53,28 @@ def test_query_equals_the_library(spark, library, size):
 
 
 def test_units_equal_the_library(vocabulary, library):
-    odd = ["", " ", "  ", " a", "a  b", "a \n b", "a\xa0 b", "it 's  <|endoftext|> x", "x<|endoftext|> y <|endoftext|>", "日本 語、 テ", "a　 b 　c", "tab\t end ", "…  a … b", "\x1c a \x1c\x1d b", "a ​ b", "1 2  3 ½ x² y", "É è  ñ́ z"]
+    odd = ["", " ", "  ", " a", "a  b", "a \n b", "a\xa0 b", "it 's  <|endoftext|> x", "x<|endoftext|> y <|endoftext|>", "日本 語、 テ", "a　 b 　c", "tab\t end ", "…  a … b", "\x1c a \x1c\x1d b", "a ​ b", "1 2  3 ½ x² y", "É è  ñ́ z", "null \x00 byte\x00 in", "x. y, z; (a) [b]", "a\nb", "a\n\nb", "\na", "a\n", "é\nb\n c", "a.\n\n\nb.\nc", "x.y.z, don't! 2.0.\nAnd", "…\n…", "a\u0085 b\u2028 c\u3000 d"]
     texts = [*odd, *(t or "" for t in cases.TEXTS), " ".join(odd), "  ".join(odd)]
     encoder = token_files.Encoder(vocabulary)
+    texts += [a + b for a in odd for b in odd]
     for _ in range(2):  # units unknown, then known
-        ids, sizes = encoder.encode(texts)
+        ids, sizes = encoder.encode(pa.array(texts))
         parts = np.split(ids, np.cumsum(sizes)[:-1])
         assert [p.tolist() for p in parts] == [library(t) for t in texts]
     encoder.chars = token_files.CACHE_CHARS + 1
-    assert encoder.encode(["a b c"], None)[0].tolist() == library("a b c")[:-1] and len(encoder.slots) == 3
-    assert [len(x) for x in encoder.encode([])] == [0, 0]
+    assert encoder.encode(pa.array(["a b c"]), None)[0].tolist() == library("a b c")[:-1] and len(encoder.slots) == 3
+    assert [len(x) for x in encoder.encode(pa.array([], pa.string()))] == [0, 0]
+
+
+def test_other_vocabularies_go_unit_by_unit():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    texts = ["some words of a text", "And more, of them", "two words", "no.stops,here"]
+    ids, sizes = token_files.Encoder(path).encode(pa.array(texts), None)
+    assert ids.tolist() == sum((t.encode(x, add_special_tokens=False).ids for x in texts), []) and sizes.sum() == len(ids)
 
 
 def test_awkward_rows(spark, vocabulary, library):

@@ -6,9 +6,11 @@ page), the ascending columns beside it are delta encoded, row groups and pages a
 indexes. So metadata are read without touching a token, and a range of ids or of token places is read from the row groups
 and pages that hold it.
 
-Encoding goes through units: a text is cut before each space that follows a letter, digit or ASCII mark, where no token can
-span, because tokens hold a space at their front only or are white space altogether. A unit is encoded once by the library and
-kept while the cache has room; a special string holds no space and so stays within its unit.
+Encoding goes through units: a text is cut where the vocabulary's pre-tokenizer starts a new piece in every case, and a unit
+is encoded once by the library and kept while the cache has room. Such places are a space or line end after what is not
+white space, what follows a single line end, and a full stop, comma and the like after a letter: tokens hold a space at their
+front only or are white space altogether, and never a letter beside a mark. Where a special string holds such a character, texts
+are not cut there.
 
 Defined results: a null text counts as empty and gets the end id alone; rows come by id, null ids first, equal ids by their
 text; equal rows are written one by one and may take each other's place; an empty table gives files without rows. Other
@@ -18,19 +20,20 @@ cost their tasks: files appear when a task commits.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import byte_groups, free_name, is_small
 
 END_ID = 0
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 8 << 20
 #: The cache of units is emptied once it holds so many characters.
 CACHE_CHARS = 8 << 20
 #: Manifests up to so many rows, each a few numbers, are broadcast; beyond, the join shuffles.
@@ -39,11 +42,48 @@ ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 512
 
-_CUT = re.compile(r"(?<=[!-~\w]) ")
+#: Units in one text, and texts in one call: the library is slower on longer texts.
+_JOINED = 256
+_CALL = 64
+
+
+def unit_starts(data: np.ndarray, starts: np.ndarray, marks: bool = True) -> np.ndarray:
+    """Places in data, the bytes of texts that begin at starts, where units begin: at a text's start; at a space or line end
+    after a character that is surely not white space; after a line end between two such characters; and, if marks,
+    at one of .,;:!? after an ASCII letter."""
+    low = int(starts[0]) if len(starts) else 0
+    padded = np.concatenate([np.zeros(4, np.uint8), data])
+    byte = lambda at, back: padded[at + 4 - back]
+
+    def solid(at: np.ndarray, back: int) -> np.ndarray:
+        """Whether the character that ends back bytes before at is not white space: ASCII marks, letters and digits, two bytes
+        from U+00C0 on, three from U+4000 on, four. Other characters count as white space, which only makes units longer."""
+        a, b, c, d = (byte(at, back + i) for i in range(4))
+        inner = (a >= 0x80) & (a < 0xC0)
+        return ((a > 0x20) & (a < 0x7F)) | inner & ((b >= 0xC3) & (b < 0xE0) | (b >= 0x80) & (b < 0xC0) & ((c >= 0xE4) & (c < 0xF0) | (c >= 0x80) & (c < 0xC0) & (d >= 0xF0)))
+
+    at = np.flatnonzero((data == 0x20) | (data == 0x0A))
+    found = [at[solid(at, 1)]]
+    at = np.flatnonzero(data[:-1] == 0x0A) + 1
+    found.append(at[(byte(at, 0) > 0x20) & (byte(at, 0) < 0x7F) & solid(at, 2) & ~np.isin(at - 1, starts)])
+    if marks:
+        at = np.flatnonzero(np.isin(data, np.frombuffer(b".,;:!?", np.uint8)))
+        before = byte(at, 1) | 0x20
+        found.append(at[(before >= 0x61) & (before <= 0x7A)])
+    begins = np.zeros(len(data), bool)
+    for cuts in found:
+        begins[cuts] = True
+    begins[:low] = False
+    begins[starts] = True
+    return np.flatnonzero(begins)
 
 
 class Encoder:
-    """Token ids of texts, by way of units that are encoded once."""
+    """Token ids of texts, by way of units that are encoded once.
+
+    Units that are new go to the library many in one text; the lengths of the tokens in bytes tell which belong to
+    which unit. Where those do not meet the units' ends, as with vocabularies that are not of bytes, they go one by one.
+    """
 
     def __init__(self, vocabulary: str):
         import os
@@ -54,41 +94,63 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        known = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.n_bytes = np.zeros(max(known.values()) + 1, np.int64)
+        self.n_bytes[list(known.values())] = [len(token) for token in known]  # a character of a token stands for a byte
+        added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marks = not any(c in token for token in added for c in ".,;:!?")
+        self.cuts = not any(c in token for token in added for c in " \n")
         self._clear()
 
     def _clear(self) -> None:
         self.slots: dict[str, int] = {}
-        self.ids = [np.empty(0, np.int32)]
-        self.counts: list[int] = []
-        self.chars = 0
+        self.ids, self.counts, self.chars = np.empty(0, np.int32), np.empty(0, np.int64), 0
+
+    def _one_by_one(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        made = [x.ids for x in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        return np.array([i for ids in made for i in ids], np.int32), np.array([len(ids) for ids in made], np.int64)
+
+    def _joined(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        texts = ["".join(units[i : i + _JOINED]) for i in range(0, len(units), _JOINED)]
+        made = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(made), np.int32, sum(map(len, made)))
+        token_ends = np.cumsum(self.n_bytes[ids])
+        unit_ends = np.cumsum(pc.binary_length(pa.array(units)).to_numpy())
+        last = np.searchsorted(token_ends, unit_ends)
+        if last[-1] >= len(ids) or (token_ends[last] != unit_ends).any():
+            return self._one_by_one(units)
+        return ids, np.diff(last, prepend=-1)
 
     def _learn(self, units: list[str]) -> None:
-        for i in range(0, len(units), 4096):
-            some = units[i : i + 4096]
-            for unit, made in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.slots[unit] = len(self.counts)
-                self.ids.append(np.array(made.ids, np.int32))
-                self.counts.append(len(self.ids[-1]))
-                self.chars += len(unit)
-
-    def encode(self, texts: list[str], end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
+        inner = [u for u in units if u[0:1] == " " and ("!" <= u[-1] <= "~" or u[-1].isalnum())]  # may follow each other in one text
+        other = units if not inner else [u for u in units if u[0:1] != " " or not ("!" <= u[-1] <= "~" or u[-1].isalnum())]
+        ids, counts = [self.ids], [self.counts]
+        for some, encode in ((inner, self._joined), (other, self._one_by_one)):
+            for i in range(0, len(some), _JOINED * _CALL):
+                made = encode(some[i : i + _JOINED * _CALL])
+                ids.append(made[0])
+                counts.append(made[1])
+        self.slots.update(zip(chain(inner, other), range(len(self.slots), len(self.slots) + len(units))))
+        self.ids, self.counts = np.concatenate(ids), np.concatenate(counts)
+        self.chars += sum(map(len, units))
+
+    def encode(self, texts: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, each followed by end_id, and how many each has."""
         if self.chars > CACHE_CHARS:
             self._clear()
-        units, per_text = [], []
-        for text in texts:
-            first, *rest = _CUT.split(text)
-            units.append(first)
-            units += [" " + u for u in rest]
-            per_text.append(1 + len(rest))
-        self._learn([u for u in dict.fromkeys(units) if u not in self.slots])
-        flat, counts = np.concatenate(self.ids), np.array(self.counts, np.int64)
-        self.ids = [flat]
-        slot = np.fromiter(map(self.slots.__getitem__, units), np.int64, len(units))
-        n, starts = counts[slot], (np.cumsum(counts) - counts)[slot]
-        before = np.cumsum(n) - n
-        out = flat[np.repeat(starts - before, n) + np.arange(n.sum())]
-        ends = np.cumsum(n)[np.cumsum(per_text) - 1] if texts else np.empty(0, np.int64)
+        texts = pa.concat_arrays([texts.cast(pa.string())])  # own buffers, from place 0 on
+        bounds = np.frombuffer(texts.buffers()[1], np.int32)[: len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[: bounds[-1]]
+        begin = bounds[:-1][np.diff(bounds) > 0]
+        begin = unit_starts(data, begin, self.marks) if self.cuts else begin
+        units = pa.StringArray.from_buffers(len(begin), pa.py_buffer(np.append(begin, bounds[-1]).astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
+        names = units.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn([u for u in names if u not in self.slots])
+        slot = np.fromiter(map(self.slots.__getitem__, names), np.int64, len(names))[units.indices.to_numpy(zero_copy_only=False)]
+        n, starts = self.counts[slot], (np.cumsum(self.counts) - self.counts)[slot]
+        after = np.cumsum(n)
+        out = self.ids[np.repeat(starts - after + n, n) + np.arange(n.sum())]
+        ends = np.concatenate([[0], after])[np.searchsorted(begin, bounds[1:])]
         sizes = np.diff(ends, prepend=0)
         if end_id is not None:
             out, sizes = np.insert(out, ends, end_id).astype(np.int32), sizes + 1
@@ -110,7 +172,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc
             encoder = encoder or Encoder(vocabulary)
             for start, stop in byte_groups(batch.column("text"), GROUP_BYTES):
                 part = batch.slice(start, stop - start)
-                ids, sizes = encoder.encode(part.column("text").to_pylist(), end_id)
+                ids, sizes = encoder.encode(part.column("text"), end_id)
                 offset = written + np.cumsum(sizes) - sizes
                 written += int(sizes.sum())
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(ids))
