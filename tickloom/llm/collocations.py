@@ -39,12 +39,12 @@ SCALE = 1_000_000
 UNKNOWN = "und"
 BROADCAST_IDS = 1 << 19
 TILE = 1024
-DENSE_TILES = 24
+DENSE_TILES = 12
 #: A tile becomes dense when a group of texts hits it this often.
 DENSE_HITS = TILE * TILE // 64
 #: So many coordinates of sparse tiles are gathered before they are sorted into the counts.
-SPARSE_ROWS = 1 << 20
-GROUP_BYTES = 2 << 20
+SPARSE_ROWS = 1 << 19
+GROUP_BYTES = 3 << 20
 BUCKETS = 32
 
 _STOP = "[.,;:!?\\x0A-\\x0D]+"
@@ -83,15 +83,19 @@ class TileCounts:
             self._sort()
 
     def _sort(self) -> None:
-        keys = np.concatenate([self.keys, *self.loose])
-        counts = np.concatenate([self.counts, np.ones(self.n_loose, np.int64)])
-        self.keys, inverse = np.unique(keys, return_inverse=True)
-        self.counts = np.bincount(inverse, counts, len(self.keys)).astype(np.int64) if len(keys) else counts
+        loose = np.concatenate([self.keys[:0], *self.loose])
         self.loose, self.n_loose = [], 0
+        loose.sort()
+        first = np.flatnonzero(np.diff(loose, prepend=-1))
+        keys, counts = np.concatenate([self.keys, loose[first]]), np.concatenate([self.counts, np.diff(first, append=len(loose))])
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        self.keys, self.counts = keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
     def full(self) -> bool:
         """Whether it is time to take: the coordinates fill their room, or a dense cell of 32 bits may soon."""
-        return len(self.keys) >= 2 * SPARSE_ROWS or self.held >= 1 << 30
+        return len(self.keys) >= 4 * SPARSE_ROWS or self.held >= 1 << 30
 
     def take(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Keys (left << 32 | right) and counts of all pairs so far, which are then forgotten."""
@@ -162,11 +166,12 @@ class Words:
 
 def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
     for batch in batches:
-        langs = batch.column("lang").dictionary_encode()
-        for i, lang in enumerate(langs.dictionary.to_pylist()):
-            texts = batch.column("text").filter(pc.equal(langs.indices, i))
-            for start, stop in byte_groups(texts, GROUP_BYTES):
-                yield Words(lang, texts.slice(start, stop - start))
+        for start, stop in byte_groups(batch.column("text"), GROUP_BYTES):
+            part = batch.slice(start, stop - start)
+            langs = part.column("lang").dictionary_encode()
+            for i, lang in enumerate(langs.dictionary.to_pylist()):
+                yield Words(lang, part.column("text").filter(pc.equal(langs.indices, i)))
+            pa.default_memory_pool().release_unused()
 
 
 def count_words(docs: DataFrame) -> DataFrame:
