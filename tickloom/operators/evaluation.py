@@ -40,17 +40,18 @@ def extended_metrics(equity: DataFrame, trading_days: float = DAYS) -> DataFrame
     )
 
 
-def block_draws(rows: DataFrame, n_resamples: int, block: int) -> DataFrame:
-    """symbol, n, sample, i: for each resample as many places as the symbol has rows (n of them), drawn in runs of block places.
-    Draws are numbered, so reruns agree."""
-    sizes = rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+def block_draws(rows: DataFrame, n_resamples: int, block: int, by: Sequence[str] = ("symbol",)) -> DataFrame:
+    """by, n, sample, i: for each resample as many places as the group has rows (n of them), drawn in runs of block places.
+    Draws are numbered, so reruns agree; of several columns of by, the last is a number that shifts its draws."""
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     runs = F.when(F.col("n") > block, F.ceil(F.col("n") / block)).otherwise(F.col("n")) if block > 1 else F.col("n")
     length = F.when(F.col("n") > block, F.lit(block)).otherwise(1)
-    draws = sizes.select("symbol", "n", runs.alias("runs"), length.alias("length"), F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))).alias("sample"))
+    draws = sizes.select(*by, "n", runs.alias("runs"), length.alias("length"), F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))).alias("sample"))
     draws = draws.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)).alias("j"))
-    start = portable_int(F.col("sample") * F.col("runs") + F.col("j")) % (F.col("n") - F.col("length") + 1)
-    draws = draws.withColumn("start", start).select("symbol", "n", "sample", "start", F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("step"), (F.col("j") * F.col("length")).alias("first"))
-    return draws.where(F.col("first") + F.col("step") < F.col("n")).select("symbol", "n", "sample", (F.col("start") + F.col("step")).alias("i"))
+    shift = F.col(by[-1]) * 1_000_003 if len(by) > 1 else F.lit(0)
+    start = portable_int(F.col("sample") * F.col("runs") + F.col("j") + shift) % (F.col("n") - F.col("length") + 1)
+    draws = draws.withColumn("start", start).select(*by, "n", "sample", "start", F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("step"), (F.col("j") * F.col("length")).alias("first"))
+    return draws.where(F.col("first") + F.col("step") < F.col("n")).select(*by, "n", "sample", (F.col("start") + F.col("step")).alias("i"))
 
 
 def bootstrap_trades(trades: DataFrame, n_resamples: int = 1000, block: int = 1) -> DataFrame:

@@ -517,3 +517,30 @@ cv AS (SELECT a.symbol AS a, b.symbol AS b, covar_samp(a.ret, b.ret) AS c FROM r
 va AS (SELECT x.portfolio, sqrt(sum(x.w * y.w * c) * 52) AS vol FROM wt x JOIN cv ON cv.a = x.symbol JOIN wt y ON y.symbol = cv.b AND y.portfolio = x.portfolio GROUP BY 1), ga AS (SELECT portfolio, sum(w * mean) AS ret FROM wt GROUP BY 1)
 SELECT CAST(ga.portfolio AS INTEGER) AS portfolio, {r('ret', 'annual_return')}, {r('vol', 'annual_vol')}, {r('ret / nullif(vol, 0)', 'sharpe')} FROM ga JOIN va ON va.portfolio = ga.portfolio""",
 }
+
+
+def signalled(stop: float | None, extra: str) -> str:
+    """Trades of buying signals, one position at a time, by walking from each to its successor."""
+    touched = f"(SELECT min(x.n) FROM b2 x WHERE x.symbol = b.symbol AND x.n BETWEEN b.n + 1 AND b.ends AND x.low <= b.fill * {d(1.0025)} * {d(1 - stop)})" if stop else "CAST(NULL AS BIGINT)"
+    stop_price = f"entry * {d(1 - stop)}" if stop else "NULL"
+    return f"""WITH RECURSIVE {BARS}, {Z}, {MA}, {COMPOSITE},
+b0 AS (SELECT *, row_number() OVER s - 1 AS n, lead(open) OVER s AS fill, count(*) OVER (PARTITION BY symbol) - 1 AS ln FROM c {WINDOW}),
+b1 AS (SELECT *, min(CASE WHEN signal IN ('SELL', 'EXIT') AND n < ln THEN n END) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 16 FOLLOWING) AS sold FROM b0),
+b2 AS (SELECT *, least(coalesce(sold, ln), n + 16, ln) AS ends FROM b1),
+b3 AS (SELECT symbol, ts, n, ln, ends, fill * {d(1.0025)} AS entry, (coalesce(sold = ends, false) OR ends = n + 16) AND ends < ln AS told, {touched} AS stopped FROM b2 b WHERE signal = 'BUY' AND fill IS NOT NULL),
+b4 AS (SELECT *, coalesce(stopped, CASE WHEN told THEN ends + 1 ELSE ln END) AS exit_n FROM b3),
+b5 AS (SELECT *, (SELECT min(y.n) FROM b3 y WHERE y.symbol = b4.symbol AND y.n >= greatest(b4.exit_n, b4.n + 1)) AS follows FROM b4),
+walk AS (SELECT symbol, min(n) AS n FROM b5 GROUP BY 1 UNION ALL SELECT w.symbol, b5.follows FROM walk w JOIN b5 ON b5.symbol = w.symbol AND b5.n = w.n WHERE b5.follows IS NOT NULL),
+sold AS (SELECT b5.*, ((CASE WHEN stopped IS NOT NULL THEN {stop_price} WHEN told THEN p.open ELSE p.close END) * {d(0.9965)} / entry - 1) * 100 AS return_pct
+  FROM walk JOIN b5 USING (symbol, n) JOIN b2 p ON p.symbol = b5.symbol AND p.n = b5.exit_n)
+{extra}"""
+
+
+LABELLED = f"CAST(n AS INTEGER) AS n, CAST(exit_n AS INTEGER) AS exit_n, {r('return_pct', 'return_pct')}, CAST(return_pct > 0 AS INTEGER) AS label"
+KNOWN = " AND ".join(f"f.{c} IS NOT NULL" for c in ("ret_5", "ret_20", "vol_20", "rsi", "atr_ratio", "volume_ratio"))
+ORACLES |= {
+    "meta_label_samples": signalled(None, f""", f AS ({ORACLES["ml_features"]})
+SELECT sold.symbol, CAST(sold.ts AS DATE) AS day, {LABELLED}, {r('c.composite', 'composite')}, {r('c.z', 'z')}, f.vol_20
+FROM sold JOIN c ON c.symbol = sold.symbol AND c.ts = sold.ts JOIN f ON f.symbol = sold.symbol AND f.day = CAST(sold.ts AS DATE) WHERE composite IS NOT NULL AND c.z IS NOT NULL AND {KNOWN}"""),
+    "signalled_trades_stops": signalled(0.2, f"SELECT symbol, {DAY}, {LABELLED} FROM sold"),
+}

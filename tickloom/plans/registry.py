@@ -14,6 +14,8 @@ from ..operators import indicators as ind
 from ..operators import liquidity as liq
 from ..operators import montecarlo as mc
 from ..operators import portfolio as pf
+from ..operators import regression as reg
+from ..operators import samples as smp
 from ..operators import screener as screen
 from ..operators import signals as sig
 from ..operators import strategies as strat
@@ -631,3 +633,41 @@ def path_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def random_portfolios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pf.random_portfolios(src.bars_weekly(spark, sf_dir, "p_type"), trading_days=52.0))
+
+
+# ---- models over all symbols and folds
+
+
+@query
+def meta_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A calibrated logistic model of the three votes per symbol, tested walk-forward."""
+    feats = eva.meta_features(src.bars_daily(spark, sf_dir), _plain_trades(spark, sf_dir))
+    return rounded(reg.meta_model(feats.select("symbol", "ts", "vote_signal", "vote_mc", "vote_bt", "target")), 5)
+
+
+#: What a trade's filter looks at on the day of its signal.
+LABEL_FEATURES = ("composite", "z", "ret_5", "ret_20", "vol_20", "rsi", "atr_ratio", "volume_ratio")
+
+
+def _label_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = sig.composite(src.bars_daily(spark, sf_dir)).withColumnsRenamed({"signal": "_signal", "z": "_z", "composite": "_composite"})
+    made = ind.ml_features(bars).drop("z").withColumnsRenamed({"_signal": "signal", "_z": "z", "_composite": "composite"})
+    return smp.meta_label_samples(made, LABEL_FEATURES)
+
+
+@query
+def meta_label_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trades of the composite signal, one position at a time, with what was known on the day of the signal."""
+    return daily(_label_samples(spark, sf_dir), "n", "exit_n", "return_pct", "label", "composite", "z", "vol_20")
+
+
+@query
+def signalled_trades_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same trades under a stop."""
+    return daily(smp.signalled_trades(sig.composite(src.bars_daily(spark, sf_dir)), stop_loss_pct=0.2), "n", "exit_n", "return_pct", "label")
+
+
+@query
+def meta_label_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How a filter learnt from past trades would have done on later ones."""
+    return rounded(reg.meta_label_model(_label_samples(spark, sf_dir), LABEL_FEATURES), 5)
