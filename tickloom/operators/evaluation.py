@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import bars_order, log_of, portable_int, ratio, so_far
 from . import backtest as bt
+from .event_backtest import iqr_outliers
 from .montecarlo import prob_up
 from .signals import composite
 from .stats import average_rank, expected_max_sharpe, probabilistic_sharpe
@@ -40,13 +41,16 @@ def extended_metrics(equity: DataFrame, trading_days: float = DAYS) -> DataFrame
     )
 
 
-def block_draws(rows: DataFrame, n_resamples: int, block: int, by: Sequence[str] = ("symbol",)) -> DataFrame:
+def block_draws(rows: DataFrame, n_resamples: int, block: int, by: Sequence[str] = ("symbol",), more: DataFrame | None = None) -> DataFrame:
     """by, n, sample, i: for each resample as many places as the group has rows (n of them), drawn in runs of block places.
-    Draws are numbered, so reruns agree; of several columns of by, the last is a number that shifts its draws."""
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    Draws are numbered, so reruns agree; of several columns of by, the last is a number that shifts its draws. more: by and
+    n_resamples of the groups that get another number of resamples."""
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).withColumn("_samples", F.lit(n_resamples))
+    if more is not None:
+        sizes = sizes.join(more, list(by), "left").withColumn("_samples", F.coalesce("n_resamples", "_samples"))
     runs = F.when(F.col("n") > block, F.ceil(F.col("n") / block)).otherwise(F.col("n")) if block > 1 else F.col("n")
     length = F.when(F.col("n") > block, F.lit(block)).otherwise(1)
-    draws = sizes.select(*by, "n", runs.alias("runs"), length.alias("length"), F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))).alias("sample"))
+    draws = sizes.select(*by, "n", runs.alias("runs"), length.alias("length"), F.explode(F.sequence(F.lit(0), F.col("_samples") - 1)).alias("sample"))
     draws = draws.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)).alias("j"))
     shift = F.col(by[-1]) * 1_000_003 if len(by) > 1 else F.lit(0)
     start = portable_int(F.col("sample") * F.col("runs") + F.col("j") + shift) % (F.col("n") - F.col("length") + 1)
@@ -56,26 +60,31 @@ def block_draws(rows: DataFrame, n_resamples: int, block: int, by: Sequence[str]
 
 def bootstrap_trades(trades: DataFrame, n_resamples: int = 1000, block: int = 1) -> DataFrame:
     """symbol, n_trades and percentiles of win rate and compounded growth over resamples of each symbol's trades in order of
-    exit; with block > 1 runs of that many trades are drawn. Growth is given as a logarithm: it spans many orders of magnitude."""
+    exit; with block > 1 runs of that many trades are drawn. Symbols with outliers among four trades or more get five times the
+    resamples, 5,000 to 20,000. Growth is given as a logarithm: it spans many orders of magnitude."""
+    boosted = min(max(5 * n_resamples, 5_000), 20_000)
+    wild = iqr_outliers(trades).select("symbol").distinct().withColumn("n_resamples", F.lit(boosted))
     order = Window.partitionBy("symbol").orderBy("exit", "entry")
     nth = trades.select("symbol", (F.col("return_pct") / 100).alias("r"), (F.row_number().over(order) - 1).cast("long").alias("i"))
-    samples = block_draws(nth, n_resamples, block).join(nth, ["symbol", "i"]).groupBy("symbol", "sample").agg(
+    samples = block_draws(nth, n_resamples, block, more=wild).join(nth, ["symbol", "i"]).groupBy("symbol", "sample").agg(
         F.first("n").alias("n"), (F.avg((F.col("r") > 0).cast("double")) * 100).alias("win"), F.sum(log_of(1 + F.col("r"))).alias("log_growth"),
     )
     at = lambda c, p: F.percentile(c, F.lit(p / 100)).alias(f"{c}_p{p}")
-    return samples.groupBy("symbol").agg(F.first("n").alias("n_trades"), *(at(c, p) for c in ("win", "log_growth") for p in (5, 25, 50, 75, 95)), F.avg("win").alias("win_mean"), F.avg("log_growth").alias("log_growth_mean"))
+    return samples.groupBy("symbol").agg(F.first("n").alias("n_trades"), F.count(F.lit(1)).alias("n_resamples"), *(at(c, p) for c in ("win", "log_growth") for p in (5, 25, 50, 75, 95)), F.avg("win").alias("win_mean"), F.avg("log_growth").alias("log_growth_mean"))
 
 
-def skill_bootstrap(df: DataFrame, predicted: str, actual: str, n_resamples: int = 200, block: int = 15) -> DataFrame:
-    """symbol, n and percentiles of the skill score over resamples of blocks of days, which keep overlapping outcomes together."""
+def skill_bootstrap(df: DataFrame, predicted: str, actual: str, n_resamples: int = 1000, block: int = 15) -> DataFrame:
+    """symbol, n, percentiles of the skill score over resamples of blocks of days, which keep overlapping outcomes together, and
+    whether the fifth is above zero. A resample with one outcome has no score."""
     known = df.where(F.col(predicted).isNotNull() & F.col(actual).isNotNull())
     nth = known.select("symbol", F.col(predicted).alias("p"), F.col(actual).alias("a"), (F.row_number().over(bars_order()) - 1).cast("long").alias("i"))
     samples = block_draws(nth, n_resamples, block).join(nth, ["symbol", "i"]).groupBy("symbol", "sample").agg(
         F.first("n").alias("n"), F.avg((F.col("p") - F.col("a")) * (F.col("p") - F.col("a"))).alias("brier"), F.avg("a").alias("rate"),
     )
     base = F.col("rate") * (1 - F.col("rate"))
-    samples = samples.withColumn("skill", F.when(base > 1e-9, 1 - F.col("brier") / F.nullif(base, F.lit(0.0))).otherwise(0.0))
-    return samples.groupBy("symbol").agg(F.first("n").alias("n"), *(F.percentile("skill", F.lit(p / 100)).alias(f"skill_p{p}") for p in (5, 50, 95)))
+    samples = samples.withColumn("skill", F.when(base > 1e-9, 1 - F.col("brier") / F.nullif(base, F.lit(0.0))))
+    out = samples.groupBy("symbol").agg(F.first("n").alias("n"), *(F.percentile("skill", F.lit(p / 100)).alias(f"skill_p{p}") for p in (5, 50, 95)))
+    return out.withColumn("significant", F.coalesce(F.col("skill_p5") > 0, F.lit(False)))
 
 
 def expanding_folds(df: DataFrame, test_days: int = 60, min_train_days: int = 100, step_days: int | None = None) -> DataFrame:
@@ -139,8 +148,9 @@ def meta_features(df: DataFrame, trades: DataFrame, horizon: int = 15) -> DataFr
     return df.withColumns({"vote_signal": (F.col("composite") + 1) / 2, "vote_mc": F.col("prob_up"), "vote_bt": share}).drop("_closed", "_won")
 
 
-def plateau(df: DataFrame, windows: Sequence[int] = (15, 20, 25), base: int = 20, trading_days: float = DAYS) -> DataFrame:
-    """Sharpe ratio of the composite strategy with neighbouring mean-reversion windows: one pass makes all positions."""
+def plateau(df: DataFrame, windows: Sequence[int] = (15, 20, 25), base: int = 20, trading_days: float = DAYS, entries: Sequence[float] = (1.3, 1.5, 1.7), base_entry: float = 1.5) -> DataFrame:
+    """param, value, offset, sharpe, is_base: Sharpe ratio of the composite strategy with neighbouring mean-reversion windows and entry
+    levels. One pass makes all positions; the composite score does not look at the entry level, so those rows repeat the base."""
     made = df.select("symbol", "ts", "close")
     for w in windows:
         made = composite(made, mr_window=w).withColumn(f"w{w}", latch(F.col("signal") == "BUY", F.col("signal") == "SELL")).drop("z", "diff", "composite", "signal")
@@ -148,8 +158,12 @@ def plateau(df: DataFrame, windows: Sequence[int] = (15, 20, 25), base: int = 20
     run = bt.run_positions(long).withColumn("_d", ratio("equity", F.lag("equity").over(bt.order())) - 1)
     out = run.groupBy("symbol", "strategy").agg(F.avg("_d").alias("_mean"), F.stddev_samp("_d").alias("_sd"))
     sharpe = F.when(F.col("_sd") > 0, ratio("_mean", "_sd") * F.sqrt(F.lit(trading_days)))
-    value = F.substring("strategy", 2, 9).cast("int")
-    return out.select("symbol", value.alias("mr_window"), (value - base).alias("offset"), sharpe.alias("sharpe"))
+    out = out.select("symbol", F.substring("strategy", 2, 9).cast("double").alias("value"), sharpe.alias("sharpe"))
+    row = lambda param, value, origin: F.struct(F.lit(param).alias("param"), value.alias("value"), F.round(value - origin, 6).alias("offset"))
+    at_entry = F.when(F.col("value") == base, F.array(*(row("mr_z_entry", F.lit(float(e)), base_entry) for e in entries)))
+    both = F.concat(F.array(row("mr_window", F.col("value"), float(base))), F.coalesce(at_entry, F.array().cast("array<struct<param: string, value: double, offset: double>>")))
+    out = out.select("symbol", "sharpe", F.inline(both))
+    return out.select("symbol", "param", "value", "offset", "sharpe", (F.col("offset") == 0).alias("is_base"))
 
 
 def sharpe_significance(run: DataFrame, trials: int) -> DataFrame:

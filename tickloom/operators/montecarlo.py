@@ -40,7 +40,7 @@ def fan_bands(paths: DataFrame, bands: Sequence[float] = (0.05, 0.25, 0.5, 0.75,
     return paths.groupBy("symbol", "day").agg(*(F.percentile("price", F.lit(b)).alias(f"p{round(b * 100)}") for b in bands))
 
 
-def subsample(paths: DataFrame, n: int = 25) -> DataFrame:
+def subsample(paths: DataFrame, n: int = 300) -> DataFrame:
     """n of each symbol's paths, chosen by a hash of their number: the same for every symbol and run."""
     sims = paths.select("sim").distinct().withColumn("_draw", portable_int(F.col("sim"))).orderBy("_draw", "sim").limit(n).select("sim")
     return paths.join(F.broadcast(sims), "sim", "left_semi")

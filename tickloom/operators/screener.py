@@ -67,9 +67,13 @@ def verdict(df: DataFrame, z_guard: float = 1.5) -> DataFrame:
 
 
 def scalp_swing(df: DataFrame) -> DataFrame:
-    """scalp from signal, volume ratio and z; swing from the back-test and the simulation."""
-    scalp = ((F.col("composite") + 1) / 2 + F.least(F.lit(1.0), F.col("volume_ratio") / 3) + clip((-F.col("z") / 3 + 1) / 2, 0, 1)) / 3
-    swing = (F.when(F.col("n_trades") >= 3, F.col("win_rate_pct") / 100).otherwise(0.5) + F.col("prob_profit")) / 2
+    """scalp from signal, volume ratio and z; swing from the back-test, the simulation and, where known, the fundamentals. Other
+    unknown parts are one half."""
+    half = lambda c: F.coalesce(c, F.lit(0.5))
+    spike = half(F.when(F.col("volume_ratio").isNotNull(), F.least(F.lit(1.0), F.col("volume_ratio") / 3)))
+    scalp = (half((F.col("composite") + 1) / 2) + spike + half(clip((-F.col("z") / 3 + 1) / 2, 0, 1))) / 3
+    slow = half(F.when(F.col("n_trades") >= 3, F.col("win_rate_pct") / 100)) + half(F.col("prob_profit"))
+    swing = F.when(F.col("fundamental_score").isNotNull(), (slow + F.col("fundamental_score")) / 3).otherwise(slow / 2)
     return df.withColumn("scalp", scalp).withColumn("swing", swing)
 
 
@@ -91,22 +95,27 @@ def order_ticket(df: DataFrame, capital: float = 1e8, fraction: float = 0.2, lot
     return df.withColumn("quantity", (F.floor(ratio(F.lit(capital * fraction), "close") / lot) * lot).cast("long")).withColumn("value", F.col("quantity") * F.col("close"))
 
 
-def regime_vote(df: DataFrame, max_spread: float = 0.5) -> DataFrame:
-    """overall by the weights of the column regime, disagree where the parts lie far apart, and a sentence that says so."""
+#: How far the parts of a vote may lie apart before they differ, and before they contradict each other (fixed values).
+SLIGHT, CONTRARY = 0.2, 0.4
+
+
+def regime_vote(df: DataFrame) -> DataFrame:
+    """overall by the weights of the column regime, how far the parts agree (contrary, slight, agreed), and a sentence that says so."""
     parts = {"signal": F.coalesce((F.col("composite") + 1) / 2, F.lit(0.5)), "mc": F.coalesce("prob_profit", F.lit(0.5))}
     parts |= {"bt": F.coalesce(F.when(F.col("n_trades") >= 3, F.col("win_rate_pct") / 100).otherwise(0.5), F.lit(0.5)), "fund": F.coalesce("fundamental_score", F.lit(0.5))}
     weights = regime_weights(F.col("regime"))
     overall = sum((weights[k] * v for k, v in parts.items()), F.lit(0.0))
-    out = df.withColumn("overall", overall).withColumn("disagree", F.greatest(*parts.values()) - F.least(*parts.values()) > max_spread)
+    apart = F.greatest(*parts.values()) - F.least(*parts.values())
+    out = df.withColumn("overall", overall).withColumn("agreement", F.when(apart > CONTRARY, "contrary").when(apart > SLIGHT, "slight").otherwise("agreed"))
     lean = F.when(F.col("overall") >= 0.55, "leans up").when(F.col("overall") <= 0.45, "leans down").otherwise("is undecided")
-    return out.withColumn("narrative", F.concat(F.col("symbol"), F.lit(" "), lean, F.lit(" in a "), F.col("regime"), F.lit(" volatility regime"), F.when(F.col("disagree"), ", but its parts disagree.").otherwise(".")))
+    return out.withColumn("narrative", F.concat(F.col("symbol"), F.lit(" "), lean, F.lit(" in a "), F.col("regime"), F.lit(" volatility regime"), F.when(F.col("agreement") == "contrary", ", but its parts contradict each other.").when(F.col("agreement") == "slight", ", with parts that differ a little.").otherwise(".")))
 
 
-#: Windows and weight of the composite score by holding period (fixed values).
+#: Windows, levels and weight of the signals by holding period, days to simulate and days of a test fold (fixed values).
 PRESETS = {
-    "swing": {"mr_window": 20, "fast": 10, "slow": 30, "mr_weight": 0.5},
-    "position": {"mr_window": 40, "fast": 20, "slow": 60, "mr_weight": 0.4},
-    "long_term": {"mr_window": 90, "fast": 50, "slow": 150, "mr_weight": 0.3},
+    "swing": {"mr_window": 20, "mr_z_entry": 1.5, "fast": 10, "slow": 30, "mr_weight": 0.5, "mc_days": 15, "fold_test_days": 60},
+    "position": {"mr_window": 40, "mr_z_entry": 1.75, "fast": 20, "slow": 60, "mr_weight": 0.4, "mc_days": 45, "fold_test_days": 120},
+    "long_term": {"mr_window": 90, "mr_z_entry": 2.0, "fast": 50, "slow": 150, "mr_weight": 0.3, "mc_days": 90, "fold_test_days": 252},
 }
 
 
@@ -116,7 +125,7 @@ def movers(df: DataFrame) -> DataFrame:
     return last.agg(*(F.count_if(test).alias(name) for name, test in (("up", F.col("_c") > 0), ("down", F.col("_c") < 0), ("flat", F.col("_c") == 0))))
 
 
-def enrich(df: DataFrame, sentiment: DataFrame, weight: float = 0.2) -> DataFrame:
-    """overall moved by the symbol's news sentiment where that is known; it stays within [0, 1]."""
-    out = df.join(sentiment.select("symbol", "sentiment"), "symbol", "left")
-    return out.withColumn("enriched", F.coalesce(clip(F.col("overall") + weight * F.col("sentiment"), 0, 1), F.col("overall")))
+def enrich(df: DataFrame, sentiment: DataFrame, by: str = "symbol", n: int = 10) -> DataFrame:
+    """The n best of df by overall, ties by symbol, with the sentiment of their news. It is shown and changes no score."""
+    best = df.orderBy(F.col("overall").desc_nulls_last(), "symbol").limit(n)
+    return best.join(sentiment.select(F.col("symbol").alias(by), "sentiment"), by, "left")

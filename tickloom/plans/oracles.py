@@ -322,7 +322,7 @@ ORACLES |= {
 SELECT symbol, {r('close', 'last')}, {r('pc', 'prev_close')}, {r('pct', 'pct_change')}, {r('volume', 'volume')} FROM b WHERE pct IS NOT NULL AND close >= 1 ORDER BY pct DESC, symbol LIMIT 10""",
     "verdict_scan": f"""WITH {SCAN} SELECT symbol, {r('composite', 'composite')}, {r('pp', 'prob_profit')}, n AS n_trades, {r('win', 'win_rate_pct')}, tier, {r('fs', 'fundamental_score')}, {r('overall', 'overall')}, {r('spread', 'component_spread')},
 CASE WHEN overall >= 0.55 THEN CASE WHEN coalesce(z >= 1.5, false) OR tier = 'hard_illiquid' THEN 'HOLD (' || concat_ws(' + ', CASE WHEN z >= 1.5 THEN 'Z-Guard' END, CASE WHEN tier = 'hard_illiquid' THEN 'Liquidity-Guard' END) || ')' ELSE 'BUY' END WHEN overall <= 0.45 THEN 'SELL' ELSE 'HOLD' END AS verdict FROM ov""",
-    "scalp_swing": f"WITH {SCAN} SELECT symbol, {r(f'(((composite + 1) / 2) + least(1, vr / 3) + ' + clip('(-z / 3 + 1) / 2', 0, 1) + ') / 3', 'scalp')}, {r('(v3 + pp) / 2', 'swing')} FROM ov",
+    "scalp_swing": f"WITH {SCAN} SELECT symbol, {r(f"(coalesce((composite + 1) / 2, 0.5) + coalesce(CASE WHEN vr > 3 THEN 1 ELSE vr / 3 END, 0.5) + coalesce({clip('(-z / 3 + 1) / 2', 0, 1)}, 0.5)) / 3", 'scalp')}, {r('CASE WHEN fs IS NOT NULL THEN (v3 + v2 + fs) / 3 ELSE (v3 + v2) / 2 END', 'swing')} FROM ov",
     "position_sizing": f"""WITH {BARS}, {Z}, {MA}, {COMPOSITE}, a AS (SELECT *, {change('close')} AS ret FROM c), b AS (SELECT *, {roll('stddev_samp', 'ret', 20)} * sqrt({d(252)}) AS vol FROM a)
 SELECT symbol, {DAY}, {r(clip(f"{d(0.1)} * coalesce({d(0.25)} + {d(1.25)} * {clip('(abs(composite) - 0.5) / 0.5', 0, 1)}, 1) * ({d(0.25)} + {d(0.75)} * {d(0.6)}) * CASE WHEN vol > {d('1e-6')} THEN {clip(f'{d(0.2)} / vol', 0.25, 2)} ELSE 1 END", 0.01, 1), 'size')} FROM b""",
     "news_sentiment": f"WITH a AS (SELECT d.lang AS symbol, d.doc_id, avg(CAST(quality - toxic AS DOUBLE)) AS s FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE quality - toxic IS NOT NULL GROUP BY 1, 2) SELECT symbol, {r('avg(s)', 'sentiment')}, count(*) AS n_articles FROM a GROUP BY 1",
@@ -370,17 +370,21 @@ def drawn(i: str) -> str:
     return f"(({q2} * {q2} + 69621) % {X})"
 
 
-def blocks(source: str, samples: int, block: int) -> str:
-    return f"""sz AS (SELECT symbol, n, CASE WHEN n > {block} THEN {block} ELSE 1 END AS len, CASE WHEN n > {block} THEN (n + {block} - 1) // {block} ELSE n END AS runs FROM (SELECT symbol, count(*) AS n FROM {source} GROUP BY 1)),
-d0 AS (SELECT *, unnest(range(runs)) AS j FROM sz, range({samples}) a(sample)), d1 AS (SELECT *, {drawn('sample * runs + j')} % (n - len + 1) AS start FROM d0),
+def blocks(source: str, samples: int, block: int, boosted: str = "") -> str:
+    """boosted: a table of symbols that get 5,000 resamples."""
+    ns = f"CASE WHEN symbol IN (SELECT symbol FROM {boosted}) THEN 5000 ELSE {samples} END" if boosted else str(samples)
+    return f"""sz AS (SELECT symbol, n, {ns} AS ns, CASE WHEN n > {block} THEN {block} ELSE 1 END AS len, CASE WHEN n > {block} THEN (n + {block} - 1) // {block} ELSE n END AS runs FROM (SELECT symbol, count(*) AS n FROM {source} GROUP BY 1)),
+d0 AS (SELECT *, unnest(range(runs)) AS j FROM (SELECT *, unnest(range(ns)) AS sample FROM sz)), d1 AS (SELECT *, {drawn('sample * runs + j')} % (n - len + 1) AS start FROM d0),
 d2 AS (SELECT *, unnest(range(len)) AS step FROM d1), d3 AS (SELECT symbol, n, sample, start + step AS i FROM d2 WHERE j * len + step < n)"""
 
 
 def bootstrap(block: int) -> str:
     return f"""{TRADES}, nt AS (SELECT symbol, return_pct / 100 AS r, row_number() OVER (PARTITION BY symbol ORDER BY exit, entry) - 1 AS i FROM tr),
-{blocks('nt', 1000, block)},
+qs AS (SELECT symbol, quantile_cont(return_pct, 0.25) AS q1, quantile_cont(return_pct, 0.75) AS q3 FROM tr GROUP BY 1 HAVING count(*) >= 4),
+wi AS (SELECT DISTINCT tr.symbol FROM tr JOIN qs ON qs.symbol = tr.symbol WHERE return_pct < q1 - 1.5 * (q3 - q1) OR return_pct > q3 + 1.5 * (q3 - q1)),
+{blocks('nt', 1000, block, 'wi')},
 sm AS (SELECT d3.symbol, d3.sample, any_value(n) AS n, avg(CASE WHEN r > 0 THEN {d(1)} ELSE 0 END) * 100 AS win, sum(ln(1 + r)) AS log_growth FROM d3 JOIN nt ON nt.symbol = d3.symbol AND nt.i = d3.i GROUP BY 1, 2)
-SELECT symbol, any_value(n) AS n_trades, {', '.join(r(f'quantile_cont({c}, {p / 100})', f'{c}_p{p}') for c in ('win', 'log_growth') for p in (5, 25, 50, 75, 95))}, {r('avg(win)', 'win_mean')}, {r('avg(log_growth)', 'log_growth_mean')} FROM sm GROUP BY 1"""
+SELECT symbol, any_value(n) AS n_trades, count(*) AS n_resamples, {', '.join(r(f'quantile_cont({c}, {p / 100})', f'{c}_p{p}') for c in ('win', 'log_growth') for p in (5, 25, 50, 75, 95))}, {r('avg(win)', 'win_mean')}, {r('avg(log_growth)', 'log_growth_mean')} FROM sm GROUP BY 1"""
 
 
 FOLDS = f"""fo0 AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS c FROM {{}}),
@@ -425,8 +429,10 @@ SELECT symbol, {r('brier', 'brier')}, n, {r('base', 'brier_baseline')}, {r('skil
 SELECT oo.symbol, CAST(oo.ts AS DATE) AS day, {r('(composite + 1) / 2', 'vote_signal')}, {r('p', 'vote_mc')}, {r(f"sum(won) OVER (PARTITION BY oo.symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) / nullif(CAST(sum(closed) OVER (PARTITION BY oo.symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS DOUBLE), 0)", 'vote_bt')}, {r('target', 'target')} FROM oo LEFT JOIN cl ON cl.symbol = oo.symbol AND cl.exit = oo.ts""",
     "parameter_plateau": f"""WITH {BARS}, {', '.join(held(w) for w in (15, 20, 25))},
 pos AS ({' UNION ALL '.join(f"SELECT symbol, ts, close, '{w}' AS strategy, CAST({latch('sc >= 0.5', 'sc <= -0.5')} AS DOUBLE) AS position FROM h{w}b" for w in (15, 20, 25))}), {RUNS},
-e AS (SELECT *, equity / nullif(lag(equity) OVER ({PS}), 0) - 1 AS daily FROM run)
-SELECT symbol, CAST(strategy AS INTEGER) AS mr_window, CAST(strategy AS INTEGER) - 20 AS "offset", {r(f'CASE WHEN stddev_samp(daily) > 0 THEN avg(daily) / stddev_samp(daily) * sqrt({d(252)}) END', 'sharpe')} FROM e GROUP BY symbol, strategy""",
+e AS (SELECT *, equity / nullif(lag(equity) OVER ({PS}), 0) - 1 AS daily FROM run),
+sp AS (SELECT symbol, CAST(strategy AS DOUBLE) AS value, CASE WHEN stddev_samp(daily) > 0 THEN avg(daily) / stddev_samp(daily) * sqrt({d(252)}) END AS sharpe FROM e GROUP BY symbol, strategy)
+SELECT symbol, param, value, "offset", {r('sharpe', 'sharpe')}, "offset" = 0 AS is_base FROM (SELECT symbol, 'mr_window' AS param, value, value - 20 AS "offset", sharpe FROM sp
+  UNION ALL SELECT symbol, 'mr_z_entry', v, o, sharpe FROM sp, (VALUES (1.3::DOUBLE, -0.2::DOUBLE), (1.5::DOUBLE, 0::DOUBLE), (1.7::DOUBLE, 0.2::DOUBLE)) t(v, o) WHERE value = 20)""",
     "sharpe_significance": f"""WITH RECURSIVE {RUN_WEEKLY}, e AS (SELECT *, equity / nullif(lag(equity) OVER ({PS}), 0) - 1 AS daily FROM run),
 p1 AS (SELECT symbol, strategy, avg(daily) AS m, stddev_samp(daily) AS sd, stddev_pop(daily) AS sp, count(daily) AS n FROM e GROUP BY 1, 2),
 p2 AS (SELECT e.symbol, e.strategy, any_value(m / nullif(sd, 0)) AS sr, any_value(p1.n) AS n, avg(pow((daily - m) / nullif(sp, 0), 3)) AS sk, avg(pow((daily - m) / nullif(sp, 0), 4)) AS ku FROM e JOIN p1 ON p1.symbol = e.symbol AND p1.strategy = e.strategy WHERE sd > 0 AND p1.n > 2 GROUP BY 1, 2),
@@ -449,13 +455,13 @@ SELECT la.symbol, {r('close', 'close', 4)}, {r(f'greatest(coalesce(cs * 10000, {
 SELECT symbol, {r('pc', 'price', 4)}, q AS quantity, {r('q * pc', 'value', 4)}, {r('(close - pc) * q', 'unrealised', 4)} FROM b""",
     "regime_vote": f"""WITH {SCAN}, ra AS (SELECT *, {change('close')} AS ret FROM bars), rb AS (SELECT symbol, ts, stddev_samp(ret) {over(20)} * sqrt({d(52)}) AS v FROM ra QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1),
 rc AS (SELECT scan.*, CASE WHEN v > 0.4 THEN 'high' ELSE 'normal' END AS regime FROM scan JOIN rb ON rb.symbol = scan.symbol),
-rd AS (SELECT *, CASE WHEN regime = 'high' THEN v1 * {d(0.35)} + v2 * {d(0.2)} + v3 * {d(0.35)} + v4 * {d(0.1)} ELSE v1 * {d(0.2)} + v2 * {d(0.4)} + v3 * {d(0.25)} + v4 * {d(0.15)} END AS o, greatest(v1, v2, v3, v4) - least(v1, v2, v3, v4) > 0.5 AS disagree FROM rc)
-SELECT symbol, regime, {r('o', 'overall')}, disagree, symbol || ' ' || CASE WHEN o >= 0.55 THEN 'leans up' WHEN o <= 0.45 THEN 'leans down' ELSE 'is undecided' END || ' in a ' || regime || ' volatility regime' || CASE WHEN disagree THEN ', but its parts disagree.' ELSE '.' END AS narrative FROM rd""",
+rd AS (SELECT *, CASE WHEN regime = 'high' THEN v1 * {d(0.35)} + v2 * {d(0.2)} + v3 * {d(0.35)} + v4 * {d(0.1)} ELSE v1 * {d(0.2)} + v2 * {d(0.4)} + v3 * {d(0.25)} + v4 * {d(0.15)} END AS o, greatest(v1, v2, v3, v4) - least(v1, v2, v3, v4) AS apart FROM rc)
+SELECT symbol, regime, {r('o', 'overall')}, CASE WHEN apart > 0.4 THEN 'contrary' WHEN apart > 0.2 THEN 'slight' ELSE 'agreed' END AS agreement, symbol || ' ' || CASE WHEN o >= 0.55 THEN 'leans up' WHEN o <= 0.45 THEN 'leans down' ELSE 'is undecided' END || ' in a ' || regime || ' volatility regime' || CASE WHEN apart > 0.4 THEN ', but its parts contradict each other.' WHEN apart > 0.2 THEN ', with parts that differ a little.' ELSE '.' END AS narrative FROM rd""",
     "event_range_counts": f"""SELECT event_id, count(*) OVER w AS n_before, {r('coalesce(sum(value) OVER w, 0)', 'value_before', 4)} FROM (SELECT *, epoch_us(ts) AS us FROM events)
 WINDOW w AS (PARTITION BY user_id ORDER BY us RANGE BETWEEN 3600000000 PRECEDING AND 1 PRECEDING)""",
     "event_distinct_users": "SELECT event_type, CAST(ts AS DATE) AS day, count(DISTINCT user_id) AS n_users, count(*) AS n FROM events GROUP BY 1, 2",
     "calendar_outer": f"""WITH {BARS}, sg AS (SELECT c_mktsegment AS symbol, CAST(date_trunc('week', o_orderdate) AS DATE) AS day, arg_max(o_totalprice, o_orderkey) AS close FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
-li AS (SELECT CAST(ts AS DATE) AS day, max(close) AS x FROM bars GROUP BY 1), od AS (SELECT day, max(close) AS y FROM sg GROUP BY 1) SELECT coalesce(li.day, od.day) AS day, {r('x', 'line_close')}, {r('y', 'order_close')} FROM li FULL JOIN od ON li.day = od.day""",
+li AS (SELECT CAST(ts AS DATE) AS day, CAST(sum(CAST(close AS DECIMAL(24, 6))) AS DOUBLE) / count(*) AS x FROM bars GROUP BY 1), od AS (SELECT day, CAST(sum(CAST(close AS DECIMAL(24, 6))) AS DOUBLE) / count(*) AS y FROM sg GROUP BY 1) SELECT coalesce(li.day, od.day) AS day, {r('x', 'line_close', 4)}, {r('y', 'order_close', 4)} FROM li FULL JOIN od ON li.day = od.day""",
     "calendar_gaps": f"""WITH {BARS}, w AS (SELECT symbol, CAST(ts AS DATE) AS week FROM brand), s AS (SELECT symbol, min(week) AS a, max(week) AS b FROM w GROUP BY 1), k AS (SELECT symbol, CAST(unnest(generate_series(a, b, INTERVAL 7 DAYS)) AS DATE) AS week FROM s)
 SELECT k.symbol, k.week FROM k ANTI JOIN w ON w.symbol = k.symbol AND w.week = k.week""",
 }
@@ -480,19 +486,24 @@ SELECT e2.symbol, {r('ln(fin / 100)', 'log_total_return', 4)}, {r(f'm / nullif(s
 FROM e2 LEFT JOIN tc ON tc.symbol = e2.symbol""".replace("{{", "{").replace("}}", "}")
 
 
-def preset(name: str, window: int, fast: int, slow: int, weight: float) -> str:
-    return f"""SELECT symbol, '{name}' AS preset, composite, CASE WHEN composite <= -0.5 THEN 'SELL' WHEN composite >= 0.5 THEN 'BUY' ELSE 'HOLD' END AS signal FROM (
-SELECT *, {clip(f"{d(weight)} * {clip('zz', -3, 3)} / -3 + {d(1 - weight)} * coalesce(sign(df), 0)", -1, 1)} AS composite FROM (
-SELECT *, {roll('avg', 'close', fast)} - {roll('avg', 'close', slow)} AS df, (close - {roll('avg', 'close', window)}) / nullif({roll('stddev_samp', 'close', window)}, 0) AS zz FROM bars)) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1"""
+def preset(name: str, window: int, z_entry: float, fast: int, slow: int, weight: float, days: int, test: int) -> str:
+    return f"""SELECT symbol, '{name}' AS preset, composite, CASE WHEN composite <= -0.5 THEN 'SELL' WHEN composite >= 0.5 THEN 'BUY' ELSE 'HOLD' END AS signal,
+CASE WHEN abs(zz) <= 0.5 THEN 'EXIT' WHEN zz >= {d(z_entry)} THEN 'SELL' WHEN zz <= {d(-z_entry)} THEN 'BUY' ELSE 'HOLD' END AS z_signal, {phi('q')} AS prob_up, n_folds FROM (
+SELECT *, {clip(f"{d(weight)} * {clip('zz', -3, 3)} / -3 + {d(1 - weight)} * coalesce(sign(df), 0)", -1, 1)} AS composite, (mu - sd * sd / 2) * {days} / nullif(sd * sqrt({d(days)}), 0) AS q FROM (
+SELECT *, {roll('avg', 'lr', 90, 1)} AS mu, {roll('stddev_samp', 'lr', 90, 1)} AS sd FROM (
+SELECT *, {roll('avg', 'close', fast)} - {roll('avg', 'close', slow)} AS df, (close - {roll('avg', 'close', window)}) / nullif({roll('stddev_samp', 'close', window)}, 0) AS zz, ln(close) - ln({lag('close')}) AS lr,
+greatest((count(*) OVER (PARTITION BY symbol) - 100) // {test}, 0) AS n_folds FROM bars))) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1"""
 
 
+PRESET_ROWS = (("swing", 20, 1.5, 10, 30, 0.5, 15, 60), ("position", 40, 1.75, 20, 60, 0.4, 45, 120), ("long_term", 90, 2.0, 50, 150, 0.3, 90, 252))
 ORACLES |= {
-    "preset_signals": f"WITH {BARS}, u AS ({' UNION ALL '.join(f'(SELECT * FROM ({preset(*p)}))' for p in (('swing', 20, 10, 30, 0.5), ('position', 40, 20, 60, 0.4), ('long_term', 90, 50, 150, 0.3)))}) SELECT symbol, preset, {r('composite', 'composite')}, signal FROM u",
+    "preset_signals": f"WITH {BARS}, u AS ({' UNION ALL '.join(f'(SELECT * FROM ({preset(*p)}))' for p in PRESET_ROWS)}) SELECT symbol, preset, {r('composite', 'composite')}, signal, z_signal, {r('prob_up', 'prob_up')}, n_folds FROM u",
     "movers": f"WITH {BARS}, a AS (SELECT *, {change('close')} AS c FROM brand), b AS (SELECT symbol, arg_max(c, ts) AS c FROM a GROUP BY 1) SELECT count(*) FILTER (c > 0) AS up, count(*) FILTER (c < 0) AS down, count(*) FILTER (c = 0) AS flat FROM b WHERE c IS NOT NULL",
-    "sentiment_enrichment": f"""WITH bars AS (SELECT c_mktsegment AS symbol, CAST(date_trunc('week', o_orderdate) AS TIMESTAMP) AS ts, arg_max(o_totalprice, o_orderkey) AS close FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2), {Z}, {MA}, {COMPOSITE},
-t AS (SELECT symbol AS segment, ['de', 'en', 'es', 'fr'][length(symbol) % 4 + 1] AS lang, (composite + 1) / 2 AS o FROM c QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1),
+    "sentiment_enrichment": f"""WITH {BRANDS}, {Z}, {MA}, {COMPOSITE},
+t AS (SELECT symbol, ['de', 'en', 'es', 'fr'][CAST(right(symbol, 1) AS INTEGER) % 4 + 1] AS lang, (composite + 1) / 2 AS o FROM c QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1),
+b AS (SELECT * FROM t ORDER BY o DESC NULLS LAST, symbol LIMIT 10),
 s AS (SELECT lang, avg(s) AS s FROM (SELECT d.doc_id, d.lang, avg(CAST(quality - toxic AS DOUBLE)) AS s FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1, 2) GROUP BY 1)
-SELECT segment, t.lang, {r('o', 'overall')}, {r('s', 'sentiment')}, {r(f"coalesce({clip(f'o + {d(0.2)} * s', 0, 1)}, o)", 'enriched')} FROM t LEFT JOIN s ON s.lang = t.lang""",
+SELECT symbol, b.lang, {r('o', 'overall')}, {r('s', 'sentiment')} FROM b LEFT JOIN s ON s.lang = b.lang""",
     "universe_sources": """SELECT DISTINCT replace(upper(trim(p_brand || '.' || p_size)), '.', '-') AS symbol, 'code' AS kind FROM part UNION ALL SELECT DISTINCT upper(p_type) || '/IDR', 'pair' FROM part WHERE p_size % 2 <> 0""",
     "precompute_rows": f"WITH {SCAN} SELECT symbol, CASE WHEN composite <= -0.5 THEN 'SELL' WHEN composite >= 0.5 THEN 'BUY' ELSE 'HOLD' END AS signal, {r('composite', 'score')}, {r('pp', 'mc_prob_profit')}, {r('win', 'win_rate')}, tier AS liq_tier FROM scan",
     "portfolio_stats": f"""WITH {BARS}, ty AS (SELECT p_type AS symbol, CAST(date_trunc('week', l_shipdate) AS TIMESTAMP) AS ts, arg_max(price, k) AS close FROM line JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
@@ -504,11 +515,11 @@ SELECT name, count(*) AS n_days, {r('avg(ret) * 52', 'annual_return')}, {r(f'std
 }
 
 ORACLES |= {
-    "skill_bootstrap": f"""WITH {OUT}, nt AS (SELECT symbol, p, target AS a, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM ok), {blocks('nt', 200, 15)},
+    "skill_bootstrap": f"""WITH {OUT}, nt AS (SELECT symbol, p, target AS a, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM ok), {blocks('nt', 1000, 15)},
 sm AS (SELECT d3.symbol, d3.sample, any_value(n) AS n, avg((p - a) * (p - a)) AS brier, avg(a) * (1 - avg(a)) AS base FROM d3 JOIN nt ON nt.symbol = d3.symbol AND nt.i = d3.i GROUP BY 1, 2),
-sk AS (SELECT *, CASE WHEN base > 1e-9 THEN 1 - brier / base ELSE {d(0)} END AS skill FROM sm)
-SELECT symbol, any_value(n) AS n, {', '.join(r(f'quantile_cont(skill, {p / 100})', f'skill_p{p}') for p in (5, 50, 95))} FROM sk GROUP BY 1""",
-    "path_subsample": f"WITH {BARS}, {PATHS}, sb AS (SELECT CAST(sim AS BIGINT) AS sim FROM range(2000) a(sim) ORDER BY {drawn('sim')}, sim LIMIT 25) SELECT symbol, CAST(sim AS INTEGER) AS sim, CAST(day AS INTEGER) AS day, {r('price', 'price')} FROM paths WHERE sim IN (SELECT sim FROM sb)",
+sk AS (SELECT *, CASE WHEN base > 1e-9 THEN 1 - brier / base END AS skill FROM sm)
+SELECT symbol, any_value(n) AS n, {', '.join(r(f'quantile_cont(skill, {p / 100})', f'skill_p{p}') for p in (5, 50, 95))}, coalesce(quantile_cont(skill, 0.05) > 0, false) AS significant FROM sk GROUP BY 1""",
+    "path_subsample": f"WITH {BARS}, {PATHS}, sb AS (SELECT CAST(sim AS BIGINT) AS sim FROM range(2000) a(sim) ORDER BY {drawn('sim')}, sim LIMIT 300) SELECT symbol, CAST(sim AS INTEGER) AS sim, CAST(day AS INTEGER) AS day, {r('price', 'price')} FROM paths WHERE sim IN (SELECT sim FROM sb)",
     "random_portfolios": f"""WITH {BARS}, ty AS (SELECT p_type AS symbol, CAST(date_trunc('week', l_shipdate) AS TIMESTAMP) AS ts, arg_max(price, k) AS close FROM line JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
 fd AS (SELECT ts FROM ty GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT symbol) FROM ty)), rt AS (SELECT * FROM (SELECT symbol, ts, {change('close')} AS ret FROM ty WHERE ts IN (FROM fd)) WHERE ret IS NOT NULL),
 me AS (SELECT symbol, avg(ret) * 52 AS mean, row_number() OVER (ORDER BY symbol) - 1 AS nth, count(*) OVER () AS k FROM rt GROUP BY 1),

@@ -542,7 +542,7 @@ def regime_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vote with the weights of each symbol's volatility regime, and whether its parts disagree."""
     regimes = ind.volatility_regime(src.bars_weekly(spark, sf_dir), trading_days=52).select("symbol", "regime")
     made = screen.regime_vote(_scan(spark, sf_dir).join(regimes, "symbol"))
-    return rounded(made.select("symbol", "regime", "overall", "disagree", "narrative"))
+    return rounded(made.select("symbol", "regime", "overall", "agreement", "narrative"))
 
 
 @query
@@ -561,10 +561,11 @@ def event_distinct_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def calendar_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days and highest closes of two sources of bars, by day: either may be missing."""
-    daily_close = lambda df, name: df.groupBy(F.to_date("ts").alias("day")).agg(F.max("close").alias(name))
+    """Days and mean closes of two sources of bars, by day: either may be missing. Sums are decimals, so their order does not matter."""
+    total = F.sum(F.col("close").cast("decimal(24,6)")).cast("double")
+    daily_close = lambda df, name: df.groupBy(F.to_date("ts").alias("day")).agg((total / F.count(F.lit(1))).alias(name))
     lines, orders = daily_close(src.bars_daily(spark, sf_dir), "line_close"), daily_close(src.bars_weekly_segment(spark, sf_dir), "order_close")
-    return rounded(lines.join(orders, "day", "full_outer"))
+    return rounded(lines.join(orders, "day", "full_outer"), 4)
 
 
 @query
@@ -578,10 +579,14 @@ def calendar_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def preset_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last composite signal of each symbol under each preset."""
-    out = None
+    """The last composite signal of each symbol under each preset, that of its mean reversion alone, the chance of a higher close
+    after the days it simulates, and the folds that its test days make."""
+    out, bars = None, src.bars_daily(spark, sf_dir)
     for name, p in screen.PRESETS.items():
-        made = ind.latest(sig.composite(src.bars_daily(spark, sf_dir), **p)).select("symbol", F.lit(name).alias("preset"), "composite", "signal")
+        made = sig.composite(bars, **{k: p[k] for k in ("mr_window", "fast", "slow", "mr_weight")})
+        reverting = ind.zscore(made.drop("z").withColumnRenamed("signal", "_signal"), p["mr_window"], p["mr_z_entry"]).withColumnsRenamed({"signal": "z_signal", "_signal": "signal"})
+        folds = F.greatest(F.floor((F.count(F.lit(1)).over(Window.partitionBy("symbol")) - 100) / p["fold_test_days"]), F.lit(0)).cast("long")
+        made = ind.latest(mc.prob_up(reverting, p["mc_days"]).withColumn("n_folds", folds)).select("symbol", F.lit(name).alias("preset"), "composite", "signal", "z_signal", "prob_up", "n_folds")
         out = made if out is None else out.unionByName(made)
     return rounded(out)
 
@@ -593,14 +598,15 @@ def movers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sentiment_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Composite scores of the order segments moved by the sentiment of the document language that their name hashes to."""
-    last = ind.latest(sig.composite(src.bars_weekly_segment(spark, sf_dir)))
+    """The ten brands with the best scores and the sentiment of their news, which are the documents of the language that the last
+    digit of their name points to."""
+    last = ind.latest(sig.composite(src.bars_weekly(spark, sf_dir)))
     langs = F.array(*(F.lit(x) for x in ("de", "en", "es", "fr")))
-    scored = last.select(F.get(langs, F.length("symbol") % 4).alias("symbol"), F.col("symbol").alias("segment"), ((F.col("composite") + 1) / 2).alias("overall"))
+    scored = last.select("symbol", F.get(langs, F.substring("symbol", -1, 1).cast("int") % 4).alias("lang"), ((F.col("composite") + 1) / 2).alias("overall"))
     docs = src.read_table(spark, sf_dir, "documents").select("doc_id", "lang")
     labels = src.read_table(spark, sf_dir, "labels").withColumn("_s", (F.col("quality") - F.col("toxic")).cast("double")).groupBy("doc_id").agg(F.avg("_s").alias("_s"))
     sentiment = docs.join(labels, "doc_id").groupBy(F.col("lang").alias("symbol")).agg(F.avg("_s").alias("sentiment"))
-    return rounded(screen.enrich(scored, sentiment).select("segment", F.col("symbol").alias("lang"), "overall", "sentiment", "enriched"))
+    return rounded(screen.enrich(scored, sentiment, "lang").select("symbol", "lang", "overall", "sentiment"))
 
 
 @query
