@@ -6,8 +6,10 @@ sys.path.insert(0, str(Path(__file__).parent))
 import cases
 from test_joins_and_archives import brute_components, brute_leaks, brute_spans
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
-from tickloom.llm import quality_rules, source_mix
+from tickloom.llm import jaccard_join, quality_rules, source_mix
 
 DATA = "/root/testdata/sf0.001"
 
@@ -53,3 +55,23 @@ def test_stages_take_awkward_rows(spark):
 def test_run(spark):
     out = cp.run(spark, DATA)
     assert out.count() > 50 and set(out.columns) == {"doc_id", "text", "lang", "source", "n_chars", "mix_copy"}
+
+
+def test_stages_keep_columns_with_any_name(spark):
+    """Each row carries the same mark in every extra column; after every stage the marks of a row still agree and belong to it."""
+    rows = [*cases.rows(), *[(None, "the same words of a text without an id, said again and again", None, None, None, None, None, None)] * 3]
+    base = spark.createDataFrame(rows, cases.SCHEMA).select("doc_id", "text", "lang", "source", "n_chars")
+    for names in (("_key", "_gone", "_gone_key", "_repeated", "before", "key", "class", "best"), ("_KEY", "_GONE", "_Repeated", "component_id", "n_shingles", "blob", "rate", "copy")):
+        docs = base.withColumns({n: F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.xxhash64("text")) for n in names})
+        marks = {(r.doc_id, r[names[0]]) for r in docs.collect()}
+        for name, stage in cp.STAGES:
+            out = stage(spark, docs, DATA)
+            assert [c for c in out.columns if c != "mix_copy"] == docs.columns, name
+            for r in out.collect():
+                assert len({r[n] for n in names}) == 1 and (r.doc_id, r[names[0]]) in marks, (name, r)
+
+
+def test_equal_rows_without_an_id_leave_one(spark):
+    text = "one two three four five six seven"
+    docs = spark.createDataFrame([(None, text, "a")] * 3 + [(5, "other words that nobody else has here", "b")], "doc_id long, text string, _repeated string")
+    assert sorted(r["_repeated"] for r in jaccard_join.keep_first(docs).collect()) == ["a", "b"]

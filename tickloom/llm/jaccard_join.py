@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import free_name, stored
 from .components import connected
 
 #: Sets of one leader that are paired by expressions, and that one task compares: so many sets and tokens at most.
@@ -428,14 +428,15 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the same text all stay; texts without shingles stay."""
     found = _grouped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), width, percent).where("class IS NOT NULL")
     is_best = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key") == F.col("best.key"))
-    gone = stored(found.where(~is_best).select(F.col("doc_id").alias("_gone"), F.col("key").alias("_gone_key")).distinct(), "gone")
-    rows = docs.withColumn("_key", F.xxhash64(text_col))
-    kept = rows.join(gone.hint("shuffle_hash"), rows[id_col].eqNullSafe(gone["_gone"]) & (rows["_key"] == gone["_gone_key"]), "left_anti")
-    repeated = stored(found.where(is_best & F.col("best.no_id")).groupBy(F.col("key").alias("_repeated")).count().where("count > 1").select("_repeated"), "repeated")
+    key, gone_id, gone_key, repeated_key = (free_name(docs, name) for name in ("key", "gone", "gone_key", "repeated"))
+    gone = stored(found.where(~is_best).select(F.col("doc_id").alias(gone_id), F.col("key").alias(gone_key)).distinct(), "gone")
+    rows = docs.withColumn(key, F.xxhash64(text_col))
+    kept = rows.join(gone.hint("shuffle_hash"), rows[id_col].eqNullSafe(gone[gone_id]) & (rows[key] == gone[gone_key]), "left_anti")
+    repeated = stored(found.where(is_best & F.col("best.no_id")).groupBy(F.col("key").alias(repeated_key)).count().where("count > 1").select(repeated_key), "repeated")
     if repeated.isEmpty():
         return kept.select(*docs.columns)
     # Rows without an id that are equal: any one of them, chosen before the shuffle.
     kept, no_id = stored(kept, "kept"), F.col(id_col).isNull()
-    one = kept.where(no_id).join(repeated, F.col("_key") == F.col("_repeated"), "left_semi").dropDuplicates(["_key"])
-    others = kept.where(no_id).join(repeated, F.col("_key") == F.col("_repeated"), "left_anti")
+    one = kept.where(no_id).join(repeated, F.col(key) == F.col(repeated_key), "left_semi").dropDuplicates([key])
+    others = kept.where(no_id).join(repeated, F.col(key) == F.col(repeated_key), "left_anti")
     return kept.where(~no_id).unionByName(others).unionByName(one).select(*docs.columns)
