@@ -555,3 +555,7 @@ SELECT sold.symbol, CAST(sold.ts AS DATE) AS day, {LABELLED}, {r('c.composite',
 FROM sold JOIN c ON c.symbol = sold.symbol AND c.ts = sold.ts JOIN f ON f.symbol = sold.symbol AND f.day = CAST(sold.ts AS DATE) WHERE composite IS NOT NULL AND c.z IS NOT NULL AND {KNOWN}"""),
     "signalled_trades_stops": signalled(0.2, f"SELECT symbol, {DAY}, {LABELLED} FROM sold"),
 }
+
+ORACLES["log_update"] = f"""WITH {BARS}, {Z}, {MA}, {COMPOSITE}, k AS (SELECT symbol, ts, lead(close, 5) OVER (PARTITION BY symbol ORDER BY ts) AS later FROM bars WHERE ts < DATE '1999-01-04')
+SELECT c.symbol, CAST(c.ts AS DATE) AS day, c.signal AS verdict, {r(f"CASE WHEN c.ts < DATE '1998-12-28' THEN (later / nullif(c.close, 0) - 1) * 100 END", 'fwd_return_pct')}
+FROM c LEFT JOIN k ON k.symbol = c.symbol AND k.ts = c.ts WHERE c.ts < DATE '1999-01-01'"""

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import back, change, last_bars, ratio, rolling, rounded
+from ..functions.store import shared_dir
 from ..operators import arena, logs, stats
 from ..operators import backtest as bt
 from ..operators import evaluation as eva
@@ -19,7 +23,9 @@ from ..operators import samples as smp
 from ..operators import screener as screen
 from ..operators import signals as sig
 from ..operators import strategies as strat
+from ..operators import weights as wts
 from ..sources import bars as src
+from ..sources import log_store
 from ..streaming import events
 
 QUERIES = {}
@@ -620,10 +626,22 @@ def universe_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def precompute_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scan as one JSON document per symbol, as a cache stores it, read back."""
-    rows = _scan(spark, sf_dir).select("symbol", F.to_json(F.struct(sig.signal_of(F.col("composite")).alias("signal"), F.col("composite").alias("score"), F.col("prob_profit").alias("mc_prob_profit"), F.col("win_rate_pct").alias("win_rate"), F.col("tier").alias("liq_tier"))).alias("payload"))
-    parsed = rows.select("symbol", F.from_json("payload", "signal string, score double, mc_prob_profit double, win_rate double, liq_tier string").alias("p"))
-    return rounded(parsed.select("symbol", "p.*"))
+    """The scan as one JSON document per symbol, written as a cache and read back."""
+    rows = _scan(spark, sf_dir).select("symbol", sig.signal_of(F.col("composite")).alias("signal"), F.col("composite").alias("score"), F.col("prob_profit").alias("mc_prob_profit"), F.col("win_rate_pct").alias("win_rate"), F.col("tier").alias("liq_tier"))
+    path = f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}"
+    log_store.write_cache(rows, path)
+    return rounded(log_store.read_cache(spark, path))
+
+
+@query
+def log_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A signal log on disk that was written in two runs and filled in a third, a week and some days after most of its rows."""
+    bars, path = src.bars_daily(spark, sf_dir), f"{shared_dir(spark)}/signal-log-{uuid.uuid4().hex}"
+    rows = logs.signal_rows(sig.composite(bars)).where("log_date < DATE'1999-01-01'")
+    for last in ("1998-01-01", "1999-01-01"):
+        log_store.append(path, rows.where(F.col("log_date") < F.lit(last).cast("date")), log_store.SIGNAL_LOG, ["symbol", "log_date"], "log_date")
+    log_store.fill_forward_returns(path, bars, dt.date(1999, 1, 3))
+    return rounded(log_store.load(spark, path, log_store.SIGNAL_LOG).select("symbol", F.col("log_date").alias("day"), "verdict", "fwd_return_pct"))
 
 
 @query
@@ -677,3 +695,15 @@ def signalled_trades_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
 def meta_label_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How a filter learnt from past trades would have done on later ones."""
     return rounded(reg.meta_label_model(_label_samples(spark, sf_dir), LABEL_FEATURES), 5)
+
+
+@query
+def portfolio_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal, least-variance and tangency weights of the part types, which have weeks in common at every scale."""
+    return rounded(wts.closed_form_weights(src.bars_weekly(spark, sf_dir, "p_type"), trading_days=52.0))
+
+
+@query
+def principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three leading components of the part types' returns."""
+    return rounded(wts.components(src.bars_weekly(spark, sf_dir, "p_type")), 5)
