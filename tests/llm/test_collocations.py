@@ -7,7 +7,9 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import cases
@@ -66,6 +68,18 @@ def test_query_equals_its_sql(spark):
     assert got(df) == sorted(want.fetchall())
 
 
+def test_filter_holds_what_is_left(spark):
+    rest = spark.createDataFrame([("x", f"a{i}", None, None) for i in range(50)] + [(None, None, i, 7 * i) for i in range(50)], "lang string, phrase string, left long, right long")
+    empty = rest.limit(0).withColumns({"id": F.lit(0).cast("long")}).toArrow()
+    bits = collocations.level(empty, collocations.filter_of(rest).toArrow())["bits"]
+    assert bits.sum() > 0 and 50 < sum(bin(int(b)).count("1") for b in bits[bits > 0]) <= 100
+    words = collocations.Words("x", pa.array(["a1 a49 b1"]))
+    empty_level = {"names": {}, "keys": np.empty(0, np.int64), "ids": np.empty(0, np.int64), "bits": bits}
+    assert words.maybe([empty_level], 1, np.full(4, -1)).tolist() == [True, True, False, False]
+    i = np.arange(50)
+    assert collocations._in_filter(bits, (i * 2654435761 + 7 * i * 2246822519) >> 7).all()
+
+
 def test_tiles_are_dense_or_sparse():
     rng = np.random.default_rng(1)
     counts = collocations.TileCounts(tile=4, dense_tiles=2, dense_hits=20)

@@ -6,9 +6,10 @@ TILE x TILE ids: a tile that is hit often is a dense array to which numpy.bincou
 with counts. Spark adds the tasks' counts up. Pairs frequent enough are ranked in turn and get ids, and a phrase of three words
 is a pair of overlapping pairs, counted in the same way; and so on.
 
-At most BROADCAST_IDS ids of a level are broadcast to the tasks. Where a level has more, phrases with a part beyond them
-are counted under their own text, which costs a wider shuffle and loses nothing. A part that is not frequent enough makes a phrase
-that is not, so as long as all ids of a level are broadcast, other neighbours need no count.
+At most BROADCAST_IDS words and KEYS_A_NAME times as many pairs, which are plain numbers, are broadcast to the tasks with their
+ids. A part that is not frequent enough makes a phrase that is not, so as long as all ids of a level are broadcast, other neighbours need
+no count. Where a level has more, a filter of FILTER_BITS bits tells which of the others may be frequent, and phrases with such a
+part are counted under their own text. That costs a wider shuffle and loses nothing.
 
 Scores are exact: products are decimals of 38 digits, enough for counts below 10^16.
 
@@ -20,6 +21,7 @@ the phrase first. A task holds a group of GROUP_BYTES of text, or one longer tex
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +40,8 @@ TOP = 2000
 SCALE = 1_000_000
 UNKNOWN = "und"
 BROADCAST_IDS = 1 << 19
+KEYS_A_NAME = 4
+FILTER_BITS = 26
 TILE = 1024
 DENSE_TILES = 12
 #: A tile becomes dense when a group of texts hits it this often.
@@ -107,16 +111,35 @@ class TileCounts:
         self.keys, self.counts, self.dense, self.held = self.keys[:0], self.counts[:0], {}, 0
 
 
-def level(ids: pa.Table) -> dict:
+def level(ids: pa.Table, bits: pa.Table | None) -> dict:
     """Ids of the phrases of one length, as plain values that a broadcast can carry: of words by language and word (names); of
-    longer phrases by their two parts' ids (keys, sorted, and ids), or by language and phrase where a part has none."""
+    longer phrases by their two parts' ids (keys, sorted, and ids), or by language and phrase where a part has none. bits: the
+    filter of the frequent phrases without an id, None if there are none."""
     named, keyed = ids.filter(pc.is_valid(ids["phrase"])), ids.filter(pc.is_null(ids["phrase"]))
     names: dict[str, dict[str, int]] = {}
     for lang, phrase, i in zip(named["lang"].to_pylist(), named["phrase"].to_pylist(), named["id"].to_pylist()):
         names.setdefault(lang, {})[phrase] = i
     keys = keyed["left"].to_numpy().astype(np.int64) << 32 | keyed["right"].to_numpy().astype(np.int64)
     order = np.argsort(keys)
-    return {"names": names, "keys": keys[order], "ids": keyed["id"].to_numpy()[order]}
+    held = None
+    if bits is not None:
+        held = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+        held[bits["word"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
+    return {"names": names, "keys": keys[order], "ids": keyed["id"].to_numpy()[order], "bits": held}
+
+
+def filter_of(rest: DataFrame) -> DataFrame:
+    """word, bits: the words of 64 bits of a filter that holds rest(lang, phrase, left, right); 2^(FILTER_BITS - 6) at most."""
+    of_ids = F.shiftright(F.col("left") * 2654435761 + F.col("right") * 2246822519, 7)
+    of_text = F.shiftright(F.crc32(F.concat_ws("\0", "lang", "phrase").cast("binary")), 6)
+    place = F.coalesce(of_ids, of_text).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    return rest.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+
+def _in_filter(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    at = places & ((1 << FILTER_BITS) - 1)
+    return (bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
 
 
 class Words:
@@ -164,6 +187,25 @@ class Words:
         return out
 
 
+    def maybe(self, levels: list[dict], length: int, ids: np.ndarray) -> np.ndarray:
+        """Per place whether the phrase of that length that starts there may be frequent; ids: what ids() gives for it."""
+        bits, out = levels[length - 1]["bits"], ids >= 0
+        if bits is None:
+            return out
+        rest = np.flatnonzero(~out & (self.left >= length))
+        if length > 1:
+            parts = self.ids(levels, length - 1)
+            keyed = (parts[rest] >= 0) & (parts[rest + 1] >= 0)
+            at = rest[keyed]
+            out[at] = _in_filter(bits, (parts[at] * 2654435761 + parts[at + 1] * 2246822519) >> 7)
+            rest = rest[~keyed]
+        if len(rest):
+            names, number = self.phrases(rest, length)
+            crc = np.array([zlib.crc32(f"{self.lang}\0{name}".encode()) >> 6 for name in names], np.int64)
+            out[rest] = _in_filter(bits, crc)[number]
+        return out
+
+
 def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
     for batch in batches:
         for start, stop in byte_groups(batch.column("text"), GROUP_BYTES):
@@ -212,7 +254,8 @@ def count_pairs(docs: DataFrame, levels: list, whole: bool, tile: int = TILE) ->
             at = inside[keyed]
             counts.add(ids[at], ids[at + 1])
             if not whole:
-                names, number = words.phrases(inside[~keyed], length)
+                ok = words.maybe(held, length - 1, ids)
+                names, number = words.phrases(inside[~keyed & ok[inside] & ok[inside + 1]], length)
                 yield batch_of(pa.nulls(len(names), pa.int64()), np.bincount(number, minlength=len(names)), words.lang, pa.array(names, pa.string()))
             if counts.full():
                 yield from counted()
@@ -234,13 +277,13 @@ def ranked(phrases: DataFrame, name: str) -> DataFrame:
 
 
 def _named(pairs: DataFrame, ids: DataFrame) -> DataFrame:
-    """lang, phrase, left, right, f of what count_pairs counted; ids: the broadcast part of the level below, lang and phrase by id."""
+    """lang, phrase, left, right, f of what count_pairs counted; ids: lang and phrase by id of the level below."""
     if "phrase" not in pairs.columns:
         pairs = pairs.withColumns({"lang": F.lit(None).cast("string"), "phrase": F.lit(None).cast("string")})
     left, right = F.shiftright("key", 32), F.col("key").bitwiseAND(F.lit(0xFFFFFFFF))
     pairs = pairs.select("lang", "phrase", "f", left.alias("left"), right.alias("right"))
-    a = F.broadcast(ids.select(F.col("id").alias("left"), F.col("lang").alias("_lang"), F.col("phrase").alias("_head")))
-    b = F.broadcast(ids.select(F.col("id").alias("right"), F.substring_index("phrase", " ", -1).alias("_tail")))
+    a = ids.select(F.col("id").alias("left"), F.col("lang").alias("_lang"), F.col("phrase").alias("_head"))
+    b = ids.select(F.col("id").alias("right"), F.substring_index("phrase", " ", -1).alias("_tail"))
     keyed = pairs.where("left IS NOT NULL").join(a, "left").join(b, "right")
     keyed = keyed.select(F.col("_lang").alias("lang"), F.concat_ws(" ", "_head", "_tail").alias("phrase"), "left", "right", "f")
     return keyed.unionByName(pairs.where("left IS NULL").select(*keyed.columns))
@@ -286,14 +329,17 @@ def mine(
     for length in range(1, longest + 1):
         if length > 1:
             counted = stored(count_pairs(rows, levels, whole, tile).where(F.col("f") >= min_count), f"phrases-{length}")
-            frequent = _named(counted, top_ids)
+            frequent = _named(counted, below)
         if length < longest:
             ids = ranked(frequent, f"ranked-{length}")
-            top_ids = ids.where(F.col("id") < broadcast_ids)
+            below = ids
             by_length[length] = ids.select("lang", "phrase", "f")
-            sent = top_ids.select("lang", F.when(F.col("left").isNull(), F.col("phrase")).alias("phrase"), "left", "right", "id").toArrow()
-            whole = ids.where(F.col("id") >= broadcast_ids).isEmpty()
-            levels.append(spark.sparkContext.broadcast(level(sent)))
+            room = F.when(F.col("left").isNull(), broadcast_ids).otherwise(KEYS_A_NAME * broadcast_ids)
+            named = F.col("left").isNull()
+            sent = ids.where(F.col("id") < room).select(F.when(named, F.col("lang")).alias("lang"), F.when(named, F.col("phrase")).alias("phrase"), "left", "right", "id").toArrow()
+            rest = ids.where(F.col("id") >= room)
+            whole = rest.isEmpty()
+            levels.append(spark.sparkContext.broadcast(level(sent, None if whole else filter_of(rest).toArrow())))
         else:
             by_length[length] = stored(frequent.select("lang", "phrase", "f"), f"named-{length}")
         if length > 1:
