@@ -559,3 +559,8 @@ FROM sold JOIN c ON c.symbol = sold.symbol AND c.ts = sold.ts JOIN f ON f.symbol
 ORACLES["log_update"] = f"""WITH {BARS}, {Z}, {MA}, {COMPOSITE}, k AS (SELECT symbol, ts, lead(close, 5) OVER (PARTITION BY symbol ORDER BY ts) AS later FROM bars WHERE ts < DATE '1999-01-04')
 SELECT c.symbol, CAST(c.ts AS DATE) AS day, c.signal AS verdict, {r(f"CASE WHEN c.ts < DATE '1998-12-28' THEN (later / nullif(c.close, 0) - 1) * 100 END", 'fwd_return_pct')}
 FROM c LEFT JOIN k ON k.symbol = c.symbol AND k.ts = c.ts WHERE c.ts < DATE '1999-01-01'"""
+ORACLES |= {
+    "event_sliding_bars": f"""WITH w AS (SELECT *, time_bucket(INTERVAL 15 MINUTES, ts) - unnest([0, 1, 2, 3]) * INTERVAL 15 MINUTES AS s FROM events)
+SELECT event_type AS symbol, CAST(epoch(s) AS BIGINT) AS start, {r('arg_min(value, row(ts, event_id))', 'open', 4)}, {r('max(value)', 'high', 4)}, {r('min(value)', 'low', 4)}, {r('arg_max(value, row(ts, event_id))', 'close', 4)}, count(*) AS volume, {r('sum(value)', 'total', 4)} FROM w GROUP BY 1, s""",
+    "event_once_per_day": f"SELECT user_id, event_type, CAST(ts AS DATE) AS day, arg_min(event_id, row(ts, event_id)) AS event_id, {r('arg_min(value, row(ts, event_id))', 'value', 4)} FROM events GROUP BY 1, 2, 3",
+}

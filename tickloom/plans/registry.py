@@ -26,7 +26,7 @@ from ..operators import strategies as strat
 from ..operators import weights as wts
 from ..sources import bars as src
 from ..sources import log_store
-from ..streaming import events
+from ..streaming import events, state
 
 QUERIES = {}
 
@@ -707,3 +707,20 @@ def portfolio_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three leading components of the part types' returns."""
     return rounded(wts.components(src.bars_weekly(spark, sf_dir, "p_type")), 5)
+
+
+# ---- windows and keys of events as a stream keeps them
+
+
+@query
+def event_sliding_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of an hour that begin every quarter, added up from quarters."""
+    made = state.sliding_bars(events.timed(src.read_table(spark, sf_dir, "events")))
+    return rounded(made.withColumn("start", F.unix_timestamp("start")), 4)
+
+
+@query
+def event_once_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first event of each user and type on each day."""
+    made = state.once_per_day(events.timed(src.read_table(spark, sf_dir, "events")), ["user_id", "event_type"])
+    return rounded(made.select("user_id", "event_type", "day", "event_id", "value"), 4)
