@@ -12,6 +12,7 @@ from ..functions.expr import back, change, last_bars, ratio, rolling, rounded
 from ..functions.store import shared_dir
 from ..operators import arena, logs, stats
 from ..operators import backtest as bt
+from ..operators import boosting as boo
 from ..operators import evaluation as eva
 from ..operators import event_backtest as ev
 from ..operators import indicators as ind
@@ -697,6 +698,24 @@ def meta_label_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(reg.meta_label_model(_label_samples(spark, sf_dir), LABEL_FEATURES), 5)
 
 
+#: What the trees look at, with a tenth of the definition's trees and refits: a level of a tree is a job.
+TREE_FEATURES = ("ret_1", "ret_5", "ret_20", "vol_20", "ma_ratio_10", "ma_ratio_50", "rsi", "atr_ratio", "z", "volume_ratio")
+TREES = {"n_trees": 10, "depth": 3, "rate": 0.1}
+
+
+@query
+def walk_forward_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chance of a higher close after five bars by trees that are refitted every 250 bars, and that chance calibrated."""
+    made = boo.walk_forward_classifier(ind.ml_features(src.bars_daily(spark, sf_dir)), TREE_FEATURES, retrain_every=250, horizon=5, **TREES)
+    return daily(made, "fold", "tail", "target", "prob", "score", "calibrated", "judged", digits=5)
+
+
+@query
+def expected_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The return over the next five bars that trees expect at each symbol's last bars."""
+    return daily(boo.expected_return(ind.ml_features(src.bars_daily(spark, sf_dir)), TREE_FEATURES, horizon=5, **TREES), "expected", digits=5)
+
+
 @query
 def portfolio_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal, least-variance and tangency weights of the part types, which have weeks in common at every scale."""
