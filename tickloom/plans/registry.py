@@ -15,6 +15,7 @@ from ..operators import backtest as bt
 from ..operators import boosting as boo
 from ..operators import evaluation as eva
 from ..operators import event_backtest as ev
+from ..operators import garch as gar
 from ..operators import indicators as ind
 from ..operators import liquidity as liq
 from ..operators import montecarlo as mc
@@ -698,6 +699,19 @@ def meta_label_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(reg.meta_label_model(_label_samples(spark, sf_dir), LABEL_FEATURES), 5)
 
 
+@query
+def garch_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volatility models of the part types' weeks, with and without a share of falls."""
+    return rounded(gar.fit_garch(src.bars_weekly(spark, sf_dir, "p_type")), 4)
+
+
+@query
+def gjr_paths_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What 2000 paths of 30 days say, drawn from the models that weigh falls, of the part types' weeks."""
+    df = src.bars_weekly(spark, sf_dir, "p_type")
+    return rounded(mc.summarize(gar.garch_paths(df, gar.fit_garch(df, gjr=(True,)))), 4)
+
+
 #: What the trees look at, with a tenth of the definition's trees and refits: a level of a tree is a job.
 TREE_FEATURES = ("ret_1", "ret_5", "ret_20", "vol_20", "ma_ratio_10", "ma_ratio_50", "rsi", "atr_ratio", "z", "volume_ratio")
 TREES = {"n_trees": 10, "depth": 3, "rate": 0.1}
