@@ -122,7 +122,7 @@ def fit_garch(df: DataFrame, gjr: tuple[bool, ...] = (False, True), candidates:
         drawn = state.select("*", F.explode(F.sequence(F.lit(0), F.lit(candidates))).alias("nth"))  # the last one is the best so far
         place = (F.lit(number) * (candidates + 1) + F.col("nth")) * len(PARTS)
         near = {c: F.when(F.col("nth") == candidates, F.col(f"{c}_top")).otherwise(F.col(f"{c}_at") + F.col(f"{c}_by") * portable_normal(place + j + 1)) for j, c in enumerate(PARTS)}
-        drawn = meaning(drawn.withColumns(near)).drop("loglik")
+        drawn = stored(meaning(drawn.withColumns(near)).drop("loglik"), "garch-drawn")
         given = drawn.select(*by, "mu", "omega", "alpha", "gamma", "beta", "nu")
         made = drawn.join(likelihoods(packed, given, by).drop("last_var"), by).withColumn("loglik", F.coalesce(F.nanvl("loglik", F.lit(None).cast("double")), F.lit(-1e300)))
         rank = F.row_number().over(Window.partitionBy("symbol", "gjr").orderBy(F.desc("loglik"), "nth"))  # as many rows as candidates

@@ -700,16 +700,13 @@ def meta_label_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def garch_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Volatility models of the part types' weeks, with and without a share of falls."""
-    return rounded(gar.fit_garch(src.bars_weekly(spark, sf_dir, "p_type")), 4)
-
-
-@query
-def gjr_paths_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What 2000 paths of 30 days say, drawn from the models that weigh falls, of the part types' weeks."""
+def garch_paths_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volatility models of the part types' weeks, with and without a share of falls, and what 2000 paths of 30 weeks drawn from each say."""
     df = src.bars_weekly(spark, sf_dir, "p_type")
-    return rounded(mc.summarize(gar.garch_paths(df, gar.fit_garch(df, gjr=(True,)))), 4)
+    fits = gar.fit_garch(df)
+    paths = gar.garch_paths(df, fits).withColumn("symbol", F.struct("symbol", "gjr"))
+    said = mc.summarize(paths).select("symbol.*", "s0", "median_final", "p_lower", "p_upper", "prob_profit", "var", "es")
+    return rounded(fits.join(said, ["symbol", "gjr"]), 4)
 
 
 #: What the trees look at, with a tenth of the definition's trees and refits: a level of a tree is a job.
