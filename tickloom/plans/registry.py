@@ -709,7 +709,7 @@ def garch_paths_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fits.join(said, ["symbol", "gjr"]), 4)
 
 
-#: What the trees look at, with a tenth of the definition's trees and refits: a level of a tree is a job.
+#: What the trees look at, and fewer trees and refits than the definition has (150 of depth 4, every 20 bars): a level of a tree is a job.
 TREE_FEATURES = ("ret_1", "ret_5", "ret_20", "vol_20", "ma_ratio_10", "ma_ratio_50", "rsi", "atr_ratio", "z", "volume_ratio")
 TREES = {"n_trees": 10, "depth": 3, "rate": 0.1}
 
