@@ -2,6 +2,7 @@ import datetime as dt
 import math
 import random
 
+import account
 import numpy as np
 import pandas as pd
 import pytest
@@ -101,29 +102,29 @@ FREE = dict(fee_buy_bps=0.0, fee_sell_bps=0.0, slippage_bps=0.0)
 
 
 def test_entry_marks_equity_on_the_signal_bar_and_fills_next_open():
-    equity, trades = ev.simulate(days([(10, 9, 10, "BUY"), (20, 19, 22, "HOLD"), (30, 29, 30, "SELL"), (40, 39, 40, "HOLD")]), ev.Rules(**FREE))
+    equity, trades = account.simulate(days([(10, 9, 10, "BUY"), (20, 19, 22, "HOLD"), (30, 29, 30, "SELL"), (40, 39, 40, "HOLD")]), ev.Rules(**FREE))
     assert equity == pytest.approx([50.0, 110.0, 200.0])
     assert [(t[2], t[3], t[5]) for t in trades] == [(20, 40, "signal")]
 
 
 def test_stop_fills_at_its_level_even_on_the_entry_day():
-    _, trades = ev.simulate(days([(10, 9, 10, "BUY"), (20, 5, 8, "HOLD"), (8, 8, 8, "HOLD")]), ev.Rules(stop_loss_pct=0.1, **FREE))
+    _, trades = account.simulate(days([(10, 9, 10, "BUY"), (20, 5, 8, "HOLD"), (8, 8, 8, "HOLD")]), ev.Rules(stop_loss_pct=0.1, **FREE))
     assert [(t[3], t[5]) for t in trades] == [(18.0, "stop_loss")]
 
 
 def test_holding_limit_lots_locks_and_last_day():
     table = days([(10, 9, 10, "BUY")] + [(10, 9, 10, "HOLD")] * 5)
-    assert [t[5] for t in ev.simulate(table, ev.Rules(max_holding_days=2, **FREE))[1]] == ["max_holding_days"]
-    assert [t[5] for t in ev.simulate(table, ev.Rules(**FREE))[1]] == ["end_of_data"]
-    assert ev.simulate(table, ev.Rules(lot_size=100, **FREE))[1] == []
+    assert [t[5] for t in account.simulate(table, ev.Rules(max_holding_days=2, **FREE))[1]] == ["max_holding_days"]
+    assert [t[5] for t in account.simulate(table, ev.Rules(**FREE))[1]] == ["end_of_data"]
+    assert account.simulate(table, ev.Rules(lot_size=100, **FREE))[1] == []
     table = days([(1, 1, 1, "BUY"), (1, 1, 1, "SELL"), (1, 1, 1, "SELL"), (1, 1, 1, "HOLD")])
     table.loc[2, "locked"] = True
-    trades = ev.simulate(table, ev.Rules(lot_size=10, **FREE))[1]
+    trades = account.simulate(table, ev.Rules(lot_size=10, **FREE))[1]
     assert [(t[1].day, t[5]) for t in trades] == [(4, "signal")]
 
 
 def test_gross_returns_and_costs():
-    equity, trades = ev.simulate(days([(10, 10, 10, "BUY"), (10, 10, 10, "SELL"), (10, 10, 10, "HOLD")]), ev.Rules())
+    equity, trades = account.simulate(days([(10, 10, 10, "BUY"), (10, 10, 10, "SELL"), (10, 10, 10, "HOLD")]), ev.Rules())
     assert trades[0][4] == 0 and equity[-1] == pytest.approx(100 * (1 - 0.0015) ** 2)
 
 
@@ -240,15 +241,42 @@ def near(a, b):
 
 def test_plain_trades_equal_the_account(spark):
     signals = noisy_signals(spark)
-    near(sorted_rows(ev.plain_trades(signals), *TRADE), sorted_rows(ev.run_trades(signals), *TRADE))
+    near(sorted_rows(ev.plain_trades(signals), *TRADE), sorted_rows(account.run_trades(signals), *TRADE))
+
+
+LOTS = dict(lot_size=100, capital=5000.0)
+RULES = [
+    ev.Rules(stop_loss_pct=0.05), ev.Rules(stop_loss_pct=0.1, next_open=False), ev.Rules(max_holding_days=0), ev.Rules(position_size_pct=0.3, max_holding_days=4, stop_loss_pct=0.3),
+    ev.Rules(**LOTS), ev.Rules(stop_loss_pct=0.08, max_holding_days=5, **LOTS), ev.Rules(stop_loss_pct=0.05, max_turnover_participation=0.05, position_size_pct=0.5, **LOTS),
+    ev.Rules(max_turnover_participation=1e-5, capital=7.0), ev.Rules(stop_loss_pct=0.15, max_holding_days=9, next_open=False, lot_size=100, capital=300.0),
+]
+
+
+@pytest.mark.parametrize("rules", RULES, ids=range(len(RULES)))
+def test_trades_and_equity_under_all_rules_equal_the_account(spark, rules):
+    """Crashes that lock bars, unknown lows and opens, no volume, slippage of each bar, and cash that does not buy a lot."""
+    signals = noisy_signals(spark).withColumn("_h", F.xxhash64("symbol", "ts"))
+    hit = lambda k: F.pmod("_h", F.lit(k)) == 0
+    signals = signals.withColumn("close", F.when(hit(5), F.col("low") * 0.7).otherwise(F.col("close"))).withColumn("low", F.when(hit(5), F.col("close")).when(~hit(11), F.col("low")))
+    signals = signals.withColumns({"open": F.when(~hit(13), F.col("open")), "volume": F.when(hit(7), 0.0).when(~hit(17), F.col("volume") / 100), "slippage_bps": F.when(~hit(4), F.pmod("_h", F.lit(90)).cast("double"))}).drop("_h")
+    trades = ev.run_trades(signals, rules)
+    near(sorted_rows(trades, *TRADE), sorted_rows(account.run_trades(signals, rules), *TRADE))
+    near(sorted_rows(ev.run_equity(signals, trades, rules), "symbol", "ts", "equity"), sorted_rows(account.run_equity(signals, rules), "symbol", "ts", "equity"))
+
+
+def test_no_signals_no_trades(spark):
+    signals = noisy_signals(spark, 30).withColumn("signal", F.lit("HOLD"))
+    trades = ev.run_trades(signals, ev.Rules(stop_loss_pct=0.1))
+    assert trades.count() == 0 and ev.run_trades(signals.limit(0)).count() == 0
+    assert {r.equity for r in ev.run_equity(signals, trades).collect()} == {100.0}
 
 
 @pytest.mark.parametrize("rules", [ev.Rules(stop_loss_pct=0.1, max_holding_days=7), ev.Rules(max_holding_days=3), ev.Rules(stop_loss_pct=0.02, max_holding_days=30, capital=7.0)])
 def test_ruled_trades_and_equity_equal_the_account(spark, rules):
     signals = noisy_signals(spark)
     trades = ev.ruled_trades(signals, rules)
-    near(sorted_rows(trades, *TRADE), sorted_rows(ev.run_trades(signals, rules), *TRADE))
-    near(sorted_rows(ev.ruled_equity(signals, trades, rules), "symbol", "ts", "equity"), sorted_rows(ev.run_equity(signals, rules), "symbol", "ts", "equity"))
+    near(sorted_rows(trades, *TRADE), sorted_rows(account.run_trades(signals, rules), *TRADE))
+    near(sorted_rows(ev.ruled_equity(signals, trades, rules), "symbol", "ts", "equity"), sorted_rows(account.run_equity(signals, rules), "symbol", "ts", "equity"))
 
 
 def test_ruled_trades_refuse_other_rules(spark):
@@ -274,3 +302,23 @@ def test_overlapping_folds(spark):
     want = [(f, DAY + dt.timedelta(days=40 + 10 * f + i)) for f in range(5) for i in range(20)]
     assert [(r.fold, r.ts) for r in made] == want and {(r.fold, r.n_train) for r in made} == {(f, 40 + 10 * f) for f in range(5)}
     assert eva.expanding_folds(bars(spark, walk(50))).count() == 0
+
+def test_spreads_of_every_bar_equal_those_of_the_bars_so_far(spark):
+    """Frozen bars, a price of zero, and the first bars, whose windows are not full."""
+    from tickloom.operators import evaluation, liquidity
+
+    rng, rows = random.Random(4), []
+    for s in ("A", "B"):
+        for i, c in enumerate(walk(70, 3 if s == "A" else 8)):
+            o, c = (c, c) if rng.random() < 0.2 else (c * rng.uniform(0.99, 1.01), c)
+            rows.append((s, DAY + dt.timedelta(days=i), o, max(o, c) * (1 if o == c else 1.01), min(o, c) * (0 if s == "B" and i == 40 else 1), c, 1000.0))
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, open double, high double, low double, close double, volume double").cache()
+    made = {(r.symbol, r.ts): r for r in evaluation.effective_slippage(liquidity.bar_spreads(df), ticks=False).collect()}
+    assert len(made) == 140
+    for n in (1, 2, 3, 4, 19, 20, 21, 45, 70):
+        day = DAY + dt.timedelta(days=n - 1)
+        for want in liquidity.spread_stats(df.where(F.col("ts") <= day)).collect():
+            got = made[want.symbol, day]
+            for c in ("edge", "corwin_schultz", "roll", "consensus"):
+                assert (got[c] is None) == (want[c] is None) and (got[c] is None or got[c] == pytest.approx(want[c], rel=1e-7, abs=1e-9)), (n, c)
+            assert got.slippage_bps == pytest.approx(5.0 if got.consensus is None else got.consensus * 1e4)

@@ -204,8 +204,10 @@ def model_weight(base: float, confidence: Column, floor: float = 0.0) -> Column:
     return F.greatest(F.lit(floor), F.lit(base) * F.coalesce(confidence, F.lit(1.0)))
 
 
-def effective_slippage(spreads: DataFrame, flat_bps: float = 5.0) -> DataFrame:
-    """slippage_bps per symbol of spreads(symbol, consensus, close): the estimated spread, or the flat rate where there is
-    none, but one tick of the price at least."""
+def effective_slippage(spreads: DataFrame, flat_bps: float = 5.0, ticks: bool = True) -> DataFrame:
+    """slippage_bps of each row of spreads(consensus, close), a symbol's last bar or, from bar_spreads(), every bar by what was known
+    then: the estimated spread, or the flat rate where there is none, but with ticks one tick of a positive price at least."""
     slip = F.coalesce(F.col("consensus") * 1e4, F.lit(flat_bps))
+    if not ticks:
+        return spreads.withColumn("slippage_bps", slip)
     return spreads.withColumn("slippage_bps", F.greatest(slip, ratio(bt.tick_size(F.col("close")).cast("double"), "close") * 1e4))

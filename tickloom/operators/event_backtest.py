@@ -1,16 +1,17 @@
-"""Event-driven backtest: one long position per symbol with stops, holding limits, lots and locked days.
+"""Event-driven backtest: one long position per symbol with stops, holding limits, lots, locked days, caps and slippage.
 
-What a bar does depends on the position that earlier bars left, so each symbol's bars are folded in order by a small
-state machine; windows prepare everything that does not depend on it (fill prices, locks, turnover). A group is one
-symbol's history.
+Where a position would end depends on its entry alone, so windows and one join of its own bars find the end of every
+possible position. Which of these are taken, and with how much cash, depends on those before: a running pass over a symbol's
+possible positions in order, which holds one account and no history.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,89 +41,112 @@ class Rules:
         return (self.fee_sell_bps + self.slippage_bps) / 1e4
 
 
-class Account:
-    """Cash, a position and the closed trades of one symbol."""
-
-    def __init__(self, rules: Rules):
-        self.rules, self.cash, self.units = rules, rules.capital, 0.0
-        self.entry = self.stop = None  # entry: (bar, day, price)
-        self.trades: list[tuple] = []
-
-    def worth(self, price: float) -> float:
-        return self.cash + self.units * price
-
-    def buy(self, bar: int, day, price: float, turnover: float | None) -> None:
-        r = self.rules
-        budget = self.cash * min(max(r.position_size_pct, 0.01), 1.0)
-        if r.max_turnover_participation is not None and turnover is not None:
-            budget = min(budget, r.max_turnover_participation * turnover)
-        units = budget * (1 - r.buy_cost) / price
-        if r.lot_size:
-            units = math.floor(units / r.lot_size) * r.lot_size
-            budget = units * price / (1 - r.buy_cost)
-        if units > 0:
-            self.cash -= budget
-            self.units, self.entry = units, (bar, day, price)
-            self.stop = price * (1 - r.stop_loss_pct) if r.stop_loss_pct is not None else None
-
-    def sell(self, day, price: float, reason: str) -> None:
-        _, entered, paid = self.entry
-        self.cash += self.units * price * (1 - self.rules.sell_cost)
-        self.trades.append((entered, day, paid, price, (price / paid - 1) * 100, reason))
-        self.units, self.entry, self.stop = 0.0, None, None
-
-
-def simulate(bars: pd.DataFrame, rules: Rules) -> tuple[list[float], list[tuple]]:
-    """Equity per bar and trades (entry day, exit day, entry price, exit price, gross return in percent, reason)."""
-    account, equity = Account(rules), []
-    rows = list(bars[["ts", "low", "close", "signal", "fill", "locked", "turnover"]].itertuples(index=False))
-    known = lambda x: x is not None and not pd.isna(x)
-    for i, (bar, after) in enumerate(zip(rows, rows[1:])):
-        held = account.entry is not None
-        barred = rules.lot_size is not None
-        if held and account.stop is not None and known(bar.low) and bar.low <= account.stop:
-            if not (barred and bar.locked):
-                account.sell(bar.ts, account.stop, "stop_loss")
-        elif not known(bar.fill):
-            pass
-        elif held and rules.max_holding_days is not None and i - account.entry[0] >= rules.max_holding_days:
-            account.sell(after.ts, bar.fill, "max_holding_days")
-        elif not held and bar.signal == "BUY":
-            account.buy(i + 1, after.ts, bar.fill, bar.turnover if known(bar.turnover) else None)
-        elif held and bar.signal in ("SELL", "EXIT") and not (barred and after.locked):
-            account.sell(after.ts, bar.fill, "signal")
-        equity.append(account.worth(bar.close))
-    if account.entry is not None:
-        account.sell(rows[-1].ts, rows[-1].close, "end_of_data")
-        equity.append(account.cash)
-    return equity, account.trades
-
-
-TRADES = "symbol string, entry timestamp, exit timestamp, entry_price double, exit_price double, return_pct double, exit_reason string"
-EQUITY = "symbol string, ts timestamp, equity double"
-
-
-def prepare(signals: DataFrame, rules: Rules) -> DataFrame:
-    """Bars with a signal column, plus the fill price of orders given on a bar, locks and mean turnover so far."""
-    df = locked_at_limit(signals).withColumn("fill", F.lead("open" if rules.next_open else "close").over(bars_order()))
-    return df.withColumn("turnover", F.avg(F.col("close") * F.col("volume")).over(last_bars(20))).select("symbol", "ts", "low", "close", "signal", "fill", "locked", "turnover")
-
-
-def _per_symbol(rules: Rules, part: str):
-    def run(bars: pd.DataFrame) -> pd.DataFrame:
-        bars = bars.sort_values("ts")
-        equity, trades = simulate(bars, rules)
-        symbol = bars["symbol"].iloc[0]
-        if part == "equity":
-            return pd.DataFrame({"symbol": symbol, "ts": bars["ts"].iloc[: len(equity)].to_numpy(), "equity": equity})
-        columns = ["entry", "exit", "entry_price", "exit_price", "return_pct", "exit_reason"]
-        return pd.DataFrame(trades, columns=columns).assign(symbol=symbol)[["symbol", *columns]]
+def positions(signals: DataFrame, rules: Rules) -> DataFrame:
+    """One row per buying signal that can be filled: the bars (n, x) and times (_e, _x) that decide its entry and exit, prices,
+    reason, turnover so far, and the slippage of both sides: that of a column slippage_bps where signals has one, unknown as the flat rate.
+
+    A position ends on the first bar after n that touches the stop, or whose order can be filled and is overdue or sells. With
+    lots, a locked bar fills no stop and does nothing else, and a sale waits while the next bar is locked. No later than
+    the first bar that ends it whatever its stop, so only the bars up to there are joined; without a stop, that bar alone.
+    """
+    order, backwards = bars_order(), Window.partitionBy("symbol").orderBy(F.col("ts").desc())
+    slip = F.col("slippage_bps").cast("double") if "slippage_bps" in signals.columns else F.lit(None).cast("double")
+    df = locked_at_limit(signals).select(
+        "symbol", "ts", "low", "close", "signal", (F.row_number().over(order) - 1).alias("n"), F.lead("open" if rules.next_open else "close").over(order).alias("fill"), F.lead("ts").over(order).alias("day"),
+        F.coalesce(slip, F.lit(rules.slippage_bps)).alias("slip"), (F.col("locked") & F.lit(rules.lot_size is not None)).alias("barred"), F.avg(F.col("close") * F.col("volume")).over(last_bars(20)).alias("turnover"),
+    )
+    df = df.withColumns({"barred_next": F.lead("barred", 1, False).over(order), "slip_next": F.lead("slip").over(order)})
+    df = df.withColumn("sells", F.coalesce(F.col("fill").isNotNull() & F.col("signal").isin("SELL", "EXIT") & ~F.col("barred_next"), F.lit(False)))
+    sure = F.col("fill").isNotNull() & (~F.col("barred") if rules.stop_loss_pct is not None else F.lit(True))
+    upcoming = lambda what, end: F.last(F.when(what, F.col("n")), ignorenulls=True).over(backwards.rowsBetween(Window.unboundedPreceding, end))
+    last = F.first(F.struct("n", "ts", "close", "slip")).over(backwards.rowsBetween(Window.unboundedPreceding, 0))
+    df = df.withColumns({"told": upcoming(sure & F.col("sells"), -1), "open": upcoming(sure, 0), "last": last})
+    reach = rules.max_holding_days
+    overdue = F.lead("open", 1 + reach).over(order) if reach is not None else F.lit(None).cast("int")
+    df = df.withColumn("until", F.least("told", overdue))
+    stop = F.col("fill") * (1 - rules.stop_loss_pct) if rules.stop_loss_pct is not None else F.lit(None).cast("double")
+    bought = df.where("signal = 'BUY' AND fill IS NOT NULL").select("symbol", "n", "ts", F.col("day").alias("entry"), F.col("fill").alias("entry_price"), stop.alias("stop"), "until", "turnover", F.col("slip").alias("slip_in"), "last")
+    ends = F.coalesce("until", F.col("last.n"))
+    path = bought.select("symbol", "n", "stop", F.explode(F.sequence(F.col("n") + 1 if rules.stop_loss_pct is not None else ends, ends)).alias("bar"))
+    bars = df.where("day IS NOT NULL").select("symbol", F.col("n").alias("bar"), "ts", "low", "day", "fill", "slip", "slip_next", "barred", "sells")
+    met = path.join(bars, ["symbol", "bar"]).withColumn("stopped", F.coalesce(F.col("low") <= F.col("stop"), F.lit(False)))
+    late = F.col("bar") - F.col("n") - 1 >= reach if reach is not None else F.lit(False)
+    due = F.col("fill").isNotNull() & (late | F.col("sells"))
+    end = F.struct("bar", "ts", "day", "fill", "slip", "slip_next", "stopped", late.alias("late"))
+    first = met.where(F.when(F.col("stopped"), ~F.col("barred")).otherwise(due)).groupBy("symbol", "n").agg(F.min(end).alias("end"))
+    out = bought.join(first, ["symbol", "n"], "left")
+    known = lambda at_stop, at_fill, otherwise: F.when(F.col("end.stopped"), at_stop).when(F.col("end").isNotNull(), at_fill).otherwise(otherwise)
+    return out.select(
+        "symbol", "n", F.coalesce("end.bar", "last.n").alias("x"), F.col("ts").alias("_e"), F.coalesce("end.ts", "last.ts").alias("_x"), "entry", known(F.col("end.ts"), F.col("end.day"), F.col("last.ts")).alias("exit"),
+        "entry_price", known(F.col("stop"), F.col("end.fill"), F.col("last.close")).alias("exit_price"), known(F.lit("stop_loss"), F.when(F.col("end.late"), "max_holding_days").otherwise("signal"), F.lit("end_of_data")).alias("exit_reason"),
+        "turnover", "slip_in", known(F.col("end.slip"), F.col("end.slip_next"), F.col("last.slip")).alias("slip_out"),
+    )
+
+
+def _taken(rules: Rules):
+    """Passes over positions sorted by symbol and n: takes each that begins when none is held, if the cash buys a lot."""
+    size, cap, lot = min(max(rules.position_size_pct, 0.01), 1.0), rules.max_turnover_participation, rules.lot_size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbol, free, cash = None, 0, rules.capital
+        for batch in batches:
+            rows, units_of, idle_of, cash_of = [], [], [], []
+            columns = (batch.column(c).to_pylist() for c in ("symbol", "n", "x", "entry_price", "exit_price", "turnover", "slip_in", "slip_out"))
+            for i, (name, n, x, paid, got, turnover, slip_in, slip_out) in enumerate(zip(*columns)):
+                if name != symbol:
+                    symbol, free, cash = name, 0, rules.capital
+                if n < free:
+                    continue
+                budget = cash * size if cap is None or turnover is None else min(cash * size, cap * turnover)
+                kept = 1 - (rules.fee_buy_bps + slip_in) / 1e4
+                units = budget * kept / paid
+                if lot:
+                    units = float(math.floor(units / lot) * lot)
+                    budget = units * paid / kept
+                    if units <= 0:
+                        continue
+                idle = cash - budget
+                cash = idle + units * got * (1 - (rules.fee_sell_bps + slip_out) / 1e4)
+                free = x + 1
+                rows.append(i)
+                units_of.append(units)
+                idle_of.append(idle)
+                cash_of.append(cash)
+            made = batch.take(pa.array(rows, pa.int64()))
+            for column, values in (("units", units_of), ("idle", idle_of), ("cash", cash_of)):
+                made = made.append_column(column, pa.array(values, pa.float64()))
+            yield made
 
     return run
 
 
 def run_trades(signals: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    return prepare(signals, rules).groupBy("symbol").applyInPandas(_per_symbol(rules, "trades"), TRADES)
+    """The trades of each symbol's account: symbol, entry, exit, entry_price, exit_price, return_pct (gross), exit_reason; then _e and _x,
+    the times of the bars that decide entry and exit, units, idle (cash left while held), cash (after the exit), slip_in and
+    slip_out. A position whose cash buys no whole lot is not taken, and the next signal may be. Symbols without a trade have no row."""
+    made = positions(signals, rules)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in made.schema) + ", units double, idle double, cash double"
+    taken = made.repartition("symbol").sortWithinPartitions("symbol", "n").mapInArrow(_taken(rules), schema)
+    price = (F.col("exit_price") / F.col("entry_price") - 1) * 100
+    return taken.select("symbol", "entry", "exit", "entry_price", "exit_price", price.alias("return_pct"), "exit_reason", "_e", "_x", "units", "idle", "cash", "slip_in", "slip_out")
+
+
+def run_equity(signals: DataFrame, trades: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """symbol, ts, equity from the trades of run_trades(): from the bar that decides an entry on, idle cash and the position's worth;
+    from the one that decides its exit on, the cash. A symbol's last bar counts only if it closes a position."""
+    nothing, final = F.lit(None).cast("double"), F.col("exit_reason") == "end_of_data"
+    mark = lambda ts, units, cash, final: F.struct(F.col(ts).alias("ts"), units.alias("units"), cash.alias("cash"), final.alias("final"))
+    marks = trades.select("symbol", F.inline(F.array(mark("_e", F.col("units"), F.col("idle"), F.lit(False)), mark("_x", nothing, F.col("cash"), final))))
+    df = signals.select("symbol", "ts", "close", F.lead("ts").over(bars_order()).alias("_after")).join(marks.select("symbol", "ts", F.struct("units", "cash", "final").alias("mark")), ["symbol", "ts"], "left")
+    df = df.withColumn("_state", F.last("mark", ignorenulls=True).over(so_far())).where(F.col("_after").isNotNull() | F.coalesce("mark.final", F.lit(False)))
+    worth = F.col("_state.cash") + F.coalesce(F.col("_state.units") * F.col("close"), F.lit(0.0))
+    return df.select("symbol", "ts", F.coalesce(worth, F.lit(rules.capital)).alias("equity"))
+
+
+def trade_costs(trades: DataFrame) -> DataFrame:
+    """symbol, effective_slippage_bps (mean over both sides of all trades), n_stop_loss and n_max_holding exits."""
+    hit = lambda reason: F.count_if(F.col("exit_reason") == reason)
+    return trades.groupBy("symbol").agg((F.avg(F.col("slip_in") + F.col("slip_out")) / 2).alias("effective_slippage_bps"), hit("stop_loss").alias("n_stop_loss"), hit("max_holding_days").alias("n_max_holding"))
 
 
 def plain_trades(signals: DataFrame) -> DataFrame:
@@ -144,55 +168,15 @@ def plain_trades(signals: DataFrame) -> DataFrame:
 
 
 def ruled_trades(signals: DataFrame, rules: Rules) -> DataFrame:
-    """run_trades() for rules with a holding limit, with or without a stop, and without lots, locks or shares of turnover, by
-    windows. Where a position would end depends on its entry and no more than the holding limit of bars after it, so a
-    bounded window finds it for every buying signal; of these a fold over a symbol's buying signals takes the first, then the first
-    after its exit, and so on. Adds _e and _x, the times of the bars that decide entry and exit."""
-    reach = rules.max_holding_days
-    if reach is None or rules.lot_size or rules.max_turnover_participation is not None or rules.position_size_pct != 1.0 or not rules.next_open:
+    """run_trades() for rules with a holding limit, with or without a stop, and without lots, locks or shares of turnover."""
+    if rules.max_holding_days is None or rules.lot_size or rules.max_turnover_participation is not None or rules.position_size_pct != 1.0 or not rules.next_open:
         raise ValueError("run_trades() takes these rules")
-    order = bars_order()
-    df = signals.select("symbol", "ts", "low", "close", "signal", (F.row_number().over(order) - 1).alias("n"), F.lead("open").over(order).alias("fill"), F.lead("ts").over(order).alias("day"))
-    df = df.withColumn("ahead", F.collect_list(F.struct("n", "ts", "low", "signal", "fill", "day")).over(order.rowsBetween(1, reach + 1)))
-    stop = F.col("fill") * (1 - rules.stop_loss_pct) if rules.stop_loss_pct is not None else F.lit(None).cast("double")
-    stopped = lambda a: F.coalesce(a["low"] <= stop, F.lit(False))
-    overdue = lambda a: a["n"] - F.col("n") - 1 >= reach
-    ends = lambda a: a["day"].isNotNull() & (stopped(a) | overdue(a) | a["signal"].isin("SELL", "EXIT"))
-    end = F.get(F.filter("ahead", ends), 0)
-    last = df.groupBy("symbol").agg(F.max_by(F.struct("n", "ts", "close"), "ts").alias("last"))
-    bought = df.where("signal = 'BUY' AND fill IS NOT NULL").withColumn("end", end).join(last, "symbol")
-    known = lambda known, otherwise: F.when(F.col("end").isNotNull(), known).otherwise(otherwise)
-    at_stop = stopped(F.col("end"))
-    deal = F.struct(
-        F.col("n").alias("e"), known(F.col("end.n"), F.col("last.n")).alias("x"), F.col("ts").alias("_e"), known(F.col("end.ts"), F.col("last.ts")).alias("_x"), F.col("day").alias("entry"),
-        known(F.when(at_stop, F.col("end.ts")).otherwise(F.col("end.day")), F.col("last.ts")).alias("exit"), F.col("fill").alias("entry_price"), known(F.when(at_stop, stop).otherwise(F.col("end.fill")), F.col("last.close")).alias("exit_price"),
-        known(F.when(at_stop, "stop_loss").when(overdue(F.col("end")), "max_holding_days").otherwise("signal"), F.lit("end_of_data")).alias("exit_reason"),
-    )
-    deals = bought.groupBy("symbol").agg(F.sort_array(F.collect_list(deal)).alias("deals"))
-    kind = deals.schema["deals"].dataType
-    begin = F.struct(F.lit(0).alias("free"), F.array().cast(kind).alias("taken"))
-    take = lambda done, d: F.when(d["e"] >= done["free"], F.struct((d["x"] + 1).alias("free"), F.array_append(done["taken"], d).alias("taken"))).otherwise(done)
-    taken = deals.select("symbol", F.inline(F.aggregate("deals", begin, take, lambda done: done["taken"])))
-    price = (F.col("exit_price") / F.col("entry_price") - 1) * 100
-    return taken.select("symbol", "entry", "exit", "entry_price", "exit_price", price.alias("return_pct"), "exit_reason", "_e", "_x")
+    return run_trades(signals, rules)
 
 
 def ruled_equity(signals: DataFrame, trades: DataFrame, rules: Rules) -> DataFrame:
-    """run_equity() from the trades of ruled_trades(): from the bar that decides an entry on, the position's worth; from the one
-    that decides its exit on, the cash. A symbol's last bar counts only if it closes a position."""
-    growth = (1 - rules.buy_cost) * (1 - rules.sell_cost) * F.col("exit_price") / F.col("entry_price")
-    cash = F.product(growth).over(Window.partitionBy("symbol").orderBy("entry").rowsBetween(Window.unboundedPreceding, 0)) * rules.capital
-    deals = trades.withColumn("cash", cash).withColumn("units", F.col("cash") / growth * (1 - rules.buy_cost) / F.col("entry_price"))
-    nothing, final = F.lit(None).cast("double"), F.col("exit_reason") == "end_of_data"
-    mark = lambda ts, units, cash, final: F.struct(F.col(ts).alias("ts"), units.alias("units"), cash.alias("cash"), final.alias("final"))
-    marks = deals.select("symbol", F.inline(F.array(mark("_e", F.col("units"), nothing, F.lit(False)), mark("_x", nothing, F.col("cash"), final))))
-    df = signals.select("symbol", "ts", "close", F.lead("ts").over(bars_order()).alias("_after")).join(marks.select("symbol", "ts", F.struct("units", "cash", "final").alias("mark")), ["symbol", "ts"], "left")
-    df = df.withColumn("_state", F.last("mark", ignorenulls=True).over(so_far())).where(F.col("_after").isNotNull() | F.coalesce("mark.final", F.lit(False)))
-    return df.select("symbol", "ts", F.coalesce(F.col("_state.units") * F.col("close"), "_state.cash", F.lit(rules.capital)).alias("equity"))
-
-
-def run_equity(signals: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    return prepare(signals, rules).groupBy("symbol").applyInPandas(_per_symbol(rules, "equity"), EQUITY)
+    """run_equity() from the trades of ruled_trades()."""
+    return run_equity(signals, trades, rules)
 
 
 def equity_metrics(equity: DataFrame, trades: DataFrame, capital: float = 100.0, trading_days: float = 252.0) -> DataFrame:

@@ -69,15 +69,61 @@ def edge_spread(df: DataFrame, window: int = 20) -> DataFrame:
     return out.select("symbol", F.when(F.col("st") >= 2, F.sqrt(F.abs(s2))).alias("edge"))
 
 
+def median_of(*columns: str) -> Column:
+    """The median of those columns that are known."""
+    known = F.sort_array(F.filter(F.array(*columns), lambda x: x.isNotNull()))
+    n = F.size(known)
+    return (F.get(known, F.floor((n - 1) / 2).cast("int")) + F.get(known, F.floor(n / 2).cast("int"))) / 2
+
+
 def spread_stats(df: DataFrame, window: int = 20) -> DataFrame:
     frozen = recent(df, window).groupBy("symbol").agg(F.avg((F.abs(F.col("high") - F.col("low")) <= 1e-8 + 1e-5 * F.abs("low")).cast("double")).alias("frozen_days_ratio"))
     out = frozen
     for part in (edge_spread(df, window), corwin_schultz(df, window), roll_spread(df, window)):
         out = out.join(part, "symbol", "left")
-    known = F.sort_array(F.filter(F.array("edge", "corwin_schultz", "roll"), lambda x: x.isNotNull()))
-    n = F.size(known)
-    middle = (F.get(known, F.floor((n - 1) / 2).cast("int")) + F.get(known, F.floor(n / 2).cast("int"))) / 2
-    return out.withColumn("consensus", middle)
+    return out.withColumn("consensus", median_of("edge", "corwin_schultz", "roll"))
+
+
+def bar_spreads(df: DataFrame, window: int = 20) -> DataFrame:
+    """Adds edge, corwin_schultz, roll and consensus to every bar: spread_stats() of the bars up to it, in one exchange and sort.
+
+    Quantities of a bar and the one before are made once; a window's first bar only serves as the one before, so they are
+    averaged over window - 1 bars (serial covariances over window - 2). What depends on a window's own means is folded in the row.
+    """
+    k = 3 - 2 * math.sqrt(2)
+    c = lambda x: F.col(f"_{x}")
+    is_ = lambda x: x.cast("double")
+    square = lambda a, b: F.pow(log_of(ratio(a, b)), F.lit(2.0))
+    pairs, own = last_bars(window - 1), df.columns
+    df = df.withColumns({"_o": log_of("open"), "_h": log_of("high"), "_l": log_of("low"), "_c": log_of("close"), "_ph": back("high"), "_pl": back("low"), "_pc": back("close"), "_bars": F.count(F.lit(1)).over(last_bars(window))})
+    df = df.withColumn("_m", (c("h") + c("l")) / 2).withColumns({f"_{x}1": back(f"_{x}") for x in "hlcm"})
+    tau = is_((c("h") != c("l")) | (c("l") != c("c1")))
+    beta, gamma = square("high", "low") + square("_ph", "_pl"), F.when(c("ph").isNotNull(), square(F.greatest("high", "_ph"), F.least("low", "_pl")))
+    grown = F.exp((F.sqrt(2 * beta) - F.sqrt(beta)) / k - F.sqrt(gamma / k))
+    df = df.withColumns({
+        "_cs": F.when(grown.isNotNull(), F.greatest(F.lit(0.0), 2 * (grown - 1) / (1 + grown))), "_ret": ratio(F.col("close") - c("pc"), c("pc")),
+        "_r1": c("m") - c("o"), "_r2": c("o") - c("m1"), "_r3": c("m") - c("c1"), "_r4": c("c1") - c("m1"), "_r5": c("o") - c("c1"), "_t": tau,
+        "_po": tau * (is_(c("o") != c("h")) + is_(c("o") != c("l"))), "_pcl": tau * (is_(c("c1") != c("h1")) + is_(c("c1") != c("l1"))),
+    })
+    whole, parts = c("c1").isNotNull(), ("r1", "r2", "r3", "r4", "r5", "t")
+    df = df.withColumn("_ret1", back("_ret")).withColumns({f"_a{x}": F.avg(F.when(whole, c(x))).over(pairs) for x in ("r1", "r3", "r5", "t", "po", "pcl")})
+    df = df.withColumns({
+        "_st": F.sum(F.when(whole, c("t"))).over(pairs), "_w": F.collect_list(F.when(whole, F.struct(*(c(x).alias(x) for x in parts)))).over(pairs),
+        "corwin_schultz": F.when(c("bars") >= 3, F.avg("_cs").over(pairs)), "_cov": F.covar_samp("_ret", "_ret1").over(last_bars(window - 2)),
+    })
+    by_open, by_close = ratio(F.lit(-4.0), c("apo")), ratio(F.lit(-4.0), c("apcl"))
+    dev = lambda r, i: r[f"r{i}"] - ratio(c(f"ar{i}"), c("at")) * r["t"]
+    known = lambda x: F.filter(x, lambda v: v.isNotNull())
+    df = df.withColumns({
+        "_x1": known(F.transform("_w", lambda r: by_open * dev(r, 1) * r["r2"] + by_close * dev(r, 3) * r["r4"])), "_x2": known(F.transform("_w", lambda r: by_open * dev(r, 1) * r["r5"] + by_close * dev(r, 5) * r["r4"])),
+    })
+    total = lambda xs, of: F.aggregate(xs, F.lit(0.0), lambda a, x: a + of(x))
+    df = df.withColumns({f"_e{i}": ratio(total(f"_x{i}", lambda x: x), F.size(f"_x{i}")) for i in (1, 2)})
+    df = df.withColumns({f"_v{i}": ratio(total(f"_x{i}", lambda x, i=i: (x - c(f"e{i}")) * (x - c(f"e{i}"))), F.size(f"_x{i}")) for i in (1, 2)})
+    both = c("v1") + c("v2")
+    s2 = F.when(both > 0, (c("v2") * c("e1") + c("v1") * c("e2")) / F.nullif(both, F.lit(0.0))).otherwise((c("e1") + c("e2")) / 2)
+    df = df.withColumns({"edge": F.when(c("st") >= 2, F.sqrt(F.abs(s2))), "roll": F.when(c("cov") < 0, 2 * F.sqrt(-c("cov")))})
+    return df.select(*own, "edge", "corwin_schultz", "roll", median_of("edge", "corwin_schultz", "roll").alias("consensus"))
 
 
 def liquidity_tier(df: DataFrame, asset_type: str, window: int = 20) -> DataFrame:

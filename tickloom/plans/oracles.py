@@ -564,3 +564,39 @@ ORACLES |= {
 SELECT event_type AS symbol, CAST(epoch(s) AS BIGINT) AS start, {r('arg_min(value, row(ts, event_id))', 'open', 4)}, {r('max(value)', 'high', 4)}, {r('min(value)', 'low', 4)}, {r('arg_max(value, row(ts, event_id))', 'close', 4)}, count(*) AS volume, {r('sum(value)', 'total', 4)} FROM w GROUP BY 1, s""",
     "event_once_per_day": f"SELECT user_id, event_type, CAST(ts AS DATE) AS day, arg_min(event_id, row(ts, event_id)) AS event_id, {r('arg_min(value, row(ts, event_id))', 'value', 4)} FROM events GROUP BY 1, 2, 3",
 }
+
+TICK = "(CASE WHEN close < 200 THEN 1 WHEN close < 500 THEN 2 WHEN close < 2000 THEN 5 WHEN close < 5000 THEN 10 ELSE 25 END)"
+#: Spreads at every bar: the estimators over the 20 bars up to each, a window to a bar.
+SPREAD_BARS = f"""{BARS.replace("bars AS (", "day_bars AS (")},
+ends AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n FROM day_bars),
+bars AS (SELECT e.symbol || '@' || e.n AS symbol, b.ts, b.open, b.high, b.low, b.close, b.volume FROM ends e JOIN ends b ON b.symbol = e.symbol AND b.n > e.n - 20 AND b.n <= e.n),
+{SPREADS},
+sp AS MATERIALIZED (SELECT ends.*, edge, corwin_schultz, roll, list_median([x FOR x IN [edge, corwin_schultz, roll] IF x IS NOT NULL]) AS consensus
+  FROM ends LEFT JOIN ed ON ed.symbol = ends.symbol || '@' || n LEFT JOIN cs ON cs.symbol = ends.symbol || '@' || n LEFT JOIN ro ON ro.symbol = ends.symbol || '@' || n)"""
+ORACLES["bar_spreads"] = f"WITH {SPREAD_BARS} SELECT symbol, {DAY}, {', '.join(r(x, x) for x in ('edge', 'corwin_schultz', 'roll', 'consensus'))} FROM sp"
+#: An account in whole lots: the end of every possible position, then one possible position of each symbol a step.
+LOTS = f"""WITH RECURSIVE {SPREAD_BARS}, {', '.join((Z, MA)).replace('FROM bars', 'FROM sp')}, {COMPOSITE},
+lk AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS pc FROM c),
+a1 AS (SELECT *, coalesce(close / nullif(pc, 0) - 1 <= -(CASE WHEN pc < 200 THEN {d(0.25)} WHEN pc < 5000 THEN {d(0.2)} ELSE {d(0.15)} END) + {d('1e-9')} AND abs(close - low) <= {d('1e-8')} + {d('1e-5')} * abs(low), false) AS barred,
+  greatest(coalesce(consensus * 10000, {d(5)}), {TICK} / close * 10000) AS slip FROM lk),
+a AS MATERIALIZED (SELECT symbol, ts, n, low, close, signal, barred, slip, lead(close) OVER w AS fill, lead(ts) OVER w AS day, lead(barred) OVER w AS barred_next, lead(slip) OVER w AS slip_next,
+  avg(close * volume) OVER (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING) AS turnover FROM a1 WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+la AS (SELECT symbol, max(n) AS n, arg_max(close, ts) AS close, arg_max(slip, ts) AS slip, max(ts) AS ts FROM a GROUP BY 1),
+en AS MATERIALIZED (SELECT *, n AS e, fill AS p, fill * (1 - {d(0.1)}) AS stop FROM a WHERE signal = 'BUY' AND fill IS NOT NULL),
+hi AS (SELECT en.symbol, e, min(a.n) AS x FROM en JOIN a ON a.symbol = en.symbol AND a.n > e AND a.day IS NOT NULL
+  AND CASE WHEN a.low <= stop THEN NOT a.barred ELSE a.n - e - 1 >= 15 OR (a.signal IN ('SELL', 'EXIT') AND NOT a.barred_next) END GROUP BY 1, 2),
+ex AS MATERIALIZED (SELECT en.symbol, en.e, en.p, en.day AS entry, en.slip AS slip_in, en.turnover, coalesce(hi.x, la.n) AS x, row_number() OVER (PARTITION BY en.symbol ORDER BY en.e) AS k,
+  CASE WHEN hi.x IS NULL THEN la.close WHEN a.low <= stop THEN stop ELSE a.fill END AS q, CASE WHEN hi.x IS NULL THEN la.ts WHEN a.low <= stop THEN a.ts ELSE a.day END AS exit,
+  CASE WHEN hi.x IS NULL THEN la.slip WHEN a.low <= stop THEN a.slip ELSE a.slip_next END AS slip_out,
+  CASE WHEN hi.x IS NULL THEN 'end_of_data' WHEN a.low <= stop THEN 'stop_loss' WHEN a.n - en.e - 1 >= 15 THEN 'max_holding_days' ELSE 'signal' END AS exit_reason
+  FROM en JOIN la ON la.symbol = en.symbol LEFT JOIN hi ON hi.symbol = en.symbol AND hi.e = en.e LEFT JOIN a ON a.symbol = en.symbol AND a.n = hi.x),
+st AS (SELECT DISTINCT symbol, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS free, {d('1e6')} AS cash, {d(0)} AS units, false AS took FROM ex
+  UNION ALL SELECT symbol, k, CASE WHEN took THEN x + 1 ELSE free END, CASE WHEN took THEN cash - units * p / kept + units * q * (1 - (25 + slip_out) / 10000) ELSE cash END, units, took
+  FROM (SELECT *, e >= free AND units > 0 AS took FROM (SELECT ex.symbol, ex.k, e, x, p, q, slip_out, free, cash, 1 - (15 + slip_in) / 10000 AS kept,
+    floor(least(cash * {d(0.05)}, {d(0.2)} * turnover) * (1 - (15 + slip_in) / 10000) / p / 5) * 5 AS units FROM st JOIN ex ON ex.symbol = st.symbol AND ex.k = st.k + 1))),
+tr AS (SELECT ex.*, st.units, st.cash FROM st JOIN ex ON ex.symbol = st.symbol AND ex.k = st.k WHERE took)"""
+ORACLES |= {
+    "event_backtest_lots": f"""{LOTS.replace('consensus * 10000', 'NULL')} SELECT symbol, CAST(entry AS DATE) AS entry, CAST(exit AS DATE) AS exit, {r('p', 'entry_price', 4)}, {r('q', 'exit_price', 4)}, {r('(q / p - 1) * 100', 'return_pct', 4)}, exit_reason,
+{r('slip_in', 'slip_in', 4)}, {r('slip_out', 'slip_out', 4)}, {r('ln(units)', 'log_units', 4)}, {r('ln(cash)', 'log_cash', 4)} FROM tr""",
+    "event_backtest_lots_metrics": f"""{LOTS} SELECT symbol, {r('avg(slip_in + slip_out) / 2', 'effective_slippage_bps', 4)}, count(*) FILTER (exit_reason = 'stop_loss') AS n_stop_loss, count(*) FILTER (exit_reason = 'max_holding_days') AS n_max_holding FROM tr GROUP BY 1""",
+}

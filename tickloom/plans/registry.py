@@ -220,6 +220,12 @@ def spread_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(liq.spread_stats(src.bars_daily(spark, sf_dir)))
 
 
+@query
+def bar_spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spread estimators and their median at every bar, from the bars up to it."""
+    return rounded(daily(liq.bar_spreads(src.bars_daily(spark, sf_dir)), "edge", "corwin_schultz", "roll", "consensus"))
+
+
 @query
 def liquidity_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(liq.liquidity_tier(src.bars_weekly(spark, sf_dir), "stock_us").select("symbol", "avg_turnover", "frozen_days_ratio", "tier"), 4)
@@ -405,6 +411,26 @@ def event_backtest_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(made.select("symbol", "log_total_return", "sharpe", "sortino", "max_drawdown_pct", "n_trades", "win_rate_pct", "avg_trade_pct"), 4)
 
 
+LOT_RULES = ev.Rules(fee_buy_bps=15.0, fee_sell_bps=25.0, stop_loss_pct=0.1, max_holding_days=15, position_size_pct=0.05, lot_size=5, max_turnover_participation=0.2, next_open=False, capital=1e6)
+
+
+@query
+def event_backtest_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades in whole lots filled at the next close, no exits on locked days, a cap on turnover, and a flat slippage of each bar,
+    one tick at least. Cash spans many orders of magnitude, so units and cash are logarithms."""
+    signals = eva.effective_slippage(sig.composite(src.bars_daily(spark, sf_dir)).withColumn("consensus", F.lit(None).cast("double")))
+    made = ev.run_trades(signals, LOT_RULES).withColumns({"entry": F.to_date("entry"), "exit": F.to_date("exit"), "log_units": F.ln("units"), "log_cash": F.ln("cash")})
+    return rounded(made.select("symbol", "entry", "exit", "entry_price", "exit_price", "return_pct", "exit_reason", "slip_in", "slip_out", "log_units", "log_cash"), 4)
+
+
+@query
+def event_backtest_lots_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exits and mean slippage of those accounts with slippage from the spreads so far; on these noisy prices most spreads are
+    wider than the price, and such entries buy nothing."""
+    signals = eva.effective_slippage(liq.bar_spreads(sig.composite(src.bars_daily(spark, sf_dir))))
+    return rounded(ev.trade_costs(ev.run_trades(signals, LOT_RULES)), 4)
+
+
 @query
 def robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ev.robustness(ev.plain_trades(sig.composite(src.bars_daily(spark, sf_dir)))))
