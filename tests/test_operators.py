@@ -12,7 +12,7 @@ from tickloom.functions.expr import normal_cdf, portable_normal
 from tickloom.operators import backtest as bt
 from tickloom.operators import event_backtest as ev
 from tickloom.operators import indicators as ind
-from tickloom.operators import logs, montecarlo, portfolio, screener, signals, stats, strategies
+from tickloom.operators import logs, montecarlo, screener, signals, stats, strategies
 from tickloom.sources import bars as src
 from tickloom.streaming import events
 
@@ -161,46 +161,12 @@ def test_walk_forward_covers_all_bars(spark):
 
 
 def test_parity_weights(spark):
-    cov = np.diag([1.0, 4.0, 4.0])
-    assert portfolio.hrp(cov).sum() == pytest.approx(1) and (portfolio.hrp(cov) > 0).all()
-    assert sorted(portfolio.leaf_order(np.array([[0, 9, 1], [9, 0, 8], [1, 8, 0.0]]))) == [0, 1, 2]
-    frames = bars(spark, walk(60, 1), "A").union(bars(spark, walk(60, 2), "B"))
-    rows = portfolio.weights_table(frames).collect()
-    assert sum(r.hrp for r in rows) == pytest.approx(1) and sum(r.gmv for r in rows) == pytest.approx(1)
-
-
-def test_statistics_of_a_perfect_signal(spark):
-    df = bars(spark, walk(60)).withColumn("score", F.lead("close").over(ind.bars_order()) / F.col("close"))
-    assert stats.signal_ic(df, "score", (1,)).first().ic == pytest.approx(1)
-
-
-def test_simulation_is_whole_by_default(spark):
-    got = montecarlo.gbm_paths(bars(spark, walk(30))).agg(F.countDistinct("sim").alias("sims"), F.max("day").alias("days"), F.count("price").alias("n")).first()
-    assert tuple(got) == (2000, 30, 60_000)
-
+    from tickloom.operators import parity, weights
 
-def test_verdict_guards(spark):
-    rows = spark.createDataFrame([("a", 0.6, 0.0, "liquid"), ("b", 0.6, 2.0, "hard_illiquid"), ("c", 0.4, 2.0, "liquid"), ("d", 0.5, None, "liquid")], "symbol string, overall double, z double, tier string")
-    assert {r.symbol: r.verdict for r in screener.verdict(rows).collect()} == {"a": "BUY", "b": "HOLD (Z-Guard + Liquidity-Guard)", "c": "SELL", "d": "HOLD"}
-
-
-# ---- streaming
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    table = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
-    last = table.agg(F.max("ts")).first()[0] + dt.timedelta(days=2)
-    (tmp_path / "in").mkdir()
-    table.select("event_id", "ts", "user_id", "event_type", "value", "props").coalesce(1).write.parquet(f"{tmp_path}/in/events-1.parquet")
-    mark = table.limit(1).withColumns({"ts": F.lit(last).cast("timestamp_ntz"), "event_type": F.lit("end")}).select("event_id", "ts", "user_id", "event_type", "value", "props")
-    stream = events.timed(spark.readStream.schema(events.EVENTS).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in"))
-    query = events.tumbling_bars(stream).writeStream.format("memory").queryName("bars_stream").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").start()
-    query.processAllAvailable()
-    mark.write.parquet(f"{tmp_path}/in/events-2.parquet")
-    query.processAllAvailable()
-    query.stop()
-    got = sorted(map(tuple, spark.table("bars_stream").collect()))
-    assert got == sorted(map(tuple, events.tumbling_bars(events.timed(table)).collect()))
+    frames = bars(spark, walk(60, 1), "A").union(bars(spark, walk(60, 2), "B"))
+    rows, closed = parity.parity_weights(frames).collect(), weights.closed_form_weights(frames).collect()
+    assert sum(r.hrp for r in rows) == pytest.approx(1) and all(r.hrp > 0 for r in rows) and sum(r.gmv for r in closed) == pytest.approx(1)
+    assert sorted(r.place for r in rows) == [0, 1]
 
 
 def test_stream_appends_once(spark, tmp_path):

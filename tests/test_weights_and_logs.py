@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions.store import shared_dir
-from tickloom.operators import weights
+from tickloom.operators import parity, weights
 from tickloom.sources import log_store
 
 
@@ -34,6 +34,57 @@ def test_closed_forms_equal_numpy(spark, prices):
     assert abs(residual).max() < 1e-8 and sum(r.equal for r in rows) == pytest.approx(1)
 
 
+def parity_by_loops(rets):
+    """Order and weights from the whole matrix: nearest clusters first, the one made earlier to the left."""
+    cov, corr = np.cov(rets.T), np.corrcoef(rets.T)
+    distance, clusters, made = np.sqrt(np.maximum(0, (1 - corr) / 2)), {i: [i] for i in range(len(cov))}, len(cov)
+    while len(clusters) > 1:
+        _, a, b = min((distance[np.ix_(x, y)].min(), i, j) for i, x in clusters.items() for j, y in clusters.items() if i < j)
+        clusters[made] = clusters.pop(a) + clusters.pop(b)
+        made += 1
+    order, w = clusters.popitem()[1], np.ones(len(cov))
+
+    def variance(items):
+        part = cov[np.ix_(items, items)]
+        inverse = 1 / np.diag(part) / (1 / np.diag(part)).sum()
+        return inverse @ part @ inverse
+
+    def halve(items):
+        if len(items) > 1:
+            left, right = items[: len(items) // 2], items[len(items) // 2 :]
+            share = 1 - variance(left) / (variance(left) + variance(right))
+            w[left] *= share
+            w[right] *= 1 - share
+            halve(left)
+            halve(right)
+
+    halve(order)
+    return order, w
+
+
+@pytest.mark.parametrize("tile", [256, 4])
+def test_parity_equals_loops(spark, monkeypatch, tile):
+    monkeypatch.setattr(parity, "TILE", tile)
+    rng = np.random.default_rng(9)
+    rets = rng.normal(0, 0.02, (90, 5)) @ rng.normal(size=(5, 25)) * 0.5 + rng.normal(0, 0.02, (90, 25)) * np.linspace(0.3, 2, 25)
+    prices = 100 * np.exp(np.cumsum(rets, axis=0))
+    order, w = parity_by_loops(prices[1:] / prices[:-1] - 1)
+    rows = parity.parity_weights(bars(spark, prices)).orderBy("symbol").collect()
+    assert [r.hrp for r in rows] == pytest.approx(w, abs=1e-10) and sum(r.hrp for r in rows) == pytest.approx(1)
+    assert [int(r.symbol[1:]) for r in sorted(rows, key=lambda r: r.place)] == order
+
+
+def test_parity_of_few_symbols(spark, prices):
+    assert [r.hrp for r in parity.parity_weights(bars(spark, prices[:, :1])).collect()] == [1.0]
+    a, b = (np.diff(prices[:, :2], axis=0) / prices[:-1, :2]).var(0, ddof=1)
+    assert [r.hrp for r in parity.parity_weights(bars(spark, prices[:, :2])).orderBy("symbol").collect()] == pytest.approx([b / (a + b), a / (a + b)])
+    assert parity.parity_weights(bars(spark, prices[:1])).count() == 0 == parity.parity_weights(bars(spark, prices).limit(0)).count()
+    flat = np.hstack([prices[:, :2], np.full((len(prices), 1), 5.0)])
+    assert parity.parity_weights(bars(spark, flat)).count() == 2
+    twins = parity.parity_weights(bars(spark, np.hstack([prices[:, :1]] * 4))).collect()
+    assert [r.hrp for r in twins] == pytest.approx([0.25] * 4)
+
+
 def test_two_symbols_by_hand(spark, prices):
     two = prices[:, :2]
     a, b = np.diff(two, axis=0).T / two[:-1].T

@@ -1,17 +1,13 @@
-"""Portfolios. Covariances are aggregated by Spark; only the matrix of symbols by symbols reaches the driver."""
+"""Portfolios as aggregates over return rows."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import portable_int
 from .stats import pairs, returns
 
-MAX_SYMBOLS = 2_000
-
-
 def common_days(df: DataFrame) -> DataFrame:
     """Bars of the days on which every symbol has one."""
     k = df.select("symbol").distinct().count()
@@ -19,22 +15,6 @@ def common_days(df: DataFrame) -> DataFrame:
     return df.join(full, "ts", "left_semi")
 
 
-def moments(df: DataFrame, trading_days: float = 252.0) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Symbols, annual means and covariance matrix of returns on common days."""
-    rets = returns(common_days(df))
-    means = {r.symbol: (r.m, r.v) for r in rets.groupBy("symbol").agg(F.avg("ret").alias("m"), F.var_samp("ret").alias("v")).collect()}
-    names = sorted(means)
-    if len(names) > MAX_SYMBOLS:
-        raise ValueError(f"a matrix of {len(names)} symbols is too large for the driver")
-    if not names or any(v is None for _, v in means.values()):
-        raise ValueError("the symbols have too few days in common")
-    at = {s: i for i, s in enumerate(names)}
-    cov = np.diag([means[s][1] for s in names])
-    for r in pairs(rets).groupBy("a", "b").agg(F.covar_samp("ra", "rb").alias("c")).collect():
-        cov[at[r.a], at[r.b]] = cov[at[r.b], at[r.a]] = r.c
-    return names, np.array([means[s][0] for s in names]) * trading_days, cov * trading_days
-
-
 def portfolio_stats(df: DataFrame, trading_days: float = 252.0) -> DataFrame:
     """name, n_days, annual return and volatility, Sharpe ratio and worst drawdown of two portfolios over the common days,
     rebalanced every day: equal weights, and weights by inverse variance. All of it is aggregation: weights are a row per
@@ -67,55 +47,3 @@ def random_portfolios(df: DataFrame, n: int = 4000, trading_days: float = 252.0)
     risk = side("a").join(cov, "a").join(side("b"), ["portfolio", "b"]).groupBy("portfolio").agg(F.sqrt(F.sum(F.col("wa") * F.col("wb") * F.col("cov")) * trading_days).alias("annual_vol"))
     gain = drawn.groupBy("portfolio").agg(F.sum(F.col("w") * F.col("mean")).alias("annual_return"))
     return gain.join(risk, "portfolio").withColumn("sharpe", F.col("annual_return") / F.nullif("annual_vol", F.lit(0.0)))
-
-
-def leaf_order(distance: np.ndarray) -> list[int]:
-    """Leaves in the order of a single-linkage tree, merging the nearest clusters first."""
-    clusters = {i: [i] for i in range(len(distance))}
-    d = distance.astype(float).copy()
-    np.fill_diagonal(d, np.inf)
-    while len(clusters) > 1:
-        i, j = divmod(int(np.argmin(d)), len(d))
-        i, j = min(i, j), max(i, j)
-        clusters[i] = clusters[i] + clusters.pop(j)
-        d[i] = np.minimum(d[i], d[j])
-        d[:, i] = d[i]
-        d[i, i] = np.inf
-        d[j, :] = d[:, j] = np.inf
-    return next(iter(clusters.values()))
-
-
-def hrp(cov: np.ndarray) -> np.ndarray:
-    """Hierarchical risk parity: halves of the leaf order share weight against their variance."""
-    sd = np.sqrt(np.diag(cov))
-    corr = cov / np.outer(sd, sd)
-    weights = np.ones(len(cov))
-
-    def variance(items: list[int]) -> float:
-        part = cov[np.ix_(items, items)]
-        w = 1 / np.diag(part)
-        w /= w.sum()
-        return float(w @ part @ w)
-
-    def split(items: list[int]) -> None:
-        if len(items) > 1:
-            left, right = items[: len(items) // 2], items[len(items) // 2 :]
-            share = 1 - variance(left) / (variance(left) + variance(right))
-            weights[left] *= share
-            weights[right] *= 1 - share
-            split(left)
-            split(right)
-
-    split(leaf_order(np.sqrt(np.maximum(0, (1 - corr) / 2))))
-    return weights
-
-
-def weights_table(df: DataFrame, risk_free: float = 0.0) -> DataFrame:
-    """symbol and weights: equal, minimum variance, tangency, hierarchical risk parity; loading on the first component."""
-    names, mu, cov = moments(df)
-    inverse, one = np.linalg.pinv(cov), np.ones(len(names))
-    gmv, tangency = inverse @ one, inverse @ (mu - risk_free)
-    _, vectors = np.linalg.eigh(cov / np.sqrt(np.outer(np.diag(cov), np.diag(cov))))
-    columns = (one / len(names), gmv / gmv.sum(), tangency / tangency.sum(), hrp(cov), np.abs(vectors[:, -1]))
-    rows = [(s, *(float(c[i]) for c in columns)) for i, s in enumerate(names)]
-    return df.sparkSession.createDataFrame(rows, "symbol string, equal double, gmv double, tangency double, hrp double, pc1 double")

@@ -19,6 +19,7 @@ from ..operators import garch as gar
 from ..operators import indicators as ind
 from ..operators import liquidity as liq
 from ..operators import montecarlo as mc
+from ..operators import parity as par
 from ..operators import portfolio as pf
 from ..operators import regression as reg
 from ..operators import samples as smp
@@ -759,6 +760,12 @@ def portfolio_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(wts.closed_form_weights(src.bars_weekly(spark, sf_dir, "p_type"), trading_days=52.0))
 
 
+@query
+def hierarchical_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order of the leaves and weights of the part types by hierarchical risk parity."""
+    return rounded(par.parity_weights(src.bars_weekly(spark, sf_dir, "p_type")))
+
+
 @query
 def principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three leading components of the part types' returns."""
