@@ -261,6 +261,35 @@ def test_blocks_of_a_bootstrap(spark):
         assert (got["B"].n_trades, got["B"].win_mean) == (1, 100.0) and got["B"].log_growth_mean == pytest.approx(math.log(1.05))
 
 
+@pytest.mark.parametrize("block", [1, 4, 5, 23, 40])
+def test_resamples_are_never_sent_through_the_driver(spark, block):
+    """Places drawn with replacement are many times the rows, which a planner that can't count them would broadcast."""
+    from tickloom.operators import evaluation as eva
+
+    def draw(i, p=2**31 - 1):
+        x = (48271 * (i % p) + 12345) % p
+        x = (x * x + 16807 * (i % p) + 1) % p
+        return (x * x + 69621) % p
+
+    sizes = {("A", 0): 20, ("A", 3): 7, ("B", 0): 23, ("C", 1): 1}
+    value = {(s, f, i): (f + 1) * 100.0 + i for (s, f), n in sizes.items() for i in range(n)}
+    rows = spark.createDataFrame([(*k, v) for k, v in value.items()], "symbol string, fold long, i long, v double").repartition(3)
+    more = spark.createDataFrame([("C", 1, 9)], "symbol string, fold long, n_resamples int")
+    made = eva.resampled(rows, {"v": F.col("v")}, 6, block, by=("symbol", "fold"), more=more)
+    got = {(r.symbol, r["sample"]): (r.n, r.v) for r in made.collect()}
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "symbol#" in plan
+    assert not any("BroadcastHashJoin" in line and "i#" in line for line in plan.splitlines())
+    want = {}
+    for (s, f), n in sizes.items():
+        length, runs = (block, -(-n // block)) if n > block else (1, n)
+        for k in range(9 if s == "C" else 6):
+            places = [draw(k * runs + j + f * 1_000_003) % (n - length + 1) + x for j in range(runs) for x in range(length)][:n]
+            before = want.get((s, k), (0, 0.0))
+            want[s, k] = (before[0] + n, before[1] + sum(value[s, f, i] for i in places))
+    assert got.keys() == want.keys() and all(got[k] == (want[k][0], pytest.approx(want[k][1])) for k in want)
+
+
 def test_overlapping_folds(spark):
     from tickloom.operators import evaluation as eva
 

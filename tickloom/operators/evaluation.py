@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,10 +41,17 @@ def extended_metrics(equity: DataFrame, trading_days: float = DAYS) -> DataFrame
     )
 
 
-def block_draws(rows: DataFrame, n_resamples: int, block: int, by: Sequence[str] = ("symbol",), more: DataFrame | None = None) -> DataFrame:
-    """by, n, sample, i: for each resample as many places as the group has rows (n of them), drawn in runs of block places.
-    Draws are numbered, so reruns agree; of several columns of by, the last is a number that shifts its draws. more: by and
-    n_resamples of the groups that get another number of resamples."""
+def resampled(rows: DataFrame, values: Mapping[str, Column], n_resamples: int, block: int, by: Sequence[str] = ("symbol",), more: DataFrame | None = None) -> DataFrame:
+    """The first of by, sample, n (places drawn) and the sums of values over them: each resample draws as many places of rows(by, i)
+    as a group has rows, in runs of block places. Draws are numbered, so reruns agree; of several columns of by, the last is a number
+    that shifts its draws. more: by and n_resamples of the groups that get another number of resamples.
+
+    Runs meet sums that rows hold of what follows them; only the last run, which ends where n places are drawn, meets its places. The
+    hint has rows hashed and draws streamed: their number is unknown to the planner, which would send them all through the driver."""
+    group = Window.partitionBy(*by)
+    rows = rows.select(*by, "i", *(v.alias(c) for c, v in values.items())).withColumn("_long", F.count(F.lit(1)).over(group) > block)
+    following = lambda c: F.when(F.col("_long"), F.sum(c).over(group.orderBy("i").rowsBetween(0, block - 1))).otherwise(F.col(c))
+    sums = rows.select(*by, "i", F.struct(*values).alias("_one"), F.struct(*(following(c).alias(c) for c in values)).alias("_run"))
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).withColumn("_samples", F.lit(n_resamples))
     if more is not None:
         sizes = sizes.join(more, list(by), "left").withColumn("_samples", F.coalesce("n_resamples", "_samples"))
@@ -54,8 +61,12 @@ def block_draws(rows: DataFrame, n_resamples: int, block: int, by: Sequence[str]
     draws = draws.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)).alias("j"))
     shift = F.col(by[-1]) * 1_000_003 if len(by) > 1 else F.lit(0)
     start = portable_int(F.col("sample") * F.col("runs") + F.col("j") + shift) % (F.col("n") - F.col("length") + 1)
-    draws = draws.withColumn("start", start).select(*by, "n", "sample", "start", F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("step"), (F.col("j") * F.col("length")).alias("first"))
-    return draws.where(F.col("first") + F.col("step") < F.col("n")).select(*by, "n", "sample", (F.col("start") + F.col("step")).alias("i"))
+    whole, left = F.col("j") < F.col("runs") - 1, F.col("n") - F.col("j") * F.col("length")
+    steps = F.explode(F.sequence(F.lit(0).cast("long"), F.when(whole, 0).otherwise(left - 1)))
+    draws = draws.select(*by, "sample", start.alias("start"), whole.alias("_whole"), F.when(whole, F.col("length")).otherwise(1).alias("_places"), steps.alias("step"))
+    draws = draws.select(*by, "sample", "_whole", "_places", (F.col("start") + F.col("step")).alias("i"))
+    drawn = draws.join(sums.hint("shuffle_hash"), [*by, "i"]).withColumn("_got", F.when(F.col("_whole"), F.col("_run")).otherwise(F.col("_one")))
+    return drawn.groupBy(by[0], "sample").agg(F.sum("_places").alias("n"), *(F.sum(F.col("_got")[c]).alias(c) for c in values))
 
 
 def bootstrap_trades(trades: DataFrame, n_resamples: int = 1000, block: int = 1) -> DataFrame:
@@ -66,9 +77,8 @@ def bootstrap_trades(trades: DataFrame, n_resamples: int = 1000, block: int = 1)
     wild = iqr_outliers(trades).select("symbol").distinct().withColumn("n_resamples", F.lit(boosted))
     order = Window.partitionBy("symbol").orderBy("exit", "entry")
     nth = trades.select("symbol", (F.col("return_pct") / 100).alias("r"), (F.row_number().over(order) - 1).cast("long").alias("i"))
-    samples = block_draws(nth, n_resamples, block, more=wild).join(nth, ["symbol", "i"]).groupBy("symbol", "sample").agg(
-        F.first("n").alias("n"), (F.avg((F.col("r") > 0).cast("double")) * 100).alias("win"), F.sum(log_of(1 + F.col("r"))).alias("log_growth"),
-    )
+    samples = resampled(nth, {"win": F.when(F.col("r") > 0, 1.0).otherwise(0.0), "log_growth": log_of(1 + F.col("r"))}, n_resamples, block, more=wild)
+    samples = samples.withColumn("win", F.col("win") / F.col("n") * 100)
     at = lambda c, p: F.percentile(c, F.lit(p / 100)).alias(f"{c}_p{p}")
     return samples.groupBy("symbol").agg(F.first("n").alias("n_trades"), F.count(F.lit(1)).alias("n_resamples"), *(at(c, p) for c in ("win", "log_growth") for p in (5, 25, 50, 75, 95)), F.avg("win").alias("win_mean"), F.avg("log_growth").alias("log_growth_mean"))
 
@@ -78,9 +88,8 @@ def skill_bootstrap(df: DataFrame, predicted: str, actual: str, n_resamples: int
     whether the fifth is above zero. A resample with one outcome has no score."""
     known = df.where(F.col(predicted).isNotNull() & F.col(actual).isNotNull())
     nth = known.select("symbol", F.col(predicted).alias("p"), F.col(actual).alias("a"), (F.row_number().over(bars_order()) - 1).cast("long").alias("i"))
-    samples = block_draws(nth, n_resamples, block).join(nth, ["symbol", "i"]).groupBy("symbol", "sample").agg(
-        F.first("n").alias("n"), F.avg((F.col("p") - F.col("a")) * (F.col("p") - F.col("a"))).alias("brier"), F.avg("a").alias("rate"),
-    )
+    samples = resampled(nth, {"brier": (F.col("p") - F.col("a")) * (F.col("p") - F.col("a")), "rate": F.col("a")}, n_resamples, block)
+    samples = samples.withColumns({c: F.col(c) / F.col("n") for c in ("brier", "rate")})
     base = F.col("rate") * (1 - F.col("rate"))
     samples = samples.withColumn("skill", F.when(base > 1e-9, 1 - F.col("brier") / F.nullif(base, F.lit(0.0))))
     out = samples.groupBy("symbol").agg(F.first("n").alias("n"), *(F.percentile("skill", F.lit(p / 100)).alias(f"skill_p{p}") for p in (5, 50, 95)))

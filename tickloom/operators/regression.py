@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.store import stored
-from .evaluation import block_draws
+from .evaluation import resampled
 
 ROUNDS = 60
 #: Steps of a round are held within this, which matters for far starts only.
@@ -154,9 +154,8 @@ def skill_range(df: DataFrame, predicted: str, actual: str, n_resamples: int = 1
     each fold. Resamples with one class have no skill; under 100 others the range is null."""
     order = Window.partitionBy("symbol", "fold").orderBy("ts")
     nth = df.select("symbol", "fold", F.col(predicted).alias("p"), F.col(actual).alias("a"), (F.row_number().over(order) - 1).cast("long").alias("i"))
-    drawn = block_draws(nth, n_resamples, block, by=("symbol", "fold")).join(nth, ["symbol", "fold", "i"])
-    samples = drawn.groupBy("symbol", "sample").agg(F.avg(F.pow(F.col("p") - F.col("a"), 2)).alias("_brier"), F.avg("a").alias("_rate"))
-    samples = samples.withColumn("skill", _skill(F.col("_brier"), F.col("_rate")))
+    samples = resampled(nth, {"_brier": F.pow(F.col("p") - F.col("a"), 2), "_rate": F.col("a")}, n_resamples, block, by=("symbol", "fold"))
+    samples = samples.withColumn("skill", _skill(F.col("_brier") / F.col("n"), F.col("_rate") / F.col("n")))
     enough = F.count("skill") >= 100
     return samples.groupBy("symbol").agg(*(F.when(enough, F.percentile("skill", F.lit(p / 100))).alias(f"skill_p{p}") for p in (5, 50, 95)))
 
