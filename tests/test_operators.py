@@ -290,6 +290,30 @@ def test_resamples_are_never_sent_through_the_driver(spark, block):
     assert got.keys() == want.keys() and all(got[k] == (want[k][0], pytest.approx(want[k][1])) for k in want)
 
 
+def test_accounts_below_the_normal_range_equal_sql(spark):
+    """A product of bar after bar has other digits there than SQL's, and weekly leagues other places."""
+    import duckdb
+
+    rng = random.Random(5)
+    moves = [(DAY + dt.timedelta(days=i), rng.uniform(0.2, 0.9)) for i in range(1400)]
+    closes = {"A": 1e300, "B": 1.0}
+    rows = []
+    for i, (ts, m) in enumerate(moves):
+        for s in closes:
+            closes[s] *= m if s == "A" and i < 1250 or i % 3 else 1 / m
+            rows.append((s, ts, closes[s], "x", 1.0))
+    made = bt.run_positions(spark.createDataFrame(rows, "symbol string, ts timestamp, close double, strategy string, position double").repartition(3))
+    made = made.select("symbol", "n", "net", "equity").orderBy("symbol", "n").toPandas()
+    for s in ("A", "B"):
+        run = made[made["symbol"] == s]
+        want = duckdb.sql("SELECT CASE WHEN n = 0 THEN 100 ELSE product(1 + net) OVER (ORDER BY n ROWS UNBOUNDED PRECEDING) * 100 END AS equity FROM run ORDER BY n").fetchall()
+        got, want = run["equity"].tolist(), [r[0] for r in want]
+        assert all(g == w if abs(w) < 1e-300 else g == pytest.approx(w, rel=1e-11) for g, w in zip(got, want))
+        assert len(got) == len(want) == 1400
+    low = made[made["symbol"] == "A"]["equity"]
+    assert ((low > 0) & (low < 1e-310)).sum() > 5 and (low == 0).sum() > 5
+
+
 def test_overlapping_folds(spark):
     from tickloom.operators import evaluation as eva
 

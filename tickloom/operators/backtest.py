@@ -16,6 +16,27 @@ def so_far():
     return order().rowsBetween(Window.unboundedPreceding, 0)
 
 
+#: Bars, and blocks of each level, whose product is taken first.
+FAN = 16
+
+
+def running_product(df: DataFrame, factor: Column, name: str, levels: int = 3) -> DataFrame:
+    """Adds the product of factor over the bars up to each (n from 0), from blocks of FAN, FAN ** 2, ... bars, the largest first. A bar
+    takes as many roundings as there are digits in its number, not bars before it: that shows where an account falls below the
+    normal range of a double (2e-308) and a product of bar after bar keeps few digits."""
+    end, of = F.col("n") + 1, ["symbol", "strategy"]
+    upto = lambda group: Window.partitionBy(*of, group).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    full = lambda k: end % FAN**k == 0
+    df = df.withColumn("_b0", factor)
+    for k in range(1, levels + 1):
+        df = df.withColumn(f"_b{k}", F.when(full(k), F.product(f"_b{k - 1}").over(upto(F.floor(F.col("n") / FAN**k)))))
+    df = df.withColumn(f"_p{levels}", F.product(f"_b{levels}").over(so_far()))
+    for k in reversed(range(levels)):
+        start = F.when(full(k + 1), F.col(f"_p{k + 1}")).otherwise(F.col(f"_b{k}"))
+        df = df.withColumn(f"_p{k}", F.product(start).over(upto(F.floor(end / FAN ** (k + 1)))))
+    return df.withColumn(name, F.col("_p0")).drop(*(f"_{c}{k}" for c in "bp" for k in range(levels + 1)))
+
+
 def run_positions(positions: DataFrame, fee_buy_bps: float = 20, fee_sell_bps: float = 30, slippage_bps: float = 5, capital: float = 100.0) -> DataFrame:
     """Adds n (bar number from 0), net (return after costs) and equity. A position decided on a bar earns from the next."""
     before = lambda c, k=1: F.coalesce(F.lag(c, k).over(order()), F.lit(0.0))
@@ -24,8 +45,8 @@ def run_positions(positions: DataFrame, fee_buy_bps: float = 20, fee_sell_bps: f
     df = df.withColumn("_delta", before("position") - before("position", 2))
     cost = F.greatest("_delta", F.lit(0.0)) * (fee_buy_bps + slippage_bps) / 1e4 + F.greatest(-F.col("_delta"), F.lit(0.0)) * (fee_sell_bps + slippage_bps) / 1e4
     df = df.withColumn("net", before("position") * F.col("_ret") - cost)
-    grown = F.product(1 + F.col("net")).over(so_far()) * capital
-    return df.withColumn("equity", F.when(F.col("n") == 0, F.lit(capital)).otherwise(grown)).drop("_ret", "_delta")
+    df = running_product(df, 1 + F.col("net"), "_grown")
+    return df.withColumn("equity", F.when(F.col("n") == 0, F.lit(capital)).otherwise(F.col("_grown") * capital)).drop("_ret", "_delta", "_grown")
 
 
 def trades_of(run: DataFrame) -> DataFrame:
