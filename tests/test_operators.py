@@ -314,6 +314,13 @@ def test_accounts_below_the_normal_range_equal_sql(spark):
     assert ((low > 0) & (low < 1e-310)).sum() > 5 and (low == 0).sum() > 5
 
 
+def test_every_symbol_gets_its_sentiment(spark):
+    scored = spark.createDataFrame([(f"S{i:02}", "en" if i % 2 else "xx", None if i == 3 else i / 40) for i in range(40)], "symbol string, lang string, overall double")
+    sentiment = spark.createDataFrame([("en", 0.25), ("de", 0.5)], "symbol string, sentiment double")
+    got = {r.symbol: (r.overall, r.sentiment) for r in screener.enrich(scored, sentiment, "lang").collect()}
+    assert got == {f"S{i:02}": (None if i == 3 else i / 40, 0.25 if i % 2 else None) for i in range(40)}
+
+
 def test_overlapping_folds(spark):
     from tickloom.operators import evaluation as eva
 

@@ -125,7 +125,6 @@ def movers(df: DataFrame) -> DataFrame:
     return last.agg(*(F.count_if(test).alias(name) for name, test in (("up", F.col("_c") > 0), ("down", F.col("_c") < 0), ("flat", F.col("_c") == 0))))
 
 
-def enrich(df: DataFrame, sentiment: DataFrame, by: str = "symbol", n: int = 10) -> DataFrame:
-    """The n best of df by overall, ties by symbol, with the sentiment of their news. It is shown and changes no score."""
-    best = df.orderBy(F.col("overall").desc_nulls_last(), "symbol").limit(n)
-    return best.join(sentiment.select(F.col("symbol").alias(by), "sentiment"), by, "left")
+def enrich(df: DataFrame, sentiment: DataFrame, by: str = "symbol") -> DataFrame:
+    """Every row of df with the sentiment of its news. It is shown and changes no score."""
+    return df.join(sentiment.select(F.col("symbol").alias(by), "sentiment"), by, "left")

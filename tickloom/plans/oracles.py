@@ -501,9 +501,8 @@ ORACLES |= {
     "movers": f"WITH {BARS}, a AS (SELECT *, {change('close')} AS c FROM brand), b AS (SELECT symbol, arg_max(c, ts) AS c FROM a GROUP BY 1) SELECT count(*) FILTER (c > 0) AS up, count(*) FILTER (c < 0) AS down, count(*) FILTER (c = 0) AS flat FROM b WHERE c IS NOT NULL",
     "sentiment_enrichment": f"""WITH {BRANDS}, {Z}, {MA}, {COMPOSITE},
 t AS (SELECT symbol, ['de', 'en', 'es', 'fr'][CAST(right(symbol, 1) AS INTEGER) % 4 + 1] AS lang, (composite + 1) / 2 AS o FROM c QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1),
-b AS (SELECT * FROM t ORDER BY o DESC NULLS LAST, symbol LIMIT 10),
 s AS (SELECT lang, avg(s) AS s FROM (SELECT d.doc_id, d.lang, avg(CAST(quality - toxic AS DOUBLE)) AS s FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1, 2) GROUP BY 1)
-SELECT symbol, b.lang, {r('o', 'overall')}, {r('s', 'sentiment')} FROM b LEFT JOIN s ON s.lang = b.lang""",
+SELECT symbol, t.lang, {r('o', 'overall')}, {r('s', 'sentiment')} FROM t LEFT JOIN s ON s.lang = t.lang""",
     "universe_sources": """SELECT DISTINCT replace(upper(trim(p_brand || '.' || p_size)), '.', '-') AS symbol, 'code' AS kind FROM part UNION ALL SELECT DISTINCT upper(p_type) || '/IDR', 'pair' FROM part WHERE p_size % 2 <> 0""",
     "precompute_rows": f"WITH {SCAN} SELECT symbol, CASE WHEN composite <= -0.5 THEN 'SELL' WHEN composite >= 0.5 THEN 'BUY' ELSE 'HOLD' END AS signal, {r('composite', 'score')}, {r('pp', 'mc_prob_profit')}, {r('win', 'win_rate')}, tier AS liq_tier FROM scan",
     "portfolio_stats": f"""WITH {BARS}, ty AS (SELECT p_type AS symbol, CAST(date_trunc('week', l_shipdate) AS TIMESTAMP) AS ts, arg_max(price, k) AS close FROM line JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),

@@ -633,8 +633,8 @@ def movers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sentiment_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten brands with the best scores and the sentiment of their news, which are the documents of the language that the last
-    digit of their name points to."""
+    """The scores of all brands and the sentiment of their news, which are the documents of the language that the last digit of their
+    name points to."""
     last = ind.latest(sig.composite(src.bars_weekly(spark, sf_dir)))
     langs = F.array(*(F.lit(x) for x in ("de", "en", "es", "fr")))
     scored = last.select("symbol", F.get(langs, F.substring("symbol", -1, 1).cast("int") % 4).alias("lang"), ((F.col("composite") + 1) / 2).alias("overall"))
