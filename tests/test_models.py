@@ -166,6 +166,24 @@ def test_trades_equal_a_walk_over_the_bars(spark, stop):
         assert [x[2] for x in got[s]] == pytest.approx([x[2] for x in t])
 
 
+@pytest.mark.parametrize("features", [None, ("f",)])
+def test_trades_read_what_bars_are_made_of_once(spark, features):
+    """Rounds and joins go back to the bars many times; rows that they come from are far more."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rng, start = np.random.default_rng(3), dt.datetime(2020, 1, 1)
+    rows = [("A", start + dt.timedelta(days=i), 100.0, 90 + 10 * float(rng.random()), 100.0 + float(rng.normal()), ("BUY", "HOLD", "SELL")[rng.integers(3)], 0.5) for i in range(200)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, open double, low double, close double, signal string, f double")
+    df = df.mapInArrow(counted, df.schema)
+    trades = smp.meta_label_samples(df, features, stop_loss_pct=0.05) if features else smp.signalled_trades(df, stop_loss_pct=0.05)
+    assert trades.count() > 10 and made.value == 200
+
+
 def test_meta_label_model_learns_only_from_trades_before(spark):
     rng = np.random.default_rng(4)
     n, rows = 140, []

@@ -49,7 +49,8 @@ def signalled_trades(signals: DataFrame, fee_buy_bps: float = 20.0, fee_sell_bps
 
     A trade enters at the next open and ends at the stop, at the open after a SELL or EXIT, or at the open after max_holding_days
     bars, whichever bar comes first; the last close ends what is open. label is 1 for a gain after costs. The next trade
-    may be signalled on the bar that ended the one before.
+    may be signalled on the bar that ended the one before. Bars and possible trades are stored, as rounds read them again and again:
+    what the bars are made of is read once.
     """
     cost_in, cost_out = (fee_buy_bps + slippage_bps) / 1e4, (fee_sell_bps + slippage_bps) / 1e4
     order, every = bars_order(), Window.partitionBy("symbol")
@@ -59,6 +60,7 @@ def signalled_trades(signals: DataFrame, fee_buy_bps: float = 20.0, fee_sell_bps
     told = F.min(leaves).over(order.rowsBetween(1, max_holding_days + 1))
     bars = bars.withColumn("ends", F.least(told, F.col("n") + 1 + max_holding_days, "last_n"))
     bars = bars.withColumn("told", F.coalesce(told == F.col("ends"), F.lit(False)) | (F.col("ends") == F.col("n") + 1 + max_holding_days))
+    bars = stored(bars, "signal-bars")
     bought = bars.where("signal = 'BUY' AND fill IS NOT NULL").withColumn("entry", F.col("fill") * (1 + cost_in))
     if stop_loss_pct:
         bought = bought.withColumn("stop", F.col("entry") * (1 - stop_loss_pct))
@@ -68,7 +70,7 @@ def signalled_trades(signals: DataFrame, fee_buy_bps: float = 20.0, fee_sell_bps
     fills = F.col("stopped").isNull() & F.col("told") & (F.col("ends") < F.col("last_n"))
     bought = bought.withColumn("price_n", F.coalesce("stopped", F.when(fills, F.col("ends") + 1).otherwise(F.col("last_n"))))
     bought = bought.withColumn("free", F.greatest(F.col("price_n"), F.col("n") + 1))
-    taken = chosen(bought, "n", "free")
+    taken = chosen(stored(bought, "bought"), "n", "free")
     prices = bars.select("symbol", F.col("n").alias("price_n"), F.col("open").alias("_open"), F.col("close").alias("_close"))
     price = F.when(F.col("stopped").isNotNull(), F.col("stop")).when(F.col("told") & (F.col("ends") < F.col("last_n")), F.col("_open")).otherwise(F.col("_close"))
     out = taken.join(prices, ["symbol", "price_n"]).withColumn("return_pct", (price * (1 - cost_out) / F.col("entry") - 1) * 100)
@@ -81,4 +83,6 @@ def meta_label_samples(featured: DataFrame, features: Sequence[str], **rules) ->
     known: Column = F.lit(True)
     for f in features:
         known = known & F.col(f).isNotNull()
+    bars = [c for c in ("symbol", "ts", "open", "low", "close", "signal") if c not in features]
+    featured = stored(featured.select(*bars, *features), "featured")
     return signalled_trades(featured, **rules).join(featured.select("symbol", "ts", *features), ["symbol", "ts"]).where(known)
