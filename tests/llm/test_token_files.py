@@ -1,6 +1,7 @@
 """Token files: the library's ids, what the files look like inside, and reads of parts."""
 
 import glob
+import shutil
 import sys
 import zlib
 from pathlib import Path
@@ -9,11 +10,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark import cloudpickle
 
 sys.path.insert(0, str(Path(__file__).parent))
 import cases
 
-from tickloom.llm import queries, token_files
+from tickloom.llm import queries, token_counts, token_files
 from tickloom.llm.common import fresh_path
 
 
@@ -66,6 +68,27 @@ def test_units_equal_the_library(vocabulary, library):
     assert [len(x) for x in encoder.encode(pa.array([], pa.string()))] == [0, 0]
 
 
+def test_tasks_of_a_worker_share_a_tokenizer(vocabulary, tmp_path, monkeypatch):
+    """The library keeps megabytes of each object that has encoded; a worker runs hundreds of tasks, each with functions pickled anew."""
+    import tokenizers
+
+    made, path = [], str(tmp_path / "vocabulary.json")
+    shutil.copy(vocabulary, path)
+
+    class Counted:
+        @staticmethod
+        def from_file(name, load=tokenizers.Tokenizer.from_file):
+            made.append(name)
+            return load(name)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counted)
+    for _ in range(3):  # as three tasks would
+        encoder = cloudpickle.loads(cloudpickle.dumps(token_files.Encoder))(path)
+        assert encoder.encode(pa.array(["a b", "c d"]))[1].tolist() == [3, 3]
+        assert cloudpickle.loads(cloudpickle.dumps(token_counts.library_tokenizer))(path) is encoder.tokenizer
+    assert made == [path]
+
+
 def test_other_vocabularies_go_unit_by_unit():
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import sys
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -78,3 +81,21 @@ def byte_groups(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         held += n
     if start < len(texts):
         yield start, len(texts)
+
+
+def library_tokenizer(vocabulary: str):
+    """The tokenizers library's object for a .json file, without truncation or padding: one per Python worker and state of the
+    file. The library keeps some megabytes of each object that has encoded, for good, so one per task would fill a worker. As
+    functions come to each task anew, with globals of their own, the objects are kept in a module of their own."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    kept = vars(sys.modules.setdefault("tickloom_tokenizers", types.ModuleType("tickloom_tokenizers")))
+    about = os.stat(vocabulary)
+    key = f"{vocabulary} {about.st_mtime_ns} {about.st_size}"
+    if key not in kept:
+        made = Tokenizer.from_file(vocabulary)
+        made.no_truncation()
+        made.no_padding()
+        kept[key] = made
+    return kept[key]

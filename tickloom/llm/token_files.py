@@ -30,12 +30,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_groups, free_name, is_small
+from .common import byte_groups, free_name, is_small, library_tokenizer
 
 END_ID = 0
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 1 << 20
 #: The cache of units is emptied once it holds so many characters.
-CACHE_CHARS = 8 << 20
+CACHE_CHARS = 4 << 20
 #: Manifests up to so many rows, each a few numbers, are broadcast; beyond, the join shuffles.
 BROADCAST_FILES = 200_000
 ROW_GROUP_BYTES = 16 << 20
@@ -86,14 +86,7 @@ class Encoder:
     """
 
     def __init__(self, vocabulary: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.tokenizer = library_tokenizer(vocabulary)
         known = self.tokenizer.get_vocab(with_added_tokens=True)
         self.n_bytes = np.zeros(max(known.values()) + 1, np.int64)
         self.n_bytes[list(known.values())] = [len(token) for token in known]  # a character of a token stands for a byte
