@@ -89,6 +89,48 @@ def test_tasks_of_a_worker_share_a_tokenizer(vocabulary, tmp_path, monkeypatch):
     assert made == [path]
 
 
+def test_tasks_of_a_worker_share_units_and_keep_frequent_ones(vocabulary, library, tmp_path, monkeypatch):
+    """Most new words are seen once; a cache that a task begins anew, or that is emptied whole, has the library encode the others again."""
+    import tokenizers
+
+    asked, path = [], str(tmp_path / "vocabulary.json")
+    shutil.copy(vocabulary, path)
+
+    class Logged:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def encode_batch_fast(self, texts, **more):
+            asked.extend(texts)
+            return self.inner.encode_batch_fast(texts, **more)
+
+    class Opened:
+        @staticmethod
+        def from_file(name, load=tokenizers.Tokenizer.from_file):
+            return Logged(load(name))
+
+    def task(text):
+        encoder = cloudpickle.loads(cloudpickle.dumps(token_files.worker_encoder))(path)
+        assert encoder.encode(pa.array([text]))[0].tolist() == library(text)
+        return encoder
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Opened)
+    for rare in ("one", "two", "three"):
+        encoder = task(f"often seen words&&& words%% it's {rare}")
+    assert [" ".join(asked).count(w) for w in ("often", " seen", " words", "one", "two")] == [1, 1, 1, 1, 1]
+    encoder.chars = token_files.CACHE_CHARS + 1
+    asked.clear()
+    task("often seen words&&& words%% it's three or four")
+    assert sorted("".join(asked).split()) == ["four", "or", "three"] and encoder.chars < 100
+    for method in (encoder.encode, encoder._drop):  # unpickled functions have globals of their own
+        monkeypatch.setitem(method.__func__.__globals__, "CACHE_CHARS", 8)
+    encoder.groups += 5  # too many units, however often they were seen
+    assert encoder.encode(pa.array(["often seen"]))[0].tolist() == library("often seen") and len(encoder.slots) == 2
+
+
 def test_other_vocabularies_go_unit_by_unit():
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -6,7 +6,7 @@ import os
 import sys
 import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -83,19 +83,27 @@ def byte_groups(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def of_worker(kind: str, path: str, make: Callable[[], object]) -> object:
+    """What make() gives, made once per Python worker, kind and state of the file at path. As functions come to each task anew,
+    with globals of their own, such objects are kept in a module of their own."""
+    kept = vars(sys.modules.setdefault("tickloom_kept", types.ModuleType("tickloom_kept")))
+    about = os.stat(path)
+    key = f"{kind} {path} {about.st_mtime_ns} {about.st_size}"
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def library_tokenizer(vocabulary: str):
-    """The tokenizers library's object for a .json file, without truncation or padding: one per Python worker and state of the
-    file. The library keeps some megabytes of each object that has encoded, for good, so one per task would fill a worker. As
-    functions come to each task anew, with globals of their own, the objects are kept in a module of their own."""
+    """The tokenizers library's object for a .json file, without truncation or padding: one per Python worker. The library keeps
+    some megabytes of each object that has encoded, for good, so one per task would fill a worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    kept = vars(sys.modules.setdefault("tickloom_tokenizers", types.ModuleType("tickloom_tokenizers")))
-    about = os.stat(vocabulary)
-    key = f"{vocabulary} {about.st_mtime_ns} {about.st_size}"
-    if key not in kept:
+    def make():
         made = Tokenizer.from_file(vocabulary)
         made.no_truncation()
         made.no_padding()
-        kept[key] = made
-    return kept[key]
+        return made
+
+    return of_worker("tokenizer", vocabulary, make)

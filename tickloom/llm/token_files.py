@@ -8,9 +8,10 @@ and pages that hold it.
 
 Encoding goes through units: a text is cut where the vocabulary's pre-tokenizer starts a new piece in every case, and a unit
 is encoded once by the library and kept while the cache has room. Such places are a space or line end after what is not
-white space, what follows a single line end, and a full stop, comma and the like after a letter: tokens hold a space at their
-front only or are white space altogether, and never a letter beside a mark. Where a special string holds such a character, texts
-are not cut there.
+white space, what follows a single line end, and a mark after a letter: tokens hold a space at their front only or are
+white space altogether, and no mark but ' and _ after a letter. Where a special string holds such a character, texts
+are not cut there. The cache belongs to the Python worker, so that its tasks learn from each other; once full it drops the units that
+few groups of texts had, which most new words are.
 
 Defined results: a null text counts as empty and gets the end id alone; rows come by id, null ids first, equal ids by their
 text; equal rows are written one by one and may take each other's place; an empty table gives files without rows. Other
@@ -30,12 +31,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_groups, free_name, is_small, library_tokenizer
+from .common import byte_groups, free_name, is_small, library_tokenizer, of_worker
 
 END_ID = 0
-GROUP_BYTES = 1 << 20
-#: The cache of units is emptied once it holds so many characters.
+GROUP_BYTES = 4 << 20
+#: Once the cache of units holds so many characters, it keeps the units that so many groups of texts had since the last time, or
+#: as much more often as makes half of it free.
 CACHE_CHARS = 4 << 20
+CACHE_GROUPS = 3
+#: Marks that begin a unit after a letter. Some pre-tokenizers keep ' and _ with letters.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"
 #: Manifests up to so many rows, each a few numbers, are broadcast; beyond, the join shuffles.
 BROADCAST_FILES = 200_000
 ROW_GROUP_BYTES = 16 << 20
@@ -47,10 +52,10 @@ _JOINED = 256
 _CALL = 64
 
 
-def unit_starts(data: np.ndarray, starts: np.ndarray, marks: bool = True) -> np.ndarray:
+def unit_starts(data: np.ndarray, starts: np.ndarray, marks: str = MARKS) -> np.ndarray:
     """Places in data, the bytes of texts that begin at starts, where units begin: at a text's start; at a space or line end
-    after a character that is surely not white space; after a line end between two such characters; and, if marks,
-    at one of .,;:!? after an ASCII letter."""
+    after a character that is surely not white space; after a line end between two such characters; and at one of marks
+    after an ASCII letter."""
     low = int(starts[0]) if len(starts) else 0
     padded = np.concatenate([np.zeros(4, np.uint8), data])
     byte = lambda at, back: padded[at + 4 - back]
@@ -67,7 +72,9 @@ def unit_starts(data: np.ndarray, starts: np.ndarray, marks: bool = True) -> np.
     at = np.flatnonzero(data[:-1] == 0x0A) + 1
     found.append(at[(byte(at, 0) > 0x20) & (byte(at, 0) < 0x7F) & solid(at, 2) & ~np.isin(at - 1, starts)])
     if marks:
-        at = np.flatnonzero(np.isin(data, np.frombuffer(b".,;:!?", np.uint8)))
+        of_marks = np.zeros(256, bool)
+        of_marks[list(marks.encode())] = True
+        at = np.flatnonzero(of_marks[data])
         before = byte(at, 1) | 0x20
         found.append(at[(before >= 0x61) & (before <= 0x7A)])
     begins = np.zeros(len(data), bool)
@@ -85,19 +92,40 @@ class Encoder:
     which unit. Where those do not meet the units' ends, as with vocabularies that are not of bytes, they go one by one.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, kept: dict | None = None):
+        """kept: what an encoder of this vocabulary has kept, to go on with, or an empty dictionary to be filled."""
+        if kept is not None:
+            self.__dict__ = kept
+        if kept:
+            return
         self.tokenizer = library_tokenizer(vocabulary)
         known = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.n_bytes = np.zeros(max(known.values()) + 1, np.int64)
-        self.n_bytes[list(known.values())] = [len(token) for token in known]  # a character of a token stands for a byte
+        n_bytes = np.zeros(max(known.values()) + 1, np.int64)
+        n_bytes[list(known.values())] = [len(token) for token in known]  # a character of a token stands for a byte
+        self.n_bytes = n_bytes
         added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
-        self.marks = not any(c in token for token in added for c in ".,;:!?")
+        self.marks = "".join(c for c in MARKS if not any(c in token for token in added))
         self.cuts = not any(c in token for token in added for c in " \n")
-        self._clear()
+        self.slots, self.ids = pa.array([], pa.string()), np.empty(0, np.int32)  # units; their ids in some order
+        self.starts, self.counts, self.groups, self.chars = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), 0
 
-    def _clear(self) -> None:
-        self.slots: dict[str, int] = {}
-        self.ids, self.counts, self.chars = np.empty(0, np.int32), np.empty(0, np.int64), 0
+    def _ids_of(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units one after the other, and where each unit's end."""
+        n = self.counts[slots]
+        after = np.cumsum(n)
+        total = int(n.sum())
+        kind = np.int32 if len(self.ids) + total < 1 << 31 else np.int64
+        return self.ids[np.repeat((self.starts[slots] - after + n).astype(kind), n) + np.arange(total, dtype=kind)], after
+
+    def _drop(self) -> None:
+        """Drops units that few groups had."""
+        sizes, least = pc.utf8_length(self.slots).to_numpy(), CACHE_GROUPS
+        while (chars := int(sizes[self.groups >= least].sum())) > CACHE_CHARS // 2:
+            least *= 2
+        stay = np.flatnonzero(self.groups >= least)
+        self.ids, after = self._ids_of(stay)
+        self.slots, self.counts, self.groups, self.chars = self.slots.take(pa.array(stay)), self.counts[stay], np.zeros(len(stay), np.int64), chars
+        self.starts = after - self.counts
 
     def _one_by_one(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         made = [x.ids for x in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
@@ -114,35 +142,39 @@ class Encoder:
             return self._one_by_one(units)
         return ids, np.diff(last, prepend=-1)
 
-    def _learn(self, units: list[str]) -> None:
-        inner = [u for u in units if u[0:1] == " " and ("!" <= u[-1] <= "~" or u[-1].isalnum())]  # may follow each other in one text
-        other = units if not inner else [u for u in units if u[0:1] != " " or not ("!" <= u[-1] <= "~" or u[-1].isalnum())]
-        ids, counts = [self.ids], [self.counts]
-        for some, encode in ((inner, self._joined), (other, self._one_by_one)):
+    def _learn(self, slots: pa.StringArray) -> None:
+        """Learns the units that slots has beyond those known."""
+        units = slots[len(self.slots) :].to_numpy(zero_copy_only=False).tolist()
+        follows = np.fromiter((u[0] == " " and ("!" <= u[-1] <= "~" or u[-1].isalnum()) for u in units), bool, len(units))  # may follow each other in one text
+        order = np.argsort(~follows, kind="stable")
+        units, inner = [units[i] for i in order.tolist()], int(follows.sum())
+        ids, counts = [self.ids], [np.empty(0, np.int64)]
+        for some, encode in ((units[:inner], self._joined), (units[inner:], self._one_by_one)):
             for i in range(0, len(some), _JOINED * _CALL):
                 made = encode(some[i : i + _JOINED * _CALL])
                 ids.append(made[0])
                 counts.append(made[1])
-        self.slots.update(zip(chain(inner, other), range(len(self.slots), len(self.slots) + len(units))))
-        self.ids, self.counts = np.concatenate(ids), np.concatenate(counts)
-        self.chars += sum(map(len, units))
+        counts = np.concatenate(counts)
+        place = np.argsort(order)
+        self.starts = np.append(self.starts, (len(self.ids) + np.cumsum(counts) - counts)[place])
+        self.ids, self.counts, self.groups = np.concatenate(ids), np.append(self.counts, counts[place]), np.append(self.groups, np.zeros(len(units), np.int64))
+        self.slots, self.chars = slots, self.chars + sum(map(len, units))
 
     def encode(self, texts: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, each followed by end_id, and how many each has."""
         if self.chars > CACHE_CHARS:
-            self._clear()
+            self._drop()
         texts = pa.concat_arrays([texts.cast(pa.string())])  # own buffers, from place 0 on
         bounds = np.frombuffer(texts.buffers()[1], np.int32)[: len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
         data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[: bounds[-1]]
         begin = bounds[:-1][np.diff(bounds) > 0]
         begin = unit_starts(data, begin, self.marks) if self.cuts else begin
         units = pa.StringArray.from_buffers(len(begin), pa.py_buffer(np.append(begin, bounds[-1]).astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
-        names = units.dictionary.to_numpy(zero_copy_only=False).tolist()
-        self._learn([u for u in names if u not in self.slots])
-        slot = np.fromiter(map(self.slots.__getitem__, names), np.int64, len(names))[units.indices.to_numpy(zero_copy_only=False)]
-        n, starts = self.counts[slot], (np.cumsum(self.counts) - self.counts)[slot]
-        after = np.cumsum(n)
-        out = self.ids[np.repeat(starts - after + n, n) + np.arange(n.sum())]
+        both = pa.concat_arrays([self.slots, units.dictionary]).dictionary_encode()  # slots keep their places, new units come after them
+        slot = both.indices.to_numpy(zero_copy_only=False)[len(self.slots) :]
+        self._learn(both.dictionary)
+        self.groups[slot] += 1
+        out, after = self._ids_of(slot[units.indices.to_numpy(zero_copy_only=False)])
         ends = np.concatenate([[0], after])[np.searchsorted(begin, bounds[1:])]
         sizes = np.diff(ends, prepend=0)
         if end_id is not None:
@@ -150,6 +182,11 @@ class Encoder:
         return out, sizes
 
 
+def worker_encoder(vocabulary: str) -> Encoder:
+    """An encoder that goes on with the units of the tasks before it in the same Python worker."""
+    return Encoder(vocabulary, of_worker("token units", vocabulary, dict))
+
+
 def write_tokens(docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END_ID, files: int | None = None) -> None:
     """Writes the ids of every text below path, in ascending order of the rows' ids. vocabulary: path of a tokenizers .json
     file that every executor has; files: how many files to write, by default as many as the session's shuffle partitions."""
@@ -162,7 +199,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, written = None, 0
         for batch in batches:
-            encoder = encoder or Encoder(vocabulary)
+            encoder = encoder or worker_encoder(vocabulary)
             for start, stop in byte_groups(batch.column("text"), GROUP_BYTES):
                 part = batch.slice(start, stop - start)
                 ids, sizes = encoder.encode(part.column("text"), end_id)
