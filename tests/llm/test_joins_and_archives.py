@@ -163,6 +163,34 @@ def test_components_equal_brute_force(spark, width, percent, monkeypatch):
     assert len({c for _, _, c in got}) < len(got)
 
 
+def test_sets_that_share_a_line_are_filed_again_once(spark, monkeypatch):
+    """Many sets under one leader, most of them linked to none: rounds do not grow with their number, and blocks find all links."""
+    rng = random.Random(7)
+    line = " ".join(f"c{i}" for i in range(34))
+    texts = [f"{line} " + " ".join(f"x{rng.randrange(10**9)}" for _ in range(26)) for _ in range(90)]
+    texts += [t.rsplit(" ", k)[0] + " end" * k for t in texts[:40:4] for k in (1, 2)]  # near copies
+    texts += [f"{line} {' '.join(f'y{i + k}' for i in range(26))}" for k in range(0, 40, 2)]  # a chain: each is near the next
+    rows = [(i, t) for i, t in enumerate(texts)]
+    want = brute_components(rows, 5, 80)
+    assert 80 < len({c for _, _, c in want}) < 110
+    docs, rounds, led = spark.createDataFrame(rows, "doc_id long, text string"), [], jaccard_join._led
+
+    def counted(*args, **names):
+        rounds.append(1)
+        assert len(rounds) <= 2, "filed again more than once"
+        return led(*args, **names)
+
+    monkeypatch.setattr(jaccard_join, "_led", counted)
+    monkeypatch.setattr(jaccard_join, "SMALL_BUCKET", 3)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    for blocks, tokens in ((1, 1 << 22), (1, 200), (1000, 1 << 22), (1000, 200)):
+        monkeypatch.setattr(jaccard_join, "BLOCKS", blocks, raising=False)
+        monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", tokens)
+        rounds.clear()
+        assert Counter(tuple(r)[:3] for r in jaccard_join.components(docs, width=5, percent=80).collect()) == want
+        assert len(rounds) == 1 + ((blocks, tokens) != (1000, 1 << 22))
+
+
 def test_keep_first_and_empty(spark):
     docs = with_cases(spark)
     kept = jaccard_join.keep_first(docs)

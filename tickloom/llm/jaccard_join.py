@@ -12,9 +12,11 @@ Sets that are equal form one class and are joined once. Each bucket is led by th
 and buckets with one leader are taken together, so sets that meet in many buckets are compared once. First each set is
 verified against the likeliest of its leaders, by sizes and parity sketches. Where that leaves the sets of a leader in several
 components, few sets are paired; of more, a task finds those whose sketches let them link to a set of another component, and a
-second one compares these and returns a spanning forest of their links; beyond BLOCK sets they are filed again under the tokens in which they differ from their leader: two sets that link, of which
-one does not link to the leader, share such a token (if they shared none, their distance would be the sum of their distances to
-the leader, which is too much; as they share most of these tokens, a prefix of them is enough). No bucket, candidate or partner is capped.
+second one compares these and returns a spanning forest of their links. Beyond BLOCK sets they are dealt into blocks, and every two
+blocks are compared like that. Beyond BLOCKS times as many, which a line that many documents have can bring together, they are first filed
+again, once, under the rarest of their tokens: tokens are ordered by how many of these sets have them, and as two sets that link share at
+least `percent` of the tokens of either, the first few of both meet. A set that has too many tokens to itself links to none of
+them and is filed nowhere. What is large even then is dealt into blocks. No bucket, candidate or partner is capped.
 
 Tokens are 64-bit hashes of shingles and classes 64-bit hashes of sets.
 
@@ -40,6 +42,8 @@ from .components import connected
 SMALL_BUCKET = 12
 BLOCK = 4_096
 BLOCK_TOKENS = 1 << 22
+#: Sets of one leader, in blocks, beyond which they are filed again before they are compared.
+BLOCKS = 4
 STRIP = 256
 #: Words of the parity sketch of a set, doubled until it has half a cell per token.
 SKETCH = 16
@@ -332,29 +336,39 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def _led(files: DataFrame, merged: bool) -> DataFrame:
-    """key, leader, class: the sets of each bucket with its leader. Merged, the buckets of a leader are one, with the leader as key."""
+def _led(files: DataFrame) -> DataFrame:
+    """key, leader, class: the sets that share a bucket with one leader, which is also the key."""
     sizes = files.groupBy("signature").agg(F.count(F.lit(1)).alias("n"))
     met = files.join(sizes, "signature").groupBy("class").agg(F.sum("n").alias("met"))
     leaders = files.join(met, "class").groupBy("signature").agg(F.max(F.struct("met", "class"))["class"].alias("leader"))
-    return files.join(leaders, "signature").select(F.col("leader" if merged else "signature").alias("key"), "leader", "class").distinct()
+    return files.join(leaders, "signature").select(F.col("leader").alias("key"), "leader", "class").distinct()
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels, rows["class"] == labels["node"], "left").select(*rows.columns, F.coalesce("component", "class").alias("component"))
 
 
-def _refiled(led: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """signature, class, component: the sets of each leader under tokens in which they differ from it. Two sets that are
-    apart by at most `most` share all but so many of the tokens in which either differs, so of these, in any common order, the
-    first most + 1 of each are enough to meet."""
-    tokens = lambda name, to: sets.select(F.col("class").alias(name), F.col("tokens").alias(to))
-    both = led.where("leader <> class").join(tokens("class", "x"), "class").join(tokens("leader", "y"), "leader")
-    keys = lambda x, y, side: F.transform(F.array_except(x, y), lambda t: F.xxhash64("leader", t, F.lit(side)))
-    size = F.size("x")
-    most = F.floor((100 - percent) * (size + F.floor(100 * size / percent)) / (100 + percent)).cast("int")
-    first = F.slice(F.sort_array(F.concat(keys("x", "y", 1), keys("y", "x", 0))), 1, most + 1)
-    return both.select(F.explode(first).alias("signature"), "class", "component").distinct()
+def _dealt(rows: DataFrame, size: str, n: str, most: int) -> DataFrame:
+    """The rows of each key of more than most by size, and of more than two rows, under a key for each two blocks of about
+    most / 2 each; n is the number of rows of the key."""
+    blocks = F.when((F.col(size) > most) & (F.col(n) > 2), F.least(F.ceil(2 * F.col(size) / most), n)).otherwise(1).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(most), "class"), "blocks").cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: i != F.col("own"))
+    keys = F.transform(others, lambda i: F.xxhash64("key", F.least("own", i), F.greatest("own", i)))
+    dealt = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("keys", F.when(F.col("blocks") == 1, F.array("key")).otherwise(keys))
+    return dealt.withColumn("key", F.explode("keys")).drop("blocks", "own", "keys")
+
+
+def _refiled(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """signature, class of the sets in large(class, component): each under the rarest of its tokens, as many as are enough for two
+    sets that link to meet. Tokens that one set has are the rarest and file nothing. Signatures within one component are dropped."""
+    tokens = sets.join(large, "class", "left_semi").select("class", "n_tokens", F.explode("tokens").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    ordered = tokens.join(shared, "token").groupBy("class", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("shared"))
+    enough = F.greatest(F.size("shared") - F.ceil(percent * F.col("n_tokens") / 100).cast("int") + 1, F.lit(0))
+    rows = ordered.select("class", F.explode(F.slice("shared", 1, enough)["token"]).alias("signature")).join(large, "class")
+    apart = rows.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("signature")
+    return rows.join(apart, "signature").select("signature", "class")
 
 
 def links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -368,13 +382,13 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Data
     sets = stored(token_sets(docs.join(readers.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(readers["doc_id"]), "left_semi"), width), "sets")
 
     found = None
-    while True:
-        led = stored(_led(files, merged=found is None), "led")  # refiled buckets are small; merging would undo that
+    for again in (False, True):
+        led = stored(_led(files), "led")
         # Each set with the likeliest of its leaders first: at most one verification per set.
         near = screen(led.where("leader <> class").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct(), sets, percent)
         likeliest = near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
         direct = verify(likeliest, sets, percent)
-        found = stored(direct if found is None else found.union(direct), "found")
+        found = stored(found.union(direct) if again else direct, "found")
         # Pairs of different components are left where the sets of a leader are in several.
         parts = _labelled(led, connected(found))
         several = parts.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("key", "n")
@@ -382,22 +396,19 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Data
         lists = left.where(F.col("n") <= SMALL_BUCKET).groupBy("key").agg(F.collect_list(F.struct("class", "component")).alias("members"))
         pair = lambda m: F.flatten(F.transform(m, lambda x: F.transform(F.filter(m, lambda y: (x["class"] < y["class"]) & (x["component"] != y["component"])), lambda y: F.struct(x["class"].alias("a"), y["class"].alias("b")))))
         paired = verify(screen(lists.select(F.inline(pair(F.col("members")))).distinct(), sets, percent), sets, percent)
-        more = left.where((F.col("n") > SMALL_BUCKET) & (F.col("n") <= BLOCK)).join(sets.select("class", "n_tokens", "sketch"), "class")
+        # What is too large is filed again once, and compared in blocks after that.
+        too_many, too_heavy = (F.lit(False), F.lit(False)) if again else (F.col("n") > BLOCKS * BLOCK, (F.col("tokens") > BLOCK_TOKENS) & (F.col("k") > 2))
+        more = _dealt(left.where((F.col("n") > SMALL_BUCKET) & ~too_many), "n", "n", BLOCK).join(sets.select("class", "n_tokens", "sketch"), "class")
         involved = stored(more.groupBy("key").applyInArrow(_involved(percent), "key long, leader long, class long, component long, n_tokens int"), "involved")
-        heavy = involved.groupBy("key").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("k")).select("key", ((F.col("tokens") > BLOCK_TOKENS) & (F.col("k") > 2)).alias("heavy"))
-        involved = involved.join(heavy, "key")
-        compared = involved.where("NOT heavy").join(sets.select("class", "tokens"), "class").groupBy("key").applyInArrow(_forest(percent), "a long, b long")
-        found = stored(found.union(paired).union(compared), "found")
-        columns = ("leader", "class", "component")
-        large = stored(left.where(F.col("n") > BLOCK).select(*columns).union(involved.where("heavy").select(*columns)).distinct(), "large")
+        involved = involved.join(involved.groupBy("key").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("k")), "key")
+        compared = _dealt(involved.where(~too_heavy), "tokens", "k", BLOCK_TOKENS).select("key", "leader", "class", "component").join(sets.select("class", "tokens"), "class")
+        found = stored(found.union(paired).union(compared.groupBy("key").applyInArrow(_forest(percent), "a long, b long")), "found")
+        if again:
+            return found
+        large = stored(left.where(too_many).select("class", "component").union(involved.where(too_heavy).select("class", "component")).distinct(), "large")
         if large.isEmpty():
             return found
-        # Refiling finds the pairs of sets that are not linked to their leader; so who is, has to be known first.
-        found = stored(found.union(verify(screen(large.where("leader <> class").select(F.col("leader").alias("a"), F.col("class").alias("b")), sets, percent), sets, percent)), "found")
-        # Equal components need no pairs, so buckets within one are dropped.
-        again = _refiled(large, sets, percent)
-        apart = again.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("signature")
-        files = stored(again.join(apart, "signature").select("signature", "class"), "shared")
+        files = stored(_refiled(large, sets, percent), "shared")
 
 
 def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
